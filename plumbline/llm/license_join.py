@@ -18,6 +18,9 @@ are never shuffled.  All steps are DataFrame operations.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +69,10 @@ def _holds_all(low: Column, words: list[str]) -> Column:
     return found
 
 
+def _stands_at(words: list[str]) -> Callable[[Column], Column]:
+    return lambda i: reduce(and_, [F.get("__words", i + j) == w for j, w in enumerate(words)])
+
+
 def phrase_places(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
     """``docs`` (with ``low``) and ``n_words``, ``places`` (starts of all
     phrases, in words) and ``base`` (their labels).  Only a text that holds all
@@ -80,14 +87,8 @@ def phrase_places(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASE
     rich = docs.filter(may).withColumn("__words", words_of(F.col("low")))
     starts = {}
     for k, (words, _) in enumerate(split):
-        def fits(i: Column, words: list[str] = words) -> Column:
-            same = F.lit(True)
-            for j, w in enumerate(words):
-                same = same & (F.get("__words", i + j) == w)
-            return same
-
         room = F.size("__words") - len(words)
-        starts[f"__p{k}"] = F.when(room >= 0, F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), fits)).otherwise(none)
+        starts[f"__p{k}"] = F.when(room >= 0, F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), _stands_at(words))).otherwise(none)
     rich = rich.withColumns(starts)
     labels = F.array_compact(F.array(*[F.when(F.size(f"__p{k}") > 0, label) for k, (_, label) in enumerate(split)]))
     rich = rich.withColumn("places", F.concat(*starts)).withColumn("base", labels).drop("__words", *starts)
@@ -201,7 +202,7 @@ def _sql() -> str:
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 words AS (SELECT doc_id, regexp_extract_all(t, '{w}') AS w FROM low),
 places AS (SELECT doc_id, len(w) AS n_words, {lists} FROM words),
-base AS (SELECT doc_id, n_words, {every} AS at, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM places),
+base AS (SELECT doc_id, n_words, {every} AS pos, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM places),
 templates(template, label, tw) AS (VALUES {sets}),
 blocks AS (
   SELECT doc_id, unnest(string_split(t, chr(10))) AS piece, false AS long FROM low
@@ -212,7 +213,7 @@ found AS (
   FROM held CROSS JOIN templates
   WHERE len(list_intersect(h, tw)) >= ceil({CONTAINMENT}::DOUBLE * len(tw) - 1e-9) AND (NOT long OR len(tw) >= {LONG_TEMPLATE})
   GROUP BY doc_id)
-SELECT doc_id, n_words::BIGINT AS n_words, len(at)::BIGINT AS n_base, list_min(at)::BIGINT AS first_word, list_max(at)::BIGINT AS last_word,
+SELECT doc_id, n_words::BIGINT AS n_words, len(pos)::BIGINT AS n_base, list_min(pos)::BIGINT AS first_word, list_max(pos)::BIGINT AS last_word,
        array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(base || coalesce(more, []))), ',') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM base LEFT JOIN found USING (doc_id)

@@ -8,8 +8,8 @@ of e, n(e) the entity's count and N all words,
 
     PMI(t; e) = log2( (co(t, e) / n(t)) / (n(e) / N) ),   IC(e) = log2(N / n(e)),
 
-and t discloses e when PMI >= ``DISCLOSURE`` * IC and co >= ``SUPPORT``.  Such
-words are marked (and removed by ``redact``) where they stand close to that
+and t discloses e when PMI >= ``DISCLOSURE`` * IC and they stand together in
+``SUPPORT`` different texts or more.  Such words are marked (and removed by ``redact``) where they stand close to that
 entity, and only there: a text without an entity is never touched.
 
 Offsets come from cutting a text at its matches: the pieces' and matches'
@@ -21,6 +21,8 @@ recursion.  All steps are DataFrame operations.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,7 +136,9 @@ def disclosing_terms(texts: DataFrame, spans: DataFrame, contexts: DataFrame, su
     """``(entity, term)`` whose co-occurrence reaches the disclosure threshold.
     Words are counted over all ``texts``; only those with enough support near
     some entity take part in that count."""
-    together = materialise(contexts.groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support), "pii-together")
+    near = contexts.groupBy("entity", "term", "text_key").agg(F.count("*").alias("co")).groupBy("entity", "term")
+    together = near.agg(F.sum("co").alias("co"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    together = materialise(together.select("entity", "term", "co"), "pii-together")
     suspects = materialise(together.select(F.col("term").alias("suspect")).distinct(), "pii-suspects")
     if suspects.count() <= BROADCAST_TERMS:
         suspects = F.broadcast(suspects)
@@ -174,6 +178,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(k: int) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == k
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``, one row
     per row of ``docs``.
@@ -188,7 +196,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     joined = texts.select("doc_id", "text_key").join(found, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))
     joined = joined.select("doc_id", spans.alias("spans"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     return joined.select("doc_id", *counts, F.sha2(_listed(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
