@@ -1,10 +1,610 @@
-"""Registered queries of the engine and the SQL that checks them."""
+"""Registered queries of the engine and the SQL that checks them.
+
+Submissions are ``documents``, references ``benchmark``; the near-duplicate
+network is ``documents`` against itself.  Reviewers and settings are fixed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from plumbline.functions import kernels as K
+from plumbline.functions import text as X
+from plumbline.functions import udfs as U
+from plumbline.operators import candidates, corpus, evidence, network, ranking, scoring
+from plumbline.plans import analysis
+from plumbline.report import case_reports, status, summary_lines
+from plumbline.scratch import materialise
+from plumbline.settings import STOPWORDS, Settings
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+SETTINGS = Settings()
+REVIEWERS = ((0, "R1", "Reviewer One", 2), (1, "R2", "Reviewer Two", 2), (2, "R3", "Reviewer Three", 1))
+OFF_GRAPH = Settings(enable_fuzzy=False, enable_graph=False)
+
+# ------------------------------------------------------------------ SQL parts
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+
+
+def _prepared_sql(name: str, table: str, key: str, prefix: str) -> str:
+    return f"""
+{name}0 AS (SELECT {key} AS pos, '{prefix}' || {key} AS id, text AS content, trim(lower(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))) AS norm FROM {table}),
+{name}1 AS (SELECT *, list_filter(string_split(norm, ' '), lambda t: t <> '') AS tokens FROM {name}0),
+{name} AS (SELECT *, list_filter(tokens, lambda t: NOT list_contains({_STOP}, t)) AS words FROM {name}1)"""
+
+
+def _shingles_sql(tokens: str, w: int) -> str:
+    return f"CASE WHEN len({tokens}) >= {w} THEN list_transform(range(0, len({tokens}) - {w - 1}), lambda i: array_to_string({tokens}[i + 1 : i + {w}], ' ')) ELSE [] END"
+
+
+SUBS = _prepared_sql("subs", "documents", "doc_id", "D")
+REFS = _prepared_sql("refs", "benchmark", "item_id", "B")
+PAIRS = f"""
+ss AS (SELECT pos, id, list_distinct({_shingles_sql('words', 4)}) AS s FROM subs),
+rs AS (SELECT pos, id, list_distinct({_shingles_sql('words', 4)}) AS s FROM refs),
+sx AS (SELECT pos AS sub_pos, id AS sub_id, len(s) AS sn, unnest(s) AS g FROM ss),
+rx AS (SELECT pos AS ref_pos, id AS ref_id, len(s) AS rn, unnest(s) AS g FROM rs),
+jp AS (SELECT sub_pos, sub_id, ref_pos, ref_id, sn, rn, count(*) AS both FROM sx JOIN rx USING (g) GROUP BY ALL),
+pairs AS (SELECT sub_pos, sub_id, ref_pos, ref_id, both, both / (sn + rn - both) AS jaccard FROM jp)"""
+_GRAMS = "list_distinct(CASE WHEN len(substr({t}, 1, 100000)) >= {w} AND len({t}) > 0 THEN list_transform(range(1, len(substr({t}, 1, 100000)) - {w} + 2), lambda i: substr({t}, i, {w})) ELSE [] END)"
+CHARS = f"""
+cg AS (
+  SELECT p.*, {_GRAMS.format(t='s.norm', w='least(9, greatest(1, len(s.norm)))')} AS a, {_GRAMS.format(t='r.norm', w='least(9, greatest(1, len(r.norm)))')} AS b
+  FROM pairs p JOIN subs s ON s.pos = sub_pos JOIN refs r ON r.pos = ref_pos),
+cj AS (SELECT sub_pos, sub_id, ref_pos, ref_id, jaccard, coalesce(len(list_intersect(a, b)) / nullif(len(a) + len(b) - len(list_intersect(a, b)), 0), 0) AS char_jaccard FROM cg),
+shingled AS (SELECT *, 0.65::DOUBLE * jaccard + 0.35::DOUBLE * char_jaccard AS shingle FROM cj)"""
+EXACT = f"""
+ph AS (SELECT pos, CASE WHEN len(tokens) >= 5 THEN {_shingles_sql('tokens', 5)} WHEN len(tokens) > 0 THEN [norm] ELSE [] END AS p FROM subs),
+px AS (SELECT pos, unnest(p) AS phrase, generate_subscripts(p, 1) - 1 AS at_index FROM ph),
+eligible AS (SELECT pos AS sub_pos, phrase, min(at_index) AS at_index FROM px WHERE len(phrase) >= 28 GROUP BY ALL),
+matches AS (
+  SELECT p.sub_pos, p.ref_pos, phrase, at_index, s.norm AS sub_norm, r.norm AS ref_norm
+  FROM pairs p JOIN eligible USING (sub_pos) JOIN refs r ON r.pos = p.ref_pos JOIN subs s ON s.pos = p.sub_pos WHERE contains(r.norm, phrase)),
+exact AS (
+  SELECT p.*, coalesce(m.n, 0) AS matched, coalesce(e.n, 0) AS eligible, coalesce(m.n / e.n, 0) AS exact
+  FROM pairs p LEFT JOIN (SELECT sub_pos, ref_pos, count(*) AS n FROM matches GROUP BY ALL) m USING (sub_pos, ref_pos)
+  LEFT JOIN (SELECT sub_pos, count(*) AS n FROM eligible GROUP BY ALL) e USING (sub_pos))"""
+_W = OFF_GRAPH.weights()
+CASES = f"""
+nrefs AS (SELECT count(*) AS n FROM benchmark),
+scored AS (
+  SELECT e.sub_pos, e.sub_id, e.ref_pos, e.ref_id, exact, shingle, least(1.0, greatest(0.0, (exact * {_W[0]}::DOUBLE + shingle * {_W[1]}::DOUBLE) / ({_W[0]}::DOUBLE + {_W[1]}::DOUBLE))) AS total
+  FROM exact e JOIN shingled USING (sub_pos, ref_pos)),
+cases AS (
+  SELECT *, sub_pos * n + ref_pos AS ordinal, 'PD-' || (sub_pos * n + ref_pos + 1) || '-' || sub_id || '-' || ref_id AS case_id,
+         CASE WHEN total >= 0.75 THEN 'CRITICAL' WHEN total >= 0.55 THEN 'HIGH' WHEN total >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS risk
+  FROM scored CROSS JOIN nrefs)"""
+ALL_CASES = f"WITH {SUBS}, {REFS}, {PAIRS}, {CHARS}, {EXACT}, {CASES}"
+REVIEW = """,
+reviewers(pos, id, name, capacity) AS (VALUES (0, 'R1', 'Reviewer One', 2), (1, 'R2', 'Reviewer Two', 2), (2, 'R3', 'Reviewer Three', 1)),
+slots AS (SELECT *, sum(capacity) OVER (ORDER BY pos) AS upto FROM reviewers),
+queue AS (SELECT *, row_number() OVER (ORDER BY total DESC, case_id) AS place FROM cases WHERE total >= 0.30),
+assigned AS (SELECT q.*, s.id AS reviewer_id, s.name AS reviewer_name FROM queue q JOIN slots s ON place > upto - capacity AND place <= upto)"""
+SEQ = """,
+seq AS (
+  SELECT row_number() OVER (ORDER BY total DESC, case_id DESC) - 1 AS pos, case_id, total, floor(total * 1000000 + 0.5)::BIGINT AS score FROM cases),
+flags AS (SELECT *, (score >= 300000)::INT AS flag FROM seq)"""
+NEAR = f"""WITH RECURSIVE {SUBS},
+sets AS (SELECT pos, list_sort(list_distinct({_shingles_sql('words', 4)})) AS s FROM subs),
+classes AS (SELECT min(pos) AS pos, s FROM sets WHERE len(s) > 0 GROUP BY s),
+sh AS (SELECT pos, len(s) AS n, unnest(s) AS g FROM classes),
+both AS (SELECT p.pos AS a, q.pos AS b, p.n AS pn, q.n AS qn, count(*) AS k FROM sh p JOIN sh q ON p.g = q.g AND p.pos < q.pos GROUP BY ALL),
+near AS (SELECT a AS src, b AS dst, k / (pn + qn - k) AS similarity, greatest(1e-6::DOUBLE, 1.0::DOUBLE - k / (pn + qn - k)) AS cost FROM both WHERE k / (pn + qn - k) >= 0.28::DOUBLE),
+ways AS (SELECT src, dst, cost FROM near UNION ALL SELECT dst, src, cost FROM near)"""
+REACH = """,
+reach(a, b) AS (SELECT src, dst FROM ways UNION SELECT r.a, w.dst FROM reach r JOIN ways w ON r.b = w.src),
+parts AS (SELECT a AS v, least(a, min(b)) AS component FROM reach GROUP BY a),
+heads AS (SELECT component, 'GROUP-' || row_number() OVER (ORDER BY component) AS group_id FROM (SELECT DISTINCT component FROM parts)),
+grouped AS (SELECT group_id, v FROM parts JOIN heads USING (component))"""
+DIGRAPH = """WITH RECURSIVE
+e(src, dst, cost) AS (SELECT n_nationkey, (n_nationkey * 3 + 1) % 25, 1.0::DOUBLE + n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 5, 2.0::DOUBLE + n_regionkey FROM nation WHERE n_nationkey < 12),
+digraph AS (SELECT src, dst, cost FROM e WHERE src <> dst)"""
+
+
+# ------------------------------------------------------------------ frames
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def submissions(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.prepare(table(spark, d, "documents"), "doc_id", "text", "D")
+
+
+def references(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.prepare(table(spark, d, "benchmark"), "item_id", "text", "B")
+
+
+def overlapping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Submissions, references, and the pairs that share a word shingle."""
+    subs, refs = submissions(spark, d), references(spark, d)
+    return subs, refs, materialise(candidates.jaccard_pairs(subs, refs), "pairs")
+
+
+def cases(spark: SparkSession, d: str) -> DataFrame:
+    """Scored cases without the fuzzy and graph families."""
+    subs, refs, pairs = overlapping(spark, d)
+    exact = scoring.exact_scores(pairs.select(*scoring.PAIR), subs, refs, OFF_GRAPH).select("sub_pos", "ref_pos", "exact")
+    both = scoring.shingle_scores(pairs, subs, refs, OFF_GRAPH).join(exact, ["sub_pos", "ref_pos"])
+    total = scoring.total_score(F.col("exact"), F.col("shingle"), F.lit(0.0), F.lit(0.0), OFF_GRAPH.weights())
+    scored = both.withColumn("total", total).select(*scoring.PAIR, "exact", "shingle", "total")
+    return materialise(scoring.cases(scored, table(spark, d, "benchmark").count()), "cases")
+
+
+def reviewers(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REVIEWERS, "pos int, id string, name string, capacity int")
+
+
+def near_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between different near-duplicate texts, each class once."""
+    pairs = candidates.similar_pairs(submissions(spark, d), SETTINGS.graph_edge_threshold)
+    return materialise(network.edges_of(pairs, "a", "b", "jaccard", SETTINGS.graph_edge_threshold), "near-edges")
+
+
+def digraph(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("src"), F.col("n_regionkey").cast("double").alias("r"))
+    a = n.select("src", ((F.col("src") * 3 + 1) % 25).alias("dst"), (F.col("r") + 1.0).alias("cost"))
+    b = n.filter("src < 12").select("src", (F.col("src") + 5).alias("dst"), (F.col("r") + 2.0).alias("cost"))
+    return a.unionByName(b).filter("src <> dst")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ------------------------------------------------------------------ text
+@query(f"WITH {SUBS} SELECT pos AS doc_id, norm FROM subs")
+def normalize_text(spark, d):
+    return submissions(spark, d).select(F.col("pos").alias("doc_id"), "norm")
+
+
+@query(f"WITH {SUBS} SELECT pos AS doc_id, len(tokens) AS n_tokens, len(words) AS n_words, array_to_string(words[1:5], ' ') AS opening FROM subs")
+def token_counts(spark, d):
+    return submissions(spark, d).select(F.col("pos").alias("doc_id"), F.size("tokens").cast("long").alias("n_tokens"), F.size("words").cast("long").alias("n_words"), F.array_join(F.slice("words", 1, 5), " ").alias("opening"))
+
+
+@query(f"WITH {SUBS}, s AS (SELECT pos, {_shingles_sql('words', 4)} AS g FROM subs) SELECT pos AS doc_id, len(g) AS n, len(list_distinct(g)) AS n_distinct, list_min(g) AS least, list_max(g) AS greatest FROM s")
+def word_shingles(spark, d):
+    s = submissions(spark, d).select("pos", X.word_shingles(F.col("words"), 4).alias("g"))
+    return s.select(F.col("pos").alias("doc_id"), F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"), F.array_min("g").alias("least"), F.array_max("g").alias("greatest"))
+
+
+@query(f"WITH {SUBS}, s AS (SELECT pos, CASE WHEN len(norm) >= 9 THEN list_transform(range(1, len(norm) - 7), lambda i: substr(norm, i, 9)) ELSE [] END AS g FROM subs) SELECT pos AS doc_id, len(g) AS n, len(list_distinct(g)) AS n_distinct FROM s")
+def char_shingles(spark, d):
+    s = submissions(spark, d).select("pos", X.char_shingles(F.col("norm"), 9).alias("g"))
+    return s.select(F.col("pos").alias("doc_id"), F.size("g").cast("long").alias("n"), F.size(F.array_distinct("g")).cast("long").alias("n_distinct"))
+
+
+@query(
+    "WITH t AS (SELECT doc_id, text, strpos(text, 'the') - 1 AS o FROM documents WHERE contains(text, 'the')), b AS (SELECT doc_id, o, substr(text, 1, o) AS before FROM t) "
+    "SELECT doc_id, o AS offs, len(regexp_extract_all(before, '\\r\\n|\\r|\\n')) + 1 AS line, len(regexp_replace(before, '(?s)^.*[\\r\\n]', '')) + 1 AS col FROM b"
+)
+def locate(spark, d):
+    t = table(spark, d, "documents").filter(F.col("text").contains("the")).withColumn("offs", F.instr("text", "the") - 1)
+    return t.select("doc_id", F.col("offs").cast("long").alias("offs"), X.line_of(F.col("text"), F.col("offs")).cast("long").alias("line"), X.column_of(F.col("text"), F.col("offs")).cast("long").alias("col"))
+
+
+@query("SELECT p_partkey, list_filter(range(0, len(p_name) - 1), lambda i: substr(p_name, i + 1, 2) = 'an') AS x, NULL AS y FROM part".replace("list_filter", "array_to_string(list_filter").replace("'an')", "'an'), ',')").replace("AS x, NULL AS y", "AS places"))
+def pattern_positions(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(X.positions(F.col("p_name"), F.lit("an")), lambda i: i.cast("string")), ",").alias("places"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+def prefix_search(spark, d):
+    return table(spark, d, "customer").filter(F.col("c_name").startswith("Customer#00000001")).select("c_custkey", "c_name").orderBy("c_name")
+
+
+@query("SELECT p_partkey, levenshtein(p_name, p_type) AS distance, 1 - levenshtein(p_name, p_type) / greatest(len(p_name), len(p_type))::DOUBLE AS similarity FROM part")
+def edit_distance_char(spark, d):
+    x = F.levenshtein("p_name", "p_type")
+    return table(spark, d, "part").select("p_partkey", x.cast("long").alias("distance"), (1 - x / F.greatest(F.length("p_name"), F.length("p_type"))).alias("similarity"))
+
+
+@query("SELECT doc_id, '[' || (doc_id + 1) || ']' AS tag, regexp_replace(source || '/' || lang || ' x', '[^A-Za-z0-9._-]', '_', 'g') AS name, CASE WHEN len(f) > 260 THEN substr(f, 1, 260) || '...' ELSE f END AS line, printf('%.2f%%', n_chars / 7.0::DOUBLE) AS share FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
+def formatting(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.format_string("[%d]", F.col("doc_id") + 1).alias("tag"), X.safe_name(F.concat("source", F.lit("/"), "lang", F.lit(" x"))).alias("name"), X.single_line(F.col("text")).alias("line"), F.format_string("%.2f%%", F.col("n_chars") / 7.0).alias("share"))
+
+
+# ------------------------------------------------------------------ pairs
+@query(f"WITH {SUBS}, {REFS}, {PAIRS} SELECT sub_id, ref_id, both, jaccard FROM pairs")
+def jaccard_word(spark, d):
+    return candidates.jaccard_pairs(submissions(spark, d), references(spark, d)).select("sub_id", "ref_id", "both", "jaccard")
+
+
+@query(f"WITH {SUBS}, {REFS}, {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY jaccard DESC, ref_pos) AS k FROM pairs) SELECT sub_id, ref_id, jaccard FROM r WHERE k = 1")
+def best_reference(spark, d):
+    w = Window.partitionBy("sub_id").orderBy(F.col("jaccard").desc(), "ref_pos")
+    pairs = candidates.jaccard_pairs(submissions(spark, d), references(spark, d))
+    return pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").select("sub_id", "ref_id", "jaccard")
+
+
+@query(f"WITH {SUBS}, {REFS}, {PAIRS}, {CHARS} SELECT sub_id, ref_id, char_jaccard, shingle FROM shingled")
+def shingle_score(spark, d):
+    subs, refs, pairs = overlapping(spark, d)
+    return scoring.shingle_scores(pairs, subs, refs, SETTINGS).select("sub_id", "ref_id", "char_jaccard", "shingle")
+
+
+@query(f"WITH {SUBS}, {REFS}, {PAIRS}, {EXACT} SELECT pos AS doc_id, count(*) AS n_phrases, count(DISTINCT phrase) FILTER (len(phrase) >= 28) AS n_eligible, min(phrase) FILTER (len(phrase) >= 28) AS least FROM px GROUP BY pos")
+def exact_phrases(spark, d):
+    p = submissions(spark, d).select(F.col("pos").alias("doc_id"), F.explode(scoring.phrases(F.col("tokens"), SETTINGS)).alias("phrase"))
+    kept = F.when(F.length("phrase") >= SETTINGS.min_exact_phrase_characters, F.col("phrase"))
+    return p.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.count_distinct(kept).alias("n_eligible"), F.min(kept).alias("least"))
+
+
+@query(f"WITH {SUBS}, {REFS}, {PAIRS}, {EXACT} SELECT sub_id, ref_id, matched, eligible, exact FROM exact")
+def exact_score(spark, d):
+    subs, refs, pairs = overlapping(spark, d)
+    return scoring.exact_scores(pairs.select(*scoring.PAIR), subs, refs, SETTINGS).select("sub_id", "ref_id", "matched", F.col("eligible").cast("long").alias("eligible"), "exact")
+
+
+@query(
+    f"WITH {SUBS}, {REFS}, {PAIRS}, {EXACT} SELECT 'D' || sub_pos AS sub_id, 'B' || ref_pos AS ref_id, at_index AS idx, phrase, strpos(sub_norm, phrase) - 1 AS sub_at, strpos(ref_norm, phrase) - 1 AS ref_at, "
+    "CASE at_index % 3 WHEN 0 THEN 'Knuth-Morris-Pratt' WHEN 1 THEN 'Rabin-Karp (hash verified)' ELSE 'Z-algorithm' END AS algorithm FROM matches"
+)
+def exact_evidence(spark, d):
+    subs, refs, pairs = overlapping(spark, d)
+    m = scoring._sides(scoring.exact_matches(pairs.select(*scoring.PAIR), subs, refs, SETTINGS), subs, refs, "id", "norm")
+    label = F.element_at(F.array(*[F.lit(x) for x in evidence.LABELS]), (F.col("at") % 3 + 1).cast("int"))
+    return m.select("sub_id", "ref_id", F.col("at").cast("long").alias("idx"), "phrase", (F.expr("instr(sub_norm, phrase)") - 1).cast("long").alias("sub_at"), (F.expr("instr(ref_norm, phrase)") - 1).cast("long").alias("ref_at"), label.alias("algorithm"))
+
+
+@query(
+    f"WITH {SUBS}, {REFS}, {PAIRS}, {EXACT}, k AS (SELECT *, row_number() OVER (PARTITION BY sub_pos ORDER BY at_index) AS rank FROM eligible), "
+    "m AS (SELECT m.*, strpos(ref_norm, m.phrase) - 1 AS ref_at FROM matches m JOIN k ON k.sub_pos = m.sub_pos AND k.phrase = m.phrase WHERE k.rank <= 512), "
+    "f AS (SELECT *, row_number() OVER (PARTITION BY sub_pos, ref_pos ORDER BY ref_at + len(phrase), len(phrase) DESC, at_index) AS r FROM m) "
+    "SELECT 'D' || sub_pos AS sub_id, 'B' || ref_pos AS ref_id, phrase, ref_at FROM f WHERE r = 1"
+)
+def multi_pattern_first(spark, d):
+    subs, refs, pairs = overlapping(spark, d)
+    m = scoring.exact_matches(pairs.select(*scoring.PAIR), subs, refs, SETTINGS)
+    listed = F.filter(F.array_distinct(scoring.phrases(F.col("tokens"), SETTINGS)), lambda p: F.length(p) >= SETTINGS.min_exact_phrase_characters)
+    first = subs.select(F.col("pos").alias("sub_pos"), F.slice(listed, 1, evidence.MULTI_PATTERNS).alias("several"))
+    m = scoring._sides(m.join(first, "sub_pos").filter(F.array_contains("several", F.col("phrase"))).drop("several"), subs, refs, "id", "norm").withColumn("ref_at", (F.expr("instr(ref_norm, phrase)") - 1).cast("long"))
+    w = Window.partitionBy("sub_pos", "ref_pos").orderBy(F.col("ref_at") + F.length("phrase"), F.length("phrase").desc(), "at")
+    return m.withColumn("r", F.row_number().over(w)).filter("r = 1").select("sub_id", "ref_id", "phrase", "ref_at")
+
+
+@query(
+    f"WITH {SUBS}, {REFS}, {PAIRS}, s AS (SELECT pos AS sub_pos, unnest({_shingles_sql('words', 4)}) AS g, generate_subscripts({_shingles_sql('words', 4)}, 1) - 1 AS sub_at FROM subs), "
+    f"r0 AS (SELECT pos AS ref_pos, unnest({_shingles_sql('words', 4)}) AS g, generate_subscripts({_shingles_sql('words', 4)}, 1) - 1 AS ref_at FROM refs), r AS (SELECT ref_pos, g, min(ref_at) AS ref_at FROM r0 GROUP BY ALL) "
+    "SELECT 'D' || sub_pos AS sub_id, 'B' || ref_pos AS ref_id, sub_at, ref_at, g AS shingle FROM s JOIN r USING (g)"
+)
+def shingle_evidence(spark, d):
+    subs, refs = submissions(spark, d), references(spark, d)
+    s = subs.select(F.col("id").alias("sub_id"), F.posexplode(X.word_shingles(F.col("words"), 4)).alias("sub_at", "shingle"))
+    r = corpus.first_positions(refs.withColumn("sh", X.word_shingles(F.col("words"), 4)), "sh").select(F.col("id").alias("ref_id"), "shingle", F.col("at").cast("long").alias("ref_at"))
+    return s.join(r, "shingle").select("sub_id", "ref_id", F.col("sub_at").cast("long").alias("sub_at"), "ref_at", "shingle")
+
+
+@query(f"{ALL_CASES} SELECT case_id, sub_id, ref_id, ordinal, exact, shingle, total, risk FROM cases")
+def composite_no_fuzzy(spark, d):
+    return cases(spark, d).select("case_id", "sub_id", "ref_id", "ordinal", "exact", "shingle", "total", "risk")
+
+
+@query(f"WITH {SUBS}, {REFS}, {PAIRS}, n AS (SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark) AS total) SELECT total AS total_pairs, (SELECT count(*) FROM pairs) AS candidates, CASE WHEN total = 0 THEN 0 ELSE (total - (SELECT count(*) FROM pairs)) / total END AS reduction FROM n")
+def batch_stats(spark, d):
+    total = table(spark, d, "documents").count() * table(spark, d, "benchmark").count()
+    n = candidates.jaccard_pairs(submissions(spark, d), references(spark, d)).agg(F.count("*").alias("candidates"))
+    return n.select(F.lit(total).cast("long").alias("total_pairs"), "candidates", ((F.lit(total) - F.col("candidates")) / float(max(1, total))).alias("reduction"))
+
+
+# ------------------------------------------------------------------ rankings
+@query(f"{ALL_CASES} SELECT row_number() OVER (ORDER BY total DESC, case_id DESC) AS place, case_id, total FROM cases")
+def ranked_desc(spark, d):
+    c = cases(spark, d)
+    return c.select(F.row_number().over(Window.orderBy(F.col("total").desc(), F.col("case_id").desc())).cast("long").alias("place"), "case_id", "total").orderBy("place")
+
+
+@query(f"{ALL_CASES} SELECT row_number() OVER (ORDER BY total, case_id) AS place, case_id, total FROM cases")
+def ranked_asc(spark, d):
+    c = cases(spark, d)
+    return c.select(F.row_number().over(Window.orderBy("total", "case_id")).cast("long").alias("place"), "case_id", "total").orderBy("place")
+
+
+@query(f"{ALL_CASES} SELECT case_id, total FROM cases ORDER BY total DESC, case_id DESC LIMIT 5")
+def top_risks(spark, d):
+    return ranking.top(cases(spark, d), 5).select("case_id", "total")
+
+
+@query(f"{ALL_CASES} SELECT case_id, total, row_number() OVER (ORDER BY total DESC, case_id) AS place FROM cases WHERE total >= 0.30")
+def review_queue(spark, d):
+    return ranking.review_queue(cases(spark, d), SETTINGS.review_threshold).select("case_id", "total", F.col("place").cast("long").alias("place"))
+
+
+@query(f"{ALL_CASES} SELECT case_id, total FROM cases WHERE total BETWEEN 0.2 AND 0.6")
+def score_range(spark, d):
+    return ranking.by_score(cases(spark, d), 0.2, 0.6).select("case_id", "total")
+
+
+@query(f"{ALL_CASES}, r AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY total DESC, case_id DESC) AS k FROM cases) SELECT sub_id, case_id, total FROM r WHERE k = 1")
+def best_per_submission(spark, d):
+    return ranking.best_per_submission(cases(spark, d)).select("sub_id", "case_id", "total")
+
+
+@query(f"{ALL_CASES}, r AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY total DESC, case_id DESC) AS k FROM cases) SELECT sub_id, case_id, risk, total FROM r WHERE k = 1 AND upper(risk) = 'LOW' AND contains(lower(sub_id), 'd2')")
+def ranked_filtered(spark, d):
+    return ranking.filtered(cases(spark, d), "D2", "low").select("sub_id", "case_id", "risk", "total")
+
+
+@query(f"{ALL_CASES} SELECT risk, count(*) AS n, min(total) AS least, max(total) AS greatest FROM cases GROUP BY risk")
+def risk_histogram(spark, d):
+    return cases(spark, d).groupBy("risk").agg(F.count("*").alias("n"), F.min("total").alias("least"), F.max("total").alias("greatest"))
+
+
+@query(f"{ALL_CASES} {SEQ} SELECT pos, case_id, score, flag, sum(flag) OVER (ORDER BY pos)::BIGINT AS flagged FROM flags")
+def prefix_flagged(spark, d):
+    s = ranking.prefix_flagged(ranking.sequence(cases(spark, d), SETTINGS.review_threshold))
+    return s.select(F.col("at").cast("long").alias("pos"), "case_id", "score", "flag", "flagged")
+
+
+@query(f"{ALL_CASES} {SEQ} SELECT count(*) AS n, min(score) AS least, max(score) AS greatest, sum(score)::BIGINT AS total, avg(score) AS mean, sum(flag)::BIGINT AS flagged FROM flags WHERE pos BETWEEN 3 AND 12")
+def range_summary(spark, d):
+    return ranking.summarize(ranking.sequence(cases(spark, d), SETTINGS.review_threshold), 3, 12)
+
+
+@query(f"{ALL_CASES} {SEQ} SELECT pos, case_id, CASE WHEN pos BETWEEN 2 AND 6 THEN score + 10000 ELSE score END AS score, ((CASE WHEN pos BETWEEN 2 AND 6 THEN score + 10000 ELSE score END) >= 300000)::INT AS flag FROM flags")
+def range_add(spark, d):
+    s = ranking.sequence(cases(spark, d), SETTINGS.review_threshold)
+    return ranking.add_to_range(s, 2, 6, 0.01, SETTINGS.review_threshold).select(F.col("at").cast("long").alias("pos"), "case_id", "score", "flag")
+
+
+@query(f"{ALL_CASES} {SEQ} SELECT pos, case_id, CASE WHEN pos = 4 THEN 123457 ELSE score END::BIGINT AS score, ((CASE WHEN pos = 4 THEN 123457 ELSE score END) >= 300000)::INT AS flag FROM flags")
+def range_update(spark, d):
+    s = ranking.sequence(cases(spark, d), SETTINGS.review_threshold)
+    return ranking.update_score(s, 4, 0.1234567, SETTINGS.review_threshold).select(F.col("at").cast("long").alias("pos"), "case_id", "score", "flag")
+
+
+# ------------------------------------------------------------------ review
+@query(f"{ALL_CASES} {REVIEW} SELECT case_id, place, reviewer_id, reviewer_name FROM assigned")
+def assign_reviewers(spark, d):
+    return ranking.assign(cases(spark, d), reviewers(spark), SETTINGS.review_threshold).select("case_id", F.col("place").cast("long").alias("place"), "reviewer_id", "reviewer_name")
+
+
+@query(f"{ALL_CASES} {REVIEW} SELECT case_id, total FROM cases WHERE total >= 0.30 AND case_id NOT IN (SELECT case_id FROM assigned)")
+def unassigned(spark, d):
+    c = cases(spark, d)
+    return ranking.unassigned(c, ranking.assign(c, reviewers(spark), SETTINGS.review_threshold), SETTINGS.review_threshold).select("case_id", "total")
+
+
+@query(f"{ALL_CASES} {REVIEW}, u AS (SELECT r.id AS reviewer_id, capacity, count(a.case_id) AS used FROM reviewers r LEFT JOIN assigned a ON a.reviewer_id = r.id GROUP BY ALL) SELECT reviewer_id, capacity, used, greatest(0, capacity - used) AS remaining, CASE WHEN capacity > 0 THEN used / capacity ELSE 0 END AS ratio FROM u")
+def utilization(spark, d):
+    return ranking.utilisation(ranking.assign(cases(spark, d), reviewers(spark), SETTINGS.review_threshold), reviewers(spark))
+
+
+@query(f"{ALL_CASES} {REVIEW} SELECT (SELECT count(*) FROM documents) AS submissions, (SELECT count(*) FROM benchmark) AS refs, count(*) AS results, count(*) FILTER (risk IN ('HIGH', 'CRITICAL')) AS high, count(*) FILTER (total >= 0.30) - (SELECT count(*) FROM assigned) AS pending FROM cases")
+def dashboard(spark, d):
+    c = cases(spark, d)
+    done = ranking.assign(c, reviewers(spark), SETTINGS.review_threshold).count()
+    a = c.agg(F.count("*").alias("results"), F.count_if(F.col("risk").isin("HIGH", "CRITICAL")).alias("high"), (F.count_if(F.col("total") >= SETTINGS.review_threshold) - done).alias("pending"))
+    return a.select(F.lit(table(spark, d, "documents").count()).alias("submissions"), F.lit(table(spark, d, "benchmark").count()).alias("refs"), "*")
+
+
+@query(
+    f"{ALL_CASES} {REVIEW} SELECT c.case_id, c.case_id || ' | ' || c.sub_id || ' <-> ' || c.ref_id || ' | ' || printf('%.2f%%', c.total * 100.0::DOUBLE) || ' | ' || c.risk || ' | ' || "
+    "coalesce(reviewer_id, CASE WHEN c.total >= 0.30 THEN 'AWAITING_ASSIGNMENT' ELSE 'BELOW_THRESHOLD' END) AS line FROM cases c LEFT JOIN assigned a USING (case_id)"
+)
+def report_summary(spark, d):
+    c = cases(spark, d)
+    return summary_lines(c, ranking.assign(c, reviewers(spark), SETTINGS.review_threshold), SETTINGS.review_threshold)
+
+
+@query(f"{ALL_CASES} {REVIEW} SELECT c.case_id AS \"caseId\", c.total AS score, reviewer_id AS \"reviewerId\", coalesce(reviewer_id, CASE WHEN c.total >= 0.30 THEN 'AWAITING_ASSIGNMENT' ELSE 'BELOW_THRESHOLD' END) AS status FROM cases c LEFT JOIN assigned a USING (case_id)")
+def assignment_status(spark, d):
+    c = cases(spark, d)
+    a = ranking.assign(c, reviewers(spark), SETTINGS.review_threshold).select("case_id", "reviewer_id")
+    return c.join(a, "case_id", "left").select(F.col("case_id").alias("caseId"), F.col("total").alias("score"), F.col("reviewer_id").alias("reviewerId"), status(F.col("total"), F.col("reviewer_id"), SETTINGS.review_threshold).alias("status"))
+
+
+# ------------------------------------------------------------------ graph
+@query(f"{NEAR} SELECT src, dst, similarity, cost FROM near")
+def graph_edges(spark, d):
+    return near_edges(spark, d)
+
+
+@query(f"{NEAR} SELECT c.pos AS v, count(w.dst) AS degree FROM classes c LEFT JOIN ways w ON w.src = c.pos GROUP BY c.pos")
+def graph_degree(spark, d):
+    vertices = candidates.shingle_classes(submissions(spark, d)).select(F.col("representative").alias("v")).distinct()
+    return network.degrees(near_edges(spark, d), vertices)
+
+
+@query(
+    f"{NEAR}, dg AS (SELECT src AS v, count(*) AS k FROM ways GROUP BY src), nv AS (SELECT count(*) AS n FROM documents) SELECT src, dst, similarity, "
+    "least(1.0::DOUBLE, 0.75::DOUBLE * similarity + 0.25::DOUBLE * ((x.k + y.k) / (2.0::DOUBLE * greatest(1, n - 1)))) AS signal FROM near JOIN dg x ON x.v = src JOIN dg y ON y.v = dst CROSS JOIN nv"
+)
+def graph_signal(spark, d):
+    return network.signals(near_edges(spark, d), table(spark, d, "documents").count()).select("src", "dst", "similarity", "signal")
+
+
+@query(f"{NEAR} {REACH} SELECT group_id, v FROM grouped")
+def groups(spark, d):
+    return network.groups(near_edges(spark, d))
+
+
+@query(f"{NEAR}, walk(v, level) AS (SELECT min(src), 0 FROM near UNION SELECT w.dst, level + 1 FROM walk JOIN ways w ON w.src = v WHERE level < 12) SELECT v, min(level) AS level FROM walk WHERE v IS NOT NULL GROUP BY v")
+def bfs_levels(spark, d):
+    edges = near_edges(spark, d)
+    source = edges.agg(F.min("src")).first()[0]
+    return network.levels(edges, source) if source is not None else spark.createDataFrame([], "v long, level int")
+
+
+@query(f"{NEAR} {REACH}, worst AS (SELECT src AS v, max(similarity) AS worst FROM (SELECT src, similarity FROM near UNION ALL SELECT dst, similarity FROM near) GROUP BY src) SELECT pos AS v, coalesce(group_id, '') AS group_id, coalesce(worst, 0) AS worst FROM classes LEFT JOIN grouped ON v = pos LEFT JOIN worst w ON w.v = pos")
+def graph_snapshot(spark, d):
+    edges = near_edges(spark, d)
+    vertices = candidates.shingle_classes(submissions(spark, d)).select(F.col("representative").alias("v")).distinct()
+    return network.snapshot_nodes(vertices, edges, network.groups(edges))
+
+
+@query(f"{NEAR}, best(v, distance) AS (SELECT min(src), 0.0::DOUBLE FROM near UNION SELECT w.dst, round(distance + cost, 9) FROM best JOIN ways w ON w.src = v WHERE distance + cost < 3) SELECT v, round(min(distance), 6) AS distance FROM best WHERE v IS NOT NULL GROUP BY v HAVING min(distance) < 2.5")
+def shortest_path(spark, d):
+    edges = near_edges(spark, d)
+    source = edges.agg(F.min("src")).first()[0]
+    if source is None:
+        return spark.createDataFrame([], "v long, distance double")
+    return network.distances(edges, source).withColumn("distance", F.round("distance", 6)).filter("distance < 2.5")
+
+
+@query()
+def mst(spark, d):
+    return network.minimum_forest(near_edges(spark, d))
+
+
+@query(f"{DIGRAPH}, reach(a, b) AS (SELECT src, dst FROM digraph UNION SELECT r.a, e.dst FROM reach r JOIN digraph e ON r.b = e.src), back AS (SELECT x.a AS v, min(x.b) AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a), vs AS (SELECT src AS v FROM digraph UNION SELECT dst FROM digraph) SELECT v, least(v, coalesce(m, v)) AS component FROM vs LEFT JOIN back USING (v)")
+def scc(spark, d):
+    return network.on_driver(digraph(spark, d), lambda n, e: list(enumerate(K.strong_components(n, e))), "v long, component long")
+
+
+@query(f"{DIGRAPH}, dag AS (SELECT * FROM digraph WHERE src < dst), lv(v, level) AS (SELECT src, 0 FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION SELECT d.dst, level + 1 FROM lv JOIN dag d ON d.src = lv.v) SELECT v, max(level) AS level FROM lv GROUP BY v")
+def topo_levels(spark, d):
+    def kernel(n: int, edges: list[K.Edge]) -> list[tuple]:
+        order, _ = K.topological(n, edges)
+        level = dict.fromkeys(order, 0)
+        near = K.neighbours(n, edges, True)
+        for v in order:
+            for w, _ in near[v]:
+                level[w] = max(level[w], level[v] + 1)
+        used = {v for a, b, _ in edges for v in (a, b)}
+        return [(v, level[v]) for v in order if v in used]
+
+    return network.on_driver(digraph(spark, d).filter("src < dst"), kernel, "v long, level int")
+
+
+@query(f"{DIGRAPH}, walk(a, b, dist) AS (SELECT src, dst, cost FROM digraph UNION SELECT a, dst, dist + cost FROM walk JOIN digraph ON b = src WHERE dist + cost < 40) SELECT a, b, min(dist) AS distance FROM walk WHERE a <> b GROUP BY a, b")
+def apsp(spark, d):
+    def kernel(n: int, edges: list[K.Edge]) -> list[tuple]:
+        m = K.floyd_warshall(n, edges)
+        return [(a, b, float(m[a, b])) for a in range(n) for b in range(n) if a != b and m[a, b] < K.INF]
+
+    return network.on_driver(digraph(spark, d), kernel, "a long, b long, distance double")
+
+
+@query(f"{DIGRAPH}, walk(v, dist) AS (SELECT 0, 0.0::DOUBLE UNION SELECT dst, dist + cost FROM walk JOIN digraph ON v = src WHERE dist + cost < 40) SELECT v, min(dist) AS distance FROM walk GROUP BY v")
+def bellman_ford(spark, d):
+    return network.on_driver(digraph(spark, d), lambda n, e: [(v, x) for v, x in enumerate(K.bellman_ford(n, e, 0)) if x < K.INF], "v long, distance double")
+
+
+@query()
+def max_flow(spark, d):
+    def kernel(n: int, edges: list[K.Edge]) -> list[tuple]:
+        value, side = K.max_flow(n, [(a, b, int(w)) for a, b, w in edges], 0, n - 1)
+        return [(value, ",".join(map(str, side)))]
+
+    return network.on_driver(digraph(spark, d).filter("src < dst"), kernel, "flow long, cut string")
+
+
+@query()
+def set_cover(spark, d):
+    # Suppliers that together serve every nation of their region.
+    rows = table(spark, d, "supplier").groupBy(F.pmod("s_suppkey", F.lit(7)).alias("k")).agg(F.collect_set("s_nationkey").alias("s")).orderBy("k").collect()  # at most 7
+    universe = {r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()}
+    chosen, left, cost = K.set_cover(universe, [(set(r["s"]), 1.0) for r in rows])
+    return spark.createDataFrame([(",".join(str(rows[i]["k"]) for i in chosen), ",".join(map(str, sorted(left))), cost)], "chosen string, uncovered string, cost double")
+
+
+# ------------------------------------------------------------------ sets, sorts, catalogue
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def topk(spark, d):
+    return table(spark, d, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(25).select("o_orderkey", "o_totalprice")
+
+
+@query("WITH q AS (SELECT round(l_quantity * 100)::INT AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT x, n, sum(n) OVER (ORDER BY x)::BIGINT AS upto FROM q")
+def int_sorts(spark, d):
+    q = table(spark, d, "lineitem").groupBy(F.round(F.col("l_quantity") * 100).cast("int").alias("x")).agg(F.count("*").alias("n"))
+    return q.select("x", "n", F.sum("n").over(Window.orderBy("x")).alias("upto")).orderBy("x")
+
+
+@query("SELECT 'D' || doc_id AS id, source AS path FROM documents WHERE 'D' || doc_id BETWEEN 'D10' AND 'D19'")
+def doc_range(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("path"))
+    return docs.filter(F.col("id").between("D10", "D19")).orderBy("id")
+
+
+@query("SELECT source AS path, count(*) AS n, min('D' || doc_id) AS first_id FROM documents WHERE source BETWEEN 'src1' AND 'src3' GROUP BY source")
+def path_range(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("path"))
+    return docs.filter(F.col("path").between("src1", "src3")).groupBy("path").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def first_wins(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def remove_documents(spark, d):
+    toxic = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
+    return table(spark, d, "documents").join(toxic, "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("SELECT 'SUBMISSION' AS doc_type, count(*) AS n, count(DISTINCT text) AS texts FROM documents UNION ALL SELECT 'REFERENCE', count(*), count(DISTINCT text) FROM benchmark")
+def union_corpora(spark, d):
+    a = table(spark, d, "documents").select(F.lit("SUBMISSION").alias("doc_type"), "text")
+    b = table(spark, d, "benchmark").select(F.lit("REFERENCE").alias("doc_type"), "text")
+    return a.unionByName(b).groupBy("doc_type").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"))
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS loaded, l.doc_id IS NOT NULL AS stored FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
+def catalogue_consistency(spark, d):
+    a = table(spark, d, "documents").select("doc_id", F.lit(True).alias("loaded"))
+    b = table(spark, d, "labels").select("doc_id", F.lit(True).alias("stored")).distinct()
+    j = a.join(b, "doc_id", "full").select("doc_id", F.coalesce("loaded", F.lit(False)).alias("loaded"), F.coalesce("stored", F.lit(False)).alias("stored"))
+    return j.filter(~(F.col("loaded") & F.col("stored")))
+
+
+@query("WITH b AS (SELECT unnest(regexp_extract_all(hex(encode(text)), '..')) AS h FROM documents) SELECT h AS byte, count(*) AS n FROM b GROUP BY h")
+def byte_histogram(spark, d):
+    h = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.hex(F.encode("text", "UTF-8")), F.lit(".."), F.lit(0))).alias("byte"))
+    return h.groupBy("byte").agg(F.count("*").alias("n"))
+
+
+@query("SELECT item_id, true AS same FROM benchmark")
+def huffman_roundtrip(spark, d):
+    raw = F.encode("text", "UTF-8")
+    return table(spark, d, "benchmark").select("item_id", (U.decompress(U.compress(raw)) == raw).alias("same"))
+
+
+# ------------------------------------------------------------------ kernels and the whole
+@query()
+def minhash_candidates(spark, d):
+    return candidates.minhash_candidates(submissions(spark, d), references(spark, d), SETTINGS.candidate_threshold).select("sub_id", "ref_id", "estimate")
+
+
+@query()
+def fuzzy_score(spark, d):
+    subs, refs, pairs = overlapping(spark, d)
+    out = scoring.fuzzy_scores(pairs.select(*scoring.PAIR), subs, refs)
+    return out.select("sub_id", "ref_id", F.col("align.score").alias("alignment"), F.col("align.similarity").alias("similarity"), "lcs", "edits", "fuzzy")
+
+
+@query()
+def full_pipeline(spark, d):
+    a = whole(spark, d)
+    return a.cases.select("case_id", "sub_id", "ref_id", "exact", "shingle", "fuzzy", "graph", "total", "risk")
+
+
+@query()
+def evidence_compact(spark, d):
+    return whole(spark, d).evidence
+
+
+@query()
+def case_report(spark, d):
+    a = whole(spark, d)
+    return case_reports(a.cases, a.evidence, a.assigned, SETTINGS.review_threshold)
+
+
+def whole(spark: SparkSession, d: str) -> analysis.Analysis:
+    n_subs, n_refs = table(spark, d, "documents").count(), table(spark, d, "benchmark").count()
+    return analysis.analyse(submissions(spark, d), references(spark, d), reviewers(spark), SETTINGS, n_subs, n_refs)
