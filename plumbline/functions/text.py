@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,13 @@ from plumbline.settings import STOPWORDS
 STRINGS = "array<string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.  The optimizer may copy an
+    expression into every place that names it, inside a lambda too, where it
+    would run for each element; a lambda's own variable cannot be copied."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column) -> Column:
     """Letters and digits in lower case, every other run one space, trimmed."""
     return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", " ")))
@@ -36,23 +43,33 @@ def remove_stopwords(tokens: Column, words: Sequence[str] = STOPWORDS) -> Column
 def word_shingles(tokens: Column, width: int) -> Column:
     if width <= 0:
         raise ValueError("shingle width must be positive")
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
-    return F.when(n >= width, F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(width)), " "))).otherwise(F.array().cast(STRINGS))
+
+    def body(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - width + 1, F.lit(1)))
+        return F.when(F.size(t) >= width, F.transform(starts, lambda i: F.array_join(F.slice(t, i, F.lit(width)), " "))).otherwise(F.array().cast(STRINGS))
+
+    return let(tokens, body)
 
 
 def char_shingles(text: Column, width: Column | int) -> Column:
-    w = F.lit(width) if isinstance(width, int) else width
-    n = F.length(text)
-    starts = F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1)))
-    return F.when((n >= w) & (n > 0), F.transform(starts, lambda i: F.substring(text, i, w))).otherwise(F.array().cast(STRINGS))
+    both = F.struct(text.alias("t"), (F.lit(width) if isinstance(width, int) else width).alias("w"))
+
+    def body(s: Column) -> Column:
+        n, w = F.length(s["t"]), s["w"]
+        starts = F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1)))
+        return F.when((n >= w) & (n > 0), F.transform(starts, lambda i: F.substring(s["t"], i, w))).otherwise(F.array().cast(STRINGS))
+
+    return let(both, body)
 
 
 def set_jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     """Jaccard of two arrays taken as sets."""
-    both = F.size(F.array_intersect(a, b))
-    either = F.size(F.array_union(a, b))
-    return F.when(either > 0, both / either).otherwise(F.lit(both_empty))
+
+    def body(s: Column) -> Column:
+        either = F.size(F.array_union(s["a"], s["b"]))
+        return F.when(either > 0, F.size(F.array_intersect(s["a"], s["b"])) / either).otherwise(F.lit(both_empty))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), body)
 
 
 def positions(text: Column, pattern: Column) -> Column:

@@ -21,7 +21,7 @@ def jaccard_pairs(subs: DataFrame, refs: DataFrame, width: int = 4) -> DataFrame
 
     def index(docs: DataFrame, side: str) -> DataFrame:
         sets = docs.select("pos", "id", F.array_distinct(X.word_shingles(F.col("words"), width)).alias("s"))
-        return sets.select(F.col("pos").alias(f"{side}_pos"), F.col("id").alias(f"{side}_id"), F.size("s").alias(f"{side}_n"), F.explode("s").alias("shingle"))
+        return sets.select(F.col("pos").alias(f"{side}_pos"), F.col("id").alias(f"{side}_id"), F.size("s").alias(f"{side}_n"), F.explode_outer("s").alias("shingle")).filter("shingle is not null")
 
     joined = index(subs, "sub").join(index(refs, "ref"), "shingle")
     pairs = joined.groupBy("sub_pos", "sub_id", "ref_pos", "ref_id", "sub_n", "ref_n").agg(F.count("*").alias("both"))
@@ -76,7 +76,7 @@ def similar_pairs(docs: DataFrame, threshold: float, width: int = 4) -> DataFram
         raise ValueError("the threshold lies above 0 and up to 1")
     sets = docs.select("pos", F.array_sort(F.array_distinct(F.transform(X.word_shingles(F.col("words"), width), lambda s: F.xxhash64(s)))).alias("s")).filter("size(s) > 0")
     classes = materialise(sets.groupBy("s").agg(F.min("pos").alias("pos")).select("pos", "s", F.size("s").alias("n")), "shingle-classes")
-    tokens = classes.select("pos", "n", F.explode("s").alias("h"))
+    tokens = classes.select("pos", "n", F.explode("s").alias("h"))  # stored, so cheap to filter
     df = tokens.groupBy("h").agg(F.count("*").alias("df"))
     ranked = tokens.join(df, "h").withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy("df", "h")))
     prefix = materialise(ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("pos", "n", "h"), "shingle-prefixes")

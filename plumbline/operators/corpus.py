@@ -26,4 +26,4 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, prefix: str = "", stopw
 
 def first_positions(docs: DataFrame, shingles: str, keys: Sequence[str] = ("pos", "id")) -> DataFrame:
     """(keys, shingle, at): the first place of each distinct shingle."""
-    return docs.select(*keys, F.posexplode(shingles).alias("at", "shingle")).groupBy(*keys, "shingle").agg(F.min("at").alias("at"))
+    return docs.select(*keys, F.posexplode_outer(shingles).alias("at", "shingle")).filter("shingle is not null").groupBy(*keys, "shingle").agg(F.min("at").alias("at"))

@@ -18,8 +18,11 @@ PAIR = ["sub_pos", "sub_id", "ref_pos", "ref_id"]
 def phrases(tokens: Column, settings: Settings) -> Column:
     """Windows of max(5, shingle size) tokens, or the whole text if shorter."""
     width = max(5, settings.word_shingle_size)
-    n = F.size(tokens)
-    return F.when(n >= width, X.word_shingles(tokens, width)).when(n > 0, F.array(F.array_join(tokens, " "))).otherwise(F.array().cast(X.STRINGS))
+
+    def body(t: Column) -> Column:
+        return F.when(F.size(t) >= width, X.word_shingles(t, width)).when(F.size(t) > 0, F.array(F.array_join(t, " "))).otherwise(F.array().cast(X.STRINGS))
+
+    return X.let(tokens, body)
 
 
 def _sides(pairs: DataFrame, subs: DataFrame, refs: DataFrame, *columns: str) -> DataFrame:
@@ -38,11 +41,11 @@ def exact_matches(pairs: DataFrame, subs: DataFrame, refs: DataFrame, settings:
     width = max(5, settings.word_shingle_size)
     wanted = pairs.select("sub_pos").distinct()
     mine = subs.join(wanted, F.col("pos") == F.col("sub_pos"), "left_semi")
-    listed = mine.select(F.col("pos").alias("sub_pos"), F.size("tokens").alias("n"), F.posexplode(phrases(F.col("tokens"), settings)).alias("at", "phrase"))
+    listed = mine.select(F.col("pos").alias("sub_pos"), F.size("tokens").alias("n"), F.posexplode_outer(phrases(F.col("tokens"), settings)).alias("at", "phrase"))
     eligible = listed.filter(F.length("phrase") >= settings.min_exact_phrase_characters).groupBy("sub_pos", "n", "phrase").agg(F.min("at").alias("at"))
     parts = F.split("phrase", " ")
     long = eligible.filter(F.col("n") >= width).withColumns({"inner": F.array_join(F.slice(parts, 2, width - 2), " "), "head": F.element_at(parts, 1), "tail": F.element_at(parts, -1)})
-    grams = refs.select(F.col("pos").alias("ref_pos"), "tokens", F.posexplode(X.word_shingles(F.col("tokens"), width - 2)).alias("g", "inner"))
+    grams = refs.select(F.col("pos").alias("ref_pos"), "tokens", F.posexplode_outer(X.word_shingles(F.col("tokens"), width - 2)).alias("g", "inner"))
     # The inner gram at token g needs a token before it and one behind it.
     grams = grams.filter((F.col("g") >= 1) & (F.col("g") + width - 2 < F.size("tokens"))).select("ref_pos", "inner", F.get("tokens", F.col("g") - 1).alias("left"), F.get("tokens", F.col("g") + width - 2).alias("right"))
     hits = long.join(grams, "inner").filter(F.col("left").endswith(F.col("head")) & F.col("right").startswith(F.col("tail"))).select("sub_pos", "ref_pos", "phrase", "at").distinct()

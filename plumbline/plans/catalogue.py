@@ -50,8 +50,8 @@ ss AS (SELECT pos, id, list_distinct({_shingles_sql('words', 4)}) AS s FROM subs
 rs AS (SELECT pos, id, list_distinct({_shingles_sql('words', 4)}) AS s FROM refs),
 sx AS (SELECT pos AS sub_pos, id AS sub_id, len(s) AS sn, unnest(s) AS g FROM ss),
 rx AS (SELECT pos AS ref_pos, id AS ref_id, len(s) AS rn, unnest(s) AS g FROM rs),
-jp AS (SELECT sub_pos, sub_id, ref_pos, ref_id, sn, rn, count(*) AS both FROM sx JOIN rx USING (g) GROUP BY ALL),
-pairs AS (SELECT sub_pos, sub_id, ref_pos, ref_id, both, both / (sn + rn - both) AS jaccard FROM jp)"""
+jp AS (SELECT sub_pos, sub_id, ref_pos, ref_id, sn, rn, count(*) AS n_both FROM sx JOIN rx USING (g) GROUP BY ALL),
+pairs AS (SELECT sub_pos, sub_id, ref_pos, ref_id, n_both, n_both / (sn + rn - n_both) AS jaccard FROM jp)"""
 _GRAMS = "list_distinct(CASE WHEN len(substr({t}, 1, 100000)) >= {w} AND len({t}) > 0 THEN list_transform(range(1, len(substr({t}, 1, 100000)) - {w} + 2), lambda i: substr({t}, i, {w})) ELSE [] END)"
 CHARS = f"""
 cg AS (
@@ -94,8 +94,8 @@ NEAR = f"""WITH RECURSIVE {SUBS},
 sets AS (SELECT pos, list_sort(list_distinct({_shingles_sql('words', 4)})) AS s FROM subs),
 classes AS (SELECT min(pos) AS pos, s FROM sets WHERE len(s) > 0 GROUP BY s),
 sh AS (SELECT pos, len(s) AS n, unnest(s) AS g FROM classes),
-both AS (SELECT p.pos AS a, q.pos AS b, p.n AS pn, q.n AS qn, count(*) AS k FROM sh p JOIN sh q ON p.g = q.g AND p.pos < q.pos GROUP BY ALL),
-near AS (SELECT a AS src, b AS dst, k / (pn + qn - k) AS similarity, greatest(1e-6::DOUBLE, 1.0::DOUBLE - k / (pn + qn - k)) AS cost FROM both WHERE k / (pn + qn - k) >= 0.28::DOUBLE),
+twos AS (SELECT p.pos AS a, q.pos AS b, p.n AS pn, q.n AS qn, count(*) AS k FROM sh p JOIN sh q ON p.g = q.g AND p.pos < q.pos GROUP BY ALL),
+near AS (SELECT a AS src, b AS dst, k / (pn + qn - k) AS similarity, greatest(1e-6::DOUBLE, 1.0::DOUBLE - k / (pn + qn - k)) AS cost FROM twos WHERE k / (pn + qn - k) >= 0.28::DOUBLE),
 ways AS (SELECT src, dst, cost FROM near UNION ALL SELECT dst, src, cost FROM near)"""
 REACH = """,
 reach(a, b) AS (SELECT src, dst FROM ways UNION SELECT r.a, w.dst FROM reach r JOIN ways w ON r.b = w.src),
@@ -218,9 +218,9 @@ def formatting(spark, d):
 
 
 # ------------------------------------------------------------------ pairs
-@query(f"WITH {SUBS}, {REFS}, {PAIRS} SELECT sub_id, ref_id, both, jaccard FROM pairs")
+@query(f"WITH {SUBS}, {REFS}, {PAIRS} SELECT sub_id, ref_id, n_both AS overlap, jaccard FROM pairs")
 def jaccard_word(spark, d):
-    return candidates.jaccard_pairs(submissions(spark, d), references(spark, d)).select("sub_id", "ref_id", "both", "jaccard")
+    return candidates.jaccard_pairs(submissions(spark, d), references(spark, d)).select("sub_id", "ref_id", F.col("both").alias("overlap"), "jaccard")
 
 
 @query(f"WITH {SUBS}, {REFS}, {PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY jaccard DESC, ref_pos) AS k FROM pairs) SELECT sub_id, ref_id, jaccard FROM r WHERE k = 1")
@@ -238,7 +238,7 @@ def shingle_score(spark, d):
 
 @query(f"WITH {SUBS}, {REFS}, {PAIRS}, {EXACT} SELECT pos AS doc_id, count(*) AS n_phrases, count(DISTINCT phrase) FILTER (len(phrase) >= 28) AS n_eligible, min(phrase) FILTER (len(phrase) >= 28) AS least FROM px GROUP BY pos")
 def exact_phrases(spark, d):
-    p = submissions(spark, d).select(F.col("pos").alias("doc_id"), F.explode(scoring.phrases(F.col("tokens"), SETTINGS)).alias("phrase"))
+    p = submissions(spark, d).select(F.col("pos").alias("doc_id"), F.explode_outer(scoring.phrases(F.col("tokens"), SETTINGS)).alias("phrase")).filter("phrase is not null")
     kept = F.when(F.length("phrase") >= SETTINGS.min_exact_phrase_characters, F.col("phrase"))
     return p.groupBy("doc_id").agg(F.count("*").alias("n_phrases"), F.count_distinct(kept).alias("n_eligible"), F.min(kept).alias("least"))
 
@@ -283,7 +283,7 @@ def multi_pattern_first(spark, d):
 )
 def shingle_evidence(spark, d):
     subs, refs = submissions(spark, d), references(spark, d)
-    s = subs.select(F.col("id").alias("sub_id"), F.posexplode(X.word_shingles(F.col("words"), 4)).alias("sub_at", "shingle"))
+    s = subs.select(F.col("id").alias("sub_id"), F.posexplode_outer(X.word_shingles(F.col("words"), 4)).alias("sub_at", "shingle"))
     r = corpus.first_positions(refs.withColumn("sh", X.word_shingles(F.col("words"), 4)), "sh").select(F.col("id").alias("ref_id"), "shingle", F.col("at").cast("long").alias("ref_at"))
     return s.join(r, "shingle").select("sub_id", "ref_id", F.col("sub_at").cast("long").alias("sub_at"), "ref_at", "shingle")
 
@@ -462,7 +462,7 @@ def mst(spark, d):
 
 @query(f"{DIGRAPH}, reach(a, b) AS (SELECT src, dst FROM digraph UNION SELECT r.a, e.dst FROM reach r JOIN digraph e ON r.b = e.src), back AS (SELECT x.a AS v, min(x.b) AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a), vs AS (SELECT src AS v FROM digraph UNION SELECT dst FROM digraph) SELECT v, least(v, coalesce(m, v)) AS component FROM vs LEFT JOIN back USING (v)")
 def scc(spark, d):
-    return network.on_driver(digraph(spark, d), lambda n, e: list(enumerate(K.strong_components(n, e))), "v long, component long")
+    return network.on_driver(digraph(spark, d), lambda n, e: list(enumerate(K.strong_components(n, e))), "v int, component int")
 
 
 @query(f"{DIGRAPH}, dag AS (SELECT * FROM digraph WHERE src < dst), lv(v, level) AS (SELECT src, 0 FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION SELECT d.dst, level + 1 FROM lv JOIN dag d ON d.src = lv.v) SELECT v, max(level) AS level FROM lv GROUP BY v")
@@ -477,7 +477,7 @@ def topo_levels(spark, d):
         used = {v for a, b, _ in edges for v in (a, b)}
         return [(v, level[v]) for v in order if v in used]
 
-    return network.on_driver(digraph(spark, d).filter("src < dst"), kernel, "v long, level int")
+    return network.on_driver(digraph(spark, d).filter("src < dst"), kernel, "v int, level int")
 
 
 @query(f"{DIGRAPH}, walk(a, b, dist) AS (SELECT src, dst, cost FROM digraph UNION SELECT a, dst, dist + cost FROM walk JOIN digraph ON b = src WHERE dist + cost < 40) SELECT a, b, min(dist) AS distance FROM walk WHERE a <> b GROUP BY a, b")
@@ -486,12 +486,12 @@ def apsp(spark, d):
         m = K.floyd_warshall(n, edges)
         return [(a, b, float(m[a, b])) for a in range(n) for b in range(n) if a != b and m[a, b] < K.INF]
 
-    return network.on_driver(digraph(spark, d), kernel, "a long, b long, distance double")
+    return network.on_driver(digraph(spark, d), kernel, "a int, b int, distance double")
 
 
 @query(f"{DIGRAPH}, walk(v, dist) AS (SELECT 0, 0.0::DOUBLE UNION SELECT dst, dist + cost FROM walk JOIN digraph ON v = src WHERE dist + cost < 40) SELECT v, min(dist) AS distance FROM walk GROUP BY v")
 def bellman_ford(spark, d):
-    return network.on_driver(digraph(spark, d), lambda n, e: [(v, x) for v, x in enumerate(K.bellman_ford(n, e, 0)) if x < K.INF], "v long, distance double")
+    return network.on_driver(digraph(spark, d), lambda n, e: [(v, x) for v, x in enumerate(K.bellman_ford(n, e, 0)) if x < K.INF], "v int, distance double")
 
 
 @query()
