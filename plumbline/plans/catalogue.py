@@ -388,7 +388,7 @@ def dashboard(spark, d):
     c = cases(spark, d)
     done = ranking.assign(c, reviewers(spark), SETTINGS.review_threshold).count()
     a = c.agg(F.count("*").alias("results"), F.count_if(F.col("risk").isin("HIGH", "CRITICAL")).alias("high"), (F.count_if(F.col("total") >= SETTINGS.review_threshold) - done).alias("pending"))
-    return a.select(F.lit(table(spark, d, "documents").count()).alias("submissions"), F.lit(table(spark, d, "benchmark").count()).alias("refs"), "*")
+    return a.select(F.lit(table(spark, d, "documents").count()).cast("long").alias("submissions"), F.lit(table(spark, d, "benchmark").count()).cast("long").alias("refs"), "*")
 
 
 @query(

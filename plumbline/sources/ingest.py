@@ -16,8 +16,13 @@ FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("cont
 
 def read_directory(spark: SparkSession, path: str) -> DataFrame:
     """``(path, content, length)`` of the files of a folder, not of folders in
-    it; a single file's path works too."""
-    return spark.read.format("binaryFile").load(path).select("path", "content", "length")
+    it; a single file's path works too.  Empty files, which Spark's readers
+    pass over, are taken from the folder's listing."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    empty = [(f.getPath().toString(), bytearray(), 0) for f in listed if f.isFile() and f.getLen() == 0]
+    full = spark.read.format("binaryFile").load(path).select("path", "content", "length")
+    return full.unionByName(spark.createDataFrame(empty, FILES)) if empty else full
 
 
 def parse(files: DataFrame, doc_type: str, max_bytes: int = Settings.max_file_bytes) -> DataFrame:
@@ -30,7 +35,7 @@ def parse(files: DataFrame, doc_type: str, max_bytes: int = Settings.max_file_by
     """
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.withColumns({"name": name, "ok": F.is_valid_utf8(F.col("content").cast("string"))})
-    text = F.regexp_replace(F.when("ok", F.decode("content", "UTF-8")).otherwise(""), "^﻿", "")
+    text = F.regexp_replace(F.when(F.col("ok"), F.decode("content", "UTF-8")).otherwise(""), "^﻿", "")
     rows = rows.withColumn("text", text)
     head = F.regexp_extract("text", r"(?i)^((?:(?:ID|TITLE|AUTHOR):[^\r\n]*(?:\r\n|\r|\n|$))*(?:[ \t]*(?:\r\n|\r|\n))?)", 1)
     has_header = F.col("text").rlike(r"(?i)^(?:ID|TITLE|AUTHOR):")
