@@ -191,7 +191,9 @@ def _fit_lines(x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
 def train(texts: list[str], quality: list[int]) -> Field:
     """Fit field and logistic map on whole texts and their labels (0 or 1)."""
     data, offsets = bw.string_buffers(pa.array(texts, pa.large_string()))
-    x, bounds, length = features(data, offsets)
+    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in bw.groups(offsets)]
+    x, length = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
     answer = np.asarray(quality, np.int64)
     center, spread = x.mean(axis=0), x.std(axis=0)
     center[-1], spread[spread < 1e-9] = 0.0, 1.0
