@@ -181,6 +181,9 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         raise ValueError("the anchors cover thresholds of 0 to 2")
     stored = distinct.select("fp").mapInArrow(_home_batches, "anchor long, a long")
     sent = distinct.select("fp").mapInArrow(_replica_batches, "anchor long, b long")
+    # About 60 replicas come from each row, which size estimates do not know;
+    # without the hint a small input could have them broadcast.
+    sent = sent.hint("merge")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
     return stored.join(sent, (stored["anchor"] == sent["anchor"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
