@@ -49,6 +49,8 @@ TEMPLATES = (
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased, and what stands between words there.
+RAW_WORD, GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -62,43 +64,31 @@ def words_of(low: Column) -> Column:
     return F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
 
 
-def _holds_all(low: Column, words: list[str]) -> Column:
-    found = F.lit(True)
-    for w in dict.fromkeys(words):
-        found = found & low.contains(w)
-    return found
-
-
 def _stands_at(words: list[str]) -> Callable[[Column], Column]:
     return lambda i: reduce(and_, [F.get("__words", i + j) == w for j, w in enumerate(words)])
 
 
 def phrase_places(docs: DataFrame, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
-    """``docs`` (with ``low``) and ``n_words``, ``places`` (starts of all
-    phrases, in words) and ``base`` (their labels).  Only a text that holds all
-    words of a phrase somewhere is taken apart."""
+    """``docs`` (with ``text``) and ``n_words``, ``places`` (starts of all
+    phrases, in words) and ``base`` (their labels), in one pass.  Only a text
+    in which a phrase's letters stand behind each other is taken apart."""
     split = [(p.split(" "), label) for p, label in phrases]
-    may = F.lit(False)
-    for words, _ in split:
-        may = may | _holds_all(F.col("low"), words)
-    none = F.array().cast("array<int>")
-    docs = docs.withColumn("n_words", F.regexp_count("low", F.lit(WORD)).cast("long"))
-    plain = docs.filter(~may).withColumns({"places": none, "base": F.array().cast("array<string>")})
-    rich = docs.filter(may).withColumn("__words", words_of(F.col("low")))
+    rough = "|".join(f"{GAP}+".join(words) for words, _ in split)
+    text = F.col("text")
+    docs = docs.withColumns({"n_words": F.regexp_count(text, F.lit(RAW_WORD)).cast("long"), "__words": F.when(text.rlike(f"(?i)(?:{rough})"), words_of(lower_ascii(text)))})
     starts = {}
     for k, (words, _) in enumerate(split):
         room = F.size("__words") - len(words)
-        starts[f"__p{k}"] = F.when(room >= 0, F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), _stands_at(words))).otherwise(none)
-    rich = rich.withColumns(starts)
+        starts[f"__p{k}"] = F.when(F.col("__words").isNotNull() & (room >= 0), F.filter(F.sequence(F.lit(0), F.greatest(room, F.lit(0))), _stands_at(words))).otherwise(F.array().cast("array<int>"))
+    docs = docs.withColumns(starts)
     labels = F.array_compact(F.array(*[F.when(F.size(f"__p{k}") > 0, label) for k, (_, label) in enumerate(split)]))
-    rich = rich.withColumn("places", F.concat(*starts)).withColumn("base", labels).drop("__words", *starts)
-    return plain.unionByName(rich)
+    return docs.withColumn("places", F.concat(*starts)).withColumn("base", labels).drop("__words", *starts)
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents of the corpus each of the given words stands;
     the result has at most as many rows as the list."""
-    held = docs.select(F.explode(F.array_intersect(words_of(F.col("low")), F.array(*[F.lit(w) for w in vocabulary]))).alias("w"))
+    held = docs.select(F.explode(F.array_intersect(words_of(lower_ascii(F.col("text"))), F.array(*[F.lit(w) for w in vocabulary]))).alias("w"))
     counted = {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return {w: counted.get(w, 0) for w in vocabulary}
 
@@ -119,22 +109,21 @@ def _template_words(text: str) -> list[str]:
 
 def matching_blocks(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, text_key, block, template, label, containment)`` of every
-    block of ``docs`` (doc_id, text_key, low) that reaches the containment.
+    block of ``docs`` (doc_id, text_key, text) that reaches the containment.
     Blocks are lines (numbered from 0) and, for templates of ``LONG_TEMPLATE``
     words or more, paragraphs (numbered from -1 downwards)."""
     spark = docs.sparkSession
     vocabulary = sorted({w for _, text in templates for w in _template_words(text)})
     index = template_index(templates, document_frequencies(docs, vocabulary), containment)
     prefix = sorted({w for _, _, words, _, p in index for w in words[:p]})
-    may = F.lit(False)
-    for w in prefix:
-        may = may | F.col("low").contains(w)
-    near = docs.filter(may)
-    lines = near.select("doc_id", "text_key", F.posexplode(F.split("low", "\n")).alias("block", "piece"))
-    paragraphs = near.select("doc_id", "text_key", F.posexplode(F.split("low", r"\n[ \t\r]*\n+")).alias("block", "piece"))
-    pieces = lines.unionByName(paragraphs.withColumn("block", -1 - F.col("block")))
-    pieces = pieces.withColumn("held", F.array_distinct(words_of(F.col("piece")))).drop("piece")
-    keys = pieces.withColumn("key", F.explode(F.array_intersect("held", F.array(*[F.lit(w) for w in prefix]))))
+    rare = F.array(*[F.lit(w) for w in prefix])
+    # One pass finds the texts with a prefix word at all; only those are cut.
+    near = docs.filter(F.arrays_overlap(words_of(lower_ascii(F.col("text"))), rare)).withColumn("low", lower_ascii(F.col("text")))
+    lines = F.transform(F.split("low", "\n"), lambda x, i: F.struct(i.alias("block"), x.alias("piece")))
+    paragraphs = F.transform(F.split("low", r"\n[ \t\r]*\n+"), lambda x, i: F.struct((-1 - i).alias("block"), x.alias("piece")))
+    pieces = near.select("doc_id", "text_key", F.explode(F.concat(lines, paragraphs)).alias("b"))
+    pieces = pieces.select("doc_id", "text_key", F.col("b.block").alias("block"), F.array_distinct(words_of(F.col("b.piece"))).alias("held"))
+    keys = pieces.withColumn("key", F.explode(F.array_intersect("held", rare)))
 
     rows = [(w, k, label, words, r, need, len(words)) for k, label, words, need, p in index for r, w in enumerate(words[:p])]
     small = spark.createDataFrame(rows, "key string, template int, label string, words array<string>, place int, need int, size int")
@@ -160,7 +149,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the text.  An empty table gives an empty result; columns of other names
     are not looked at.
     """
-    given = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(F.col(text_col).cast("string")).alias("low")).withColumn("text_key", F.xxhash64("low"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    given = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     places = phrase_places(given, phrases)
     base = places.select(
         "doc_id",
@@ -174,15 +164,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = matching_blocks(given, templates, containment).groupBy("doc_id", "text_key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
     found = materialise(found, "license-blocks").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "more", "score")
     joined = base.join(found, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    text = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return joined.select(
         "doc_id",
         "n_words",
         "n_base",
         "first_word",
         "last_word",
-        text(F.col("base")).alias("base_labels"),
-        text(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
+        listed(F.col("base")).alias("base_labels"),
+        listed(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))).alias("labels"),
         F.coalesce("score", F.lit(0.0)).alias("score"),
     )
 
