@@ -148,7 +148,8 @@ def _unescape(c: Column) -> Column:
 def snapshot_lines(catalogue: DataFrame) -> DataFrame:
     """``(line)`` of the versioned snapshot of (doc_id, doc_type, path): magic,
     version, count, then records by id."""
-    head = catalogue.agg(F.count("*").alias("n")).select(F.explode(F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("id"), F.lit("APDS_DOCUMENT_INDEX").alias("line")), F.struct(F.lit(1), F.lit(""), F.lit("VERSION\t1")), F.struct(F.lit(2), F.lit(""), F.concat(F.lit("COUNT\t"), F.col("n").cast("string"))))).alias("r")).select("r.*")
+    lines = F.array(F.lit("APDS_DOCUMENT_INDEX"), F.lit("VERSION\t1"), F.concat(F.lit("COUNT\t"), F.col("n").cast("string")))
+    head = catalogue.agg(F.count("*").alias("n")).select(F.posexplode(lines).alias("k", "line")).select("k", F.lit("").alias("id"), "line")
     rows = catalogue.select(F.lit(3).alias("k"), F.col("doc_id").alias("id"), F.concat_ws("\t", F.lit("RECORD"), _escape(F.col("doc_id")), "doc_type", _escape(F.col("path"))).alias("line"))
     return head.unionByName(rows).orderBy("k", "id").select("line")
 
