@@ -8,8 +8,10 @@ of e, n(e) the entity's count and N all words,
 
     PMI(t; e) = log2( (co(t, e) / n(t)) / (n(e) / N) ),   IC(e) = log2(N / n(e)),
 
-and t discloses e when PMI >= ``DISCLOSURE`` * IC and they stand together in
-``SUPPORT`` different texts or more.  Such words are marked (and removed by ``redact``) where they stand close to that
+and t discloses e when PMI >= ``DISCLOSURE`` * IC, with n(t) + 1 for n(t) in the
+PMI so that words of a small corpus are not taken for rare ones.  An entity that
+occurs once is judged like any other.  Such words are marked (and removed by
+``redact``) where they stand close to that
 entity, and only there: a text without an entity is never touched.
 
 Offsets come from cutting a text at its matches: the pieces' and matches'
@@ -41,10 +43,7 @@ PATTERNS = {
 MAY_HOLD = {"email": None, "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 CONTEXT_WORDS, CONTEXT_CHARS = 5, 80
 TERM = r"\p{L}{3,}"
-SUPPORT = 3
 DISCLOSURE = 0.9
-#: The table of suspicious words is broadcast up to this many rows.
-BROADCAST_TERMS = 100_000
 
 
 def _may(kind: str, text: Column) -> Column:
@@ -132,27 +131,21 @@ def context_terms(spans: DataFrame) -> DataFrame:
     return both.select("doc_id", "text_key", "entity", F.lower("w.word").alias("term"), start.alias("start"), (start + F.length("w.word")).alias("end")).distinct()
 
 
-def disclosing_terms(texts: DataFrame, spans: DataFrame, contexts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def disclosing_terms(texts: DataFrame, spans: DataFrame, contexts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """``(entity, term)`` whose co-occurrence reaches the disclosure threshold.
-    Words are counted over all ``texts``; only those with enough support near
-    some entity take part in that count."""
-    near = contexts.groupBy("entity", "term", "text_key").agg(F.count("*").alias("co")).groupBy("entity", "term")
-    together = near.agg(F.sum("co").alias("co"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    together = materialise(together.select("entity", "term", "co"), "pii-together")
-    suspects = materialise(together.select(F.col("term").alias("suspect")).distinct(), "pii-suspects")
-    if suspects.count() <= BROADCAST_TERMS:
-        suspects = F.broadcast(suspects)
+    Words are counted over all ``texts``, first within each partition."""
+    together = contexts.groupBy("entity", "term").agg(F.count("*").alias("co"))
     words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term"))
-    counts = words.join(suspects, F.col("term") == F.col("suspect"), "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    counts = words.groupBy("term").agg(F.count("*").alias("n"))
     all_words = texts.agg(F.sum(F.regexp_count("text", F.lit(TERM)))).first()[0] or 1
     entities = spans.groupBy(F.concat_ws(":", "kind", F.lower("value")).alias("entity")).agg(F.count("*").alias("n_entity"))
     scored = together.join(counts, "term").join(entities, "entity")
     ic = F.log2(F.greatest(F.lit(float(all_words)) / F.col("n_entity"), F.lit(1.0)))
-    pmi = F.log2(F.least(F.col("co") / F.col("n"), F.lit(1.0))) + ic
+    pmi = F.log2(F.least(F.col("co") / (F.col("n") + 1), F.lit(1.0))) + ic
     return scored.filter(pmi >= disclosure * ic).select("entity", "term")
 
 
-def all_spans(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def all_spans(texts: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """``(doc_id, text_key, spans)`` of every text of ``texts`` (doc_id,
     text_key, text) that has any, ``spans`` sorted by kind and start."""
     may = F.lit(False)
@@ -161,7 +154,7 @@ def all_spans(texts: DataFrame, support: int = SUPPORT, disclosure: float = DISC
     candidates = texts.filter(may).dropDuplicates(["doc_id", "text_key"])
     spans = materialise(base_spans(candidates), "pii-spans")
     contexts = materialise(context_terms(spans), "pii-contexts")
-    marked = contexts.join(disclosing_terms(texts, spans, contexts, support, disclosure), ["entity", "term"], "left_semi")
+    marked = contexts.join(disclosing_terms(texts, spans, contexts, disclosure), ["entity", "term"], "left_semi")
     rows = spans.select("doc_id", "text_key", "kind", "start", "end").unionByName(marked.select("doc_id", "text_key", F.lit(4).alias("kind"), "start", "end").distinct())
     listed = rows.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("spans"))
     apart = lambda s: (s["kind"] < 4) | ~F.exists("spans", lambda b: (b["kind"] < 4) & (b["start"] < s["end"]) & (s["start"] < b["end"]))
@@ -182,7 +175,7 @@ def _of_kind(k: int) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == k
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)``, one row
     per row of ``docs``.
 
@@ -192,7 +185,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     at.  Offsets count code points.
     """
     texts = _keyed(docs, id_col, text_col)
-    found = all_spans(texts, support, disclosure).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "spans")
+    found = all_spans(texts, disclosure).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "spans")
     joined = texts.select("doc_id", "text_key").join(found, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     spans = F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>"))
     joined = joined.select("doc_id", spans.alias("spans"))
@@ -200,13 +193,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", su
     return joined.select("doc_id", *counts, F.sha2(_listed(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE) -> DataFrame:
     """``docs`` with base spans replaced by ``<EMAIL>``, ``<IP>``, ``<CARD>``
     and ``<PHONE>`` and disclosing words by ``<TERM>``.  Overlapping spans are
     removed as one.  Texts without spans, null ones too, stay as they are and
     are not shuffled."""
     texts = _keyed(docs, id_col, text_col)
-    found = all_spans(texts, support, disclosure).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+    found = all_spans(texts, disclosure).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
     may = F.lit(False)
     for kind in KINDS[:4]:
         may = may | F.coalesce(_may(kind, F.col(text_col).cast("string")), F.lit(False))
