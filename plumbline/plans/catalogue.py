@@ -452,7 +452,7 @@ def shortest_path(spark, d):
     source = edges.agg(F.min("src")).first()[0]
     if source is None:
         return spark.createDataFrame([], "v long, distance double")
-    return network.distances(edges, source).withColumn("distance", F.round("distance", 6)).filter("distance < 2.5")
+    return network.distances(edges, source).withColumn("distance", F.round("distance", 6))
 
 
 @query()
