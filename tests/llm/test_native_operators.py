@@ -25,39 +25,74 @@ def low(text):
 
 
 # ------------------------------------------------------------------ license
+def license_labels(text):
+    """Labels and best containment by the definition, all blocks against all templates."""
+    more, score = set(), 0.0
+    paragraphs = re.split(r"\n[ \t\r]*\n+", low(text))
+    blocks = [(x, False) for x in low(text).split("\n")] + [(x, False) for p in paragraphs for x in re.split(r"[.!?][ \t\r\n]+", p)] + [(p, True) for p in paragraphs]
+    for piece, paragraph in blocks:
+        held, hits = set(re.findall(license_join.WORD, piece)), []
+        for label, wording, must in license_join.TEMPLATES:
+            words = set(license_join.template_words(wording))
+            if set(must.split()) <= held and len(held & words) >= math.ceil(0.8 * len(words) - 1e-9) and (not paragraph or len(words) >= license_join.LONG_TEMPLATE):
+                hits.append((held & words, label, len(held & words) / len(words)))
+        for shared, label, share in hits:
+            if not any(shared < other for other, _, _ in hits):
+                more.add(label)
+                score = max(score, share)
+    return more, score
+
+
 def test_license_against_brute_force(spark):
     rng = random.Random(5)
-    vocabulary = sorted({w for _, t in license_join.TEMPLATES for w in license_join._template_words(t)})
-    texts = [None, "", "MIT-license MIT\nlicense", "cc by cc-by", "gnu general public license gnu general public license", "mit license" * 3, "É mit.LICENSE ü", "Licensed under CC BY-NC 4.0.", "apache licenseé", "x " * 20_000 + "Apache License"]
-    for _, t in license_join.TEMPLATES:
+    vocabulary = sorted({w for _, t, _ in license_join.TEMPLATES for w in license_join.template_words(t)})
+    texts = [None, "", "MIT-license MIT\nlicense", "cc by cc-by", "gnu general public license gnu general public license", "mit license" * 3, "É mit.LICENSE ü", "Licensed under CC BY-NC 4.0.", "apache licenseé", "x " * 20_000 + "Apache License", "apache \u212aicense mit \u212a", "İ MIT License"]
+    for _, t, _ in license_join.TEMPLATES:
         w = t.split()
         texts += ["Intro.\n" + t.upper() + ".\n\nmore", " ".join(x for x in w if rng.random() > 0.15), "\n".join([" ".join(w[: len(w) // 2]), " ".join(w[len(w) // 2 :])])]
     texts += [" ".join(rng.choices(vocabulary, k=rng.randint(1, 60))) for _ in range(40)]
     rows = list(enumerate(texts)) + [(0, "other text of one id: Released under the MIT License"), (3, texts[3]), (None, "mit license")]
     got = sorted((tuple(r) for r in license_join.scan_licenses(frame(spark, rows)).collect()), key=str)
-    sets = [(label, set(license_join._template_words(t))) for label, t in license_join.TEMPLATES]
     want = []
     for i, t in rows:
         words = re.findall(license_join.WORD, low(t))
-        places, base, found, score = [], set(), set(), 0.0
+        places, base = [], set()
         for p, label in license_join.PHRASES:
             ws = p.split()
             hits = [k for k in range(len(words)) if words[k : k + len(ws)] == ws]
             places += hits
             base |= {label} if hits else set()
-        pieces = [(x, False) for x in low(t).split("\n")] + [(x, True) for x in re.split(r"\n[ \t\r]*\n+", low(t))]
-        for piece, paragraph in pieces:
-            held = set(re.findall(license_join.WORD, piece))
-            for label, ts in sets:
-                share = len(held & ts) / len(ts)
-                if len(held & ts) >= math.ceil(0.8 * len(ts) - 1e-9) and (not paragraph or len(ts) >= license_join.LONG_TEMPLATE):
-                    found.add(label)
-                    score = max(score, share)
+        found, score = license_labels(t)
         want.append((i, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), score))
     assert got == sorted(want, key=str)
     assert license_join.scan_licenses(frame(spark, [])).count() == 0
 
 
+NOTICES = {
+    "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+    "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0",
+    "licensed under cc by-nc\n4.0": "cc-by,cc-by-nc-4.0",
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc-4.0",
+    "Released under the MIT License.": "mit",
+    "licensed under the MIT license version 2.0": "mit",
+    "Licensed under the Apache License, Version\n2.0.": "apache,apache-2.0",
+    "Released under the GNU General Public License": "gpl",
+    "Licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+    "Licensed under the GNU Lesser General Public License": "lgpl",
+    "The river house was released under the old license of the town.": "",
+}
+
+
+def test_each_license_notice_has_its_own_labels(spark):
+    notices = list(NOTICES)
+    texts = notices + [f"Some words.\n{a}\n\n{b} And more words." for a in notices for b in notices if a != b]
+    got = {r["doc_id"]: r["labels"] for r in license_join.scan_licenses(frame(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(notices))] == list(NOTICES.values())
+    pairs = [set(f"{NOTICES[a]},{NOTICES[b]}".split(",")) - {""} for a in notices for b in notices if a != b]
+    assert [set(got[len(notices) + i].split(",")) - {""} for i in range(len(pairs))] == pairs
+
+
 # ------------------------------------------------------------------ PII
 CONTRACT = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
