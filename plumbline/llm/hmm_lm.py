@@ -12,15 +12,15 @@ class (the spare 1 is the class's unknown word).
 
 1. One pass tokenises chunks of about ``CHUNK_BYTES`` into local word ids and
    writes them, each chunk's dictionary (hash, training count) beside them.
-2. Dictionaries alone are shuffled by word to sum counts, and go back by chunk.
+2. Dictionaries alone are summed by word; the sums go back by chunk.
 3. Baum-Welch: a start from a bounded sample of texts, then full passes over
-   all training texts; each partition adds up its expected counts and only
-   those matrices are combined.
+   all training texts until the likelihood stands still; each partition adds up
+   its expected counts, exact over whole texts of any length (``chains``), and
+   only those matrices are combined.
 4. Chunks meet their counts, and the scaled forward recursion gives the exact
    likelihood of every sequence.
 
-Words are told apart by 64-bit hashes.  For the expected counts (not for
-scores) sequences are cut every ``TRAIN_CUT`` tokens; no token is left out.
+Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,26 +35,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from plumbline.llm import bytewords as bw
+from plumbline.llm import chains
 from plumbline.scratch import materialise
 
 #: Text bytes that share a dictionary.
 CHUNK_BYTES = 8 << 20
-TRAIN_CUT = 512
+#: Chunks of one task when texts meet their counts.
+TASK_CHUNKS = 8
 BUCKET_BITS = 12
 STATES = 6
-#: Full passes over all training texts.
-PASSES = 2
-#: Texts of the sample that the start is fitted on, and passes over it.
-START_TEXTS, START_PASSES = 400, 8
+#: Full passes over all training texts: at most so many, and none after one
+#: that gained less than so much natural log-likelihood a token.
+PASSES, GAIN = 6, 0.002
+#: Texts of the sample that the start is fitted on, the passes over it and the
+#: gain that ends them.
+START_TEXTS, START_PASSES, START_GAIN = 400, 40, 0.001
 START_MAX_BYTES = 20_000
 EMIT_PRIOR, MOVE_PRIOR = 0.05, 1.0
 #: The end token's place in a dictionary.
 END_HASH = np.uint64(0x0E0D0F7E87000001)
 
-_STORED = "kind int, chunk long, doc_id long, held_out boolean, n_tokens long, ids binary, classes binary, word array<long>, seen array<int>"
+_STORED = "kind int, chunk long, doc_id string, held_out boolean, n_tokens long, ids binary, classes binary, word array<long>, seen array<int>"
 
 
 # ---------------------------------------------------------------- tokens
@@ -122,7 +125,7 @@ def _tokenise(bits: int) -> Callable:
     return run
 
 
-_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("classes", pa.binary()), ("word", pa.list_(pa.int64())), ("seen", pa.list_(pa.int32()))])
+_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("doc_id", pa.string()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("classes", pa.binary()), ("word", pa.list_(pa.int64())), ("seen", pa.list_(pa.int32()))])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -176,44 +179,19 @@ def forward(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray
     return out
 
 
-def expected_counts(model: Model, symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def expected_counts(model: Model, symbols: np.ndarray, bounds: np.ndarray, width: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """One E-step: expected start, transition and emission counts, and the
     log-likelihood."""
     k = len(model.start)
-    lengths = np.diff(bounds)
-    order, running = _by_length(lengths[lengths > 0])
-    begin = bounds[:-1][lengths > 0][order]
-    level = np.concatenate([[0], np.cumsum(running)])
-    alpha, scale = np.empty((level[-1], k)), np.empty(level[-1])
-    where = np.empty(level[-1], np.int64)
-    for t, n in enumerate(running):
-        lo, hi = level[t], level[t + 1]
-        where[lo:hi] = begin[:n] + t
-        a = model.emit[symbols[where[lo:hi]]] * (alpha[level[t - 1] : level[t - 1] + n] @ model.move if t else model.start)
-        scale[lo:hi] = a.sum(axis=1)
-        np.divide(a, scale[lo:hi, None], out=alpha[lo:hi])
-    move = np.zeros((k, k))
-    gamma = np.empty_like(alpha)
-    beta = np.ones((running[0] if len(running) else 0, k))
-    for t in range(len(running) - 1, -1, -1):
-        lo, hi, n = level[t], level[t + 1], running[t]
-        gamma[lo:hi] = alpha[lo:hi] * beta[:n]
-        if t:
-            back = model.emit[symbols[where[lo:hi]]] * beta[:n] / scale[lo:hi, None]
-            move += alpha[level[t - 1] : level[t - 1] + n].T @ back
-            beta[:n] = back @ model.move.T
-    move *= model.move
-    seen = symbols[where]
-    emit = np.stack([np.bincount(seen, gamma[:, s], len(model.emit)) for s in range(k)], axis=1)
-    return gamma[: level[1] if len(running) else 0].sum(axis=0), move, emit, float(np.log(scale).sum())
-
-
-def cut_sequences(bounds: np.ndarray, width: int = TRAIN_CUT) -> np.ndarray:
-    """The bounds with further cuts every ``width`` tokens of a sequence."""
-    lengths = np.diff(bounds)
-    pieces = np.maximum(1, -(-lengths // width))
-    inner = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return np.append(np.repeat(bounds[:-1], pieces) + width * inner, bounds[-1])
+    emit = np.zeros_like(model.emit)
+
+    def count(places: np.ndarray, p: np.ndarray) -> None:
+        seen = symbols[places]
+        for s in range(k):
+            emit[:, s] += np.bincount(seen, p[:, s], len(emit))
+
+    start, move, log = chains.expected(lambda lo, hi: model.emit[symbols[lo:hi]], model.move, model.start, bounds, count, width)
+    return start, move, emit, log
 
 
 def _pass_over(model: Model) -> Callable:
@@ -223,7 +201,7 @@ def _pass_over(model: Model) -> Callable:
         def add() -> None:
             nonlocal total, held, size
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in held])])
-            got = expected_counts(model, np.concatenate(held).astype(np.int64), cut_sequences(bounds))[:3]
+            got = expected_counts(model, np.concatenate(held).astype(np.int64), bounds)
             total = got if total is None else tuple(a + b for a, b in zip(total, got, strict=True))
             held, size = [], 0
 
@@ -231,40 +209,57 @@ def _pass_over(model: Model) -> Callable:
             for raw in batch.column(0):
                 held.append(np.frombuffer(raw.as_buffer(), "<u2"))
                 size += len(held[-1])
-                if size > 1 << 18:
+                if size > 1 << 19:
                     add()
         if held:
             add()
         if total is not None:
-            flat = np.concatenate([x.ravel() for x in total])
+            flat = np.concatenate([np.ravel(x) for x in total])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "x"])
 
     return run
 
 
-def baum_welch_pass(model: Model, texts: DataFrame) -> Model:
-    """One full pass: every partition sends one vector of expected counts; the
-    vectors are added up by Spark and only their sum, whose size is fixed by
-    the model, comes to the driver."""
+def baum_welch_pass(model: Model, texts: DataFrame) -> tuple[Model, float]:
+    """One full pass, and the log-likelihood before it: every partition sends
+    one vector of expected counts; the vectors are added up by Spark and only
+    their sum, whose size is fixed by the model, comes to the driver."""
     k, n = len(model.start), len(model.emit)
     rows = texts.select("classes").mapInArrow(_pass_over(model), "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    flat = np.zeros(k + k * k + n * k)
+    flat = np.zeros(k + k * k + n * k + 1)
     flat[rows.column("i").to_numpy()] = rows.column("x").to_numpy()
-    return Model.from_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(n, k))
+    return Model.from_counts(flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k : -1].reshape(n, k)), float(flat[-1])
 
 
-def fit_start(sequences: list[np.ndarray], states: int, classes: int, passes: int = START_PASSES) -> Model:
+def fit_start(sequences: list[np.ndarray], states: int, classes: int, passes: int = START_PASSES, gain: float = START_GAIN) -> Model:
     """A starting point from a bounded sample, on the driver."""
-    model = Model.seeded(states, classes)
+    model, last = Model.seeded(states, classes), -np.inf
     if not sequences:
         return model
-    bounds = cut_sequences(np.concatenate([[0], np.cumsum([len(x) for x in sequences])]))
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sequences])])
     symbols = np.concatenate(sequences).astype(np.int64)
     for _ in range(passes):
-        model = Model.from_counts(*expected_counts(model, symbols, bounds)[:3])
+        *counts, log = expected_counts(model, symbols, bounds)
+        model = Model.from_counts(*counts)
+        if log - last < gain * len(symbols):
+            break
+        last = log
     return model
 
 
+def fit(texts: DataFrame, start: Model, tokens: int, passes: int = PASSES, gain: float = GAIN) -> tuple[Model, int, float]:
+    """Full passes until one gains less than ``gain`` a token; the model, the
+    passes made and the last log-likelihood seen, natural and a token."""
+    model, last, made = start, -np.inf, 0
+    while made < passes:
+        model, log = baum_welch_pass(model, texts)
+        made += 1
+        done, last = log - last < gain * tokens, log
+        if done:
+            break
+    return model, made, last / max(tokens, 1)
+
+
 # ---------------------------------------------------------------- scoring
 def _score(model: Model, bits: int, per_class: np.ndarray, unseen: float) -> Callable:
     log_share = np.log10(per_class)
@@ -293,56 +288,71 @@ def _score(model: Model, bits: int, per_class: np.ndarray, unseen: float) -> Cal
             parts.append((bw.sums(count[flat] > 0, bounds), base, score))
             lo = hi
         known, base, score = (np.concatenate(x) for x in zip(*parts, strict=True))
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["held_out"].astype(bool), "n_tokens": texts["n_tokens"].astype("int64"), "n_known": known, "base_score": base, "score": score})
+        return pd.DataFrame({"doc_id": texts["doc_id"], "held_out": texts["held_out"].astype(bool), "n_tokens": texts["n_tokens"].astype("int64"), "n_known": known, "base_score": base, "score": score})
 
     return run
 
 
+def word_counts(words: DataFrame) -> DataFrame:
+    """``(word, c)``: training uses of every word over all chunks, added up
+    within each partition first."""
+    return words.groupBy("word").agg(F.sum("seen").alias("c"))
+
+
 def hmm_scores(docs: DataFrame, held_out: object, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, bucket_bits: int = BUCKET_BITS, passes: int = PASSES) -> DataFrame:
     """Train on the rows where the column ``held_out`` is false and score all.
 
     Result: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
-    score``, one row per row of ``docs``.  ``base_score`` is the add-one
-    unigram log10 probability, ``score`` the model's.  A null text is empty (an
-    end token alone); a null ``held_out`` counts as false; repeated rows are
-    scored, and counted in training, each; an empty table gives an empty
-    result; with no training rows all words are unknown and the start model is
-    used.  Columns of other names are not looked at.
+    score, train_passes, train_log10``, one row per row of ``docs``.
+    ``base_score`` is the add-one unigram log10 probability, ``score`` the
+    model's; ``train_log10`` is the class sequences' log10 likelihood a token
+    before the last of ``train_passes`` passes.  A null text is empty (an end
+    token alone); a null ``held_out`` counts as false; repeated rows are scored,
+    and counted in training, each; null ids are kept, ids keep their type; an
+    empty table gives an empty result; with no training rows all words are
+    unknown and the start model is used.  Columns of other names are not looked
+    at.
     """
+    spark = docs.sparkSession
     classes = (1 << bucket_bits) + 1
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    given = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     stored = materialise(given.mapInArrow(_tokenise(bucket_bits), _STORED), "hmm-tokens")
     texts, dictionaries = stored.filter("kind = 0"), stored.filter("kind = 1")
 
-    # Counts by word: a word has a row for each chunk it is in, not for each use.
+    # A word has a row for each chunk it is in, not for each use; the join with
+    # its sum is one that adaptive execution splits for words of all chunks.
     words = dictionaries.select("chunk", F.posexplode(F.arrays_zip("word", "seen")).alias("at", "w")).select("chunk", "at", F.col("w.word").alias("word"), F.col("w.seen").alias("seen"))
-    by_word = Window.partitionBy("word")
-    end = F.lit(int(END_HASH))
-    counted = words.select(
-        "chunk",
-        "at",
-        F.sum("seen").over(by_word).alias("c"),
-        (F.row_number().over(by_word.orderBy("chunk")) == 1).alias("one"),
-        F.when(F.col("word") == end, 1 << bucket_bits).otherwise(F.shiftrightunsigned("word", 64 - bucket_bits).cast("int")).alias("class"),
-    )
-    counted = materialise(counted, "hmm-counts")
-    rows = counted.filter("one and c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # at most 2**bits + 1 rows
+    of = F.when(F.col("word") == F.lit(int(END_HASH)), 1 << bucket_bits).otherwise(F.shiftrightunsigned("word", 64 - bucket_bits).cast("int"))
+    sums = materialise(word_counts(words).withColumn("class", of), "hmm-counts")
+    rows = sums.filter("c > 0").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # at most 2**bits + 1 rows
     n, v = np.zeros(classes), np.zeros(classes)
     n[rows.column("class").to_numpy()] = rows.column("n").to_numpy()
     v[rows.column("class").to_numpy()] = rows.column("v").to_numpy()
     total, distinct = int(n.sum()), int(v.sum())
 
     training = texts.filter(~F.col("held_out"))
-    sample = training.filter(F.col("n_tokens") <= START_MAX_BYTES // 4).select("doc_id", "classes").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_TEXTS).toArrow()
+    sample = training.filter(F.col("n_tokens") <= START_MAX_BYTES // 4).select("doc_id", "classes").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("classes")).limit(START_TEXTS).toArrow()
     model = fit_start([np.frombuffer(x.as_buffer(), "<u2") for x in sample.column("classes")], states, classes)
-    for _ in range(passes if total else 0):
-        model = baum_welch_pass(model, training)
+    model, made, reached = fit(training, model, total, passes) if total else (model, 0, 0.0)
 
-    schema = T.StructType([T.StructField(*x) for x in (("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
+    schema = T.StructType([T.StructField(*x) for x in (("doc_id", T.StringType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dictionaries.count() // TASK_CHUNKS))
+    counted = words.select("chunk", "at", "word").join(sums, "word").select(F.col("chunk").alias("in_chunk"), "at", "c", "class").repartition(tasks, "in_chunk")
     scored = (
         texts.select("chunk", "doc_id", "held_out", "n_tokens", "ids")
+        .repartition(tasks, "chunk")
         .groupBy("chunk")
-        .cogroup(counted.select("chunk", "at", "c", "class").groupBy("chunk"))
+        .cogroup(counted.groupBy("in_chunk"))
         .applyInPandas(_score(model, bucket_bits, n + v + 1, float(np.log10(total + distinct + 1))), schema)
     )
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(
+        F.col("doc_id").cast(docs.schema[id_col].dataType).alias("doc_id"),
+        "held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(total).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        F.lit(made).alias("train_passes"),
+        F.lit(reached / float(np.log(10))).alias("train_log10"),
+    )

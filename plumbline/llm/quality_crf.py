@@ -22,9 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
-
-#: Bounds of the training sample: documents, and bytes of one.
-SAMPLE_DOCS, SAMPLE_BYTES = 4_000, 32_000
+from plumbline.llm import chains
+from plumbline.llm.rows import text_of, type_of
+from plumbline.scratch import materialise
+
+#: Bounds of the training sample: documents, and bytes and lines of one.
+SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_LINES = 4_000, 32_000, 500
+#: Lines whose features are made at a time.
+LINES = 65_536
 STEPS, RATE, RIDGE = 150, 0.1, 1e-4
 #: Lines of bad documents at least this surely good are relabelled.
 RELABEL = 0.9
@@ -57,98 +62,122 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, ends, bounds
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature rows of all lines (own, previous and next line's, and whether
-    it is the first or last), line bounds of the texts, and line lengths."""
-    starts, ends, bounds = lines_of(data, offsets)
-    length = (ends - starts).astype(np.float64)
+def own_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Feature rows of consecutive lines from their bytes alone; the last two
+    columns, which need the whole text, stay zero."""
+    base, stop = int(starts[0]), int(ends[-1])
+    data, starts, ends = data[base:stop], starts - base, ends - base
+    length = (ends - starts).astype(np.float32)
     per = np.maximum(length, 1)
 
-    def share(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask, dtype=np.int32)])
-        return total[ends] - total[starts]
+    def count(mask: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(mask) + 1, np.int32)
+        np.cumsum(mask, out=total[1:])
+        return (total[ends] - total[starts]).astype(np.float32)
 
-    counts = {k: share(v[data]) for k, v in _IS.items()}
-    ws, we, _ = bw.spans(~bw.WHITE[data], offsets)
+    n = len(starts)
+    counts = {k: count(v[data]) for k, v in _IS.items()}
+    ws, we, first = bw.spans(~bw.WHITE[data], np.append(starts, len(data)))
     hashes = bw.run_hashes(data, ws, we)
-    line = np.searchsorted(starts, ws, "right") - 1
-    words = np.bincount(line, minlength=len(starts)).astype(np.float64)
+    words = np.diff(first).astype(np.float32)
+    line = np.repeat(np.arange(n), np.diff(first))
     odd = _IS["symbol"] | _IS["bar"]
-    symbol_words = np.bincount(line[odd[data[we - 1]]], minlength=len(starts))
+    symbol_words = np.bincount(line[odd[data[we - 1]]], minlength=n)
     again = (hashes[1:] == hashes[:-1]) & (line[1:] == line[:-1])
-    repeats = np.bincount(line[1:][again], minlength=len(starts))
+    repeats = np.bincount(line[1:][again], minlength=n)
     some = length > 0
-    tail, head = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+    tail, head = np.zeros(n, bool), np.zeros(n, bool)
     tail[some] = np.isin(data[ends[some] - 1], list(b".!?"))
     head[some] = _IS["upper"][data[starts[some]]]
-    # A line that stands earlier in its text.
-    key = bw.run_hashes(data, starts, ends) ^ bw.mix(np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64))
-    order = np.argsort(key, kind="stable")
-    seen = np.zeros(len(starts), bool)
-    seen[order[1:]] = key[order[1:]] == key[order[:-1]]
     many = np.maximum(words, 1)
-    own = np.stack(
-        [
-            np.log1p(length) / 8,
-            counts["upper"] / np.maximum(counts["letter"], 1),
-            counts["digit"] / per,
-            counts["space"] / per,
-            counts["stop"] / per,
-            counts["symbol"] / per,
-            counts["bar"] / per,
-            counts["bang"] / per,
-            symbol_words / many,
-            repeats / many,
-            np.minimum(length / many, 40) / 20,
-            tail,
-            head,
-            ~some,
-            seen & some,
-            np.repeat(np.diff(bounds) == 1, np.diff(bounds)),
-        ],
-        axis=1,
+    out = np.zeros((n, len(FEATURES)), np.float32)
+    columns = (
+        np.log1p(length) / 8,
+        counts["upper"] / np.maximum(counts["letter"], 1),
+        *(counts[k] / per for k in ("digit", "space", "stop", "symbol", "bar", "bang")),
+        symbol_words / many,
+        repeats / many,
+        np.minimum(length / many, 40) / 20,
+        tail,
+        head,
+        ~some,
     )
-    first, last = np.zeros(len(starts)), np.zeros(len(starts))
-    first[bounds[:-1]] = last[bounds[1:] - 1] = 1
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[first > 0] = 0
-    after[last > 0] = 0
-    return np.concatenate([own, before, after, first[:, None], last[:, None], np.ones((len(starts), 1))], axis=1), bounds, length + 1
+    for k, x in enumerate(columns):
+        out[:, k] = x
+    return out
+
+
+class Lines:
+    """The lines of some texts and their own features, made ``LINES`` at a
+    time.  Neighbours' features are those of the line before or after, zero
+    beyond a text's ends; they are read in place, never copied."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data = data
+        self.starts, self.ends, self.bounds = lines_of(data, offsets)
+        n = len(self.starts)
+        self.first, self.last = np.zeros(n, bool), np.zeros(n, bool)
+        self.first[self.bounds[:-1]] = self.last[self.bounds[1:] - 1] = True
+        # A line that stands earlier in its text.
+        key = bw.run_hashes(data, self.starts, self.ends) ^ bw.mix(np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds)).astype(np.uint64))
+        order = np.argsort(key, kind="stable")
+        self.seen = np.zeros(n, bool)
+        self.seen[order[1:]] = key[order[1:]] == key[order[:-1]]
+        self.length = (self.ends - self.starts + 1).astype(np.float64)
+
+    def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for lo in range(0, len(self.starts), LINES):
+            hi = min(lo + LINES, len(self.starts))
+            own = own_features(self.data, self.starts[lo:hi], self.ends[lo:hi])
+            own[:, -2] = self.seen[lo:hi] & (self.length[lo:hi] > 1)
+            own[:, -1] = self.first[lo:hi] & self.last[lo:hi]
+            yield lo, hi, own
+
+    def evidence(self, weight: np.ndarray) -> np.ndarray:
+        """What the weights (own, previous and next line's features, first,
+        last, constant) say of every line."""
+        own, before, after, edge = _split(weight)
+        n = len(self.starts)
+        out = edge[0] * self.first + edge[1] * self.last + edge[2]
+        told = np.empty((n, 2))
+        for lo, hi, x in self.parts():
+            out[lo:hi] += x @ own
+            told[lo:hi, 0], told[lo:hi, 1] = x @ before, x @ after
+        out[1:] += np.where(self.first[1:], 0, told[:-1, 0])
+        out[:-1] += np.where(self.last[:-1], 0, told[1:, 1])
+        return out
+
+
+def _split(weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    k = len(FEATURES)
+    return weight[:k], weight[k : 2 * k], weight[2 * k : 3 * k], weight[3 * k :]
+
+
+def gathered(own: np.ndarray, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The sum over all lines of their features times a value of each."""
+    before = (np.where(first[1:], 0, value[1:])) @ own[:-1]
+    after = (np.where(last[:-1], 0, value[:-1])) @ own[1:]
+    return np.concatenate([value @ own, before, after, [value[first].sum(), value[last].sum(), value.sum()]])
 
 
 def marginals(evidence: np.ndarray, move: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(good) of every line by scaled forward-backward over all texts in
-    lockstep, and the expected counts of label pairs (bad/good x bad/good)."""
-    size = np.diff(bounds)
-    order = np.argsort(-size, kind="stable")
-    begin = bounds[:-1][order]
-    running = len(size) - np.searchsorted(np.sort(size), np.arange(size.max(initial=0)), "right")
-    potential = np.exp(np.stack([np.zeros_like(evidence), np.clip(evidence, -30, 30)], axis=1))
-    tie = np.exp(move)
-    alpha, scale = np.empty_like(potential), np.empty(len(evidence))
-    for t, n in enumerate(running):
-        at = begin[:n] + t
-        a = potential[at] * (alpha[at - 1] @ tie if t else 1.0)
-        scale[at] = a.sum(axis=1)
-        alpha[at] = a / scale[at, None]
-    beta = np.ones((len(size), 2))
-    good, pairs = np.empty(len(evidence)), np.zeros((2, 2))
-    for t in range(len(running) - 1, -1, -1):
-        n = running[t]
-        at = begin[:n] + t
-        good[at] = alpha[at, 1] * beta[:n, 1] / (alpha[at] * beta[:n]).sum(axis=1)
-        if t:
-            back = potential[at] * beta[:n] / scale[at, None]
-            pairs += alpha[at - 1].T @ back
-            beta[:n] = back @ tie.T
-    return good, pairs * tie
+    """P(good) of every line by scaled forward-backward, exact over texts of any
+    number of lines, and the expected counts of label pairs (bad/good x
+    bad/good)."""
+    good = np.empty(len(evidence))
+
+    def potentials(lo: int, hi: int) -> np.ndarray:
+        return np.exp(np.stack([np.zeros(hi - lo), np.clip(evidence[lo:hi], -30, 30)], axis=1))
+
+    def keep(places: np.ndarray, p: np.ndarray) -> None:
+        good[places] = p[:, 1]
+
+    _, pairs, _ = chains.expected(potentials, np.exp(np.clip(move, -15, 15)), np.ones(2), bounds, keep)
+    return good, pairs
 
 
 @dataclass
 class Field:
-    center: np.ndarray
-    spread: np.ndarray
     weight: np.ndarray
     move: np.ndarray
     slope: float = 1.0
@@ -156,9 +185,9 @@ class Field:
 
     def good_share(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Length-weighted share of good text, line marginals, line bounds."""
-        x, bounds, length = features(data, offsets)
-        good, _ = marginals(((x - self.center) / self.spread) @ self.weight, self.move, bounds)
-        return bw.sums(good * length, bounds) / bw.sums(length, bounds), good, bounds
+        lines = Lines(data, offsets)
+        good, _ = marginals(lines.evidence(self.weight), self.move, lines.bounds)
+        return bw.sums(good * lines.length, lines.bounds) / bw.sums(lines.length, lines.bounds), good, lines.bounds
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return self.squash(self.good_share(data, offsets)[0])
@@ -172,17 +201,48 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _fit_lines(x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class _Sample:
+    """Own features of the sample's lines, and what centres and scales the
+    features that the model sees."""
+
+    def __init__(self, texts: list[str]) -> None:
+        data, offsets = bw.string_buffers(pa.array(texts, pa.large_string()))
+        parts = [Lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in bw.groups(offsets)]
+        self.own = np.concatenate([x for p in parts for _, _, x in p.parts()])
+        self.first, self.last, self.length = (np.concatenate([getattr(p, k) for p in parts]) for k in ("first", "last", "length"))
+        self.bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.bounds) for p in parts]))])
+        one = np.ones(len(self.own))
+        self.center = gathered(self.own, self.first, self.last, one) / len(one)
+        square = gathered(self.own * self.own, self.first, self.last, one) / len(one)
+        self.spread = np.sqrt(np.maximum(square - self.center**2, 0))
+        self.center[-1], self.spread[self.spread < 1e-6] = 0.0, 1.0
+
+    def raw(self, theta: np.ndarray) -> np.ndarray:
+        """Weights of the features as they are, from those of scaled ones."""
+        weight = theta / self.spread
+        weight[-1] -= self.center @ weight
+        return weight
+
+    def evidence(self, theta: np.ndarray) -> np.ndarray:
+        own, before, after, edge = _split(self.raw(theta))
+        out = self.own @ own + edge[0] * self.first + edge[1] * self.last + edge[2]
+        out[1:] += np.where(self.first[1:], 0, self.own[:-1] @ before)
+        out[:-1] += np.where(self.last[:-1], 0, self.own[1:] @ after)
+        return out
+
+    def slope(self, value: np.ndarray) -> np.ndarray:
+        return (gathered(self.own, self.first, self.last, value) - self.center * value.sum()) / self.spread
+
+
+def _fit_lines(sample: _Sample, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Adam on the conditional log-likelihood of the line labels."""
-    inner = np.ones(len(y), bool)
-    inner[bounds[:-1]] = False
-    at = np.flatnonzero(inner)
+    at = np.flatnonzero(~sample.first)
     observed = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2)
-    theta = np.zeros(x.shape[1] + 4)
+    theta = np.zeros(len(sample.center) + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, STEPS + 1):
-        good, pairs = marginals(x @ theta[:-4], theta[-4:].reshape(2, 2), bounds)
-        slope = np.concatenate([(y - good) @ x, (observed - pairs).ravel()]) / len(y) - RIDGE * theta
+        good, pairs = marginals(sample.evidence(theta[:-4]), theta[-4:].reshape(2, 2), sample.bounds)
+        slope = np.concatenate([sample.slope(y - good), (observed - pairs).ravel()]) / len(y) - RIDGE * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope * slope
         theta = theta + RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     return theta[:-4], theta[-4:].reshape(2, 2)
@@ -190,21 +250,14 @@ def _fit_lines(x: np.ndarray, y: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
 
 def train(texts: list[str], quality: list[int]) -> Field:
     """Fit field and logistic map on whole texts and their labels (0 or 1)."""
-    data, offsets = bw.string_buffers(pa.array(texts, pa.large_string()))
-    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in bw.groups(offsets)]
-    x, length = (np.concatenate([p[k] for p in parts]) for k in (0, 2))
-    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
-    answer = np.asarray(quality, np.int64)
-    center, spread = x.mean(axis=0), x.std(axis=0)
-    center[-1], spread[spread < 1e-9] = 0.0, 1.0
-    x = (x - center) / spread
-    y = np.repeat(answer, np.diff(bounds))
-    weight, move = _fit_lines(x, y, bounds)
-    good, _ = marginals(x @ weight, move, bounds)
-    weight, move = _fit_lines(x, np.where(good >= RELABEL, 1, y), bounds)
-    field = Field(center, spread, weight, move)
-    good, _ = marginals(x @ weight, move, bounds)
-    z = _logit(bw.sums(good * length, bounds) / bw.sums(length, bounds))
+    sample, answer = _Sample(texts), np.asarray(quality, np.int64)
+    y = np.repeat(answer, np.diff(sample.bounds))
+    weight, move = _fit_lines(sample, y)
+    good, _ = marginals(sample.evidence(weight), move, sample.bounds)
+    weight, move = _fit_lines(sample, np.where(good >= RELABEL, 1, y))
+    field = Field(sample.raw(weight), move)
+    good, _ = marginals(sample.evidence(weight), move, sample.bounds)
+    z = _logit(bw.sums(good * sample.length, sample.bounds) / bw.sums(sample.length, sample.bounds))
     a, b = 1.0, 0.0
     for _ in range(200):  # Newton steps of a two-parameter logistic regression
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -217,20 +270,25 @@ def train(texts: list[str], quality: list[int]) -> Field:
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, docs_bound: int = SAMPLE_DOCS, bytes_bound: int = SAMPLE_BYTES) -> Field | None:
-    """Fit on a bounded sample: the labelled ids of smallest hash, at most
-    ``docs_bound`` of them, whose texts have at most ``bytes_bound`` bytes.
-    ``docs`` has doc_id and text; ``labels`` doc_id and quality; ``may_learn``
-    is a condition on the labels' doc_id.  None without a labelled text."""
-    chosen = labels.filter(may_learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_bound)
-    rows = docs.filter(F.octet_length("text") <= bytes_bound).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").limit(2 * docs_bound).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, docs_bound: int = SAMPLE_DOCS, bytes_bound: int = SAMPLE_BYTES, lines_bound: int = SAMPLE_LINES) -> Field | None:
+    """Fit on a bounded sample: of the labelled ids whose text has at most
+    ``bytes_bound`` bytes and ``lines_bound`` lines, the ``docs_bound`` of
+    smallest hash, one text an id (that of the smallest hash).  ``docs`` has
+    doc_id and text; ``labels`` doc_id and quality (of several the smallest);
+    ``may_learn`` is a condition on the labels' doc_id.  None without a
+    labelled text."""
+    given = labels.filter(may_learn & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    short = docs.filter((F.octet_length("text") <= bytes_bound) & (lines <= lines_bound)).withColumn("h", F.xxhash64("text"))
+    chosen = short.select("doc_id", "h").join(given, "doc_id").groupBy("doc_id").agg(F.min("h").alias("h"), F.min("quality").alias("quality"))
+    chosen = materialise(chosen.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(docs_bound), "quality-sample")
+    rows = short.join(F.broadcast(chosen), ["doc_id", "h"]).groupBy("doc_id").agg(F.first("text").alias("text"), F.first("quality").alias("quality")).toArrow()
+    rows = rows.sort_by([("doc_id", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("quality").to_pylist()) if rows.num_rows else None
 
 
 def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
 
 
 def _score(field: Field | None) -> Callable:
@@ -253,16 +311,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col:
 
     A null text is empty; an empty text is one empty line and gets a score.
     Without labelled texts every score is 0.5.  An empty table gives an empty
-    result; repeated rows get equal scores; a null id is kept; columns of other
-    names are not looked at.
+    result; repeated rows get equal scores; a null id is kept, ids keep their
+    type; columns of other names are not looked at.  A text is handled whole
+    whatever its length and lines, in memory that grows with its bytes only.
     """
     given = _given(docs, id_col, text_col)
-    return given.mapInArrow(_score(fit(given, labels, may_learn)), "doc_id long, score double, good_share double, n_lines long, n_bad_lines long")
+    return given.mapInArrow(_score(fit(given, labels, may_learn)), f"doc_id {type_of(docs, id_col)}, score double, good_share double, n_lines long, n_bad_lines long")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, may_learn: Column, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows whose score is below the
-    threshold; rows are filtered where they are read, nothing is shuffled."""
+    threshold; rows are filtered where they are read, nothing is shuffled.
+    Cases are as in ``score_quality``; without labelled texts all rows stay."""
     field = fit(_given(docs, id_col, text_col), labels, may_learn)
     if field is None:
         return docs

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
+from plumbline.llm.rows import one_of_each, text_key, text_of, type_of
 from plumbline.llm.xx64 import hash_ranges
 from plumbline.operators.components import connected_components
 from plumbline.scratch import materialise
@@ -79,13 +80,14 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in bw.text_groups(batches):
         fp = fingerprints_of(data, offsets)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp.view(np.int64))], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``; ``fp`` is the 64-bit fingerprint as a signed long."""
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """``(doc_id, text_key, fp)``; ``fp`` is the 64-bit fingerprint as a signed
+    long, ``text_key`` a hash of the text, ids keep their type."""
+    given = docs.select(F.col(id_col).alias("doc_id"), text_key(text_col).alias("text_key"), text_of(text_col).alias("text"))
+    return given.mapInArrow(_fingerprint_batches, f"doc_id {type_of(docs, id_col)}, text_key long, fp long")
 
 
 # ---------------------------------------------------------------- anchors
@@ -189,6 +191,18 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 # ---------------------------------------------------------------- groups
+def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """``(doc_id, text_key, fp, component, component_id)``, one row per row of
+    ``docs``; ``component`` is the component's smallest fingerprint."""
+    prints = materialise(fingerprints(docs, id_col, text_col), "simhash")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    parts = materialise(connected_components(links(classes, threshold), "a", "b"), "simhash-parts")
+    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    per_class = named.select("fp", "component").join(ids, "component").select("fp", "component", "component_id")
+    return prints.join(per_class, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every document.
 
@@ -198,18 +212,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     number; a null id keeps a row and cannot name its component.  An empty
     table gives an empty result; columns of other names are not looked at.
     """
-    prints = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    parts = materialise(connected_components(links(classes, threshold), "a", "b"), "simhash-parts")
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_class = named.select("fp", "component").join(ids, "component").select("fp", "component_id")
-    return prints.join(per_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    groups = fingerprint_groups(docs, id_col, text_col, threshold)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` without those rows whose component has a smaller id; of rows
-    that share an id and a component all stay.  Rows without an id stay."""
-    groups = near_duplicate_groups(docs, id_col, text_col, threshold)
-    gone = groups.filter("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each component (see ``rows.one_of_each``): rows
+    of one id but different texts are told apart, of equal rows one stays, rows
+    without an id all stay."""
+    groups = materialise(fingerprint_groups(docs, id_col, text_col, threshold).select("doc_id", "text_key", "component"), "simhash-groups")
+    return one_of_each(docs, groups, id_col, text_col)

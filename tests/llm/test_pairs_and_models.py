@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
-from plumbline.llm import hmm_lm, impact_topk, langid, quality_crf, simhash_cover
+from plumbline.llm import hmm_lm, impact_topk, langid, near_copies, quality_crf, simhash_cover
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -104,6 +104,17 @@ def test_near_dedup_keeps_one_of_each_group_and_every_column(spark):
     assert simhash_cover.near_duplicate_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("drop", [simhash_cover.near_dedup, near_copies.drop_near_copies])
+def test_dedup_tells_texts_of_one_id_apart(spark, drop):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "quite other words stand in this text", "and a third text of its own kind")
+    docs = spark.createDataFrame([(2, a, 0), (5, a, 1), (5, b, 2), (7, c, 3), (7, c, 4), (None, a, 5)], "doc_id long, text string, gone_id int")
+    out = drop(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"]) == [(2, a), (5, b), (7, c)] and out.count() == 4
+    named = drop(docs.selectExpr("concat('d', doc_id) AS doc_id", "text", "gone_id"))
+    assert sorted((r["doc_id"], r["text"]) for r in named.collect() if r["doc_id"]) == [("d2", a), ("d5", b), ("d7", c)]
+
+
 # ------------------------------------------------------------------ HMM
 def test_hmm_base_scores_and_likelihood(spark):
     rng = random.Random(1)
