@@ -17,9 +17,11 @@ broadcast matrix), one pass over the vectors for each batch.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,8 +63,9 @@ class Block:
         self.dimension = np.array([s[0] for s in self.segments], np.int64)
         self.level = np.array([s[1] for s in self.segments], np.int64)
 
-    def top(self, query: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and exact scores of the k best, ties to the smaller id."""
+    def top(self, query: np.ndarray, k: int, skip: int | None, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the k best, ties to the smaller id; of those
+        only that reach ``least``, which the k best of other blocks may set."""
         n = len(self.ids)
         alive = np.ones(n, bool)
         if skip is not None:
@@ -84,56 +87,65 @@ class Block:
                 open_edge[d] = self.edges[lv + 1, d]
             rest = float(q @ open_edge)
             here = score[members]
-            bound = np.partition(here, len(here) - want)[len(here) - want] - rest
+            bound = least if len(here) < want else max(least, np.partition(here, len(here) - want)[len(here) - want] - rest)
             members = members[here + rest >= bound]
             if len(members) <= max(ENOUGH, k):
                 break
         exact = self.vectors[members] @ query
         best = np.lexsort((self.ids[members], -exact))[:want]
+        best = best[exact[best] >= least]
         return self.ids[members[best]], exact[best]
 
 
 def _search(query_ids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def answer() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            width = queries.shape[1]
-            ids = table.column(0).to_numpy()
-            vectors = _matrix(table.column(1).to_pylist(), width)
-            block = Block(ids, vectors)
-            out: tuple[list, list, list] = ([], [], [])
-            for qid, query in zip(query_ids.tolist(), queries, strict=True):
-                found, score = block.top(query, k, qid)
-                out[0].append(np.full(len(found), qid))
-                out[1].append(found)
-                out[2].append(score)
-            flat = [np.concatenate(x).astype(np.int64) for x in out]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["query_id", "vec_id", "score"])
+    """The k best of a partition's vectors for every query.  What the blocks so
+    far have found is the mark that members of the next one must reach."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = queries.shape[1]
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
+
+        def search(held: list[pa.RecordBatch]) -> None:
+            ids = np.concatenate([b.column(0).to_numpy() for b in held])
+            block = Block(ids, np.concatenate([matrix(b.column(1), width) for b in held]))
+            for i, (qid, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+                old_ids, old = best[i]
+                found, score = block.top(query, k, qid, old[-1] if len(old) == k else -np.inf)
+                if len(found):
+                    found, score = np.concatenate([old_ids, found]), np.concatenate([old, score])
+                    order = np.lexsort((found, -score))[:k]
+                    best[i] = found[order], score[order]
+
+        held, size = [], 0
         for batch in batches:
             while batch.num_rows:
-                room = BLOCK - sum(b.num_rows for b in held)
-                held.append(batch.slice(0, room))
-                batch = batch.slice(min(room, batch.num_rows))
-                if sum(b.num_rows for b in held) >= BLOCK:
-                    yield answer()
+                held.append(batch.slice(0, BLOCK - size))
+                size += held[-1].num_rows
+                batch = batch.slice(held[-1].num_rows)
+                if size == BLOCK:
+                    search(held)
+                    held, size = [], 0
         if held:
-            yield answer()
+            search(held)
+        many = [len(x) for x, _ in best]
+        if sum(many):
+            flat = [np.repeat(query_ids, many), *(np.concatenate(x).astype(np.int64) for x in zip(*best, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def _matrix(rows: list[list[int]], width: int) -> np.ndarray:
-    """Rows padded with zeros, or cut, to ``width``."""
-    out = np.zeros((len(rows), width))
-    same = [i for i, r in enumerate(rows) if len(r) == width]
-    if same:
-        out[same] = np.array([rows[i] for i in same], np.float64)
-    for i in set(range(len(rows))) - set(same):
-        out[i, : min(width, len(rows[i]))] = rows[i][:width]
+def matrix(rows: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """Lists of numbers as rows, filled up with zeros, or cut, to ``width``."""
+    if isinstance(rows, pa.ChunkedArray):
+        rows = rows.combine_chunks()
+    flat, n = rows.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(rows).to_numpy(zero_copy_only=False).astype(np.int64)
+    if (n == width).all():
+        return flat.reshape(len(n), width).astype(np.float64)
+    out = np.zeros((len(n), width))
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    out[row[at < width], at[at < width]] = flat[at < width]
     return out
 
 
@@ -154,26 +166,31 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
 
     Vectors that are null or hold null or non-finite components take no part,
     nor do rows without an id; a shorter vector counts as filled with zeros.
-    Ids are taken to be unique; rows that repeat an id are answers of their
-    own but never to a query of that id.  An empty table gives an empty
+    Ids are numbers and taken to be unique; rows that repeat an id are answers
+    of their own but never to a query of that id, and of several queries of one
+    id the smallest vector asks.  An empty table gives an empty
     result; columns of other names are not looked at.
     """
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     index = materialise(given.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", integers(F.col("v")).alias("v"), "q"), "topk-vectors")
-    empty = index.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
-    found, after = empty, None
+    spark = index.sparkSession
+    parts, after = [], None
     while True:
-        # The next batch of queries by id: bounded, whatever their number.
+        # The next batch of queries by id: bounded, whatever their number.  Its
+        # answers, at most k a query and task, are written before the next.
         asked = index.filter("q") if after is None else index.filter(F.col("q") & (F.col("vec_id") > after))
-        rows = asked.select("vec_id", "v").distinct().orderBy("vec_id").limit(batch).toArrow()
+        rows = asked.groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").limit(batch).toArrow()
         if not rows.num_rows:
             break
-        ids, listed = rows.column("vec_id").to_numpy(), rows.column("v").to_pylist()
-        width = max(len(x) for x in listed)
-        answers = index.select("vec_id", "v").mapInArrow(_search(ids, _matrix(listed, width), k), "query_id long, vec_id long, score long")
-        found, after = found.unionByName(answers), int(ids[-1])
+        ids = rows.column("vec_id").to_numpy()
+        wanted = matrix(rows.column("v"), int(pc.max(pc.list_value_length(rows.column("v"))).as_py()))
+        parts.append(materialise(index.select("vec_id", "v").mapInArrow(_search(ids, wanted, k), "query_id long, vec_id long, score long"), "topk-answers"))
+        after = int(ids[-1])
         if rows.num_rows < batch:
             break
+    if not parts:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = reduce(DataFrame.unionByName, parts)
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -5,7 +5,11 @@ to embeddings; a text is the average of its n-grams' embeddings, and a linear
 softmax names the language.  Embeddings and softmax are trained together by
 stochastic gradient descent in numpy on a bounded sample of labelled texts.
 Probabilities are calibrated by a temperature on texts of the sample that were
-not trained on, and a rejection level is set there.
+not trained on.  Two rejection levels are set there: a probability, and a
+familiarity, the share of a text's n-grams that the training texts of the
+answered language hold.  A softmax is sure of texts in languages it never saw,
+so the second level parts those held-back texts from the same texts answered
+without their own language.
 
 As the softmax is linear, a bucket's embedding times the weights gives fixed
 logits, and a text's logits are the mean of its n-grams' logits.
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
+from plumbline.llm.rows import type_of
 
 BUCKET_BITS = 16
 DIMENSIONS = 16
@@ -70,17 +75,26 @@ class Model:
     languages: list[str]
     logits: np.ndarray  # buckets x languages
     bias: np.ndarray
-    temperature: float
-    reject_below: float
-
-    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(offsets) - 1, len(self.languages)))
-        count = np.zeros(len(offsets) - 1)
-        for buckets, bounds in ngrams(data, offsets, int(np.log2(len(self.logits)))):
+    known: np.ndarray  # buckets x languages: whether training texts hold it
+    temperature: float = 1.0
+    reject_below: float = 0.0
+    unfamiliar_below: float = 0.0
+
+    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's probabilities of the languages, and its familiarity with
+        the likeliest."""
+        n = len(offsets) - 1
+        found = list(ngrams(data, offsets, int(np.log2(len(self.logits)))))
+        total, count = np.zeros((n, len(self.languages))), np.zeros(n)
+        for buckets, bounds in found:
             count += np.diff(bounds)
             for j in range(len(self.languages)):
                 total[:, j] += bw.sums(self.logits[buckets, j], bounds)
-        return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+        p = softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+        best, held = p.argmax(axis=1), np.zeros(n)
+        for buckets, bounds in found:
+            held += bw.sums(self.known[buckets, np.repeat(best, np.diff(bounds))].astype(np.int8), bounds)
+        return p, held / np.maximum(count, 1)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -130,14 +144,37 @@ def train(texts: list[str], answers: list[str], seed: int = 5) -> Model:
             embed[b] -= np.float32(rate * 50) * share[:, None] * (weight @ p)[None, :]
             weight -= np.float32(rate) * np.outer(h, p)
             bias -= np.float32(rate * 0.1) * p
-    model = Model(languages, embed @ weight, bias, 1.0, 0.0)
-    check = held if held.any() else ~held
-    raw = np.array([bags[i][1] @ model.logits[bags[i][0]] + bias for i in np.flatnonzero(check)]).reshape(-1, len(languages))
-    if len(raw):
-        calibrate(model, raw, y[check])
+    known = np.zeros((1 << BUCKET_BITS, len(languages)), bool)
+    for i in np.flatnonzero(~held):
+        known[bags[i][0], y[i]] = True
+    model = Model(languages, embed @ weight, bias, known)
+    if held.any():
+        check = [bags[i] for i in np.flatnonzero(held)]
+        raw = np.array([share @ model.logits[b] + bias for b, share in check])
+        calibrate(model, raw, y[held])
+        model.unfamiliar_below = familiarity_level(model, check, raw, y[held])
     return model
 
 
+def familiarity_level(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], raw: np.ndarray, y: np.ndarray) -> float:
+    """The level that parts the familiarity of texts answered rightly from that
+    of the same texts when their own language cannot be answered, with the
+    fewest errors; 0 with one language only."""
+    if len(model.languages) < 2:
+        return 0.0
+    own, other = [], []
+    for (b, share), score, answer in zip(bags, raw, y, strict=True):
+        if len(b):
+            own.append(share[model.known[b, answer]].sum())
+            rest = score.copy()
+            rest[answer] = -np.inf
+            other.append(share[model.known[b, rest.argmax()]].sum())
+    own, other = np.sort(own), np.sort(other)
+    levels = np.concatenate([own, other])
+    errors = np.searchsorted(own, levels, "left") + len(other) - np.searchsorted(other, levels, "left")
+    return float(levels[np.lexsort((levels, errors))[0]]) if len(levels) else 0.0
+
+
 def calibrate(model: Model, raw: np.ndarray, y: np.ndarray) -> None:
     """The temperature of least log loss, and the lowest rejection level at
     which the answers given reach the precision asked for."""
@@ -154,18 +191,17 @@ def calibrate(model: Model, raw: np.ndarray, y: np.ndarray) -> None:
 
 
 def sample_texts(docs: DataFrame, may_learn: Column, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """About ``texts`` texts of each language by hash of the id (all, if there
-    are fewer), collected to the driver; bounded by the limits above."""
+    """About ``texts`` texts of each of the ``MAX_LANGUAGES`` most frequent
+    languages by hash of the id (all, if there are fewer), collected to the
+    driver; bounded by the limits above."""
     labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; the softmax is not meant for that")
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return [], []
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, texts / r["n"])))])
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
     # Binomial in size; the limit only guards the driver against a broken hash.
-    rows = labelled.filter(h < share[F.col("lang")]).select("doc_id", "lang", "text").limit(4 * texts * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = labelled.filter(h < share[F.col("lang")]).select("doc_id", "lang", "text").limit(4 * texts * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
 
@@ -177,11 +213,11 @@ def _predict(model: Model | None) -> Callable:
             if model is None:
                 names, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
             else:
-                p = model.probabilities(data, offsets)
+                p, familiar = model.probabilities(data, offsets)
                 best = p.argmax(axis=1)
                 names = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
                 score = np.where(letters, p.max(axis=1), 0.0)
-                rejected = score < model.reject_below
+                rejected = (score < model.reject_below) | (familiar < model.unfamiliar_below) | ~letters
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     return run
@@ -192,18 +228,19 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     ``docs``; learns from rows where ``held_out`` is false.
 
     ``lang_pred`` is ``und``, with score 0, for a null text and one without a
-    letter; ``rejected`` tells that the calibrated score is too low to rely
-    on.  A null ``held_out`` counts as false; a null id is kept.  Without
+    letter; ``rejected`` tells that the calibrated score, or the text's
+    familiarity with the language answered, is too low to rely on the answer.
+    A null ``held_out`` counts as false; a null id is kept, ids keep their type.  Without
     labelled rows every answer is ``und``.  An empty table gives an empty
     result; repeated rows are answered each; columns of other names are not
     looked at.
     """
     given = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(id_col).alias("doc_id"),
         F.coalesce(held_out, F.lit(False)).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
         F.col(lang_col).cast("string").alias("lang"),
     )
     texts, answers = sample_texts(given, ~F.col("held_out"))
     model = train(texts, answers) if texts else None
-    return given.select("doc_id", "held_out", "text").mapInArrow(_predict(model), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return given.select("doc_id", "held_out", "text").mapInArrow(_predict(model), f"doc_id {type_of(docs, id_col)}, held_out boolean, lang_pred string, score double, rejected boolean")

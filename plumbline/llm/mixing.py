@@ -59,24 +59,17 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
     return s.select("source", "source_size", F.when(F.col("clamped"), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    h = seeded_hash(F.col(id_col), seed)
-    return docs.withColumns(
-        {
-            "__mix_id": F.col(id_col).cast("string"),
-            "__mix_source": F.col(source_col).cast("string"),
-            "__mix_size": word_count(F.col(text_col)),
-            "__mix_h": h,
-            "__mix_bucket": F.shiftright(h, HASH_BITS - BUCKET_BITS),
-        }
-    )
+def _marked(docs: DataFrame, seed: int) -> DataFrame:
+    """``docs`` (row, id, text, source) as (row, id, source, size, h, bucket)."""
+    h = seeded_hash(F.col("id"), seed)
+    return docs.select("row", F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), h.alias("h")).withColumn("bucket", F.shiftright("h", HASH_BITS - BUCKET_BITS))
 
 
 def _cuts(marked: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
     """One row per source: size, target, whole repetitions, the bucket in which
     the running words reach what is left of the target, and how much of that
     bucket belongs to it."""
-    histogram = marked.groupBy(F.col("__mix_source").alias("source"), F.col("__mix_bucket").alias("bucket")).agg(F.sum("__mix_size").alias("words"))
+    histogram = marked.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     histogram = materialise(histogram, "mix-histogram")
     sources = water_fill(histogram.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -88,12 +81,12 @@ def _cuts(marked: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataF
         .groupBy("source", "source_size", "target", "whole", "goal")
         .agg(F.min(F.when(F.col("upto") >= F.col("goal"), F.struct("bucket", (F.col("upto") - F.col("words")).alias("below")))).alias("cut"))
         .select(
-            F.col("source").alias("__cut_source"),
-            F.col("source_size").alias("__cut_size"),
-            F.col("target").alias("__cut_target"),
-            F.col("whole").alias("__cut_whole"),
-            F.coalesce("cut.bucket", F.lit(1 << BUCKET_BITS)).alias("__cut_bucket"),
-            (F.col("goal") - F.coalesce("cut.below", F.lit(0))).alias("__cut_rest"),
+            F.col("source").alias("cut_source"),
+            "source_size",
+            "target",
+            "whole",
+            F.coalesce("cut.bucket", F.lit(1 << BUCKET_BITS)).alias("cut_bucket"),
+            (F.col("goal") - F.coalesce("cut.below", F.lit(0))).alias("rest"),
         )
     )
     return materialise(cuts, "mix-cuts")
@@ -104,14 +97,14 @@ def _small(sources: DataFrame) -> DataFrame:
 
 
 def _decided(marked: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``marked`` with ``__mix_repeats``.  Only the documents in their source's
-    cut bucket are shuffled."""
-    joined = marked.join(_small(cuts), F.col("__mix_source").eqNullSafe(F.col("__cut_source")))
-    clear = joined.filter("__mix_bucket <> __cut_bucket").withColumn("__mix_more", F.col("__mix_bucket") < F.col("__cut_bucket"))
-    in_order = Window.partitionBy("__mix_source").orderBy("__mix_h", "__mix_id", "__mix_size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.sum("__mix_size").over(in_order) - F.col("__mix_size") / 2  # taken while that brings the sum nearer
-    edge = joined.filter("__mix_bucket = __cut_bucket").withColumn("__mix_more", middle < F.col("__cut_rest"))
-    return clear.unionByName(edge).withColumn("__mix_repeats", F.col("__cut_whole") + F.col("__mix_more").cast("long"))
+    """``marked`` and its source's ``cuts``, with ``repeats``.  Only the
+    documents in their source's cut bucket are shuffled."""
+    joined = marked.join(_small(cuts), F.col("source").eqNullSafe(F.col("cut_source")))
+    clear = joined.filter("bucket <> cut_bucket").withColumn("more", F.col("bucket") < F.col("cut_bucket"))
+    in_order = Window.partitionBy("source").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.sum("size").over(in_order) - F.col("size") / 2  # taken while that brings the sum nearer
+    edge = joined.filter("bucket = cut_bucket").withColumn("more", middle < F.col("rest"))
+    return clear.unionByName(edge).withColumn("repeats", F.col("whole") + F.col("more").cast("long"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -121,29 +114,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null text has size 0; null is a source of its own; sources without words
     have target 0.  Repeated rows are documents of their own.  Equal hashes are
     ordered by id.  An empty table gives an empty result; columns of other
-    names are not looked at.  The same input gives the same mix.
+    names are not looked at.  The same input gives the same mix.  The sources
+    are ordered in one task: meant for up to some millions of them, a row each.
     """
-    given = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source"))
-    marked = materialise(_marked(given, "__id", "__text", "__source", seed).drop("__text"), "mix-sizes")
+    given = docs.select(F.col(id_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    marked = materialise(_marked(given, seed), "mix-sizes")
     decided = _decided(marked, _cuts(marked, weights, max_epochs))
-    return decided.select(
-        F.col("__id").alias("doc_id"),
-        F.col("__mix_size").alias("size"),
-        F.col("__mix_source").alias("source"),
-        F.col("__cut_size").alias("source_size"),
-        F.col("__cut_target").alias("target"),
-        F.col("__mix_repeats").alias("repeats"),
-        (F.col("__mix_size") * F.col("__mix_repeats")).alias("taken"),
-    )
+    return decided.select(F.col("row").alias("doc_id"), "size", "source", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``docs`` as the mix takes them: documents of no repetition are left out,
     the others stand once with their ``mix_repeats`` (a column of that name is
-    replaced).  Cases are as in ``mix``."""
-    marked = _marked(docs.drop("mix_repeats"), id_col, text_col, source_col, seed)
-    decided = _decided(marked, _cuts(marked, weights, max_epochs)).withColumnRenamed("__mix_repeats", "mix_repeats")
-    return decided.filter("mix_repeats > 0").drop(*[c for c in decided.columns if c.startswith(("__mix_", "__cut_"))])
+    replaced, all others are kept whatever their names).  Cases are as in
+    ``mix``."""
+    docs = docs.drop("mix_repeats")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    marked = _marked(given, seed)
+    decided = _decided(marked, _cuts(marked, weights, max_epochs)).filter("repeats > 0")
+    return decided.select("row.*", F.col("repeats").alias("mix_repeats"))
 
 
 #: DuckDB SQL of op8 over the view ``documents``.

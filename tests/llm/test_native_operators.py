@@ -1,10 +1,12 @@
 """License, PII, URL, mixing and decontamination against plain Python, and the
 pipeline against its parts."""
 
+import functools
 import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +108,7 @@ def luhn(d):
     return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if c > "4" else 2 * int(c)) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+@functools.cache
 def base(text):
     out = []
     for kind, p in CONTRACT.items():
@@ -118,7 +121,7 @@ def base(text):
 
 def test_pii_base_spans_against_the_contract(spark):
     rng = random.Random(11)
-    texts = [None, "", "a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8", "001.002.003.256 255.255.255.255", "+1 (555) 123-4567 +12", "4111 1111 1111 1111", "4111-1111-1111-1112", "é😀 x@y.zz 😀 10.0.0.1", "@@@ a@b a@.b", "1" * 50_000, "a" * 50_000 + "@", "1 " * 20_000, "1.1.1.1 " * 500]
+    texts = [None, "", "a@b.c_d@e.f.g", "1.2.3.4.5.6.7.8", "001.002.003.256 255.255.255.255", "+1 (555) 123-4567 +12", "4111 1111 1111 1111", "4111-1111-1111-1112", "é😀 x@y.zz 😀 10.0.0.1", "@@@ a@b a@.b", "1" * 50_000, "a" * 20_000 + "@", "1 " * 20_000, "1.1.1.1 " * 500]
     alphabet = "ab.@-+_ 0123456789() é"
     texts += ["".join(rng.choices(alphabet, k=rng.randint(1, 120))) for _ in range(300)]
     rows = list(enumerate(texts)) + [(2, texts[2]), (3, "u@v.w"), (None, "q@r.s")]
@@ -148,6 +151,61 @@ def test_pii_discloses_only_words_bound_to_an_entity(spark):
     assert "<EMAIL>" in text[0] and "<TERM>" in text[0] and "zanzibar" not in text[0] and text[500] == rows[-1][1] and text[10] == plain[0][1]
 
 
+def test_pii_terms_against_brute_force(spark):
+    """Marked words, and whether they are removed or generalised, by PMI over
+    plain lists; the table plants words bound to one address, to one domain,
+    and to addresses as such."""
+    rng = random.Random(2)
+    common = ["".join(rng.choices("bcdfg", k=4)) for _ in range(30)]
+    rows = []
+    for i in range(60):
+        domain = ("acme.com", "mail.net", "uni.org", "home.de")[i % 4]
+        near = ["mail", *(["Rocket"] if domain == "acme.com" else []), *([f"friend{chr(97 + i % 26)}"] if i < 8 else []), rng.choice(common)]
+        rng.shuffle(near)
+        rows.append((i, " ".join([*rng.choices(common, k=12), *near[:2], f"u{i // 2 * 2}@{domain}", *near[2:], *rng.choices(common, k=12)])))
+    rows += [(100 + i, " ".join([*rng.choices(common, k=40), "4111111111111111" if i % 9 == 0 else ""])) for i in range(60)]
+    rows += [rows[0], (200, None)]
+    words = lambda t: re.findall(r"[^\W\d_]{3,}", t or "")
+    n = Counter(w.lower() for _, t in rows for w in words(t))
+    total = sum(n.values())
+    texts = sorted(set(rows), key=str)
+    spans = [(i, t, k, a, b, t[a:b].lower()) for i, t in texts for k, a, b in base(t)]
+    contexts = set()
+    for i, t, k, a, b, value in spans:
+        left = [m for m in re.finditer(r"[^\W\d_]{3,}", t[max(0, a - 80) : a]) if m.start() > 0 or a < 80][-5:]
+        right = [m for m in re.finditer(r"[^\W\d_]{3,}", t[b : b + 80]) if m.end() < 80 or len(t[b : b + 80]) < 80][:5]
+        cls = (k, value.split("@")[-1] if k == "email" else value[:6])
+        contexts |= {(i, t, k, value, cls, m.group().lower(), o + m.start()) for o, ms in ((max(0, a - 80), left), (b, right)) for m in ms}
+    co = Counter((c[3], c[5]) for c in contexts)
+    n_entity = Counter(s[5] for s in spans)
+    places = {(c[1], c[2], c[4], c[5], c[6]) for c in contexts}
+    co_class, n_kind, n_class, n_all = Counter((p[2], p[3]) for p in places), Counter((p[1], p[3]) for p in places), Counter(p[2] for p in places), Counter(p[1] for p in places)
+    ratio = lambda c, m, ic: math.log2(min(c / (m + 1), 1)) / ic + 1 if ic > 0 else -1
+    want = {}
+    for i, t, k, value, cls, w, at in contexts:
+        if ratio(co[value, w], n[w], math.log2(total / n_entity[value])) >= 0.9:
+            want[i, at] = "<TERM>"
+        elif co_class[cls, w] >= pii_disclosure.CLASS_SUPPORT and ratio(co_class[cls, w], n_kind[k, w], math.log2(n_all[k] / n_class[cls])) >= 0.9:
+            want.setdefault((i, at), "<NAME>" if t[at].isupper() else "<WORD>")
+    assert {"<TERM>", "<NAME>"} <= set(want.values())
+    docs = frame(spark, rows)
+    got = {(r["doc_id"], int(s.split(":")[1])) for r in pii_disclosure.find_pii(docs).collect() for s in r["spans"].split(",") if s.startswith("term")}
+    assert got == set(want)
+    clean = {r["doc_id"]: r["text"] for r in pii_disclosure.redact(docs).collect()}
+    for i, t in texts:
+        expected, cut = t, [(a, b, f"<{k.upper()}>") for k, a, b in base(t)] + [(a, a + len(re.match(r"[^\W\d_]+", t[a:]).group()), tag) for (d, a), tag in want.items() if d == i]
+        for a, b, tag in sorted(cut, reverse=True):
+            expected = expected[:a] + tag + expected[b:]
+        assert clean[i] == expected
+
+
+def test_redact_long_text_with_many_spans(spark):
+    piece = "é😀 words of x@y.zz and 10.0.0.1 "
+    docs = spark.createDataFrame([(1, piece * 6000, 7)], "doc_id long, text string, pii_id int")
+    out = pii_disclosure.redact(docs, disclosure=2.0)
+    assert out.columns == docs.columns and out.first()["text"] == "é😀 words of <EMAIL> and <IP> " * 6000
+
+
 def test_redact_overlaps_and_nulls(spark):
     docs = frame(spark, [(1, "call +4111111111111111 or 4111111111111111 now"), (2, None), (3, "😀 x@y.zz 😀"), (4, ""), (3, "plain")])
     text = [r["text"] for r in pii_disclosure.redact(docs).orderBy("doc_id", "text").collect()]
@@ -187,6 +245,55 @@ def test_reputation_shrinks_to_domain_and_blocks_bad_hosts(spark):
     assert url_reputation.judge(pages.limit(0), spark.createDataFrame(bad, "page_id long, bad boolean")).count() == 0
 
 
+def test_posteriors_of_all_levels_against_brute_force(spark):
+    rng = random.Random(6)
+    hosts = [f"h{i}.d{i % 7}.{('com', 'co.uk', 'org')[i % 3]}" for i in range(40)]
+    rate = {h: 0.9 if i % 10 == 0 else 0.05 for i, h in enumerate(hosts)}
+    rows, bad = [], {}
+    for p in range(3000):
+        h = hosts[min(int(rng.expovariate(0.1)), 39)]
+        rows.append((p, f"http://{'me@' if p % 50 == 0 else ''}{h.upper() if p % 3 else h}{':8080' if p % 7 == 0 else ''}/a{p}"))
+        if rng.random() < 0.7:
+            bad[p] = rng.random() < rate[h]
+    rows += rows[:50] + [(5000, None), (5001, "http://" + "x" * 100_000 + ".com/")]
+    site = lambda u: re.sub(r":[0-9]*$", "", re.sub("^.*@", "", low(re.match(r"[^/?#]*", u.split("://", 1)[1])[0]))) if u and "://" in u else ""
+    suffix = lambda s: ".".join(s.split(".")[-2:]) if ".".join(s.split(".")[-2:]) in url_reputation.LONG_SUFFIXES else s.split(".")[-1]
+    domain = lambda s: ".".join(s.split(".")[-(suffix(s).count(".") + 2) :])
+    seen = {(site(u), p) for p, u in rows if p in bad}
+    every = {site(u) for _, u in rows}
+    overall = (sum(bad[p] for _, p in seen) + 0.5) / (len(seen) + 1)
+
+    def posterior(groups, prior):
+        n = {g: sum(s in m for s, _ in seen) for g, m in groups.items()}
+        b = {g: sum(s in m and bad[p] for s, p in seen) for g, m in groups.items()}
+        some = [g for g in groups if n[g]]
+        spread = sum(n[g] * (b[g] / n[g] - prior[g]) ** 2 for g in some)
+        noise, room = (sum(f(n[g]) * prior[g] * (1 - prior[g]) for g in some) for f in (lambda x: 1, lambda x: x - 1))
+        share = (spread - noise) / room
+        k = 1000.0 if share <= 1 / 1001 else min(1000.0, max(1.0, 1 / share - 1))
+        ab = {g: (prior[g] * k + b[g], (1 - prior[g]) * k + n[g] - b[g]) for g in groups}
+        return {g: (a / (a + c), math.sqrt(a * c / ((a + c) ** 2 * (a + c + 1)))) for g, (a, c) in ab.items()}
+
+    by = lambda key: {g: {s for s in every if key(s) == g} for g in {key(s) for s in every}}
+    suffixes = posterior(by(suffix), dict.fromkeys(by(suffix), overall))
+    domains = posterior(by(domain), {d: suffixes[suffix(d)][0] for d in by(domain)})
+    sites = posterior(by(lambda s: s), {s: domains[domain(s)][0] for s in every})
+    pages = spark.createDataFrame([(p, u, None) for p, u in rows], "page_id long, url string, site string")
+    out = url_reputation.judge(pages, spark.createDataFrame(list(bad.items()), "page_id long, bad boolean")).collect()
+    assert len(out) == len(rows)
+    blocked = set()
+    for r in out:
+        s = site("x://" + r["host"]) if r["host"] else ""
+        mean, sd = sites[s]
+        assert r["bad_rate"] == pytest.approx(mean, abs=1e-8) and r["lower_bound"] == pytest.approx(mean - 1.645 * sd, abs=1e-8)
+        bound = mean - 1.645 * sd
+        if r["rule"] is None:
+            assert r["verdict"] == ("block" if bound / (1 - bound) >= 2 * overall / (1 - overall) else "allow")
+            blocked |= {s} if r["verdict"] == "block" else set()
+    planted = {h for h in hosts if rate[h] > 0.5}
+    assert len(blocked & planted) >= 2 and blocked <= planted
+
+
 # ------------------------------------------------------------------ mixing
 def fill(sizes, weights=(5, 2, 1), epochs=3):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -317,6 +424,13 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert {r["doc_id"] for r in decontam.leaks(docs, bench).collect()} == {2}
 
 
+def test_mixing_keeps_columns_of_any_name_and_long_texts(spark):
+    docs = spark.createDataFrame([(f"d{i}", "w " * (60_000 if i == 3 else 5), "a", i, 2 * i) for i in range(9)], "doc_id string, text string, source string, __mix_id int, cut_bucket int")
+    out = mixing.mix_rows(docs)
+    assert out.columns == [*docs.columns, "mix_repeats"] and all(r["cut_bucket"] == 2 * r["__mix_id"] and r["mix_repeats"] == 1 for r in out.collect()) and out.count() == 9
+    assert {r["size"] for r in mixing.mix(docs).collect()} == {60_000, 5}
+
+
 # ------------------------------------------------------------------ the pipeline
 def test_pipeline_is_its_stages(spark, sf):
     import corpus_pipeline as P
@@ -335,3 +449,22 @@ def test_pipeline_is_its_stages(spark, sf):
         last = materialise(last, "test")
     spans = pii_disclosure.find_pii(last)
     assert spans.agg(F.sum(F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone"))).first()[0] == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    """Nulls in every column, repeated rows, one id for two texts, an empty and
+    a very long text, clashing names, and no rows at all."""
+    import corpus_pipeline as P
+
+    good = [(i, f"Some quite ordinary words number {i} stand in this line of text, and others follow them.", "en", "web", 10) for i in range(60, 66)]
+    odd = [(1, None, None, None, None), (2, "", "en", None, 0), (None, good[0][1] + " More.", None, "web", 5), good[0], good[0], (61, "Another text of the same id, with words of its own kind here.", "en", "web", 1), (3, "long words here " * 20_000, "en", "b", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in good + odd], schema + ", component int, text_key string, __mix_h int")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, sf)
+        extra = ["mix_repeats"] if name == "mixing" else []
+        assert out.columns == [*docs.columns, *extra], name
+        assert out.count() <= docs.count(), name
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    kept = sorted((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, sf).collect() if r["doc_id"] == 61 or r["doc_id"] == 60)
+    assert [i for i, _ in kept] == [60, 61, 61]

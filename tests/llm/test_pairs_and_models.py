@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
-from plumbline.llm import hmm_lm, impact_topk, langid, near_copies, quality_crf, simhash_cover
+from plumbline.llm import chains, hmm_lm, impact_topk, langid, near_copies, quality_crf, simhash_cover
 
 WHITE = r"[^\x20\x09-\x0D]+"
 
@@ -167,6 +167,80 @@ def test_baum_welch_never_lowers_the_likelihood_and_counts_add_up():
     assert np.allclose(halves[0][2] + halves[1][2], whole[2])
 
 
+@pytest.mark.parametrize("width", [1, 3, 7])
+def test_chains_are_exact_whatever_the_cuts(width):
+    rng = np.random.default_rng(width)
+    lengths = [1, 0, 2, 30, 3, 7, 100]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    psi, move, start = rng.uniform(0.01, 1, (bounds[-1], 3)), rng.uniform(0.1, 1, (3, 3)), rng.uniform(0.1, 1, 3)
+    got = {}
+    for w in (width, 1 << 40):
+        p = np.full((bounds[-1], 3), np.nan)
+
+        def use(places, x, p=p):
+            p[places] = x
+
+        got[w] = (*chains.expected(lambda lo, hi: psi[lo:hi], move / move.sum(1, keepdims=True), start / start.sum(), bounds, use, w, 40), p)
+    for a, b in zip(*got.values(), strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+    assert np.allclose(got[width][3].sum(axis=1), 1)
+
+
+def test_hmm_scores_against_plain_python(spark):
+    """The whole of ``hmm_scores`` again: classes, sample, passes to the
+    tolerance, and the score as a sum over states, by loops over lists."""
+    rng = random.Random(9)
+    rows = [(f"d{i}", " ".join(rng.choices(["ab", "Cd", "ef", "gh", "ij", "kl"] if i % 2 else ["mn", "op", "qr", "st"], k=rng.randint(0, 25)))) for i in range(40)] + [(None, "ab mn"), ("d1", "zz zz"), ("d3", None)]
+    held = F.crc32(F.col("doc_id")) % 7 == 2
+    out = hmm_lm.hmm_scores(frame(spark, rows, "doc_id string, text string"), held, states=2, bucket_bits=3).collect()
+    is_held = lambda i: i is not None and zlib.crc32(i.encode()) % 7 == 2
+    tokens = lambda t: re.findall(WHITE, low(t)) + [None]
+    class_of = lambda w: 8 if w is None else bw.hash_word(w) >> 61
+    count = Counter(w for i, t in rows if not is_held(i) for w in tokens(t))
+    n, v = Counter(), Counter()
+    for w, c in count.items():
+        n[class_of(w)] += c
+        v[class_of(w)] += 1
+    train = [[class_of(w) for w in tokens(t)] for i, t in rows if not is_held(i)]
+
+    def run(model, seqs):
+        """Expected counts and log-likelihood by unscaled sums over paths."""
+        start, move, emit, log = np.zeros(2), np.zeros((2, 2)), np.zeros_like(model.emit), 0.0
+        for s in seqs:
+            a = [model.start * model.emit[s[0]]]
+            for x in s[1:]:
+                a.append(a[-1] @ model.move * model.emit[x])
+            b = [np.ones(2)]
+            for x in reversed(s[1:]):
+                b.insert(0, model.move @ (model.emit[x] * b[0]))
+            z = a[-1].sum()
+            log += math.log(z)
+            start += a[0] * b[0] / z
+            for t, x in enumerate(s):
+                emit[x] += a[t] * b[t] / z
+                if t:
+                    move += np.outer(a[t - 1], model.emit[x] * b[t]) * model.move / z
+        return (start, move, emit), log
+
+    model = hmm_lm.Model.seeded(2, 9)
+    for most, gain in ((hmm_lm.START_PASSES, hmm_lm.START_GAIN), (hmm_lm.PASSES, hmm_lm.GAIN)):
+        last = -math.inf
+        for _ in range(most):
+            counts, log = run(model, train)
+            model = hmm_lm.Model.from_counts(*counts)
+            done, last = log - last < gain * sum(map(len, train)), log
+            if done:
+                break
+    want = []
+    for i, t in rows:
+        w = tokens(t)
+        share = sum(math.log10((count[x] + 1) / (n[class_of(x)] + v[class_of(x)] + 1)) for x in w if x is not None)
+        want.append((str(i), len(w), run(model, [[class_of(x) for x in w]])[1] / math.log(10) + share))
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in out)
+    for x, y in zip(got, sorted(want), strict=True):
+        assert x[:2] == y[:2] and x[2] == pytest.approx(y[2], rel=1e-6)
+
+
 def test_hmm_without_training_rows_and_empty(spark):
     docs = frame(spark, [(1, "a b"), (2, None)])
     rows = hmm_lm.hmm_scores(docs, F.lit(True)).collect()
@@ -194,6 +268,17 @@ def test_topk_against_brute_force(spark):
     assert impact_topk.exact_topk(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_of_unequal_lengths_and_repeated_ids(spark):
+    rows = [(0, [0.5, 0.25]), (50, [0.5, 0.25, 1.0]), (1, [1.0]), (2, [0.0, 2.0, 3.0]), (2, [1.0, 1.0]), (3, []), (0, [0.5, 0.25])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in impact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, batch=1).collect()]
+    want = []
+    for q, v in {i: tuple(v) for i, v in rows if i % 50 == 0}.items():
+        dot = lambda x, v=v: sum(int(256 * a) * int(256 * b) for a, b in zip(v, x, strict=False))
+        best = sorted((-dot(x), i) for i, x in rows if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert sorted(got) == sorted(want)
+
+
 def test_block_stops_early_only_on_proof():
     rng = np.random.default_rng(9)
     vectors = np.floor(rng.normal(0, 40, (3000, 16)))
@@ -226,6 +311,19 @@ def test_language_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, [(1, "abc")]), F.lit(True)).collect()} == {"und"}
 
 
+def test_foreign_texts_are_rejected(spark):
+    rng = random.Random(3)
+    foreign = "ja nej och att det som pa ar med inte hur varfor mycket".split()
+    rows = samples(400) + [(2000 + i, " ".join(rng.choices(foreign, k=20)), None) for i in range(40)] + [(3000, None, "en")] + samples(3)
+    got = langid.identify(frame(spark, rows), F.crc32(F.col("doc_id").cast("string")) % 4 == 2).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r["rejected"] for r in got if 2000 <= r["doc_id"] < 3000]) > 0.9
+    assert np.mean([r["rejected"] for r in got if r["doc_id"] < 400]) < 0.1
+    ids = frame(spark, [(None, "der und nicht", None), ("x", "the of and", None), ("y", "a", "en")], "doc_id string, text string, lang string")
+    assert {r["doc_id"] for r in langid.identify(ids, F.lit(False)).collect()} == {None, "x", "y"}
+    assert langid.identify(ids.limit(0), F.lit(False)).count() == 0
+
+
 def documents_of_lines(n, seed=0):
     rng = random.Random(seed)
     out = []
@@ -253,6 +351,53 @@ def test_quality_on_held_out_rows(spark):
     assert {r["score"] for r in quality_crf.score_quality(docs, labels.limit(0), learn).collect()} == {0.5}
 
 
+def test_line_features_and_score_against_plain_python(spark):
+    """Evidence of every line from features made by string operations, exact
+    marginals by sums over label paths, and the length-weighted score."""
+    rows = documents_of_lines(80) + [(1000, "", 0), (1001, "\n\n", 0), (1002, "One one ONE.\nOne one ONE.\n|| a *b*! 12", 1), (1003, "é É ß", 1)]
+    texts = [t for _, t, _ in rows]
+    field = quality_crf.train(texts, [q for *_, q in rows])
+    data, offsets = bw.string_buffers(pa.array(texts))
+    got = field.scores(data, offsets)
+
+    def own(line, before, alone):
+        raw = line.encode()
+        words = raw.split()
+        among = lambda chars: sum(c in chars for c in raw)
+        upper, letters = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz\xc3"
+        symbols = b"*$%&#@^~=<>+\\/{}[]_`"
+        per, many = max(len(raw), 1), max(len(words), 1)
+        shares = [among(c) / per for c in (b"0123456789", b" \t\r\n\x0b\x0c", b".,;:?'\"-()", symbols, b"|", b"!")]
+        return [
+            math.log1p(len(raw)) / 8, among(upper) / max(among(letters), 1), *shares, sum(w[-1] in symbols + b"|" for w in words) / many, sum(a == b for a, b in zip(words, words[1:], strict=False)) / many,
+            min(len(raw) / many, 40) / 20, raw[-1:] in (b".", b"!", b"?"), raw[:1].isupper(), not raw, bool(raw) and line in before, alone,
+        ]
+
+    w = field.weight
+    for text, score in zip(texts, got, strict=True):
+        lines = text.split("\n")
+        rows_ = [np.array(own(x, lines[:i], len(lines) == 1), float) for i, x in enumerate(lines)]
+        none = np.zeros(len(rows_[0]))
+        u = [np.concatenate([r, rows_[i - 1] if i else none, rows_[i + 1] if i + 1 < len(rows_) else none, [i == 0, i + 1 == len(rows_), 1]]) @ w for i, r in enumerate(rows_)]
+        z, good = 0.0, np.zeros(len(lines))
+        for y in np.ndindex(*[2] * len(lines)):
+            p = math.exp(sum(a for a, b in zip(u, y, strict=True) if b) + sum(field.move[y[i - 1], y[i]] for i in range(1, len(y))))
+            z += p
+            good += p * np.array(y)
+        size = np.array([len(x.encode()) + 1 for x in lines])
+        share = min(max((good / z * size).sum() / size.sum(), 1e-4), 1 - 1e-4)
+        assert score == pytest.approx(1 / (1 + math.exp(-(field.slope * math.log(share / (1 - share)) + field.offset))), abs=1e-4)
+
+
+def test_quality_sample_and_odd_rows(spark):
+    rows = documents_of_lines(60)
+    docs = frame(spark, [(f"d{i}", t) for i, t, _ in rows] + [("d1", rows[1][1]), ("d2", "other text of that id"), ("big", "\n" * (1 << 20)), (None, None)], "doc_id string, text string, score double")
+    labels = spark.createDataFrame([(f"d{i}", q) for i, _, q in rows] + [("absent", 1), ("big", 0), (None, 1)], "doc_id string, quality int")
+    out = quality_crf.score_quality(docs, labels, F.lit(True)).collect()
+    assert len(out) == 64 and all(0 <= r["score"] <= 1 for r in out) and {r["n_lines"] for r in out if r["doc_id"] == "big"} == {(1 << 20) + 1}
+    assert quality_crf.score_quality(docs.limit(0), labels, F.lit(True)).count() == 0
+
+
 def test_crf_marginals_are_sums_over_label_paths():
     rng = np.random.default_rng(0)
     u, move = rng.normal(size=7), rng.normal(size=(2, 2))
