@@ -12,6 +12,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +41,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.remove(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables written within it when it ends, but for those that
+    were handed to the function it gives: ``keep(materialise(...))``."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._scratch_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written if p not in before and p not in kept]:
+            _delete(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a stored table that nothing will read again."""
+    _delete(df.sparkSession, df._scratch_path)
 
 
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Delete every table written so far but the last ``keep``; call it only
     when no DataFrame that reads them will be evaluated again."""
-    jvm, doomed = spark.sparkContext._jvm, _written[: len(_written) - keep]
-    for path in doomed:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        _written.remove(path)
+    for path in _written[: len(_written) - keep]:
+        _delete(spark, path)
