@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
 from plumbline.llm.rows import text_key, text_of, type_of, without
-from plumbline.scratch import materialise
+from plumbline.scratch import materialise, scope
 
 WINDOW = 8
 #: Literal words that a window of placeholders needs.
@@ -311,6 +311,7 @@ def flag_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that leak an item; another text of the same id
     stays, and so do rows without an id."""
-    index, _ = item_classes(benchmark, item_col, item_text_col)
-    gone = materialise(leaked_classes(docs, index, id_col, text_col).select("doc_id", "text_key").distinct(), "decontam-gone")
+    with scope(docs.sparkSession) as keep:
+        index, _ = item_classes(benchmark, item_col, item_text_col)
+        gone = keep(materialise(leaked_classes(docs, index, id_col, text_col).select("doc_id", "text_key").distinct(), "decontam-gone"))
     return without(docs, gone, id_col, text_col)

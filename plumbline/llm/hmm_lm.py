@@ -48,7 +48,7 @@ BUCKET_BITS = 12
 STATES = 6
 #: Full passes over all training texts: at most so many, and none after one
 #: that gained less than so much natural log-likelihood a token.
-PASSES, GAIN = 6, 0.002
+PASSES, GAIN = 4, 0.002
 #: Texts of the sample that the start is fitted on, the passes over it and the
 #: gain that ends them.
 START_TEXTS, START_PASSES, START_GAIN = 400, 40, 0.001

@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.text import let
 from plumbline.llm.rows import fresh, text_key, text_of
-from plumbline.scratch import materialise
+from plumbline.scratch import materialise, scope
 
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -262,7 +262,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disc
     are and are not shuffled.  Cases are as in ``find_pii``."""
     texts = _keyed(docs, id_col, text_col)
     i, k, spans = fresh(docs, "pii_id", "pii_key", "pii_spans")
-    found = all_spans(texts, disclosure).select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("spans").alias(spans))
+    with scope(docs.sparkSession) as keep:
+        found = keep(all_spans(texts, disclosure))
+    found = found.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("spans").alias(spans))
     may = F.lit(False)
     for kind in KINDS[:4]:
         may = may | F.coalesce(_may(kind, F.col(text_col).cast("string")), F.lit(False))

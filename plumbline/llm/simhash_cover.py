@@ -27,7 +27,7 @@ from plumbline.llm import bytewords as bw
 from plumbline.llm.rows import one_of_each, text_key, text_of, type_of
 from plumbline.llm.xx64 import hash_ranges
 from plumbline.operators.components import connected_components
-from plumbline.scratch import materialise
+from plumbline.scratch import materialise, scope
 
 THRESHOLD = 2
 SHINGLE_WORDS = 3
@@ -220,5 +220,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each component (see ``rows.one_of_each``): rows
     of one id but different texts are told apart, of equal rows one stays, rows
     without an id all stay."""
-    groups = materialise(fingerprint_groups(docs, id_col, text_col, threshold).select("doc_id", "text_key", "component"), "simhash-groups")
+    with scope(docs.sparkSession) as keep:
+        groups = keep(materialise(fingerprint_groups(docs, id_col, text_col, threshold).select("doc_id", "text_key", "component"), "simhash-groups"))
     return one_of_each(docs, groups, id_col, text_col)
