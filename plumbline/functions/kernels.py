@@ -222,25 +222,22 @@ class Automaton:
 
 
 def normalize_with_offsets(text: str) -> tuple[str, list[int]]:
-    """The normal form and, for each of its UTF-16 units, the unit of the
-    original that it comes from; a separating space comes from the first
-    separator of its run."""
+    """The normal form and, for each of its characters, the place in the
+    original that it comes from, both in code points; a separating space comes
+    from the first separator of its run."""
     out: list[str] = []
     offsets: list[int] = []
-    unit, pending = 0, -1
-    for c in text:
-        width = 2 if ord(c) > 0xFFFF else 1
+    pending = -1
+    for at, c in enumerate(text):
         if c.isalpha() or c.isdecimal():
             if pending >= 0 and out:
                 out.append(" ")
                 offsets.append(pending)
             pending = -1
-            low = c.lower() if len(c.lower()) == 1 else "i"
-            out.append(low)
-            offsets.extend(range(unit, unit + (2 if ord(low) > 0xFFFF else 1)))
+            out.append(c.lower() if len(c.lower()) == 1 else "i")
+            offsets.append(at)
         elif pending < 0:
-            pending = unit
-        unit += width
+            pending = at
     return "".join(out), offsets
 
 

@@ -19,9 +19,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: What is no ASCII letter or digit, listed one by one: the JVM looks these up in
+#: a bit table, which ranges and properties do not get.
+ASCII_GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
+
+
 def normalize(text: Column) -> Column:
     """Letters and digits in lower case, every other run one space, trimmed."""
-    return F.trim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", " ")))
+    plain = F.length(text) == F.octet_length(text)
+    spaced = F.when(plain, F.regexp_replace(text, ASCII_GAP, " ")).otherwise(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", " "))
+    return F.trim(F.lower(spaced))
 
 
 def tokenize(norm: Column) -> Column:

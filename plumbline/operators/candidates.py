@@ -63,41 +63,46 @@ def minhash_candidates(subs: DataFrame, refs: DataFrame, threshold: float, width
     return gated.unionByName(forced.select(*keys, F.lit(None).cast("double").alias("estimate")))
 
 
-def similar_pairs(docs: DataFrame, threshold: float, width: int = 4) -> DataFrame:
-    """``(a, b, jaccard)``, a < b, of all pairs of different shingle sets with
-    Jaccard >= threshold > 0, each set standing for its smallest document.
+def shingle_classes(docs: DataFrame, width: int = 4) -> DataFrame:
+    """``(pos, representative, s)``, stored: documents with equal non-empty sets
+    of shingle hashes are one class, named by its smallest document; ``s`` is
+    the sorted set, with the representative only."""
+    sets = docs.select("pos", F.array_sort(F.array_distinct(F.transform(X.word_shingles(F.col("words"), width), lambda s: F.xxhash64(s)))).alias("s")).filter("size(s) > 0")
+    keyed = sets.withColumn("key", F.sha2(F.array_join(F.transform("s", lambda h: F.hex(h)), ","), 256))
+    keyed = materialise(keyed, "shingle-sets")
+    least = keyed.groupBy("key").agg(F.min("pos").alias("representative"))
+    named = keyed.join(least, "key").select("pos", "representative", F.when(F.col("pos") == F.col("representative"), F.col("s")).alias("s"))
+    return materialise(named, "shingle-classes")
+
+
+def similar_pairs(classes: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b, jaccard)``, a < b, of all pairs of representatives of ``classes``
+    (``shingle_classes``) with Jaccard >= threshold > 0.
 
     Exact prefix filtering: a pair that reaches the threshold shares one of the
     rarest ``n - ceil(t n) + 1`` shingles of either side, so only those are
-    joined, and frequent shingles hardly ever.  Equal sets are one class first
-    and are never paired.
+    joined, and frequent shingles hardly ever.  A shared shingle counts only if
+    enough of both sets follows it to reach the threshold.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and up to 1")
-    sets = docs.select("pos", F.array_sort(F.array_distinct(F.transform(X.word_shingles(F.col("words"), width), lambda s: F.xxhash64(s)))).alias("s")).filter("size(s) > 0")
-    classes = materialise(sets.groupBy("s").agg(F.min("pos").alias("pos")).select("pos", "s", F.size("s").alias("n")), "shingle-classes")
-    tokens = classes.select("pos", "n", F.explode("s").alias("h"))  # stored, so cheap to filter
+    heads = classes.filter("s is not null").select("pos", "s", F.size("s").alias("n"))
+    tokens = heads.select("pos", "n", F.explode("s").alias("h"))  # stored, so cheap to filter
     df = tokens.groupBy("h").agg(F.count("*").alias("df"))
     ranked = tokens.join(df, "h").withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy("df", "h")))
-    prefix = materialise(ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("pos", "n", "h"), "shingle-prefixes")
+    prefix = materialise(ranked.filter((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("pos", "n", "h", "place"), "shingle-prefixes")
     p, q = prefix.alias("p"), prefix.alias("q")
     near = F.col("p.n") * 1.0 >= threshold * F.col("q.n") - 1e-9
     also = F.col("q.n") * 1.0 >= threshold * F.col("p.n") - 1e-9
-    pairs = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.pos") < F.col("q.pos")) & near & also).select(F.col("p.pos").alias("a"), F.col("q.pos").alias("b")).distinct()
-    full = pairs.join(classes.select(F.col("pos").alias("a"), F.col("s").alias("sa")), "a").join(classes.select(F.col("pos").alias("b"), F.col("s").alias("sb")), "b")
+    # A pair's first shared shingle meets this; one of its rows is enough.
+    follows = F.least(F.col("p.n") - F.col("p.place"), F.col("q.n") - F.col("q.place")) + 1 >= F.ceil((F.col("p.n") + F.col("q.n")) * (threshold / (1 + threshold)) - 1e-9)
+    pairs = p.join(q, (F.col("p.h") == F.col("q.h")) & (F.col("p.pos") < F.col("q.pos")) & near & also & follows).select(F.col("p.pos").alias("a"), F.col("q.pos").alias("b")).distinct()
+    full = pairs.join(heads.select(F.col("pos").alias("a"), F.col("s").alias("sa")), "a").join(heads.select(F.col("pos").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
     return full.select("a", "b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
-def shingle_classes(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``(pos, representative)``: equal non-empty shingle sets, one class."""
-    sets = docs.select("pos", F.array_sort(F.array_distinct(F.transform(X.word_shingles(F.col("words"), width), lambda s: F.xxhash64(s)))).alias("s")).filter("size(s) > 0")
-    keyed = sets.select("pos", F.sha2(F.array_join(F.transform("s", lambda h: h.cast("string")), ","), 256).alias("key"))
-    least = keyed.groupBy("key").agg(F.min("pos").alias("representative"))
-    return keyed.join(least, "key").select("pos", "representative")
-
-
 def estimate(a: list[int], b: list[int]) -> float:
     """Share of equal slots of two signatures of one length."""
     if not a or len(a) != len(b):

@@ -13,13 +13,14 @@ from plumbline.settings import STOPWORDS
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, prefix: str = "", stopwords: Sequence[str] | None = STOPWORDS) -> DataFrame:
     """``(pos, id, content, norm, tokens, words)``; ``pos`` is the numeric id,
-    which orders the corpus without a global sort."""
-    tokens = F.col("tokens")
+    which orders the corpus without a global sort.  A null text is an empty
+    one."""
+    tokens, text = F.col("tokens"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.select(
         F.col(id_col).cast("long").alias("pos"),
         F.concat(F.lit(prefix), F.col(id_col).cast("string")).alias("id"),
-        F.col(text_col).alias("content"),
-        X.normalize(F.col(text_col)).alias("norm"),
+        text.alias("content"),
+        X.normalize(text).alias("norm"),
     ).withColumn("tokens", X.tokenize(F.col("norm")))
     return out.withColumn("words", X.remove_stopwords(tokens, stopwords) if stopwords else tokens)
 
@@ -27,3 +28,22 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, prefix: str = "", stopw
 def first_positions(docs: DataFrame, shingles: str, keys: Sequence[str] = ("pos", "id")) -> DataFrame:
     """(keys, shingle, at): the first place of each distinct shingle."""
     return docs.select(*keys, F.posexplode_outer(shingles).alias("at", "shingle")).filter("shingle is not null").groupBy(*keys, "shingle").agg(F.min("at").alias("at"))
+
+
+def document_list(docs: DataFrame) -> DataFrame:
+    """By id, letter case aside; of ids equal but for case, upper case first."""
+    return docs.orderBy(F.lower("id"), "id")
+
+
+def document_by_id(docs: DataFrame, doc_id: str) -> DataFrame:
+    return docs.filter(F.col("id") == doc_id)
+
+
+def invariants(docs: DataFrame, cases: DataFrame) -> DataFrame:
+    """``(documents, ids, cases, case_ids, orphans)``: counts whose pairs agree,
+    and no case without its submission, in a sound catalogue."""
+    known = docs.select(F.col("id").alias("sub_id")).distinct()
+    orphans = cases.join(known, "sub_id", "left_anti").agg(F.count("*").alias("orphans"))
+    d = docs.agg(F.count("*").alias("documents"), F.count_distinct("id").alias("ids"))
+    c = cases.agg(F.count("*").alias("cases"), F.count_distinct("case_id").alias("case_ids"))
+    return d.join(c).join(orphans)  # three single rows

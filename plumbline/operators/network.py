@@ -36,20 +36,47 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "cost").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost"))
 
 
-def degrees(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """``(v, degree)`` of every vertex of ``vertices`` (v)."""
-    counted = both_ways(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
+def with_members(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``edges`` between representatives, and a star for each class: its other
+    members (pos, representative) at similarity 1.  The stars stand for the
+    edges between all copies, which need not be written."""
+    copies = members.filter("pos <> representative").select(F.col("representative").alias("src"), F.col("pos").alias("dst"), F.lit(1.0).alias("similarity"), F.lit(LEAST_COST).alias("cost"))
+    return edges.select("src", "dst", "similarity", "cost").unionByName(copies)
+
+
+def edge_degrees(edges: DataFrame) -> DataFrame:
+    """``(v, degree)`` of the vertices that have edges, from the edges alone."""
+    return both_ways(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
+
+
+def degrees(edges: DataFrame, members: DataFrame, vertices: DataFrame) -> DataFrame:
+    """``(v, degree)`` of every vertex of ``vertices`` (v), all copies counted:
+    a document is next to the rest of its class and to every member of the
+    classes next to it (``edges`` join representatives)."""
+    size = members.groupBy("representative").agg(F.count("*").alias("members"))
+    way = both_ways(edges).join(size.withColumnRenamed("representative", "dst"), "dst")
+    around = way.groupBy(F.col("src").alias("representative")).agg(F.sum("members").alias("around"))
+    own = size.join(around, "representative", "left").select("representative", (F.col("members") - 1 + F.coalesce("around", F.lit(0))).alias("degree"))
+    counted = members.join(own, "representative").select(F.col("pos").alias("v"), "degree")
     return vertices.join(counted, "v", "left").select("v", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
 
-def signals(edges: DataFrame, n_vertices: int) -> DataFrame:
+def signals(edges: DataFrame, degree: DataFrame, n_vertices: int) -> DataFrame:
     """``edges`` with the graph signal: similarity and mean degree share."""
-    d = both_ways(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("degree"))
-    a, b = d.select(F.col("v").alias("src"), F.col("degree").alias("ds")), d.select(F.col("v").alias("dst"), F.col("degree").alias("dd"))
+    a, b = degree.select(F.col("v").alias("src"), F.col("degree").alias("ds")), degree.select(F.col("v").alias("dst"), F.col("degree").alias("dd"))
     density = (F.col("ds") + F.col("dd")) / (2.0 * max(1, n_vertices - 1))
     return edges.join(a, "src").join(b, "dst").withColumn("signal", F.least(F.lit(1.0), 0.75 * F.col("similarity") + 0.25 * density)).drop("ds", "dd")
 
 
+def for_members(found: DataFrame, members: DataFrame, source: int, value: str, own: float) -> DataFrame:
+    """What is ``found`` (v, value) of representatives from the representative
+    ``source`` on, for all members: copies of a class have the same ways, those
+    of the source are at ``own``."""
+    named = found.join(members.select(F.col("representative").alias("v"), "pos"), "v")
+    at_home = (F.col("v") == source) & (F.col("pos") != source)
+    return named.select(F.col("pos").alias("v"), F.when(at_home, F.lit(own).cast(found.schema[value].dataType)).otherwise(F.col(value)).alias(value))
+
+
 def groups(edges: DataFrame) -> DataFrame:
     """``(group_id, v)`` of the components of two vertices or more, numbered by
     their least vertex.  The numbering ranks groups, not vertices."""
@@ -89,6 +116,52 @@ def distances(edges: DataFrame, source: int, directed: bool = False, limit: int
     return best
 
 
+def path_between(edges: DataFrame, source: int, target: int, limit: int = 10_000) -> DataFrame:
+    """``(step, src, dst, cost, similarity)`` of one shortest path, its edges in
+    order; of equal ways back the smallest vertex is taken.  No rows if there is
+    no path or no way to go."""
+    far = materialise(distances(edges, source), "path-distances")
+    way = edges.select("src", "dst", "cost", "similarity").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "similarity"))
+    # Edges that lie on some shortest way; going back takes one each step.
+    tight = way.join(far.select(F.col("v").alias("src"), F.col("distance").alias("a")), "src").join(far.select(F.col("v").alias("dst"), F.col("distance").alias("b")), "dst")
+    tight = materialise(tight.filter((F.abs(F.col("a") + F.col("cost") - F.col("b")) < 1e-12) & (F.col("a") < F.col("b"))), "path-tight")
+    steps, v = [], target
+    while v != source and len(steps) < limit:
+        row = tight.filter(F.col("dst") == v).orderBy("src").first()
+        if row is None:
+            steps = []
+            break
+        steps.append((row["src"], row["dst"], row["cost"], row["similarity"]))
+        v = row["src"]
+    rows = [(k, *s) for k, s in enumerate(reversed(steps))]
+    return edges.sparkSession.createDataFrame(rows, "step int, src long, dst long, cost double, similarity double")
+
+
+def on_path(edges: DataFrame, path: DataFrame) -> DataFrame:
+    """``edges`` with ``selected``: whether the path uses them, either way."""
+    used = path.select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"), F.lit(True).alias("selected")).distinct()
+    same = (F.least("src", "dst") == F.col("p")) & (F.greatest("src", "dst") == F.col("q"))
+    return edges.join(F.broadcast(used), same, "left").drop("p", "q").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
+def put_edge(edges: DataFrame, a: int, b: int, similarity: float) -> DataFrame:
+    """``edges`` with the edge added, or changed if it is there."""
+    if a == b or not 0 < similarity <= 1:
+        raise ValueError("an edge joins two vertices with a similarity above 0 and up to 1")
+    new = edges.sparkSession.createDataFrame([(min(a, b), max(a, b), similarity, max(LEAST_COST, 1.0 - similarity))], "src long, dst long, similarity double, cost double")
+    return remove_edge(edges, a, b).unionByName(new)
+
+
+def remove_edge(edges: DataFrame, a: int, b: int) -> DataFrame:
+    return edges.filter((F.col("src") != min(a, b)) | (F.col("dst") != max(a, b)))
+
+
+def weight_of(edges: DataFrame, a: int, b: int) -> float:
+    """The edge's cost, infinite without one."""
+    row = edges.filter((F.col("src") == min(a, b)) & (F.col("dst") == max(a, b))).select("cost").first()
+    return row["cost"] if row else float("inf")
+
+
 def minimum_forest(edges: DataFrame) -> DataFrame:
     """``(src, dst, cost)`` of the minimum spanning forest, equal costs by
     (src, dst): Kruskal on the driver up to the bound, else Boruvka rounds."""
@@ -119,14 +192,18 @@ def boruvka(edges: DataFrame) -> DataFrame:
         left = materialise(own.join(side("src", "p"), "src").join(side("dst", "q"), "dst").filter("p <> q").select("src", "dst", "cost", "p", "q"), "forest-left")
 
 
-def on_driver(edges: DataFrame, kernel: Callable[[int, list[K.Edge]], list[tuple]], schema: str) -> DataFrame:
-    """A small-graph kernel over vertices 0..max, under the checked bound."""
+def on_driver(edges: DataFrame, kernel: Callable[[int, list[K.Edge]], list[tuple]], schema: str, vertices: int = 1) -> DataFrame:
+    """A small-graph kernel over the vertices that edges name, numbered in order
+    and named again in the first ``vertices`` columns, under the checked
+    bound."""
     few = edges.select("src", "dst", "cost").orderBy("src", "dst").limit(DRIVER_EDGES + 1).toArrow()
     if few.num_rows > DRIVER_EDGES:
         raise ValueError(f"more than {DRIVER_EDGES} edges; thin the graph first")
     rows = list(zip(*(few.column(c).to_pylist() for c in ("src", "dst", "cost")), strict=True))
-    n = 1 + max((max(a, b) for a, b, _ in rows), default=-1)
-    return edges.sparkSession.createDataFrame(kernel(n, rows), schema)
+    names = sorted({v for a, b, _ in rows for v in (a, b)})
+    at = {v: i for i, v in enumerate(names)}
+    found = kernel(len(names), [(at[a], at[b], w) for a, b, w in rows])
+    return edges.sparkSession.createDataFrame([(*(names[v] for v in r[:vertices]), *r[vertices:]) for r in found], schema)
 
 
 def snapshot_nodes(vertices: DataFrame, cases: DataFrame, grouped: DataFrame) -> DataFrame:

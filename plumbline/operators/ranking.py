@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,13 +37,26 @@ def best_per_submission(cases: DataFrame) -> DataFrame:
     return cases.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def filtered(cases: DataFrame, term: str = "", risk: str = "ALL") -> DataFrame:
-    """Best case of each submission; risk equal and term contained, whatever
-    the letter case; blank or ALL is no condition."""
+def filtered(cases: DataFrame, term: str = "", risk: str = "ALL", descending: bool = True) -> DataFrame:
+    """Best case of each submission; risk equal and term contained in the id or
+    (if there is a ``sub_title``) the title, whatever the letter case; blank or
+    ALL is no condition.  In ranking order."""
     out = best_per_submission(cases)
-    if risk.strip() and risk.upper() != "ALL":
-        out = out.filter(F.upper("risk") == risk.upper())
-    return out.filter(F.lower("sub_id").contains(term.lower())) if term.strip() else out
+    if risk.strip() and risk.strip().upper() != "ALL":
+        out = out.filter(F.upper("risk") == risk.strip().upper())
+    if term.strip():
+        holds = [F.coalesce(F.lower(c).contains(term.strip().lower()), F.lit(False)) for c in ("sub_id", "sub_title") if c in cases.columns]
+        out = out.filter(reduce(or_, holds))
+    return ranked(out, descending)
+
+
+def cases_of(cases: DataFrame, sub_id: str) -> DataFrame:
+    """All cases of one submission, in ranking order."""
+    return ranked(cases.filter(F.col("sub_id") == sub_id))
+
+
+def case_by_id(cases: DataFrame, case_id: str) -> DataFrame:
+    return cases.filter(F.col("case_id") == case_id)
 
 
 def scaled(score: Column) -> Column:
@@ -65,6 +81,8 @@ def summarize(seq: DataFrame, first: int, last: int) -> DataFrame:
     """Minimum, maximum, sum, mean and flagged count of places first..last."""
     if first < 0 or last < first:
         raise ValueError("0 <= first <= last")
+    if seq.filter(F.col("at") == last).isEmpty():
+        raise IndexError(f"there is no place {last}")
     part = seq.filter(F.col("at").between(first, last))
     return part.agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("greatest"), F.sum("score").alias("total"), F.avg("score").alias("mean"), F.sum("flag").alias("flagged"))
 

@@ -51,7 +51,7 @@ def enrich(scored: DataFrame, n_vertices: int, settings: Settings) -> tuple[Data
     if not settings.enable_graph:
         return scored, network.edges_of(scored, "sub_id", "ref_id", "total", 1.1)
     first = network.edges_of(scored, "sub_id", "ref_id", "total", settings.graph_edge_threshold)
-    signal = network.signals(first, n_vertices).select("src", "dst", "signal")
+    signal = network.signals(first, network.edge_degrees(first), n_vertices).select("src", "dst", "signal")
     pair = (F.least("sub_id", "ref_id") == F.col("src")) & (F.greatest("sub_id", "ref_id") == F.col("dst"))
     out = scored.join(signal, pair, "left").withColumn("graph", F.coalesce("signal", F.lit(0.0))).drop("src", "dst", "signal")
     total = scoring.total_score(F.col("exact"), F.col("shingle"), F.col("fuzzy"), F.col("graph"), settings.weights())

@@ -90,13 +90,16 @@ SEQ = """,
 seq AS (
   SELECT row_number() OVER (ORDER BY total DESC, case_id DESC) - 1 AS pos, case_id, total, floor(total * 1000000 + 0.5)::BIGINT AS score FROM cases),
 flags AS (SELECT *, (score >= 300000)::INT AS flag FROM seq)"""
+# The graph as it is defined: every pair of documents, copies too.
 NEAR = f"""WITH RECURSIVE {SUBS},
 sets AS (SELECT pos, list_sort(list_distinct({_shingles_sql('words', 4)})) AS s FROM subs),
-classes AS (SELECT min(pos) AS pos, s FROM sets WHERE len(s) > 0 GROUP BY s),
-sh AS (SELECT pos, len(s) AS n, unnest(s) AS g FROM classes),
+heads0 AS (SELECT pos, min(pos) OVER (PARTITION BY s) AS head FROM sets WHERE len(s) > 0),
+sh AS (SELECT pos, len(s) AS n, unnest(s) AS g FROM sets),
 twos AS (SELECT p.pos AS a, q.pos AS b, p.n AS pn, q.n AS qn, count(*) AS k FROM sh p JOIN sh q ON p.g = q.g AND p.pos < q.pos GROUP BY ALL),
 near AS (SELECT a AS src, b AS dst, k / (pn + qn - k) AS similarity, greatest(1e-6::DOUBLE, 1.0::DOUBLE - k / (pn + qn - k)) AS cost FROM twos WHERE k / (pn + qn - k) >= 0.28::DOUBLE),
-ways AS (SELECT src, dst, cost FROM near UNION ALL SELECT dst, src, cost FROM near)"""
+ways AS (SELECT src, dst, cost FROM near UNION ALL SELECT dst, src, cost FROM near),
+dg AS (SELECT src AS v, count(*) AS k FROM ways GROUP BY src),
+shown AS (SELECT near.* FROM near JOIN heads0 x ON x.pos = src JOIN heads0 y ON y.pos = dst WHERE src = x.head AND (dst = y.head OR y.head = src))"""
 REACH = """,
 reach(a, b) AS (SELECT src, dst FROM ways UNION SELECT r.a, w.dst FROM reach r JOIN ways w ON r.b = w.src),
 parts AS (SELECT a AS v, least(a, min(b)) AS component FROM reach GROUP BY a),
@@ -140,10 +143,21 @@ def reviewers(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(REVIEWERS, "pos int, id string, name string, capacity int")
 
 
+def near_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges between the representatives of different shingle sets, and
+    ``(pos, representative)`` of every document that has shingles."""
+    classes = candidates.shingle_classes(submissions(spark, d))
+    pairs = candidates.similar_pairs(classes, SETTINGS.graph_edge_threshold)
+    return materialise(network.edges_of(pairs, "a", "b", "jaccard", SETTINGS.graph_edge_threshold), "near-edges"), classes.select("pos", "representative")
+
+
 def near_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges between different near-duplicate texts, each class once."""
-    pairs = candidates.similar_pairs(submissions(spark, d), SETTINGS.graph_edge_threshold)
-    return materialise(network.edges_of(pairs, "a", "b", "jaccard", SETTINGS.graph_edge_threshold), "near-edges")
+    """Edges between documents: representatives, and a star of copies each."""
+    return materialise(network.with_members(*near_graph(spark, d)), "document-edges")
+
+
+def vertices(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("v"))
 
 
 def digraph(spark: SparkSession, d: str) -> DataFrame:
@@ -407,24 +421,57 @@ def assignment_status(spark, d):
     return c.join(a, "case_id", "left").select(F.col("case_id").alias("caseId"), F.col("total").alias("score"), F.col("reviewer_id").alias("reviewerId"), status(F.col("total"), F.col("reviewer_id"), SETTINGS.review_threshold).alias("status"))
 
 
+@query(f"{ALL_CASES} SELECT sub_id, case_id, total FROM cases WHERE sub_id = (SELECT min(sub_id) FROM cases)")
+def cases_of_submission(spark, d):
+    c = cases(spark, d)
+    return ranking.cases_of(c, c.agg(F.min("sub_id")).first()[0] or "").select("sub_id", "case_id", "total")
+
+
+@query(f"{ALL_CASES} SELECT case_id, total FROM cases WHERE case_id = (SELECT max(case_id) FROM cases)")
+def case_lookup(spark, d):
+    c = cases(spark, d)
+    return ranking.case_by_id(c, c.agg(F.max("case_id")).first()[0] or "").select("case_id", "total")
+
+
+@query("SELECT 'D' || doc_id AS id, length(text) AS n FROM documents WHERE doc_id = 17")
+def document_lookup(spark, d):
+    return corpus.document_by_id(submissions(spark, d), "D17").select("id", F.length("content").cast("long").alias("n"))
+
+
+@query("SELECT 'D' || doc_id AS id FROM documents ORDER BY lower('D' || doc_id), 1")
+def document_list(spark, d):
+    return corpus.document_list(submissions(spark, d)).select("id")
+
+
+@query(f"{ALL_CASES} SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT doc_id) FROM documents) AS ids, (SELECT count(*) FROM cases) AS cases, (SELECT count(DISTINCT case_id) FROM cases) AS case_ids, 0::BIGINT AS orphans")
+def catalogue_invariants(spark, d):
+    return corpus.invariants(submissions(spark, d), cases(spark, d))
+
+
 # ------------------------------------------------------------------ graph
-@query(f"{NEAR} SELECT src, dst, similarity, cost FROM near")
+@query(f"{NEAR} SELECT src, dst, similarity, cost FROM shown")
 def graph_edges(spark, d):
     return near_edges(spark, d)
 
 
-@query(f"{NEAR} SELECT c.pos AS v, count(w.dst) AS degree FROM classes c LEFT JOIN ways w ON w.src = c.pos GROUP BY c.pos")
+@query(f"{NEAR} SELECT pos AS v, head AS representative FROM heads0")
+def graph_members(spark, d):
+    return near_graph(spark, d)[1].select(F.col("pos").alias("v"), "representative")
+
+
+@query(f"{NEAR} SELECT doc_id AS v, coalesce(k, 0) AS degree FROM documents LEFT JOIN dg ON dg.v = doc_id")
 def graph_degree(spark, d):
-    vertices = candidates.shingle_classes(submissions(spark, d)).select(F.col("representative").alias("v")).distinct()
-    return network.degrees(near_edges(spark, d), vertices)
+    return network.degrees(*near_graph(spark, d), vertices(spark, d))
 
 
 @query(
-    f"{NEAR}, dg AS (SELECT src AS v, count(*) AS k FROM ways GROUP BY src), nv AS (SELECT count(*) AS n FROM documents) SELECT src, dst, similarity, "
-    "least(1.0::DOUBLE, 0.75::DOUBLE * similarity + 0.25::DOUBLE * ((x.k + y.k) / (2.0::DOUBLE * greatest(1, n - 1)))) AS signal FROM near JOIN dg x ON x.v = src JOIN dg y ON y.v = dst CROSS JOIN nv"
+    f"{NEAR}, nv AS (SELECT count(*) AS n FROM documents) SELECT src, dst, similarity, "
+    "least(1.0::DOUBLE, 0.75::DOUBLE * similarity + 0.25::DOUBLE * ((x.k + y.k) / (2.0::DOUBLE * greatest(1, n - 1)))) AS signal FROM shown JOIN dg x ON x.v = src JOIN dg y ON y.v = dst CROSS JOIN nv"
 )
 def graph_signal(spark, d):
-    return network.signals(near_edges(spark, d), table(spark, d, "documents").count()).select("src", "dst", "similarity", "signal")
+    edges, members = near_graph(spark, d)
+    degree = network.degrees(edges, members, vertices(spark, d))
+    return network.signals(network.with_members(edges, members), degree, table(spark, d, "documents").count()).select("src", "dst", "similarity", "signal")
 
 
 @query(f"{NEAR} {REACH} SELECT group_id, v FROM grouped")
@@ -432,27 +479,44 @@ def groups(spark, d):
     return network.groups(near_edges(spark, d))
 
 
-@query(f"{NEAR}, walk(v, level) AS (SELECT min(src), 0 FROM near UNION SELECT w.dst, level + 1 FROM walk JOIN ways w ON w.src = v WHERE level < 12) SELECT v, min(level) AS level FROM walk WHERE v IS NOT NULL GROUP BY v")
+@query(f"{NEAR}, walk(v, level) USING KEY (v) AS (SELECT min(src), 0 FROM near UNION SELECT w.dst, min(level) + 1 FROM walk JOIN ways w ON w.src = walk.v WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.v = w.dst) GROUP BY w.dst) SELECT v, level FROM walk WHERE v IS NOT NULL")
 def bfs_levels(spark, d):
-    edges = near_edges(spark, d)
-    source = edges.agg(F.min("src")).first()[0]
-    return network.levels(edges, source) if source is not None else spark.createDataFrame([], "v long, level int")
+    edges, members = near_graph(spark, d)
+    source = network.with_members(edges, members).agg(F.min("src")).first()[0]
+    if source is None:
+        return spark.createDataFrame([], "v long, level int")
+    return network.for_members(network.levels(edges, source), members, source, "level", 1)
 
 
-@query(f"{NEAR} {REACH}, worst AS (SELECT src AS v, max(similarity) AS worst FROM (SELECT src, similarity FROM near UNION ALL SELECT dst, similarity FROM near) GROUP BY src) SELECT pos AS v, coalesce(group_id, '') AS group_id, coalesce(worst, 0) AS worst FROM classes LEFT JOIN grouped ON v = pos LEFT JOIN worst w ON w.v = pos")
+@query(f"{NEAR} {REACH}, worst AS (SELECT src AS v, max(1.0::DOUBLE - CASE WHEN cost <= 1e-6::DOUBLE THEN 0 ELSE cost END) AS worst FROM ways GROUP BY src) SELECT doc_id AS v, coalesce(group_id, '') AS group_id, round(coalesce(worst, 0), 9) AS worst FROM documents LEFT JOIN grouped g ON g.v = doc_id LEFT JOIN worst w ON w.v = doc_id")
 def graph_snapshot(spark, d):
     edges = near_edges(spark, d)
-    vertices = candidates.shingle_classes(submissions(spark, d)).select(F.col("representative").alias("v")).distinct()
-    return network.snapshot_nodes(vertices, edges, network.groups(edges))
+    heads = near_graph(spark, d)[1]
+    # A copy's cases are its representative's, and those with its copies.
+    of_heads = network.snapshot_nodes(heads.select(F.col("representative").alias("v")).distinct(), edges, edges.limit(0).select(F.col("src").alias("v"), F.lit("").alias("group_id")))
+    worst = heads.join(of_heads.select(F.col("v").alias("representative"), "worst"), "representative").select(F.col("pos").alias("v"), "worst")
+    return vertices(spark, d).join(worst, "v", "left").join(network.groups(edges), "v", "left").select("v", F.coalesce("group_id", F.lit("")).alias("group_id"), F.round(F.coalesce("worst", F.lit(0.0)), 9).alias("worst"))
 
 
-@query(f"{NEAR}, best(v, distance) AS (SELECT min(src), 0.0::DOUBLE FROM near UNION SELECT w.dst, round(distance + cost, 9) FROM best JOIN ways w ON w.src = v WHERE distance + cost < 3) SELECT v, round(min(distance), 6) AS distance FROM best WHERE v IS NOT NULL GROUP BY v HAVING min(distance) < 2.5")
+@query(f"{NEAR}, best(v, distance) USING KEY (v) AS (SELECT min(src), 0.0::DOUBLE FROM near UNION SELECT w.dst, min(best.distance + cost) FROM best JOIN ways w ON w.src = best.v LEFT JOIN recurring.best r ON r.v = w.dst WHERE r.v IS NULL OR best.distance + cost < r.distance - 1e-12 GROUP BY w.dst) SELECT v, round(distance, 6) AS distance FROM best WHERE v IS NOT NULL")
 def shortest_path(spark, d):
+    edges, members = near_graph(spark, d)
+    source = network.with_members(edges, members).agg(F.min("src")).first()[0]
+    if source is None:
+        return spark.createDataFrame([], "v long, distance double")
+    found = network.distances(edges, source)
+    return network.for_members(found, members, source, "distance", network.LEAST_COST).withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def path_edges(spark, d):
+    """The path from the first vertex to the one farthest from it."""
     edges = near_edges(spark, d)
     source = edges.agg(F.min("src")).first()[0]
     if source is None:
-        return spark.createDataFrame([], "v long, distance double")
-    return network.distances(edges, source).withColumn("distance", F.round("distance", 6))
+        return network.on_path(edges, edges)
+    target = network.distances(edges, source).orderBy(F.desc("distance"), "v").first()["v"]
+    return network.on_path(edges, network.path_between(edges, source, target))
 
 
 @query()

@@ -99,7 +99,7 @@ def test_similar_pairs_against_all_pairs(spark):
     texts = random_texts(7, 40)
     texts += [t + " extra" for t in texts[:15]] + texts[:5]
     docs = prepared(spark, texts, "D")
-    got = {(r["a"], r["b"]): r["jaccard"] for r in candidates.similar_pairs(docs, 0.5, 2).collect()}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in candidates.similar_pairs(candidates.shingle_classes(docs, 2), 0.5).collect()}
     sets = {}
     for r in docs.select("pos", "words").orderBy("pos").collect():
         w = r["words"]
@@ -109,6 +109,69 @@ def test_similar_pairs_against_all_pairs(spark):
     assert got == want
 
 
+def test_graph_over_documents_with_copies(spark):
+    """Components, degrees, levels and distances against the graph in which
+    every pair of documents, copies too, has its edge."""
+    texts = random_texts(17, 25)
+    texts += [t + " extra words" for t in texts[:10]] + texts[:6] + texts[:3] + ["", None]
+    docs = prepared(spark, texts, "D")
+    classes = candidates.shingle_classes(docs, 2)
+    members = classes.select("pos", "representative")
+    heads = network.edges_of(candidates.similar_pairs(classes, 0.4), "a", "b", "jaccard", 0.4)
+    edges = network.with_members(heads, members)
+    sets = {}
+    for r in docs.select("pos", "words").collect():
+        w = r["words"]
+        sets[r["pos"]] = frozenset(" ".join(w[k : k + 2]) for k in range(len(w) - 1))
+    near = {(p, q): len(s & t) / len(s | t) for p, s in sets.items() for q, t in sets.items() if p < q and s and t and len(s & t) / len(s | t) >= 0.4}
+    full = [(p, q, max(1e-6, 1 - j)) for (p, q), j in near.items()]
+    vertices = spark.createDataFrame([(p,) for p in sets], "v long")
+    degree = {r["v"]: r["degree"] for r in network.degrees(heads, members, vertices).collect()}
+    assert degree == {p: sum(p in e for e in near) for p in sets}
+    source = min(p for p, _ in near)
+    want, _ = K.dijkstra(len(texts), full, source)
+    got = {r["v"]: r["distance"] for r in network.for_members(network.distances(edges, source), members, source, "distance", network.LEAST_COST).collect()}
+    assert got == pytest.approx({v: x for v, x in enumerate(want) if x < K.INF})
+    order = K.traverse(len(texts), full, source)
+    level = {source: 0}
+    for v in order:
+        for p, q in near:
+            if v in (p, q):
+                level.setdefault(q if v == p else p, level[v] + 1)
+    got = {r["v"]: r["level"] for r in network.for_members(network.levels(edges, source), members, source, "level", 1).collect()}
+    assert got == level
+    parts = {}
+    for r in network.groups(edges).collect():
+        parts.setdefault(r["group_id"], set()).add(r["v"])
+    root = K.strong_components(len(texts), [(a, b, 1.0) for p, q in near for a, b in ((p, q), (q, p))])
+    assert sorted(map(sorted, parts.values())) == sorted(g for g in ([v for v in range(len(texts)) if root[v] == c] for c in set(root)) if len(g) > 1)
+    target = max((v for v in got), key=lambda v: want[v])
+    path = network.path_between(edges, source, target).orderBy("step").collect()
+    assert path[0]["src"] == source and path[-1]["dst"] == target and all(a["dst"] == b["src"] for a, b in zip(path, path[1:], strict=False))
+    assert sum(r["cost"] for r in path) == pytest.approx(want[target], abs=2e-6)
+    assert network.on_path(edges, network.path_between(edges, source, target)).filter("selected").count() == len(path)
+    assert network.path_between(edges, source, len(texts) - 1).count() == 0
+    small = network.put_edge(network.put_edge(heads.limit(0), 5, 2, 0.5), 2, 5, 0.75)
+    assert network.weight_of(small, 5, 2) == 0.25 and network.weight_of(small, 1, 2) == K.INF and network.remove_edge(small, 5, 2).count() == 0
+    one = spark.createDataFrame([(30_000_000, 1, 1.0)], "src long, dst long, cost double")
+    assert network.on_driver(one, lambda n, e: list(enumerate(K.strong_components(n, e))), "v long, component int").collect() == [(1, 0), (30_000_000, 1)]
+
+
+def test_null_and_astral_texts(spark):
+    tail = "the committee reviewed every submitted document carefully before publishing the independent report"
+    subs, refs = prepared(spark, [None, "\U0001f600" * 12 + " " + tail, ""], "D"), prepared(spark, ["Intro \U00010400. " + tail, None], "B")
+    people = spark.createDataFrame([(0, "R1", "One", 1)], "pos int, id string, name string, capacity int")
+    a = analysis.analyse(subs, refs, people, Settings(), 3, 2)
+    assert a.cases.count() >= 3
+    rows = [r for r in a.evidence.collect() if r["sub_end"] > r["sub_start"]]
+    content = {f"D{i}": t or "" for i, t in enumerate([None, "\U0001f600" * 12 + " " + tail, ""])} | {"B0": "Intro \U00010400. " + tail}
+    assert rows
+    for r in rows:
+        sub, ref = r["case_id"].split("-")[-2:]
+        if r["type"] in ("EXACT", "MULTI_PATTERN"):
+            assert content[sub][r["sub_start"] : r["sub_end"]] == r["excerpt"] == content[ref][r["ref_start"] : r["ref_end"]]
+
+
 def test_fuzzy_of_two_empty_sides(spark):
     subs = prepared(spark, [""], "D")
     pair = spark.createDataFrame([(0, "D0", 0, "B0")], "sub_pos long, sub_id string, ref_pos long, ref_id string")
@@ -124,6 +187,12 @@ def test_assignment_and_ranges(spark):
     assert [r["case_id"] for r in ranking.ranked(cases).collect()] == ["PD-0", "PD-2", "PD-1", "PD-4", "PD-3"]
     seq = ranking.sequence(cases, 0.3)
     assert tuple(ranking.summarize(seq, 0, 2).first()) == (3, 500000, 900000, 1900000, pytest.approx(1900000 / 3), 3)
+    with pytest.raises(IndexError):
+        ranking.summarize(seq, 0, 5)
+    titled = cases.withColumns({"risk": F.lit("LOW"), "sub_title": F.concat(F.lit("Title of "), F.lower("case_id"))})
+    assert [r["case_id"] for r in ranking.filtered(titled, "title", "ALL").collect()] == ["PD-0", "PD-1"]
+    assert [r["case_id"] for r in ranking.filtered(titled, "s1", "low").collect()] == ["PD-1"] and ranking.filtered(titled, "none").count() == 0
+    assert [r["case_id"] for r in ranking.cases_of(cases, "S0").collect()] == ["PD-0", "PD-2", "PD-4"] and ranking.case_by_id(cases, "PD-3").count() == 1
     with pytest.raises(ValueError):
         ranking.add_to_range(seq, 0, 1, 0.2, 0.3)
     with pytest.raises(ValueError):
