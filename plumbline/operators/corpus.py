@@ -25,6 +25,16 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, prefix: str = "", stopw
     return out.withColumn("words", X.remove_stopwords(tokens, stopwords) if stopwords else tokens)
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Deals a scan too small for one split a core over the cores, as costly
+    expressions follow; a larger scan is left as its splits are.  What moves is
+    thereby less than a split for each core."""
+    session = docs.sparkSession
+    cores, split = session.sparkContext.defaultParallelism, 128 << 20
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores) if size < cores * split else docs
+
+
 def first_positions(docs: DataFrame, shingles: str, keys: Sequence[str] = ("pos", "id")) -> DataFrame:
     """(keys, shingle, at): the first place of each distinct shingle."""
     return docs.select(*keys, F.posexplode_outer(shingles).alias("at", "shingle")).filter("shingle is not null").groupBy(*keys, "shingle").agg(F.min("at").alias("at"))

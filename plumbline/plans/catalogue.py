@@ -116,11 +116,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def submissions(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.prepare(table(spark, d, "documents"), "doc_id", "text", "D")
+    return corpus.prepare(corpus.spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "D")
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.prepare(table(spark, d, "benchmark"), "item_id", "text", "B")
+    return corpus.prepare(corpus.spread(table(spark, d, "benchmark").select("item_id", "text")), "item_id", "text", "B")
 
 
 def overlapping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
