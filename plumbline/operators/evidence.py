@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import kernels as K
+from plumbline.functions import text as X
 from plumbline.settings import STOPWORDS, Settings
 
 TYPES = ("EXACT", "SHINGLE", "FUZZY", "MULTI_PATTERN")
@@ -116,3 +117,17 @@ def compact(rows: DataFrame, limit: int) -> DataFrame:
     best = Window.partitionBy("case_id").orderBy((F.col("__units") * F.col("__rel") / F.col("__cost")).desc(), F.col("__units").desc(), F.col("__rel").desc(), "idx")
     place = F.when(F.col("__n") > limit, F.row_number().over(best)).otherwise(F.col("idx") + 1)
     return rows.withColumn("place", place).filter(F.col("place") <= limit).drop("__rel", "__cost", "__n", "__units")
+
+
+def located(rows: DataFrame, cases: DataFrame, subs: DataFrame, refs: DataFrame) -> DataFrame:
+    """``rows`` with ``sub_from``, ``sub_to``, ``ref_from`` and ``ref_to``: line
+    and column of each end in its file (``line_offset`` counts header lines)."""
+    rows = rows.join(cases.select("case_id", "sub_pos", "ref_pos"), "case_id")
+    for side, docs in (("sub", subs), ("ref", refs)):
+        skipped = F.col("line_offset") if "line_offset" in docs.columns else F.lit(0)
+        rows = rows.join(docs.select(F.col("pos").alias(f"{side}_pos"), F.col("content").alias("__content"), skipped.alias("__skipped")), f"{side}_pos")
+        for end, offset in (("from", f"{side}_start"), ("to", f"{side}_end")):
+            line, column = X.line_of(F.col("__content"), F.col(offset)) + F.col("__skipped"), X.column_of(F.col("__content"), F.col(offset))
+            rows = rows.withColumn(f"{side}_{end}", F.format_string("line %d, column %d", line, column))
+        rows = rows.drop("__content", "__skipped", f"{side}_pos")
+    return rows

@@ -20,6 +20,7 @@ from plumbline.plans import analysis
 from plumbline.report import case_reports, status, summary_lines
 from plumbline.scratch import materialise
 from plumbline.settings import STOPWORDS, Settings
+from plumbline.sources import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -639,6 +640,47 @@ def huffman_roundtrip(spark, d):
     return table(spark, d, "benchmark").select("item_id", (U.decompress(U.compress(raw)) == raw).alias("same"))
 
 
+# ------------------------------------------------------------------ ingest
+# A file per row: ids are language and length, so that many are taken twice.
+_FILES = "SELECT '{0}/' || coalesce({1}, '-') || '-' || {2} || '.txt' AS path, 'ID: ' || coalesce({3}, '-') || length(coalesce(text, '')) || chr(10) || 'TITLE: ' || coalesce({1}, '-') || chr(10) || chr(10) AS head, coalesce({3}, '-') || length(coalesce(text, '')) AS doc_id, coalesce({1}, '-') AS title, coalesce(text, '') AS body, '{4}' AS doc_type FROM {5}"
+PARSED = f"""
+files AS ({_FILES.format('in', 'source', 'doc_id', 'lang', 'SUBMISSION', 'documents')} UNION ALL {_FILES.format('ref', "'item'", 'item_id', "'ref'", 'REFERENCE', 'benchmark')}),
+checked AS (
+  SELECT *, split_part(path, '/', -1) AS name, CASE WHEN strlen(head || body) > 2000000 THEN 'file too large' WHEN trim(body, ' ') = '' THEN 'no text' WHEN NOT regexp_matches(body, '[\\p{{L}}\\p{{Nd}}]') THEN 'no letter or digit' WHEN NOT regexp_matches(doc_id, '^[\\p{{L}}\\p{{Nd}}_-]+$') THEN 'bad id' END AS reason FROM files),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_type, doc_id, reason IS NULL ORDER BY lower(name), name, path) AS k, row_number() OVER (PARTITION BY doc_id, reason IS NULL ORDER BY doc_type DESC, lower(name), path) AS k_both FROM checked)"""
+
+
+def parsed_files(spark: SparkSession, d: str, name: str) -> DataFrame:
+    folder, key, doc_type = {"documents": ("in", "doc_id", "SUBMISSION"), "benchmark": ("ref", "item_id", "REFERENCE")}[name]
+    t = table(spark, d, name).withColumn("text", F.coalesce("text", F.lit("")))
+    source, lang = (F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-"))) if name == "documents" else (F.lit("item"), F.lit("ref"))
+    content = F.encode(F.concat(F.lit("ID: "), lang, F.length("text").cast("string"), F.lit("\nTITLE: "), source, F.lit("\n\n"), "text"), "UTF-8")
+    rows = t.select(F.concat(F.lit(f"{folder}/"), source, F.lit("-"), F.col(key).cast("string"), F.lit(".txt")).alias("path"), content.alias("content"))
+    return ingest.parse(rows.withColumn("length", F.octet_length("content").cast("long")), doc_type)
+
+
+@query(f"WITH {PARSED} SELECT doc_id, title, length(body) AS n, 3 AS line_offset, row_number() OVER (ORDER BY lower(name), name, path) - 1 AS pos FROM ranked WHERE doc_type = 'SUBMISSION' AND reason IS NULL AND k = 1")
+def ingest_documents(spark, d):
+    docs, _ = ingest.import_files(parsed_files(spark, d, "documents"))
+    return docs.select("doc_id", "title", F.length("content").cast("long").alias("n"), "line_offset", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"WITH {PARSED} SELECT path AS file, doc_id, coalesce(reason, 'duplicate id') AS reason FROM ranked WHERE doc_type = 'SUBMISSION' AND (reason IS NOT NULL OR k > 1)")
+def ingest_errors(spark, d):
+    return ingest.import_files(parsed_files(spark, d, "documents"))[1]
+
+
+@query(f"WITH {PARSED} SELECT doc_type, count(*) FILTER (reason IS NULL AND k_both = 1) AS valid, count(*) FILTER (reason IS NOT NULL OR k_both > 1) AS invalid FROM ranked GROUP BY doc_type")
+def ingest_validate(spark, d):
+    return ingest.validate(parsed_files(spark, d, "documents"), parsed_files(spark, d, "benchmark"))
+
+
+@query(f"WITH {PARSED}, first AS (SELECT * FROM ranked WHERE doc_type = 'SUBMISSION' AND reason IS NULL AND k = 1) SELECT 'APDS_DOCUMENT_INDEX' AS line UNION ALL SELECT 'VERSION' || chr(9) || '1' UNION ALL SELECT 'COUNT' || chr(9) || count(*) FROM first UNION ALL SELECT 'RECORD' || chr(9) || doc_id || chr(9) || doc_type || chr(9) || path FROM first")
+def catalogue_snapshot(spark, d):
+    docs, _ = ingest.import_files(parsed_files(spark, d, "documents"))
+    return ingest.snapshot_lines(docs)
+
+
 # ------------------------------------------------------------------ kernels and the whole
 @query()
 def minhash_candidates(spark, d):
@@ -666,7 +708,7 @@ def evidence_compact(spark, d):
 @query()
 def case_report(spark, d):
     a = whole(spark, d)
-    return case_reports(a.cases, a.evidence, a.assigned, SETTINGS.review_threshold)
+    return case_reports(a.cases, evidence.located(a.evidence, a.cases, submissions(spark, d), references(spark, d)), a.assigned, SETTINGS.review_threshold)
 
 
 def whole(spark: SparkSession, d: str) -> analysis.Analysis:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import NEWLINE
+from plumbline.sources import files
 from plumbline.settings import Settings, parse_settings
 
 _HEADER = r"(?i)^(ID|TITLE|AUTHOR):[ \t]*([^\r\n]*)"
@@ -93,6 +97,14 @@ def quarantine(errors: DataFrame, path: str) -> None:
     errors.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def reload_corpus(spark: SparkSession, sources: Sequence[tuple[str, str]], removed: DataFrame | None = None, max_bytes: int = Settings.max_file_bytes) -> tuple[DataFrame, DataFrame]:
+    """Reads the registered (folder, type) sources anew, as one import; ids of
+    ``removed`` (doc_id) stay away."""
+    parsed = reduce(DataFrame.unionByName, [parse(read_directory(spark, path), kind, max_bytes) for path, kind in sources])
+    docs, errors = import_files(parsed)
+    return (docs if removed is None else remove_documents(docs, removed)), errors
+
+
 def remove_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti")
 
@@ -172,3 +184,35 @@ def catalogue_differences(stored: DataFrame, loaded: DataFrame) -> DataFrame:
     """Ids that stand in one of two catalogues only, or with another type."""
     a, b = stored.select("doc_id", F.col("doc_type").alias("stored_type")), loaded.select("doc_id", F.col("doc_type").alias("loaded_type"))
     return a.join(b, "doc_id", "full").filter(~F.col("stored_type").eqNullSafe(F.col("loaded_type")))
+
+
+def save_catalogue(spark: SparkSession, path: str, catalogue: DataFrame) -> None:
+    """Replaces the snapshot; one that would not read back whole is dropped and
+    the former one stays."""
+    files.replace(spark, path, lambda p: snapshot_lines(catalogue).write.text(p), lambda p: read_snapshot(spark, p))
+
+
+def open_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The stored catalogue, empty if there is none yet; a replacement that a
+    crash stopped is undone first."""
+    files.recover(spark, path)
+    return read_snapshot(spark, path) if files.exists(spark, path) else spark.createDataFrame([], "doc_id string, doc_type string, path string")
+
+
+def put_records(spark: SparkSession, path: str, records: DataFrame) -> None:
+    """Adds records (doc_id, doc_type, path); one of a known id replaces it."""
+    records = records.select("doc_id", "doc_type", "path")
+    save_catalogue(spark, path, remove_documents(open_catalogue(spark, path), records).unionByName(records))
+
+
+def remove_records(spark: SparkSession, path: str, ids: DataFrame) -> None:
+    save_catalogue(spark, path, remove_documents(open_catalogue(spark, path), ids))
+
+
+def clear_catalogue(spark: SparkSession, path: str) -> None:
+    save_catalogue(spark, path, open_catalogue(spark, path).limit(0))
+
+
+def missing_files(catalogue: DataFrame, listing: DataFrame) -> DataFrame:
+    """Records whose file stands in no listing (path)."""
+    return catalogue.join(listing.select("path").distinct(), "path", "left_anti")
