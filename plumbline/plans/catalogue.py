@@ -106,6 +106,60 @@ reach(a, b) AS (SELECT src, dst FROM ways UNION SELECT r.a, w.dst FROM reach r J
 parts AS (SELECT a AS v, least(a, min(b)) AS component FROM reach GROUP BY a),
 heads AS (SELECT component, 'GROUP-' || row_number() OVER (ORDER BY component) AS group_id FROM (SELECT DISTINCT component FROM parts)),
 grouped AS (SELECT group_id, v FROM parts JOIN heads USING (component))"""
+# An edge is in the forest if no path of lesser edges joins its ends.
+FOREST = """,
+cand AS (SELECT src, dst, cost, row_number() OVER (ORDER BY cost, src, dst) AS o FROM shown),
+turns AS (SELECT o, src AS a, dst AS b FROM cand UNION ALL SELECT o, dst, src FROM cand),
+lesser(o, v) AS (SELECT o, src FROM cand UNION SELECT l.o, t.b FROM lesser l JOIN turns t ON t.a = l.v AND t.o < l.o)"""
+# The three dynamic programs row by row; what goes along a row is a running
+# maximum or minimum.
+ALIGNED = f"""WITH RECURSIVE {SUBS}, {REFS}, {PAIRS},
+two AS (SELECT sub_pos, ref_pos, sub_id, ref_id, s.words[1:900] AS a, r.words[1:900] AS b FROM pairs JOIN subs s ON s.pos = sub_pos JOIN refs r ON r.pos = ref_pos),
+across AS (SELECT sub_pos, ref_pos, a, 0::BIGINT AS j, NULL::VARCHAR AS w FROM two UNION ALL SELECT sub_pos, ref_pos, a, generate_subscripts(b, 1), unnest(b) FROM two),
+dp(sub_pos, ref_pos, i, j, lcs, edits, local) AS (
+  SELECT sub_pos, ref_pos, 0::BIGINT, j, 0::BIGINT, j, 0::BIGINT FROM across
+  UNION ALL
+  SELECT sub_pos, ref_pos, i, j, max(lcs) OVER line, min(edits - j) OVER line + j, max(local + 2 * j) OVER line - 2 * j FROM (
+    SELECT d.sub_pos, d.ref_pos, i + 1 AS i, d.j, greatest(lcs, coalesce(lag(lcs) OVER up + (w = a[i + 1])::BIGINT, 0)) AS lcs,
+           least(edits + 1, coalesce(lag(edits) OVER up + (w <> a[i + 1])::BIGINT, edits + 1)) AS edits, greatest(0, local - 2, coalesce(lag(local) OVER up + CASE WHEN w = a[i + 1] THEN 3 ELSE -2 END, 0)) AS local
+    FROM dp d JOIN across x ON x.sub_pos = d.sub_pos AND x.ref_pos = d.ref_pos AND x.j = d.j WHERE i < len(a) WINDOW up AS (PARTITION BY d.sub_pos, d.ref_pos ORDER BY d.j))
+  WINDOW line AS (PARTITION BY sub_pos, ref_pos ORDER BY j)),
+best AS (SELECT sub_pos, ref_pos, max(local) AS alignment FROM dp GROUP BY ALL),
+measured AS (
+  SELECT sub_id, ref_id, alignment, least(1.0::DOUBLE, alignment / (3 * least(len(a), len(b)))) AS similarity, lcs, edits, greatest(len(a), len(b)) AS longest
+  FROM two JOIN best USING (sub_pos, ref_pos) JOIN dp USING (sub_pos, ref_pos) WHERE i = len(a) AND j = len(b))"""
+# 64-bit arithmetic in 128-bit integers; a product is taken in halves.
+_times = lambda x, c: f"(({x}::HUGEINT * {c & 0xFFFFFFFF} + (({x}::HUGEINT * {c >> 32}) % 4294967296) * 4294967296) % 18446744073709551616)::UBIGINT"
+
+
+def _finish_sql(name: str, source: str, keys: str) -> str:
+    """Tables ``name`` (keys, x): the finaliser over ``source`` (keys, x)."""
+    return f"""
+{name}1 AS (SELECT {keys}, xor(x, x >> 30) AS x FROM {source}), {name}2 AS (SELECT {keys}, {_times('x', K.MIX_A)} AS x FROM {name}1),
+{name}3 AS (SELECT {keys}, xor(x, x >> 27) AS x FROM {name}2), {name}4 AS (SELECT {keys}, {_times('x', K.MIX_B)} AS x FROM {name}3),
+{name} AS (SELECT {keys}, xor(x, x >> 31) AS x FROM {name}4)"""
+
+
+SIGNED = f"""WITH {SUBS}, {REFS},
+sides AS (SELECT 's' AS side, pos, id, list_distinct({_shingles_sql('words', 4)}) AS s FROM subs UNION ALL SELECT 'r', pos, id, list_distinct({_shingles_sql('words', 4)}) FROM refs),
+held AS (SELECT side, pos, unnest(s) AS g FROM sides),
+signs AS (SELECT g, list_transform(regexp_extract_all(g, '(?s).'), lambda c: unicode(c)) AS c FROM (SELECT DISTINCT g FROM held)),
+units AS (SELECT g, flatten(list_transform(c, lambda u: CASE WHEN u < 65536 THEN [u] ELSE [55296 + (u - 65536) // 1024, 56320 + (u - 65536) % 1024] END)) AS u FROM signs),
+folded AS (SELECT g, xor(list_reduce(list_prepend({K.FNV_OFFSET}::UBIGINT, flatten(list_transform(u, lambda v: [(v % 256)::UBIGINT, (v // 256)::UBIGINT]))), lambda h, b: {_times('xor(h, b)', K.FNV_PRIME)}), len(u)::UBIGINT) AS x FROM units),
+{_finish_sql('hashed', 'folded', 'g')},
+steps AS (SELECT slot, ((slot::HUGEINT * {K.GAMMA} + {K.MINHASH_SEED}) % 18446744073709551616)::UBIGINT AS x FROM range(1, 129) r(slot)),
+{_finish_sql('salts', 'steps', 'slot')},
+salted AS (SELECT g, slot, xor(hashed.x, salts.x) AS x FROM hashed CROSS JOIN salts),
+{_finish_sql('mixed', 'salted', 'g, slot')},
+sig AS (SELECT side, pos, slot, min(x & 9223372036854775807::UBIGINT) AS v FROM held JOIN mixed USING (g) GROUP BY ALL),
+agreed AS (SELECT a.pos AS sub_pos, b.pos AS ref_pos, count(*) AS k FROM sig a JOIN sig b ON a.side = 's' AND b.side = 'r' AND a.slot = b.slot AND a.v = b.v GROUP BY ALL)"""
+COVER = """WITH RECURSIVE
+sets AS (SELECT s_suppkey % 7 AS k, list_distinct(list(s_nationkey::BIGINT)) AS s FROM supplier GROUP BY 1),
+step(n, chosen, uncovered) AS (
+  SELECT 0, ''::VARCHAR, (SELECT list(n_nationkey::BIGINT ORDER BY n_nationkey) FROM nation)
+  UNION ALL
+  SELECT n + 1, CASE n WHEN 0 THEN '' ELSE chosen || ',' END || k, list_filter(uncovered, lambda x: NOT list_contains(s, x)) FROM (
+    SELECT *, row_number() OVER (ORDER BY len(list_intersect(s, uncovered)) DESC, k) AS r FROM step CROSS JOIN sets WHERE len(list_intersect(s, uncovered)) > 0) WHERE r = 1)"""
 DIGRAPH = """WITH RECURSIVE
 e(src, dst, cost) AS (SELECT n_nationkey, (n_nationkey * 3 + 1) % 25, 1.0::DOUBLE + n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 5, 2.0::DOUBLE + n_regionkey FROM nation WHERE n_nationkey < 12),
 digraph AS (SELECT src, dst, cost FROM e WHERE src <> dst)"""
@@ -520,7 +574,7 @@ def path_edges(spark, d):
     return network.on_path(edges, network.path_between(edges, source, target))
 
 
-@query()
+@query(f"{NEAR} {FOREST} SELECT src, dst, cost FROM cand WHERE NOT EXISTS (SELECT 1 FROM lesser l WHERE l.o = cand.o AND l.v = cand.dst)")
 def mst(spark, d):
     return network.minimum_forest(near_edges(spark, d))
 
@@ -568,7 +622,7 @@ def max_flow(spark, d):
     return network.on_driver(digraph(spark, d).filter("src < dst"), kernel, "flow long, cut string")
 
 
-@query()
+@query(f"{COVER} SELECT chosen, array_to_string(uncovered, ',') AS uncovered, n::DOUBLE AS cost FROM step ORDER BY n DESC LIMIT 1")
 def set_cover(spark, d):
     # Suppliers that together serve every nation of their region.
     rows = table(spark, d, "supplier").groupBy(F.pmod("s_suppkey", F.lit(7)).alias("k")).agg(F.collect_set("s_nationkey").alias("s")).orderBy("k").collect()  # at most 7
@@ -682,12 +736,15 @@ def catalogue_snapshot(spark, d):
 
 
 # ------------------------------------------------------------------ kernels and the whole
-@query()
+@query(
+    f"{SIGNED} SELECT a.id AS sub_id, b.id AS ref_id, CASE WHEN len(a.s) > 0 AND len(b.s) > 0 THEN k / 128.0::DOUBLE END AS estimate FROM sides a JOIN sides b ON a.side = 's' AND b.side = 'r' "
+    "LEFT JOIN agreed ON sub_pos = a.pos AND ref_pos = b.pos WHERE len(a.s) = 0 OR len(b.s) = 0 OR k >= 0.12::DOUBLE * 128"
+)
 def minhash_candidates(spark, d):
     return candidates.minhash_candidates(submissions(spark, d), references(spark, d), SETTINGS.candidate_threshold).select("sub_id", "ref_id", "estimate")
 
 
-@query()
+@query(f"{ALIGNED} SELECT sub_id, ref_id, alignment, similarity, lcs, edits, 0.50::DOUBLE * similarity + 0.30::DOUBLE * (lcs / longest) + 0.20::DOUBLE * (1.0::DOUBLE - edits / longest) AS fuzzy FROM measured")
 def fuzzy_score(spark, d):
     subs, refs, pairs = overlapping(spark, d)
     out = scoring.fuzzy_scores(pairs.select(*scoring.PAIR), subs, refs)
