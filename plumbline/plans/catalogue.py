@@ -126,7 +126,7 @@ dp(sub_pos, ref_pos, i, j, lcs, edits, local) AS (
   WINDOW line AS (PARTITION BY sub_pos, ref_pos ORDER BY j)),
 best AS (SELECT sub_pos, ref_pos, max(local) AS alignment FROM dp GROUP BY ALL),
 measured AS (
-  SELECT sub_id, ref_id, alignment, least(1.0::DOUBLE, alignment / (3 * least(len(a), len(b)))) AS similarity, lcs, edits, greatest(len(a), len(b)) AS longest
+  SELECT sub_id, ref_id, alignment, least(1.0::DOUBLE, coalesce(alignment / nullif(3 * least(len(a), len(b)), 0), 0)) AS similarity, lcs, edits, greatest(len(a), len(b)) AS longest
   FROM two JOIN best USING (sub_pos, ref_pos) JOIN dp USING (sub_pos, ref_pos) WHERE i = len(a) AND j = len(b))"""
 # 64-bit arithmetic in 128-bit integers; a product is taken in halves.
 _times = lambda x, c: f"(({x}::HUGEINT * {c & 0xFFFFFFFF} + (({x}::HUGEINT * {c >> 32}) % 4294967296) * 4294967296) % 18446744073709551616)::UBIGINT"
@@ -153,6 +153,25 @@ salted AS (SELECT g, slot, xor(hashed.x, salts.x) AS x FROM hashed CROSS JOIN sa
 {_finish_sql('mixed', 'salted', 'g, slot')},
 sig AS (SELECT side, pos, slot, min(x & 9223372036854775807::UBIGINT) AS v FROM held JOIN mixed USING (g) GROUP BY ALL),
 agreed AS (SELECT a.pos AS sub_pos, b.pos AS ref_pos, count(*) AS k FROM sig a JOIN sig b ON a.side = 's' AND b.side = 'r' AND a.slot = b.slot AND a.v = b.v GROUP BY ALL)"""
+_V = SETTINGS.weights()
+_TOTAL = f"least(1.0, greatest(0.0, (exact * {_V[0]}::DOUBLE + shingle * {_V[1]}::DOUBLE + fuzzy * {_V[2]}::DOUBLE + {{}} * {_V[3]}::DOUBLE) / ({_V[0]}::DOUBLE + {_V[1]}::DOUBLE + {_V[2]}::DOUBLE + {_V[3]}::DOUBLE)))"
+# The whole analysis: the candidates take the place of the overlapping pairs.
+WHOLE = f"""{SIGNED.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS.replace('pairs AS', 'shared AS')},
+pairs AS (
+  SELECT a.pos AS sub_pos, a.id AS sub_id, b.pos AS ref_pos, b.id AS ref_id, coalesce(jaccard, 0) AS jaccard FROM sides a JOIN sides b ON a.side = 's' AND b.side = 'r'
+  LEFT JOIN agreed g ON g.sub_pos = a.pos AND g.ref_pos = b.pos LEFT JOIN shared o ON o.sub_pos = a.pos AND o.ref_pos = b.pos WHERE len(a.s) = 0 OR len(b.s) = 0 OR k >= 0.12::DOUBLE * 128),
+{CHARS}, {EXACT}, {ALIGNED[ALIGNED.index('two AS') :]},
+fuzzed AS (
+  SELECT sub_id, ref_id, 0.50::DOUBLE * coalesce(similarity, 0) + 0.30::DOUBLE * coalesce(lcs / nullif(longest, 0), 1) + 0.20::DOUBLE * coalesce(1.0::DOUBLE - edits / nullif(longest, 0), 1) AS fuzzy FROM measured),
+based AS (SELECT e.sub_pos, e.ref_pos, e.sub_id, e.ref_id, exact, shingle, fuzzy, {_TOTAL.format('0.0::DOUBLE')} AS base FROM exact e JOIN shingled USING (sub_pos, ref_pos) JOIN fuzzed f ON f.sub_id = e.sub_id AND f.ref_id = e.ref_id),
+linked AS (SELECT sub_id, ref_id, base FROM based WHERE base >= 0.28::DOUBLE),
+ends AS (SELECT v, count(*) AS k FROM (SELECT sub_id AS v FROM linked UNION ALL SELECT ref_id FROM linked) GROUP BY v),
+sizes AS (SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM benchmark) AS n, (SELECT count(*) FROM benchmark) AS n_refs),
+signalled AS (
+  SELECT l.sub_id, l.ref_id, least(1.0::DOUBLE, 0.75::DOUBLE * base + 0.25::DOUBLE * ((x.k + y.k) / (2.0::DOUBLE * greatest(1, n - 1)))) AS graph
+  FROM linked l JOIN ends x ON x.v = l.sub_id JOIN ends y ON y.v = l.ref_id CROSS JOIN sizes),
+graded AS (SELECT b.*, coalesce(graph, 0) AS graph FROM based b LEFT JOIN signalled USING (sub_id, ref_id)),
+final AS (SELECT *, {_TOTAL.format('graph')} AS total FROM graded)"""
 COVER = """WITH RECURSIVE
 sets AS (SELECT s_suppkey % 7 AS k, list_distinct(list(s_nationkey::BIGINT)) AS s FROM supplier GROUP BY 1),
 step(n, chosen, uncovered) AS (
@@ -751,7 +770,10 @@ def fuzzy_score(spark, d):
     return out.select("sub_id", "ref_id", F.col("align.score").alias("alignment"), F.col("align.similarity").alias("similarity"), "lcs", "edits", "fuzzy")
 
 
-@query()
+@query(
+    f"{WHOLE} SELECT 'PD-' || (sub_pos * n_refs + ref_pos + 1) || '-' || sub_id || '-' || ref_id AS case_id, sub_id, ref_id, exact, shingle, fuzzy, graph, total, "
+    "CASE WHEN total >= 0.75 THEN 'CRITICAL' WHEN total >= 0.55 THEN 'HIGH' WHEN total >= 0.35 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM final CROSS JOIN sizes"
+)
 def full_pipeline(spark, d):
     a = whole(spark, d)
     return a.cases.select("case_id", "sub_id", "ref_id", "exact", "shingle", "fuzzy", "graph", "total", "risk")
