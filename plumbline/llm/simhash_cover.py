@@ -11,6 +11,13 @@ smaller member alone.  Because the code is linear, the replicas depend on the
 two syndromes only (2,048 values each) and come from a small table.
 
 Equal fingerprints are one class and are never paired.
+
+``meetings`` is the covering for texts further apart than two bits.  It has six
+tables, each over 46 bits of one of three 64-bit words.  A fingerprint goes to
+the homes of the words that differ from its own in one or two of its weakest
+bits, those whose votes were closest, for there near copies differ most often;
+two meet that have an anchor in common.  At such distances that finds most
+pairs, not all.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.llm import bytewords as bw
 from plumbline.llm.rows import one_of_each, text_key, text_of, type_of
@@ -33,6 +41,17 @@ THRESHOLD = 2
 SHINGLE_WORDS = 3
 SEED = 42
 BLOCK = 23
+#: Word and shift of the 46 bits of each table of ``meetings``.
+TABLES = [(word, shift) for word in range(3) for shift in (0, 64 - 2 * BLOCK)]
+#: The weakest bits of a table that are flipped, by rank: one, or two of five.
+WEAK = 8
+FLIPS = [(), *((i,) for i in range(WEAK)), *((i, j) for j in range(5) for i in range(j))]
+#: Most bits of 64 in which a pair of ``meetings`` differs (a Jaccard similarity
+#: of 0.8 makes 9.7 on average, sd 2.9), how many of an anchor, besides its
+#: first, a fingerprint meets, and with how many of all it is paired.
+FAR, CROWD, NEAREST = 19, 16, 8
+#: Lowest bits of an anchor's number that hold the place within it.
+PLACE = 12
 #: Generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1.
 GOLAY = 0b110001110101
 #: Bit i of a byte as the lowest bit of lane i of a 64-bit word.
@@ -44,9 +63,8 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_
     """uint64 fingerprint of each text: bit 1 where over half of its shingles'
     XXH64 have it; all zero for a text without words."""
     low, starts, ends, first = bw.white_words(data, offsets)
-    out = np.zeros(len(offsets) - 1, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(len(offsets) - 1, np.uint64)
     # One space between words: copy each word with one byte behind it.
     lens = ends - starts
     at = np.zeros(len(starts) + 1, np.int64)
@@ -59,24 +77,48 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE_
     doc = np.repeat(np.arange(len(counts)), n_shingles)
     begin = np.arange(len(doc)) - np.repeat(np.cumsum(n_shingles) - n_shingles, n_shingles) + first[doc]
     stop = at[np.minimum(begin + width, first[doc + 1])] - 1
-    hashes = hash_ranges(joined, at[begin], stop, SEED)
-    # Bit counts: a byte's bits spread over eight lanes, added up for at most
-    # 255 shingles of one text at a time so that no lane overflows.
+    return majority(votes(hash_ranges(joined, at[begin], stop, SEED), n_shingles), n_shingles)
+
+
+def votes(hashes: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+    """How many of the ``n_shingles`` hashes of each text, which stand one text
+    after another, have each of the 64 bits."""
+    out = np.zeros((len(n_shingles), 64), np.int64)
+    if not len(hashes):
+        return out
+    # A byte's bits spread over eight lanes, added up for at most 255 shingles
+    # of one text at a time so that no lane overflows.
     full = np.flatnonzero(n_shingles)
     pieces = -(-n_shingles[full] // 255)
     piece_of = np.cumsum(pieces) - pieces
     inner = np.arange(pieces.sum()) - np.repeat(piece_of, pieces)
     cut = np.repeat((np.cumsum(n_shingles) - n_shingles)[full], pieces) + 255 * inner
     lanes = hashes.view(np.uint8).reshape(-1, 8)
-    ones = np.empty((len(full), 64), np.int64)
     for k in range(8):
         eight = np.add.reduceat(SPREAD[lanes[:, k]], cut).view(np.uint8).reshape(-1, 8)
-        ones[:, 8 * k : 8 * k + 8] = np.add.reduceat(eight, piece_of, axis=0, dtype=np.int64)
-    set_bits = (2 * ones > n_shingles[full][:, None]).astype(np.uint64)
-    out[full] = (set_bits << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        out[full, 8 * k : 8 * k + 8] = np.add.reduceat(eight, piece_of, axis=0, dtype=np.int64)
     return out
 
 
+def majority(ones: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+    """uint64 of each text: bit 1 where over half of its shingles vote for it."""
+    return ((2 * ones > n_shingles[:, None]).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+
+def sketches(hashes: np.ndarray, n_shingles: np.ndarray) -> np.ndarray:
+    """Nine uint64 of each text: three fingerprints, and for each table the
+    places of its weakest bits, six bits each, the weakest lowest."""
+    words, weakest = [], []
+    for k in range(3):
+        ones = votes(bw.mix(hashes ^ np.uint64(k)), n_shingles)
+        words.append(majority(ones, n_shingles))
+        margin = np.abs(2 * ones - n_shingles[:, None])
+        for shift in (s for w, s in TABLES if w == k):
+            order = np.argsort(margin[:, shift : shift + 2 * BLOCK], axis=1, kind="stable")[:, :WEAK]
+            weakest.append((order.astype(np.uint64) << (np.uint64(6) * np.arange(WEAK, dtype=np.uint64))).sum(axis=1, dtype=np.uint64))
+    return np.stack(words + weakest, axis=1)
+
+
 def _fingerprint_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in bw.text_groups(batches):
         fp = fingerprints_of(data, offsets)
@@ -190,6 +232,58 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return stored.join(sent, (stored["anchor"] == sent["anchor"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
 
+def weak_anchors(fp: np.ndarray, weakest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into fp, anchor), each once, of the homes of the 46-bit words
+    ``fp`` with each of ``FLIPS`` applied to its weakest bits."""
+    one = np.uint64(1)
+    bits = [one << (weakest >> np.uint64(6 * i) & np.uint64(63)) for i in range(WEAK)]
+    words = np.stack([fp ^ sum((bits[i] for i in flip), np.zeros(len(fp), np.uint64)) for flip in FLIPS], axis=1)
+    c0, _, c1, _ = homes(words.ravel())
+    anchors = np.sort((c0 << BLOCK | c1).reshape(words.shape), axis=1)
+    fresh = np.ones(anchors.shape, bool)
+    fresh[:, 1:] = anchors[:, 1:] != anchors[:, :-1]
+    return np.nonzero(fresh)[0], anchors[fresh]
+
+
+def _table_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, len(batch), 4096):
+            part = batch.slice(lo, 4096)
+            cls, own = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sketch = part.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(part), -1)
+            place = (own * ((1 << PLACE) - 1)).astype(np.int64)
+            for t, (word, shift) in enumerate(TABLES):
+                which, anchor = weak_anchors(sketch[:, word] >> np.uint64(shift), sketch[:, 3 + t])
+                at = (t << 2 * BLOCK | anchor) << PLACE | place[which]
+                other = sketch[which, (word + 1) % 3].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cls[which]), pa.array(other)], ["at", "cls", "fp"])
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of classes (long cls, double own of 0 to 1,
+    sketch: array of the longs of ``sketches``) that meet at an anchor and differ
+    in at most ``FAR`` bits of a word from which the anchor was not taken.
+
+    There a class meets the first, by ``own``, and the ``CROWD`` before it, and
+    takes the nearest of them; where so many stand, the first if that is near
+    enough.  It is paired with the ``NEAREST`` and with the foremost by ``own``
+    of those taken, so that pairs grow with the number of classes alone."""
+    sent = classes.select("cls", "own", "sketch").mapInArrow(_table_batches, "at long, cls long, fp long")
+    order = Window.partitionBy(F.shiftright("at", PLACE)).orderBy("at", "cls")
+    it = F.struct(F.col("at").bitwiseAND((1 << PLACE) - 1).alias("place"), "cls", "fp")
+    first, before = F.first(it).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.collect_list(it).over(order.rowsBetween(-CROWD, -1))
+    met = sent.withColumns({"first": first, "before": before}).filter(F.size("before") > 0)
+    apart = lambda x: F.struct(F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))).alias("bits"), x["place"].alias("place"), x["cls"].alias("to"))
+    nearest, one = F.array_min(F.transform(F.concat("before", F.array("first")), apart)), apart(F.col("first"))
+    taken = F.when((F.size("before") == CROWD) & (one["bits"] <= FAR), one).otherwise(nearest)
+    near = met.select("cls", taken.alias("x")).select("cls", "x.*").filter(F.col("bits") <= FAR)
+    each = near.groupBy("cls", "to").agg(F.min("bits").alias("bits"), F.min("place").alias("place"))
+    by = Window.partitionBy("cls")
+    ranked = each.withColumns({"rank": F.row_number().over(by.orderBy("bits", "place", "to")), "foremost": F.min(F.struct("place", "to")).over(by)})
+    pairs = ranked.filter((F.col("rank") <= NEAREST) | (F.col("to") == F.col("foremost.to")))
+    return pairs.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct()
+
+
 # ---------------------------------------------------------------- groups
 def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``(doc_id, text_key, fp, component, component_id)``, one row per row of

@@ -51,3 +51,55 @@ def test_near_copies_against_all_pairs(spark):
     assert kept.columns == docs.columns
     assert sorted(r["cls"] for r in kept.collect()) == [k for k, (i, _) in enumerate(rows) if i not in gone]
     assert near_copies.near_copy_groups(docs.limit(0)).count() == 0
+
+
+def test_the_stage_goes_by_fingerprints_and_loses_nothing(spark, monkeypatch):
+    """Fingerprints alone join nearly all edited copies; what they do not reach
+    the exact search adds."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(words, k=150)
+        rows.append(" ".join(base))
+        for edits in (1, 2, 3):  # a Jaccard similarity of about 0.93, 0.87 and 0.81
+            w = list(base)
+            for k in rng.sample(range(5, 145), edits):
+                w[k] = "new"
+            rows.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    alone = dict(near_copies.near_copy_groups(docs, complete=False).collect())
+    found = sum(c == i // 4 * 4 for i, c in alone.items() if i % 4)
+    assert 0.9 * 180 <= found <= 180
+    assert all(c // 4 == i // 4 for i, c in alone.items())
+    whole = dict(near_copies.near_copy_groups(docs).collect())
+    assert whole == {i: i // 4 * 4 for i in range(240)}
+
+    asked = []
+    meetings = near_copies.meetings
+    monkeypatch.setattr(near_copies, "meetings", lambda classes: asked.append(1) or meetings(classes).filter(F.lit(False)))
+    assert dict(near_copies.near_copy_groups(docs).collect()) == whole and asked
+
+
+def test_a_large_group_is_joined_without_all_its_pairs(spark):
+    """One group of edits of one text: a bounded number of pairs for each."""
+    import numpy as np
+
+    from plumbline.llm import simhash_cover
+
+    rng = np.random.default_rng(3)
+    n = 1200
+    draw = lambda k: rng.integers(0, 2**64, k, dtype=np.uint64)
+    base = draw(200)
+    sets = [base] + [np.concatenate([base[:i], draw(5), base[i + 5 :]]) for i in rng.integers(0, 195, n - 1)] + [draw(200) for _ in range(50)]
+    sketch = simhash_cover.sketches(np.concatenate(sets), np.full(len(sets), 200)).view(np.int64)
+    rows = [(i, 0.5 if i == 0 else 0.6, s.tolist()) for i, s in enumerate(sketch)]
+    pairs = simhash_cover.meetings(spark.createDataFrame(rows, "cls long, own double, sketch array<long>")).collect()
+    part = list(range(n + 50))
+    for a, b in pairs:
+        old, new = part[b], part[a]
+        part = [new if p == old else p for p in part]
+    assert len(set(part[:n])) == 1 and len(set(part)) == 51
+    assert len(pairs) <= 9 * n
