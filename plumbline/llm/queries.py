@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontam, hmm_lm, impact_topk, langid, license_join, mixing, pii_disclosure, quality_crf, simhash_cover, url_reputation
+from plumbline.llm import decontam, divergence, hmm_lm, impact_topk, langid, license_join, mixing, pii_disclosure, quality_crf, secret_ledger, simhash_cover, url_reputation, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op10_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_lm.hmm_scores(table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_water_filling_mix,
         op9_simhash_near_dedup,
         op10_hmm_lm,
+        op11_secret_ledger,
+        op12_embedding_whitening,
+        op13_source_divergence,
     )
 }
 
@@ -86,4 +101,6 @@ ORACLE: dict[str, str] = {
     "op4_license_join": license_join.SQL,
     "op6_impact_topk": impact_topk.SQL,
     "op8_water_filling_mix": mixing.SQL,
+    "op11_secret_ledger": secret_ledger.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
