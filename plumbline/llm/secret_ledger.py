@@ -142,7 +142,7 @@ def spans_by_version(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rul
     other rules or rule versions that the ledger holds are left out.  Columns of
     clashing names stay: the new ones get underscores in front.  Offsets count
     code points."""
-    blob, spans, salt, hot_blob, hot_salt = fresh(versions, "secret_blob", "secret_spans", "secret_salt", "secret_hot", "secret_hot_salt")
+    blob, spans, salt, hot_blob, hot_salt, of = fresh(versions, "secret_blob", "secret_spans", "secret_salt", "secret_hot", "secret_hot_salt", "secret_of")
     rest = [F.col(f"`{c}`") for c in versions.columns if c != text_col]
     addressed = materialise(versions.select(*rest, blob_of(text_col).alias(blob)), "secret-versions")
     keys = [r.key for r in rules]
@@ -150,14 +150,14 @@ def spans_by_version(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rul
     key_of = lambda s: F.concat_ws("@", s["kind"], s["version"].cast("string"))
     rows = ledger.filter(F.size("spans") > 0).select("blob", F.explode("spans").alias("s")).filter(key_of(F.col("s")).isin(keys)).distinct()
     ordered = F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), F.array_position(place, key_of(F.col("s"))).alias("place"), F.col("s").alias("s"))))
-    found = rows.groupBy("blob").agg(F.transform(ordered, lambda x: x["s"]).alias(spans))
+    found = rows.groupBy(F.col("blob").alias(of)).agg(F.transform(ordered, lambda x: x["s"]).alias(spans))
 
     least = addressed.count() / HOT_BLOBS
     hot = F.broadcast(addressed.groupBy(F.col(blob).alias(hot_blob)).agg(F.count("*").alias("n")).filter((F.col("n") >= least) & (F.col("n") > SALTS)).select(hot_blob))
     dealt = addressed.join(hot, F.col(blob) == F.col(hot_blob), "left").withColumn(salt, F.when(F.col(hot_blob).isNotNull(), F.floor(F.rand(0) * SALTS)).otherwise(0).cast("int")).drop(hot_blob)
     salts = F.when(F.col(hot_blob).isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    found = found.join(hot, F.col("blob") == F.col(hot_blob), "left").select("blob", spans, F.explode(salts).alias(hot_salt))
-    joined = dealt.join(found, (F.col(blob) == F.col("blob")) & (F.col(salt) == F.col(hot_salt)), "left")
+    found = found.join(hot, F.col(of) == F.col(hot_blob), "left").select(of, spans, F.explode(salts).alias(hot_salt))
+    joined = dealt.join(found, (F.col(blob) == F.col(of)) & (F.col(salt) == F.col(hot_salt)), "left")
     return joined.select(*[F.col(f"`{c}`") for c in addressed.columns], F.coalesce(F.col(spans), F.array().cast(SPANS)).alias(spans))
 
 
