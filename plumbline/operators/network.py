@@ -12,10 +12,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.functions import kernels as K
 from plumbline.operators.components import connected_components
+from plumbline.operators.ordering import along
 from plumbline.scratch import materialise
 
 DRIVER_EDGES = 1_000_000
@@ -79,9 +79,10 @@ def for_members(found: DataFrame, members: DataFrame, source: int, value: str, o
 
 def groups(edges: DataFrame) -> DataFrame:
     """``(group_id, v)`` of the components of two vertices or more, numbered by
-    their least vertex.  The numbering ranks groups, not vertices."""
+    their least vertex."""
     parts = materialise(connected_components(edges), "groups")
-    heads = parts.select("component").distinct().withColumn("group_id", F.concat(F.lit("GROUP-"), F.row_number().over(Window.orderBy("component")).cast("string")))
+    heads = along(parts.select("component").distinct(), [F.col("component").asc()], "group_number")
+    heads = heads.select("component", F.concat(F.lit("GROUP-"), F.col("group_number").cast("string")).alias("group_id"))
     return parts.join(heads, "component").select("group_id", F.col("node").alias("v"))
 
 

@@ -9,14 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.ordering import along
+
 #: Fixed point of the range analytics.
 SCALE = 1_000_000
 
 
+def _order(descending: bool) -> list[Column]:
+    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    return [way("total"), way("case_id")]
+
+
 def ranked(cases: DataFrame, descending: bool = True) -> DataFrame:
     """By (score, case id), both in one direction."""
-    way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    return cases.orderBy(way("total"), way("case_id"))
+    return cases.orderBy(*_order(descending))
+
+
+def placed(cases: DataFrame, descending: bool = True) -> DataFrame:
+    """``cases`` with their ``place`` in the ranking, from 1."""
+    return along(cases, _order(descending), "place")
 
 
 def top(cases: DataFrame, n: int) -> DataFrame:
@@ -66,15 +77,15 @@ def scaled(score: Column) -> Column:
 
 def sequence(cases: DataFrame, threshold: float) -> DataFrame:
     """``(at, case_id, total, score, flag)``: cases in ranking order with their
-    place, fixed-point score and flag.  The place is a global rank, so this is
-    for the ranked result list, which gating keeps small."""
-    at = F.row_number().over(Window.orderBy(F.col("total").desc(), F.col("case_id").desc())) - 1
+    place, fixed-point score and flag."""
     limit = int(threshold * SCALE + 0.5)
-    return cases.select(at.alias("at"), "case_id", "total", scaled(F.col("total")).alias("score")).withColumn("flag", (F.col("score") >= limit).cast("int"))
+    scores = cases.select("case_id", "total", scaled(F.col("total")).alias("score")).withColumn("flag", (F.col("score") >= limit).cast("int"))
+    return along(scores, _order(True), "at", 0).select("at", "case_id", "total", "score", "flag")
 
 
 def prefix_flagged(seq: DataFrame) -> DataFrame:
-    return seq.withColumn("flagged", F.sum("flag").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    """``seq`` with the number of flagged cases up to and with each place."""
+    return along(seq, [F.col("at").asc()], flagged=F.col("flag"))
 
 
 def summarize(seq: DataFrame, first: int, last: int) -> DataFrame:
@@ -104,18 +115,21 @@ def add_to_range(seq: DataFrame, first: int, last: int, delta: float, threshold:
 
 def review_queue(cases: DataFrame, threshold: float) -> DataFrame:
     """Cases to review with their place: score down, case id up."""
-    place = F.row_number().over(Window.orderBy(F.col("total").desc(), F.col("case_id").asc()))
-    return cases.filter(F.col("total") >= threshold).withColumn("place", place)
+    return along(cases.filter(F.col("total") >= threshold), [F.col("total").desc(), F.col("case_id").asc()], "place")
 
 
 def assign(cases: DataFrame, reviewers: DataFrame, threshold: float) -> DataFrame:
     """Queue places fill the reviewers (pos, id, name, capacity) in their
-    order: every case suits every reviewer, so the maximum flow is a range
-    join of places with running capacities."""
-    upto = F.sum("capacity").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    slots = reviewers.withColumn("upto", upto).select(F.col("id").alias("reviewer_id"), F.col("name").alias("reviewer_name"), (F.col("upto") - F.col("capacity")).alias("below"), "upto")
+    order: every case suits every reviewer, so the maximum flow matches places
+    with slots.  A reviewer has a slot for each case that they can take, up to
+    the length of the queue, and slots are numbered along the reviewers, so this
+    is a join of equal places."""
     queue = review_queue(cases, threshold)
-    return queue.join(F.broadcast(slots), (F.col("place") > F.col("below")) & (F.col("place") <= F.col("upto"))).drop("below", "upto")
+    waiting = queue.count()
+    run = along(reviewers.filter("capacity > 0"), [F.col("pos").asc(), F.col("id").asc()], upto=F.col("capacity"))
+    used = run.withColumn("first", F.col("upto") - F.col("capacity") + 1).filter(F.col("first") <= waiting)
+    slots = used.select(F.col("id").alias("reviewer_id"), F.col("name").alias("reviewer_name"), F.explode(F.sequence("first", F.least("upto", F.lit(waiting)))).alias("place"))
+    return queue.join(slots, "place").select(*queue.columns, "reviewer_id", "reviewer_name")
 
 
 def unassigned(cases: DataFrame, assigned: DataFrame, threshold: float) -> DataFrame:

@@ -16,6 +16,7 @@ from plumbline.functions import kernels as K
 from plumbline.functions import text as X
 from plumbline.functions import udfs as U
 from plumbline.operators import candidates, corpus, evidence, network, ranking, scoring
+from plumbline.operators.ordering import along
 from plumbline.plans import analysis
 from plumbline.report import case_reports, status, summary_lines
 from plumbline.scratch import materialise
@@ -392,13 +393,13 @@ def batch_stats(spark, d):
 @query(f"{ALL_CASES} SELECT row_number() OVER (ORDER BY total DESC, case_id DESC) AS place, case_id, total FROM cases")
 def ranked_desc(spark, d):
     c = cases(spark, d)
-    return c.select(F.row_number().over(Window.orderBy(F.col("total").desc(), F.col("case_id").desc())).cast("long").alias("place"), "case_id", "total").orderBy("place")
+    return ranking.placed(c.select("case_id", "total")).select("place", "case_id", "total").orderBy("place")
 
 
 @query(f"{ALL_CASES} SELECT row_number() OVER (ORDER BY total, case_id) AS place, case_id, total FROM cases")
 def ranked_asc(spark, d):
     c = cases(spark, d)
-    return c.select(F.row_number().over(Window.orderBy("total", "case_id")).cast("long").alias("place"), "case_id", "total").orderBy("place")
+    return ranking.placed(c.select("case_id", "total"), descending=False).select("place", "case_id", "total").orderBy("place")
 
 
 @query(f"{ALL_CASES} SELECT case_id, total FROM cases ORDER BY total DESC, case_id DESC LIMIT 5")
@@ -659,7 +660,7 @@ def topk(spark, d):
 @query("WITH q AS (SELECT round(l_quantity * 100)::INT AS x, count(*) AS n FROM lineitem GROUP BY 1) SELECT x, n, sum(n) OVER (ORDER BY x)::BIGINT AS upto FROM q")
 def int_sorts(spark, d):
     q = table(spark, d, "lineitem").groupBy(F.round(F.col("l_quantity") * 100).cast("int").alias("x")).agg(F.count("*").alias("n"))
-    return q.select("x", "n", F.sum("n").over(Window.orderBy("x")).alias("upto")).orderBy("x")
+    return along(q, [F.col("x").asc()], upto=F.col("n")).select("x", "n", "upto").orderBy("x")
 
 
 @query("SELECT 'D' || doc_id AS id, source AS path FROM documents WHERE 'D' || doc_id BETWEEN 'D10' AND 'D19'")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import NEWLINE
+from plumbline.operators.ordering import along
 from plumbline.sources import files
 from plumbline.settings import Settings, parse_settings
 
@@ -79,7 +80,7 @@ def import_files(parsed: DataFrame, known_ids: DataFrame | None = None) -> tuple
         parsed = parsed.withColumn("reason", F.coalesce("reason", F.when(F.col("__k").isNotNull(), "duplicate id"))).drop("__k")
     first = Window.partitionBy("doc_id", F.col("reason").isNull()).orderBy(F.lower("name"), "name", "path")
     ranked = parsed.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(first) > 1, "duplicate id")))
-    good = ranked.filter("reason is null").withColumn("pos", F.row_number().over(Window.orderBy(F.lower("name"), "name", "path")) - 1)
+    good = along(ranked.filter("reason is null"), [F.lower("name").asc(), F.col("name").asc(), F.col("path").asc()], "pos", 0)
     return good.drop("reason", "name"), ranked.filter("reason is not null").select(F.col("path").alias("file"), "doc_id", "reason")
 
 
