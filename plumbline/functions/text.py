@@ -24,11 +24,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 ASCII_GAP = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum()) + "]+"
 
 
+def lower_each(text: Column) -> Column:
+    """Lower case letter by letter: the two that the JVM lower-cases by what
+    stands around them, or into two characters, are replaced first."""
+    return F.lower(F.replace(F.replace(text, F.lit("\u0130"), F.lit("i")), F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def normalize(text: Column) -> Column:
     """Letters and digits in lower case, every other run one space, trimmed."""
     plain = F.length(text) == F.octet_length(text)
-    spaced = F.when(plain, F.regexp_replace(text, ASCII_GAP, " ")).otherwise(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", " "))
-    return F.trim(F.lower(spaced))
+    spaced = F.when(plain, F.lower(F.regexp_replace(text, ASCII_GAP, " "))).otherwise(lower_each(F.regexp_replace(text, r"[^\p{L}\p{Nd}]+", " ")))
+    return F.trim(spaced)
 
 
 def tokenize(norm: Column) -> Column:

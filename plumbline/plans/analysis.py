@@ -39,7 +39,7 @@ def score_pairs(pairs: DataFrame, subs: DataFrame, refs: DataFrame, settings: Se
         out = out.withColumn("exact", F.lit(0.0))
     if settings.enable_fuzzy:
         fuzzy = scoring.fuzzy_scores(pairs.select(*keys), subs, refs)
-        out = out.join(fuzzy.select("sub_pos", "ref_pos", "fuzzy"), ["sub_pos", "ref_pos"])
+        out = out.join(fuzzy.select("sub_pos", "ref_pos", "fuzzy", "align"), ["sub_pos", "ref_pos"])
     else:
         out = out.withColumn("fuzzy", F.lit(0.0))
     total = scoring.total_score(F.col("exact"), F.col("shingle"), F.col("fuzzy"), F.lit(0.0), settings.weights())
@@ -66,8 +66,7 @@ def analyse(subs: DataFrame, refs: DataFrame, reviewers: DataFrame, settings: Se
     scored = materialise(score_pairs(pairs, subs, refs, settings), "scored")
     enriched, edges = enrich(scored, n_subs + n_refs, settings)
     cases = scoring.cases(enriched, n_refs)
-    text = lambda d, s: d.select(F.col("pos").alias(f"{s}_pos"), F.col("content").alias(f"{s}_content"))
-    rows = evidence.evidence(cases.join(text(subs, "sub"), "sub_pos").join(text(refs, "ref"), "ref_pos"), settings)
+    rows = materialise(evidence.evidence(cases, subs, refs, settings), "evidence")
     assigned = ranking.assign(cases, reviewers, settings.review_threshold)
     total = n_subs * n_refs
     stats = pairs.agg(F.count("*").alias("candidates")).select(F.lit(total).alias("pairs"), "candidates", ((F.lit(total) - F.col("candidates")) / float(max(1, total))).alias("reduction"))
