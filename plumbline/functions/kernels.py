@@ -63,6 +63,25 @@ def minhash(shingles: Sequence[str], salts: np.ndarray) -> np.ndarray:
     return out
 
 
+def minhash_rows(rows: Sequence[Sequence[str]], salts: np.ndarray, at_once: int = 8192) -> np.ndarray:
+    """Signatures of many lists of shingles, a row each: the lists of some
+    ``at_once`` shingles are hashed as one."""
+    out = np.full((len(rows), len(salts)), NO_VALUE, np.int64)
+    lengths = np.array([len(r) for r in rows], np.int64)
+    group = np.cumsum(lengths) // at_once
+    for g in np.unique(group[lengths > 0]):
+        here = np.flatnonzero((group == g) & (lengths > 0))
+        if len(here) == 1:
+            out[here[0]] = minhash(rows[here[0]], salts)
+            continue
+        base = shingle_hashes([s for i in here for s in rows[i]])
+        starts = np.cumsum(lengths[here]) - lengths[here]
+        for k in range(0, len(salts), 16):
+            mixed = _finish(base[:, None] ^ salts[None, k : k + 16]) & _U(NO_VALUE)
+            out[here, k : k + 16] = np.minimum.reduceat(mixed, starts, axis=0).astype(np.int64)
+    return out
+
+
 # ------------------------------------------------------------------ sequences
 def _codes(a: Sequence, b: Sequence) -> tuple[np.ndarray, np.ndarray]:
     known: dict = {}

@@ -12,12 +12,25 @@ from plumbline.functions import kernels as K
 def minhash_signature(shingles: Column, size: int = K.SIGNATURE, seed: int = K.MINHASH_SEED) -> Column:
     @F.pandas_udf("array<long>")
     def run(column: pd.Series) -> pd.Series:
-        salts = K.minhash_salts(size, seed)
-        return column.map(lambda s: K.minhash(s, salts))
+        return pd.Series(list(K.minhash_rows(list(column), K.minhash_salts(size, seed))))
 
     return run(shingles)
 
 
+def measures(a: Column, b: Column) -> Column:
+    """Local alignment, length of the longest common subsequence and edit
+    distance of two token lists, which go to Python once."""
+    schema = "score int, similarity double, sub_start int, sub_end int, ref_start int, ref_end int, lcs int, edits int"
+
+    @F.pandas_udf(schema)
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        pairs = [(list(p), list(q)) for p, q in zip(x, y, strict=True)]
+        rows = [(*K.local_alignment(p, q), K.lcs_length(p, q), K.edit_distance(p, q)) for p, q in pairs]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return run(a, b)
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     @F.pandas_udf("int")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -37,7 +37,9 @@ def exact_matches(pairs: DataFrame, subs: DataFrame, refs: DataFrame, settings:
 
     Substring containment is an equi-join: a phrase t1..tw stands in a text
     exactly if its inner tokens stand there in a row behind a token that ends
-    with t1 and before one that starts with tw."""
+    with t1 and before one that starts with tw.  The pairs are joined to the
+    references' side first, so that a passage of all texts meets the paired ones
+    only."""
     width = max(5, settings.word_shingle_size)
     wanted = pairs.select("sub_pos").distinct()
     mine = subs.join(wanted, F.col("pos") == F.col("sub_pos"), "left_semi")
@@ -48,8 +50,8 @@ def exact_matches(pairs: DataFrame, subs: DataFrame, refs: DataFrame, settings:
     grams = refs.select(F.col("pos").alias("ref_pos"), "tokens", F.posexplode_outer(X.word_shingles(F.col("tokens"), width - 2)).alias("g", "inner"))
     # The inner gram at token g needs a token before it and one behind it.
     grams = grams.filter((F.col("g") >= 1) & (F.col("g") + width - 2 < F.size("tokens"))).select("ref_pos", "inner", F.get("tokens", F.col("g") - 1).alias("left"), F.get("tokens", F.col("g") + width - 2).alias("right"))
-    hits = long.join(grams, "inner").filter(F.col("left").endswith(F.col("head")) & F.col("right").startswith(F.col("tail"))).select("sub_pos", "ref_pos", "phrase", "at").distinct()
-    found = hits.join(pairs, ["sub_pos", "ref_pos"], "left_semi")
+    there = grams.join(pairs.select("sub_pos", "ref_pos"), "ref_pos")
+    found = long.join(there, ["sub_pos", "inner"]).filter(F.col("left").endswith(F.col("head")) & F.col("right").startswith(F.col("tail"))).select("sub_pos", "ref_pos", "phrase", "at").distinct()
     whole = _sides(pairs.join(eligible.filter(F.col("n") < width), "sub_pos"), subs, refs, "norm").filter(F.col("ref_norm").contains(F.col("phrase")))
     return found.unionByName(whole.select("sub_pos", "ref_pos", "phrase", "at"))
 
@@ -83,7 +85,8 @@ def fuzzy_scores(pairs: DataFrame, subs: DataFrame, refs: DataFrame) -> DataFram
     head = lambda d: d.withColumn("head", F.slice("words", 1, FUZZY_TOKENS))
     full = _sides(pairs, head(subs), head(refs), "head")
     a, b = F.col("sub_head"), F.col("ref_head")
-    full = full.withColumns({"align": U.local_alignment(a, b), "lcs": U.lcs_length(a, b), "edits": U.edit_distance(a, b), "longest": F.greatest(F.size(a), F.size(b))}).drop("sub_head", "ref_head")
+    full = full.withColumns({"align": U.measures(a, b), "longest": F.greatest(F.size(a), F.size(b))}).drop("sub_head", "ref_head")
+    full = full.withColumns({"lcs": F.col("align.lcs"), "edits": F.col("align.edits")})
     share = lambda x: F.when(F.col("longest") > 0, x).otherwise(1.0)
     lcs, edit = share(F.col("lcs") / F.col("longest")), share(1.0 - F.col("edits") / F.col("longest"))
     return full.withColumn("fuzzy", 0.50 * F.col("align.similarity") + 0.30 * lcs + 0.20 * edit)

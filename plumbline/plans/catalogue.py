@@ -113,21 +113,27 @@ cand AS (SELECT src, dst, cost, row_number() OVER (ORDER BY cost, src, dst) AS o
 turns AS (SELECT o, src AS a, dst AS b FROM cand UNION ALL SELECT o, dst, src FROM cand),
 lesser(o, v) AS (SELECT o, src FROM cand UNION SELECT l.o, t.b FROM lesser l JOIN turns t ON t.a = l.v AND t.o < l.o)"""
 # The three dynamic programs row by row; what goes along a row is a running
-# maximum or minimum.
+# maximum or minimum.  ``origin`` is the cell (i * 1000 + j) at which the traceback
+# from a cell ends: its own if it is 0, else that of the cell it goes back to; of
+# cells reached from the left, that of the last one that is not.
 ALIGNED = f"""WITH RECURSIVE {SUBS}, {REFS}, {PAIRS},
 two AS (SELECT sub_pos, ref_pos, sub_id, ref_id, s.words[1:900] AS a, r.words[1:900] AS b FROM pairs JOIN subs s ON s.pos = sub_pos JOIN refs r ON r.pos = ref_pos),
 across AS (SELECT sub_pos, ref_pos, a, 0::BIGINT AS j, NULL::VARCHAR AS w FROM two UNION ALL SELECT sub_pos, ref_pos, a, generate_subscripts(b, 1), unnest(b) FROM two),
-dp(sub_pos, ref_pos, i, j, lcs, edits, local) AS (
-  SELECT sub_pos, ref_pos, 0::BIGINT, j, 0::BIGINT, j, 0::BIGINT FROM across
+dp(sub_pos, ref_pos, i, j, lcs, edits, local, origin) AS (
+  SELECT sub_pos, ref_pos, 0::BIGINT, j, 0::BIGINT, j, 0::BIGINT, j FROM across
   UNION ALL
-  SELECT sub_pos, ref_pos, i, j, max(lcs) OVER line, min(edits - j) OVER line + j, max(local + 2 * j) OVER line - 2 * j FROM (
-    SELECT d.sub_pos, d.ref_pos, i + 1 AS i, d.j, greatest(lcs, coalesce(lag(lcs) OVER up + (w = a[i + 1])::BIGINT, 0)) AS lcs,
-           least(edits + 1, coalesce(lag(edits) OVER up + (w <> a[i + 1])::BIGINT, edits + 1)) AS edits, greatest(0, local - 2, coalesce(lag(local) OVER up + CASE WHEN w = a[i + 1] THEN 3 ELSE -2 END, 0)) AS local
-    FROM dp d JOIN across x ON x.sub_pos = d.sub_pos AND x.ref_pos = d.ref_pos AND x.j = d.j WHERE i < len(a) WINDOW up AS (PARTITION BY d.sub_pos, d.ref_pos ORDER BY d.j))
-  WINDOW line AS (PARTITION BY sub_pos, ref_pos ORDER BY j)),
-best AS (SELECT sub_pos, ref_pos, max(local) AS alignment FROM dp GROUP BY ALL),
+  SELECT sub_pos, ref_pos, i, j, lcs, edits, local, CASE WHEN local = 0 THEN i * 1000 + j ELSE last_value(CASE WHEN own >= local THEN whence END IGNORE NULLS) OVER upto END FROM (
+    SELECT sub_pos, ref_pos, i, j, max(lcs) OVER line AS lcs, min(edits - j) OVER line + j AS edits, max(own + 2 * j) OVER line - 2 * j AS local, own, CASE WHEN own = 0 THEN i * 1000 + j ELSE whence END AS whence FROM (
+      SELECT sub_pos, ref_pos, i, j, lcs, edits, greatest(0, up, diagonal) AS own, CASE WHEN diagonal >= up THEN from_diagonal ELSE from_up END AS whence FROM (
+        SELECT d.sub_pos, d.ref_pos, i + 1 AS i, d.j, greatest(lcs, coalesce(lag(lcs) OVER up + (w = a[i + 1])::BIGINT, 0)) AS lcs,
+               least(edits + 1, coalesce(lag(edits) OVER up + (w <> a[i + 1])::BIGINT, edits + 1)) AS edits, local - 2 AS up, origin AS from_up,
+               coalesce(lag(local) OVER up + CASE WHEN w = a[i + 1] THEN 3 ELSE -2 END, 0) AS diagonal, lag(origin) OVER up AS from_diagonal
+        FROM dp d JOIN across x ON x.sub_pos = d.sub_pos AND x.ref_pos = d.ref_pos AND x.j = d.j WHERE i < len(a) WINDOW up AS (PARTITION BY d.sub_pos, d.ref_pos ORDER BY d.j)))
+    WINDOW line AS (PARTITION BY sub_pos, ref_pos ORDER BY j))
+  WINDOW upto AS (PARTITION BY sub_pos, ref_pos ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+best AS (SELECT sub_pos, ref_pos, max(local) AS alignment, arg_min(origin, (-local, i, j)) AS origin, arg_min(i, (-local, i, j)) AS i_end, arg_min(j, (-local, i, j)) AS j_end FROM dp GROUP BY ALL),
 measured AS (
-  SELECT sub_id, ref_id, alignment, least(1.0::DOUBLE, coalesce(alignment / nullif(3 * least(len(a), len(b)), 0), 0)) AS similarity, lcs, edits, greatest(len(a), len(b)) AS longest
+  SELECT sub_id, ref_id, sub_pos, ref_pos, alignment, best.origin // 1000 AS i0, best.origin % 1000 AS j0, i_end, j_end, least(1.0::DOUBLE, coalesce(alignment / nullif(3 * least(len(a), len(b)), 0), 0)) AS similarity, lcs, edits, greatest(len(a), len(b)) AS longest
   FROM two JOIN best USING (sub_pos, ref_pos) JOIN dp USING (sub_pos, ref_pos) WHERE i = len(a) AND j = len(b))"""
 # 64-bit arithmetic in 128-bit integers; a product is taken in halves.
 _times = lambda x, c: f"(({x}::HUGEINT * {c & 0xFFFFFFFF} + (({x}::HUGEINT * {c >> 32}) % 4294967296) * 4294967296) % 18446744073709551616)::UBIGINT"
@@ -173,6 +179,37 @@ signalled AS (
   FROM linked l JOIN ends x ON x.v = l.sub_id JOIN ends y ON y.v = l.ref_id CROSS JOIN sizes),
 graded AS (SELECT b.*, coalesce(graph, 0) AS graph FROM based b LEFT JOIN signalled USING (sub_id, ref_id)),
 final AS (SELECT *, {_TOTAL.format('graph')} AS total FROM graded)"""
+# Evidence by the definition: phrases and shingles are sought in the whole normal
+# forms, and places of the normal form are led back through the tokens.
+_RUNS = "SELECT '{0}' AS side, pos, unnest(range(len(v)))::BIGINT AS i, unnest(v) AS raw, unnest(list_transform(g[1:len(v)], lambda x: len(x))) AS gap FROM (SELECT pos, regexp_extract_all(content, '[\\p{{L}}\\p{{Nd}}]+') AS v, regexp_split_to_array(content, '[\\p{{L}}\\p{{Nd}}]+') AS g FROM {1})"
+EVIDENCE = f"""{WHOLE},
+runs AS ({_RUNS.format('s', 'subs')} UNION ALL {_RUNS.format('r', 'refs')}),
+toks AS (SELECT side, pos, i, lower(raw) AS token, len(raw) AS n, sum(gap + len(raw)) OVER w - len(raw) AS c, sum(len(raw) + 1) OVER w - len(raw) - 1 AS x FROM runs WINDOW w AS (PARTITION BY side, pos ORDER BY i)),
+wtoks AS (SELECT side, pos, token, c, c + n AS c_end, row_number() OVER (PARTITION BY side, pos ORDER BY i) - 1 AS w FROM toks WHERE NOT list_contains({_STOP}, token)),
+case_of AS (SELECT 'PD-' || (f.sub_pos * n_refs + f.ref_pos + 1) || '-' || f.sub_id || '-' || f.ref_id AS case_id, f.sub_pos, f.ref_pos, f.shingle FROM final f CROSS JOIN sizes),
+phrased AS (
+  SELECT m.sub_pos, m.ref_pos, m.phrase, m.at_index, len(m.phrase) AS n, strpos(sub_norm, m.phrase) - 1 AS x, strpos(ref_norm, m.phrase) - 1 AS y, k.rank
+  FROM matches m JOIN (SELECT *, row_number() OVER (PARTITION BY sub_pos ORDER BY at_index) AS rank FROM eligible) k ON k.sub_pos = m.sub_pos AND k.phrase = m.phrase),
+led AS (
+  SELECT p.*, a.c + p.x - a.x AS sub_start, b.c + p.x + p.n - b.x AS sub_end, c.c + p.y - c.x AS ref_start, d.c + p.y + p.n - d.x AS ref_end,
+         row_number() OVER (PARTITION BY p.sub_pos, p.ref_pos ORDER BY p.rank > 512, p.y + p.n, p.n DESC, at_index) AS r
+  FROM phrased p JOIN toks a ON a.side = 's' AND a.pos = p.sub_pos AND p.x BETWEEN a.x AND a.x + a.n - 1 JOIN toks b ON b.side = 's' AND b.pos = p.sub_pos AND p.x + p.n - 1 BETWEEN b.x AND b.x + b.n - 1
+  JOIN toks c ON c.side = 'r' AND c.pos = p.ref_pos AND p.y BETWEEN c.x AND c.x + c.n - 1 JOIN toks d ON d.side = 'r' AND d.pos = p.ref_pos AND p.y + p.n - 1 BETWEEN d.x AND d.x + d.n - 1),
+grams AS (SELECT side, pos, w, array_to_string(list(token) OVER g, ' ') AS g, c, last(c_end) OVER g AS c_end, count(*) OVER g AS n FROM wtoks WINDOW g AS (PARTITION BY side, pos ORDER BY w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+items AS (
+  SELECT sub_pos, ref_pos, 0 AS o, at_index AS k, 'EXACT' AS type, sub_start, sub_end, ref_start, ref_end, 1.0::DOUBLE AS similarity,
+         CASE at_index % 3 WHEN 0 THEN 'Knuth-Morris-Pratt' WHEN 1 THEN 'Rabin-Karp (hash verified)' ELSE 'Z-algorithm' END AS algorithm, phrase AS excerpt FROM led
+  UNION ALL SELECT sub_pos, ref_pos, 1, at_index, 'MULTI_PATTERN', sub_start, sub_end, ref_start, ref_end, 1.0, 'Aho-Corasick', phrase FROM led WHERE r = 1 AND rank <= 512
+  UNION ALL SELECT q.sub_pos, q.ref_pos, 2, s.w, 'SHINGLE', s.c, s.c_end, t.c, t.c_end, greatest(q.shingle, 0.01::DOUBLE), 'word-shingle Jaccard', s.g
+    FROM case_of q JOIN grams s ON s.side = 's' AND s.pos = q.sub_pos AND s.n = 4 JOIN (SELECT pos, g, arg_min(c, w) AS c, arg_min(c_end, w) AS c_end FROM grams WHERE side = 'r' AND n = 4 GROUP BY ALL) t ON t.pos = q.ref_pos AND t.g = s.g
+  UNION ALL SELECT m.sub_pos, m.ref_pos, 3, 0, 'FUZZY', a.c, b.c_end, c.c, d.c_end, similarity, 'Smith-Waterman',
+    (SELECT string_agg(token, ' ' ORDER BY w) FROM wtoks z WHERE z.side = 's' AND z.pos = m.sub_pos AND z.w BETWEEN m.i0 AND m.i_end - 1)
+    FROM measured m JOIN wtoks a ON a.side = 's' AND a.pos = m.sub_pos AND a.w = m.i0 JOIN wtoks b ON b.side = 's' AND b.pos = m.sub_pos AND b.w = i_end - 1
+    JOIN wtoks c ON c.side = 'r' AND c.pos = m.ref_pos AND c.w = m.j0 JOIN wtoks d ON d.side = 'r' AND d.pos = m.ref_pos AND d.w = j_end - 1 WHERE alignment > 0),
+numbered AS (SELECT case_id, (row_number() OVER (PARTITION BY case_id ORDER BY o, k) - 1)::INT AS idx, i.* FROM items i JOIN case_of USING (sub_pos, ref_pos)),
+worth AS (SELECT *, greatest(0.01::DOUBLE, similarity) AS rel, greatest(1.0::DOUBLE, (sub_end - sub_start) / 50.0::DOUBLE) AS price, count(*) OVER (PARTITION BY case_id) AS n FROM numbered),
+valued AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY case_id, type ORDER BY 65 * rel / price DESC, rel DESC, idx) = 1 THEN 65 ELSE 1 END AS u FROM worth),
+chosen AS (SELECT *, CASE WHEN n > 8 THEN row_number() OVER (PARTITION BY case_id ORDER BY u * rel / price DESC, u DESC, rel DESC, idx) ELSE idx + 1 END AS place FROM valued)"""
 COVER = """WITH RECURSIVE
 sets AS (SELECT s_suppkey % 7 AS k, list_distinct(list(s_nationkey::BIGINT)) AS s FROM supplier GROUP BY 1),
 step(n, chosen, uncovered) AS (
@@ -780,11 +817,35 @@ def full_pipeline(spark, d):
     return a.cases.select("case_id", "sub_id", "ref_id", "exact", "shingle", "fuzzy", "graph", "total", "risk")
 
 
-@query()
+@query(f"{EVIDENCE} SELECT case_id, idx, type, sub_start::INT AS sub_start, sub_end::INT AS sub_end, ref_start::INT AS ref_start, ref_end::INT AS ref_end, similarity, algorithm, excerpt, place::INT AS place FROM chosen WHERE place <= 8")
 def evidence_compact(spark, d):
     return whole(spark, d).evidence
 
 
+@query(f"{ALIGNED} SELECT sub_id, ref_id, alignment AS score, i0 AS sub_from, i_end AS sub_to, j0 AS ref_from, j_end AS ref_to FROM measured WHERE alignment > 0")
+def alignment_spans(spark, d):
+    subs, refs, pairs = overlapping(spark, d)
+    out = scoring.fuzzy_scores(pairs.select(*scoring.PAIR), subs, refs).filter("align.score > 0")
+    spans = [F.col(f"align.{c}").cast("long").alias(n) for c, n in (("score", "score"), ("sub_start", "sub_from"), ("sub_end", "sub_to"), ("ref_start", "ref_from"), ("ref_end", "ref_to"))]
+    return out.select("sub_id", "ref_id", *spans)
+
+
+@query(
+    f"WITH {SUBS}, {REFS}, {PAIRS}, {EXACT}, stands AS (SELECT sub_pos, ref_pos, phrase, ref_norm, unnest(range(len(ref_norm) - len(phrase) + 1)) AS ref_at FROM matches) "
+    "SELECT 'D' || sub_pos AS sub_id, 'B' || ref_pos AS ref_id, phrase, ref_at, row_number() OVER (PARTITION BY sub_pos, ref_pos ORDER BY ref_at + len(phrase), len(phrase) DESC, phrase) AS hit FROM stands WHERE substr(ref_norm, ref_at + 1, len(phrase)) = phrase "
+    "AND sub_pos IN (SELECT pos FROM subs WHERE len(tokens) >= 5)"
+)
+def multi_pattern_hits(spark, d):
+    """All hits of all phrases of a submission in its reference, by their end,
+    at one end from the longest on."""
+    subs, refs, pairs = overlapping(spark, d)
+    hits = evidence.phrase_hits(pairs, evidence.token_rows(subs.select("pos", "content")), evidence.token_rows(refs.select("pos", "content")), SETTINGS)
+    n = F.length("phrase")
+    order = Window.partitionBy("sub_pos", "ref_pos").orderBy(F.col("place.norm_at") + n, n.desc(), "phrase")
+    ids = lambda key, p: F.concat(F.lit(p), F.col(key).cast("string"))
+    return hits.select(ids("sub_pos", "D").alias("sub_id"), ids("ref_pos", "B").alias("ref_id"), "phrase", F.col("place.norm_at").cast("long").alias("ref_at"), F.row_number().over(order).cast("long").alias("hit"))
+
+
 @query()
 def case_report(spark, d):
     a = whole(spark, d)
