@@ -86,63 +86,229 @@ def groups(edges: DataFrame) -> DataFrame:
     return parts.join(heads, "component").select("group_id", F.col("node").alias("v"))
 
 
-def levels(edges: DataFrame, source: int, limit: int = 10_000) -> DataFrame:
-    """``(v, level)`` by breadth-first rounds from ``source``; one join of the
-    frontier with the edges a round."""
-    way = materialise(both_ways(edges).select("src", "dst"), "bfs-edges")
-    spark = edges.sparkSession
-    seen = frontier = spark.createDataFrame([(source, 0)], "v long, level int")
-    for level in range(1, limit):
-        step = way.join(frontier, F.col("src") == F.col("v")).select(F.col("dst").alias("v")).distinct()
-        frontier = materialise(step.join(seen, "v", "left_anti").withColumn("level", F.lit(level)), "bfs-frontier")
-        if frontier.isEmpty():
-            break
-        seen = materialise(seen.unionByName(frontier), "bfs-seen")
-    return seen
-
-
-def distances(edges: DataFrame, source: int, directed: bool = False, limit: int = 10_000) -> DataFrame:
-    """``(v, distance)`` of what ``source`` reaches, by rounds of relaxation
-    over non-negative costs until nothing gets shorter."""
-    way = materialise(edges.select("src", "dst", "cost") if directed else both_ways(edges), "path-edges")
-    best = edges.sparkSession.createDataFrame([(source, 0.0)], "v long, distance double")
+def levels(edges: DataFrame, source: int) -> DataFrame:
+    """``(v, level)``: the least number of edges from ``source``, of what it
+    reaches.  An id without an edge gives no rows."""
+    found = distances(edges.select("src", "dst", F.lit(1.0).alias("cost")), source)
+    return found.select("v", F.col("distance").cast("int").alias("level"))
+
+
+def distances(edges: DataFrame, source: int, directed: bool = False) -> DataFrame:
+    """``(v, distance)`` of what ``source`` reaches over non-negative costs.  An
+    id without an edge gives no rows.
+
+    Undirected chains, whose inner vertices have two neighbours, are drawn
+    together first by pointer doubling, so that long ones take the logarithm of
+    their length in rounds; what stays is relaxed round by round until nothing
+    gets shorter, however many rounds that takes."""
+    if directed:
+        return _relaxed(materialise(edges.select("src", "dst", "cost"), "path-edges"), source)
+    ways = both_ways(edges).filter("src <> dst").groupBy("src", "dst").agg(F.min("cost").alias("cost"))
+    half = materialise(_to_ends(materialise(ways, "path-edges"), source), "path-chains")
+    # Half-edges that lead around a ring without an end are out of reach.
+    inner = half.filter("inner").select(F.col("src").alias("v")).distinct()
+    short = half.filter("not inner and done").groupBy("src", F.col("stop").alias("dst")).agg(F.min("total").alias("cost"))
+    ends = materialise(_relaxed(short, source), "path-ends")
+    along = half.filter("inner and done").join(ends.select(F.col("v").alias("stop"), "distance"), "stop")
+    within = along.groupBy(F.col("src").alias("v")).agg(F.min(F.col("distance") + F.col("total")).alias("distance"))
+    return ends.join(inner, "v", "left_anti").unionByName(within)
+
+
+def _to_ends(ways: DataFrame, source: int) -> DataFrame:
+    """Each way (src, dst, cost) with the first vertex at or behind ``dst`` that
+    is no inner one (``stop``) and the cost to it (``total``); ``inner`` says
+    whether ``src`` is one, ``done`` whether there is such a stop."""
+    two = ways.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("n"), F.min("dst").alias("p"), F.max("dst").alias("q")).filter((F.col("n") == 2) & (F.col("v") != source))
+    two = materialise(two.drop("n"), "path-inner")
+    joined = ways.join(two.select(F.col("v").alias("dst"), "p", "q"), "dst", "left").join(two.select(F.col("v").alias("src"), F.lit(True).alias("inner")), "src", "left")
+    # (at, to) is the last way taken; from an inner end it goes on to the other neighbour.
+    onward = F.when(F.col("p").isNotNull(), F.when(F.col("p") == F.col("src"), F.col("q")).otherwise(F.col("p")))
+    half = joined.select("src", "dst", F.coalesce("inner", F.lit(False)).alias("inner"), F.col("dst").alias("at"), onward.alias("to"), F.col("cost").alias("total"))
+    half = materialise(half, "path-half")
+    open_before = None
+    while True:
+        open_now = half.filter("to is not null").count()
+        # A ring of inner vertices alone never ends: then no way gets done any more.
+        if not open_now or open_now == open_before:
+            return half.select("src", "dst", "inner", F.col("at").alias("stop"), "total", F.col("to").isNull().alias("done"))
+        open_before = open_now
+        ahead = half.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.col("at").alias("next_at"), F.col("to").alias("next_to"), F.col("total").alias("more"))
+        going = half.filter("to is not null").join(ahead, ["at", "to"]).select("src", "dst", "inner", F.col("next_at").alias("at"), F.col("next_to").alias("to"), (F.col("total") + F.col("more")).alias("total"))
+        half = materialise(half.filter("to is null").unionByName(going), "path-half")
+
+
+def _relaxed(way: DataFrame, source: int) -> DataFrame:
+    """Distances from ``source`` by rounds of relaxation until none changes."""
+    there = way.filter((F.col("src") == source) | (F.col("dst") == source)).limit(1).isEmpty()
+    best = way.sparkSession.createDataFrame([] if there else [(source, 0.0)], "v long, distance double")
     changed = best
-    for _ in range(limit):
+    while not changed.isEmpty():
         step = way.join(changed, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.min(F.col("distance") + F.col("cost")).alias("new"))
-        merged = materialise(best.join(step, "v", "full").withColumn("better", F.col("distance").isNull() | (F.col("new") < F.col("distance"))), "path-round")
+        merged = materialise(best.join(step, "v", "full").withColumn("better", F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new") < F.col("distance")))), "path-round")
         best = merged.select("v", F.least("distance", "new").alias("distance"))
-        changed = merged.filter(F.col("better") & F.col("new").isNotNull()).select("v", F.col("new").alias("distance"))
-        if changed.isEmpty():
-            break
+        changed = merged.filter("better").select("v", F.col("new").alias("distance"))
     return best
 
 
-def path_between(edges: DataFrame, source: int, target: int, limit: int = 10_000) -> DataFrame:
+def ancestors(previous: DataFrame, start: int) -> DataFrame:
+    """``(v, steps)``: the vertices on the way from ``start`` along ``previous``
+    (v, p), with their steps from it; pointers are doubled, so the rounds are
+    the logarithm of the way's length."""
+    jumps = [materialise(previous.select("v", "p"), "path-jumps")]
+    while True:
+        last = jumps[-1]
+        ahead = last.select(F.col("v").alias("p"), F.col("p").alias("far"))
+        more = materialise(last.join(ahead, "p").select("v", F.col("far").alias("p")), "path-jumps")
+        if more.filter(F.col("v") == start).isEmpty():
+            break
+        jumps.append(more)
+    seen = previous.sparkSession.createDataFrame([(start, 0)], "v long, steps long")
+    for k in reversed(range(len(jumps))):
+        further = seen.join(jumps[k], "v").select(F.col("p").alias("v"), (F.col("steps") + (1 << k)).alias("steps"))
+        seen = materialise(seen.unionByName(further), "path-steps")
+    return seen
+
+
+def path_between(edges: DataFrame, source: int, target: int) -> DataFrame:
     """``(step, src, dst, cost, similarity)`` of one shortest path, its edges in
-    order; of equal ways back the smallest vertex is taken.  No rows if there is
-    no path or no way to go."""
+    order; of equal ways back (to 9 decimals) the smallest vertex is taken.  No
+    rows if there is no path or no way to go."""
     far = materialise(distances(edges, source), "path-distances")
-    way = edges.select("src", "dst", "cost", "similarity").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "similarity"))
-    # Edges that lie on some shortest way; going back takes one each step.
-    tight = way.join(far.select(F.col("v").alias("src"), F.col("distance").alias("a")), "src").join(far.select(F.col("v").alias("dst"), F.col("distance").alias("b")), "dst")
-    tight = materialise(tight.filter((F.abs(F.col("a") + F.col("cost") - F.col("b")) < 1e-12) & (F.col("a") < F.col("b"))), "path-tight")
-    steps, v = [], target
-    while v != source and len(steps) < limit:
-        row = tight.filter(F.col("dst") == v).orderBy("src").first()
-        if row is None:
-            steps = []
+    both = edges.select("src", "dst", "cost", "similarity").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "similarity"))
+    way = both.groupBy("src", "dst").agg(F.min(F.struct("cost", "similarity")).alias("w")).select("src", "dst", "w.cost", "w.similarity")
+    near = way.join(far.select(F.col("v").alias("src"), F.col("distance").alias("a")), "src").join(far.select(F.col("v").alias("dst"), F.col("distance").alias("b")), "dst").filter("a < b")
+    back = near.groupBy("dst").agg(F.min(F.struct(F.round(F.col("a") + F.col("cost"), 9).alias("d"), "src", "cost", "similarity")).alias("w"))
+    back = materialise(back.select(F.col("dst").alias("v"), F.col("w.src").alias("p"), "w.cost", "w.similarity"), "path-previous")
+    seen = ancestors(back.select("v", "p"), target)
+    n = seen.agg(F.max("steps")).first()[0]
+    steps = seen.join(back, "v").select((F.lit(n - 1) - F.col("steps")).cast("int").alias("step"), F.col("p").alias("src"), F.col("v").alias("dst"), "cost", "similarity")
+    return steps if target != source else steps.limit(0)
+
+
+# ------------------------------------------------------------------ directed graphs
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(v, component)`` of every vertex of the directed ``edges``: the smallest
+    vertex that it reaches and that reaches it.
+
+    Ways that end, or begin, nowhere are trimmed.  Then every vertex takes the
+    smallest vertex that reaches it for its colour, and of each colour those
+    that lead back to that vertex are a component; the rest goes on."""
+    vertices = edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct()
+    left = materialise(edges.filter("src <> dst").select("src", "dst").distinct(), "scc-edges")
+    found = edges.sparkSession.createDataFrame([], "v long, component long")
+    while True:
+        left = _trimmed(left)
+        if left.isEmpty():
+            alone = vertices.join(found, "v", "left_anti").select("v", F.col("v").alias("component"))
+            return found.unionByName(alone)
+        colour = _colours(left)
+        ends = lambda side, name: colour.select(F.col("v").alias(side), F.col("colour").alias(name))
+        within = materialise(left.join(ends("src", "c"), "src").join(ends("dst", "d"), "dst").filter("c = d").select("src", "dst"), "scc-within")
+        roots = colour.filter("v = colour").select("v")
+        back = _reached(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")), roots)
+        found = materialise(found.unionByName(back.join(colour, "v").select("v", F.col("colour").alias("component"))), "scc-found")
+        gone = found.select("v")
+        left = left.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti")
+        left = materialise(left.select("src", "dst"), "scc-edges")
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without edges that come from a vertex that none leads to, or lead to one
+    that none comes from; again until none is left."""
+    n = edges.count()
+    while n:
+        kept = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        kept = materialise(kept.select("src", "dst"), "scc-edges")
+        before, n, edges = n, kept.count(), kept
+        if n == before:
+            break
+    return edges
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """``(v, colour)``: the smallest vertex that reaches each, itself included."""
+    best = materialise(edges.select(F.col("src").alias("v")).union(edges.select("dst")).distinct().withColumn("colour", F.col("v")), "scc-colours")
+    changed = best
+    while not changed.isEmpty():
+        step = edges.join(changed, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("v")).agg(F.min("colour").alias("new"))
+        merged = materialise(best.join(step, "v", "left").withColumn("better", F.coalesce(F.col("new") < F.col("colour"), F.lit(False))), "scc-colours")
+        best = merged.select("v", F.least("colour", "new").alias("colour"))
+        changed = merged.filter("better").select("v", F.col("new").alias("colour"))
+    return best
+
+
+def _reached(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``(v)`` of what the vertices of ``start`` (v) reach, themselves included."""
+    seen = frontier = materialise(start.select("v").distinct(), "reached")
+    while not frontier.isEmpty():
+        step = edges.join(frontier, F.col("src") == F.col("v")).select(F.col("dst").alias("v")).distinct()
+        frontier = materialise(step.join(seen, "v", "left_anti"), "reached-new")
+        seen = materialise(seen.unionByName(frontier), "reached")
+    return seen
+
+
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """``(v, level)`` of every vertex of the directed ``edges``: the most edges
+    of a way to it; null for those on or behind a cycle.  Vertices that no
+    remaining edge leads to are peeled off round by round, their edges taken
+    off the number that each vertex waits for."""
+    way = materialise(edges.select("src", "dst"), "levels-edges")
+    waits = way.groupBy(F.col("dst").alias("v")).agg(F.count("*").alias("n"))
+    waits = materialise(way.select(F.col("src").alias("v")).union(way.select("dst")).distinct().join(waits, "v", "left").select("v", F.coalesce("n", F.lit(0)).alias("n"), F.lit(None).cast("int").alias("level")), "levels")
+    level = 0
+    while True:
+        free = waits.filter("n = 0 and level is null").select("v")
+        if free.isEmpty():
+            return waits.select("v", "level")
+        off = way.join(free, F.col("src") == F.col("v")).groupBy(F.col("dst").alias("w")).agg(F.count("*").alias("off"))
+        done = F.when((F.col("n") == 0) & F.col("level").isNull(), F.lit(level)).otherwise(F.col("level"))
+        waits = materialise(waits.join(off, F.col("v") == F.col("w"), "left").select("v", (F.col("n") - F.coalesce("off", F.lit(0))).alias("n"), done.alias("level")), "levels")
+        level += 1
+
+
+def signed_distances(edges: DataFrame, sources: DataFrame, every: int = 8) -> DataFrame:
+    """``(v, distance)`` from the vertices of ``sources`` (v) over directed
+    ``edges`` of any costs; minus infinity for what a negative cycle reaches.
+
+    Rounds of relaxation keep each vertex's predecessor.  Every few rounds the
+    predecessors are followed by pointer doubling: those whose way back does not
+    end came around a negative cycle.  They and what they reach are minus
+    infinity and leave the graph; the rest goes on until nothing changes."""
+    way = materialise(edges.select("src", "dst", "cost"), "signed-edges")
+    best = materialise(sources.select("v").distinct().select("v", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("p")), "signed")
+    changed, sunk, rounds = best, None, 0
+    while not changed.isEmpty():
+        step = way.join(changed.select(F.col("v").alias("src"), "distance"), "src").groupBy(F.col("dst").alias("v")).agg(F.min(F.struct((F.col("distance") + F.col("cost")).alias("d"), F.col("src").alias("p"))).alias("new"))
+        better = F.col("new").isNotNull() & (F.col("distance").isNull() | (F.col("new.d") < F.col("distance")))
+        merged = materialise(best.join(step, "v", "full").select("v", F.when(better, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("new.p")).otherwise(F.col("p")).alias("p"), better.alias("better")), "signed")
+        best, changed, rounds = merged.drop("better"), merged.filter("better").drop("better"), rounds + 1
+        if rounds % every == 0 and not changed.isEmpty():
+            around = _endless(best.filter("p is not null").select("v", "p"), best.count())
+            if not around.isEmpty():
+                down = _reached(way.select("src", "dst"), around)
+                sunk = down if sunk is None else materialise(sunk.unionByName(down), "signed-sunk")
+                way = materialise(way.join(down.withColumnRenamed("v", "src"), "src", "left_anti").join(down.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "dst", "cost"), "signed-edges")
+                best, changed = best.join(down, "v", "left_anti"), changed.join(down, "v", "left_anti")
+    out = best.select("v", "distance")
+    return out if sunk is None else out.unionByName(sunk.distinct().select("v", F.lit(float("-inf")).alias("distance")))
+
+
+def _endless(previous: DataFrame, n: int) -> DataFrame:
+    """``(v)`` whose way along ``previous`` (v, p) is longer than ``n`` steps."""
+    jump, length = previous, 1
+    while length <= n:
+        jump = materialise(jump.join(jump.select(F.col("v").alias("p"), F.col("p").alias("far")), "p").select("v", F.col("far").alias("p")), "signed-jumps")
+        length *= 2
+        if jump.isEmpty():
             break
-        steps.append((row["src"], row["dst"], row["cost"], row["similarity"]))
-        v = row["src"]
-    rows = [(k, *s) for k, s in enumerate(reversed(steps))]
-    return edges.sparkSession.createDataFrame(rows, "step int, src long, dst long, cost double, similarity double")
+    return jump.select("v")
 
 
 def on_path(edges: DataFrame, path: DataFrame) -> DataFrame:
     """``edges`` with ``selected``: whether the path uses them, either way."""
     used = path.select(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q"), F.lit(True).alias("selected")).distinct()
     same = (F.least("src", "dst") == F.col("p")) & (F.greatest("src", "dst") == F.col("q"))
-    return edges.join(F.broadcast(used), same, "left").drop("p", "q").withColumn("selected", F.coalesce("selected", F.lit(False)))
+    return edges.join(used, same, "left").drop("p", "q").withColumn("selected", F.coalesce("selected", F.lit(False)))
 
 
 def put_edge(edges: DataFrame, a: int, b: int, similarity: float) -> DataFrame:

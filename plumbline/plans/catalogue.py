@@ -221,6 +221,18 @@ DIGRAPH = """WITH RECURSIVE
 e(src, dst, cost) AS (SELECT n_nationkey, (n_nationkey * 3 + 1) % 25, 1.0::DOUBLE + n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 5, 2.0::DOUBLE + n_regionkey FROM nation WHERE n_nationkey < 12),
 digraph AS (SELECT src, dst, cost FROM e WHERE src <> dst)"""
 
+# A directed graph of documents within their source: neighbours by id, from the
+# shorter to the longer text, and every fifth document back to the one four
+# places before it.  Costs follow lengths, so that they cancel along a cycle, and
+# add something that is below 0 in some sources.
+LINKS = """WITH RECURSIVE
+placed AS (SELECT doc_id, source, length(coalesce(text, '')) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL),
+linked AS (
+  SELECT CASE WHEN a.n <= b.n THEN a.doc_id ELSE b.doc_id END AS src, CASE WHEN a.n <= b.n THEN b.doc_id ELSE a.doc_id END AS dst, abs(b.n - a.n) AS rise, a.source FROM placed a JOIN placed b ON a.source = b.source AND b.k = a.k + 1
+  UNION ALL SELECT b.doc_id, a.doc_id, a.n - b.n, a.source FROM placed a JOIN placed b ON a.source = b.source AND b.k = a.k + 4 WHERE b.doc_id % 5 = 0),
+links AS (SELECT src, dst, min((rise + CASE WHEN source IN ('src3', 'src7') THEN -40 ELSE 10 END) / 100.0::DOUBLE) AS cost FROM linked GROUP BY src, dst)"""
+LINKS_REACH = "reach(a, b) AS (SELECT src, dst FROM links UNION SELECT r.a, l.dst FROM reach r JOIN links l ON r.b = l.src)"
+
 
 # ------------------------------------------------------------------ frames
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -241,6 +253,18 @@ def overlapping(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Data
     return subs, refs, materialise(candidates.jaccard_pairs(subs, refs), "pairs")
 
 
+def document_links(spark: SparkSession, d: str) -> DataFrame:
+    """``(src, dst, cost)``, as ``LINKS``."""
+    docs = table(spark, d, "documents").filter("doc_id is not null and source is not null").select("source", F.col("doc_id").alias("a"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    row = Window.partitionBy("source").orderBy("a")
+    ahead = docs.select("*", F.lead("a").over(row).alias("b"), F.lead("n").over(row).alias("m"), F.lead("a", 4).over(row).alias("c"), F.lead("n", 4).over(row).alias("o"))
+    up = F.col("n") <= F.col("m")
+    near = ahead.filter("b is not null").select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("dst"), F.abs(F.col("m") - F.col("n")).alias("rise"), "source")
+    far = ahead.filter("c % 5 = 0").select(F.col("c").alias("src"), F.col("a").alias("dst"), (F.col("n") - F.col("o")).alias("rise"), "source")
+    cost = (F.col("rise") + F.when(F.col("source").isin("src3", "src7"), -40).otherwise(10)) / 100.0
+    return materialise(near.unionByName(far).groupBy("src", "dst").agg(F.min(cost).alias("cost")), "links")
+
+
 def cases(spark: SparkSession, d: str) -> DataFrame:
     """Scored cases without the fuzzy and graph families."""
     subs, refs, pairs = overlapping(spark, d)
@@ -620,14 +644,19 @@ def shortest_path(spark, d):
     return network.for_members(found, members, source, "distance", network.LEAST_COST).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(
+    f"{NEAR}, turns AS (SELECT src, dst, cost FROM shown UNION ALL SELECT dst, src, cost FROM shown), best(v, distance) USING KEY (v) AS (SELECT min(src), 0.0::DOUBLE FROM shown UNION SELECT w.dst, min(best.distance + cost) FROM best JOIN turns w ON w.src = best.v LEFT JOIN recurring.best r ON r.v = w.dst WHERE r.v IS NULL OR best.distance + cost < r.distance - 1e-12 GROUP BY w.dst), "
+    "back AS (SELECT dst AS v, arg_min(src, (round(a.distance + cost, 9), src)) AS p FROM turns JOIN best a ON a.v = src JOIN best b ON b.v = dst WHERE a.distance < b.distance GROUP BY dst), "
+    "path(v, p) AS (SELECT v, p FROM back WHERE v = (SELECT v FROM best ORDER BY round(distance, 6) DESC, v LIMIT 1) UNION ALL SELECT b.v, b.p FROM path JOIN back b ON b.v = path.p) "
+    "SELECT src, dst, similarity, cost, EXISTS (SELECT 1 FROM path WHERE least(path.v, path.p) = src AND greatest(path.v, path.p) = dst) AS selected FROM shown"
+)
 def path_edges(spark, d):
     """The path from the first vertex to the one farthest from it."""
     edges = near_edges(spark, d)
     source = edges.agg(F.min("src")).first()[0]
     if source is None:
         return network.on_path(edges, edges)
-    target = network.distances(edges, source).orderBy(F.desc("distance"), "v").first()["v"]
+    target = network.distances(edges, source).orderBy(F.round("distance", 6).desc(), "v").first()["v"]
     return network.on_path(edges, network.path_between(edges, source, target))
 
 
@@ -636,24 +665,33 @@ def mst(spark, d):
     return network.minimum_forest(near_edges(spark, d))
 
 
-@query(f"{DIGRAPH}, reach(a, b) AS (SELECT src, dst FROM digraph UNION SELECT r.a, e.dst FROM reach r JOIN digraph e ON r.b = e.src), back AS (SELECT x.a AS v, min(x.b) AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a), vs AS (SELECT src AS v FROM digraph UNION SELECT dst FROM digraph) SELECT v, least(v, coalesce(m, v)) AS component FROM vs LEFT JOIN back USING (v)")
+@query(f"{LINKS}, {LINKS_REACH}, back AS (SELECT x.a AS v, min(x.b) AS m FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a) SELECT v, least(v, coalesce(m, v)) AS component FROM (SELECT src AS v FROM links UNION SELECT dst FROM links) LEFT JOIN back USING (v)")
 def scc(spark, d):
-    return network.on_driver(digraph(spark, d), lambda n, e: list(enumerate(K.strong_components(n, e))), "v int, component int")
+    return network.strong_components(document_links(spark, d))
 
 
-@query(f"{DIGRAPH}, dag AS (SELECT * FROM digraph WHERE src < dst), lv(v, level) AS (SELECT src, 0 FROM dag WHERE src NOT IN (SELECT dst FROM dag) UNION SELECT d.dst, level + 1 FROM lv JOIN dag d ON d.src = lv.v) SELECT v, max(level) AS level FROM lv GROUP BY v")
+@query(
+    f"{LINKS}, {LINKS_REACH}, blocked AS (SELECT DISTINCT y.b AS v FROM reach x JOIN reach y ON x.a = x.b AND y.a = x.a), free AS (SELECT src, dst FROM links WHERE dst NOT IN (SELECT v FROM blocked)), "
+    "ends AS (SELECT src AS v FROM links UNION SELECT dst FROM links), lv(v, level) AS (SELECT v, 0 FROM ends WHERE v NOT IN (SELECT dst FROM links) UNION SELECT f.dst, level + 1 FROM lv JOIN free f ON f.src = lv.v) "
+    "SELECT v, max(level)::INT AS level FROM ends LEFT JOIN lv USING (v) GROUP BY v"
+)
 def topo_levels(spark, d):
-    def kernel(n: int, edges: list[K.Edge]) -> list[tuple]:
-        order, _ = K.topological(n, edges)
-        level = dict.fromkeys(order, 0)
-        near = K.neighbours(n, edges, True)
-        for v in order:
-            for w, _ in near[v]:
-                level[w] = max(level[w], level[v] + 1)
-        used = {v for a, b, _ in edges for v in (a, b)}
-        return [(v, level[v]) for v in order if v in used]
-
-    return network.on_driver(digraph(spark, d).filter("src < dst"), kernel, "v int, level int")
+    """Levels of documents over their links; null on and behind cycles."""
+    return network.topological_levels(document_links(spark, d))
+
+
+@query(
+    f"{LINKS}, ends AS (SELECT src AS v FROM links UNION SELECT dst FROM links), n AS (SELECT count(*) AS n FROM ends), run(k, v, dist) AS (SELECT 0::BIGINT, v, CASE WHEN v IN (SELECT min(doc_id) FROM placed GROUP BY source) THEN 0.0::DOUBLE END FROM ends "
+    "UNION ALL SELECT k + 1, v, min(dist) FROM (SELECT k, v, dist FROM run UNION ALL SELECT k, dst, dist + cost FROM run JOIN links ON v = src) WHERE k <= (SELECT n FROM n) GROUP BY k, v), "
+    f"{LINKS_REACH}, last AS (SELECT a.v, a.dist, b.dist AS before FROM run a JOIN run b USING (v) WHERE a.k = (SELECT n + 1 FROM n) AND b.k = (SELECT n FROM n)), sunk AS (SELECT v FROM last WHERE dist < before UNION SELECT b FROM reach JOIN last ON v = a WHERE dist < before) "
+    "SELECT v, CASE WHEN v IN (SELECT v FROM sunk) THEN '-inf'::DOUBLE ELSE dist END AS distance FROM last WHERE dist IS NOT NULL"
+)
+def signed_distances(spark, d):
+    """From the first document of each source over links of any sign."""
+    links = document_links(spark, d)
+    first = table(spark, d, "documents").groupBy("source").agg(F.min("doc_id").alias("v")).select("v")
+    known = links.select(F.col("src").alias("v")).union(links.select("dst")).distinct()
+    return network.signed_distances(links, first.join(known, "v", "left_semi"))
 
 
 @query(f"{DIGRAPH}, walk(a, b, dist) AS (SELECT src, dst, cost FROM digraph UNION SELECT a, dst, dist + cost FROM walk JOIN digraph ON b = src WHERE dist + cost < 40) SELECT a, b, min(dist) AS distance FROM walk WHERE a <> b GROUP BY a, b")
