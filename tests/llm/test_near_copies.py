@@ -82,6 +82,11 @@ def test_the_stage_goes_by_fingerprints_and_loses_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "meetings", lambda classes: asked.append(1) or meetings(classes).filter(F.lit(False)))
     assert dict(near_copies.near_copy_groups(docs).collect()) == whole and asked
 
+    # The stage takes the anchors' candidates alone: without them nothing is dropped.
+    assert P.near_duplicates(spark, docs, "").count() == 240
+    monkeypatch.undo()
+    assert P.near_duplicates(spark, docs, "").count() == 240 - found
+
 
 def test_a_large_group_is_joined_without_all_its_pairs(spark):
     """One group of edits of one text: a bounded number of pairs for each."""
