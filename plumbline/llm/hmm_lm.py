@@ -46,12 +46,13 @@ CHUNK_BYTES = 8 << 20
 TASK_CHUNKS = 8
 BUCKET_BITS = 12
 STATES = 6
-#: Full passes over all training texts: at most so many, and none after one
-#: that gained less than so much natural log-likelihood a token.
-PASSES, GAIN = 4, 0.002
-#: Texts of the sample that the start is fitted on, the passes over it and the
-#: gain that ends them.
-START_TEXTS, START_PASSES, START_GAIN = 400, 40, 0.001
+#: Full passes over all training texts go on until one gains less than so much
+#: natural log-likelihood a token.
+GAIN = 0.002
+#: Texts of the sample that the start is fitted on, the least passes over it and
+#: the gain that ends them after those: the first passes gain little, before the
+#: states have come apart.
+START_TEXTS, START_PASSES, START_GAIN = 400, 60, 0.001
 START_MAX_BYTES = 20_000
 EMIT_PRIOR, MOVE_PRIOR = 0.05, 1.0
 #: The end token's place in a dictionary.
@@ -238,26 +239,24 @@ def fit_start(sequences: list[np.ndarray], states: int, classes: int, passes: in
         return model
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in sequences])])
     symbols = np.concatenate(sequences).astype(np.int64)
-    for _ in range(passes):
+    made = 0
+    while True:
         *counts, log = expected_counts(model, symbols, bounds)
-        model = Model.from_counts(*counts)
-        if log - last < gain * len(symbols):
-            break
+        model, made = Model.from_counts(*counts), made + 1
+        if made >= passes and log - last < gain * len(symbols):
+            return model
         last = log
-    return model
 
 
-def fit(texts: DataFrame, start: Model, tokens: int, passes: int = PASSES, gain: float = GAIN) -> tuple[Model, int, float]:
-    """Full passes until one gains less than ``gain`` a token; the model, the
-    passes made and the last log-likelihood seen, natural and a token."""
-    model, last, made = start, -np.inf, 0
-    while made < passes:
+def fit(texts: DataFrame, start: Model, tokens: int, gain: float = GAIN) -> tuple[Model, list[float]]:
+    """Full passes until one gains less than ``gain`` a token; the model, and
+    the log-likelihood that each pass saw, natural and a token.  A pass never
+    loses and the likelihood is bounded, so this ends."""
+    model, seen = start, []
+    while len(seen) < 2 or seen[-1] - seen[-2] >= gain:
         model, log = baum_welch_pass(model, texts)
-        made += 1
-        done, last = log - last < gain * tokens, log
-        if done:
-            break
-    return model, made, last / max(tokens, 1)
+        seen.append(log / max(tokens, 1))
+    return model, seen
 
 
 # ---------------------------------------------------------------- scoring
@@ -299,7 +298,7 @@ def word_counts(words: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.sum("seen").alias("c"))
 
 
-def hmm_scores(docs: DataFrame, held_out: object, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, bucket_bits: int = BUCKET_BITS, passes: int = PASSES) -> DataFrame:
+def hmm_scores(docs: DataFrame, held_out: object, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """Train on the rows where the column ``held_out`` is false and score all.
 
     Result: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
@@ -333,7 +332,8 @@ def hmm_scores(docs: DataFrame, held_out: object, id_col: str = "doc_id", text_c
     training = texts.filter(~F.col("held_out"))
     sample = training.filter(F.col("n_tokens") <= START_MAX_BYTES // 4).select("doc_id", "classes").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("classes")).limit(START_TEXTS).toArrow()
     model = fit_start([np.frombuffer(x.as_buffer(), "<u2") for x in sample.column("classes")], states, classes)
-    model, made, reached = fit(training, model, total, passes) if total else (model, 0, 0.0)
+    model, seen = fit(training, model, total) if total else (model, [])
+    made, reached = len(seen), seen[-1] if seen else 0.0
 
     schema = T.StructType([T.StructField(*x) for x in (("doc_id", T.StringType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dictionaries.count() // TASK_CHUNKS))

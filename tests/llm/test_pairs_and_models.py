@@ -223,14 +223,13 @@ def test_hmm_scores_against_plain_python(spark):
         return (start, move, emit), log
 
     model = hmm_lm.Model.seeded(2, 9)
-    for most, gain in ((hmm_lm.START_PASSES, hmm_lm.START_GAIN), (hmm_lm.PASSES, hmm_lm.GAIN)):
-        last = -math.inf
-        for _ in range(most):
+    for least, gain in ((hmm_lm.START_PASSES, hmm_lm.START_GAIN), (1, hmm_lm.GAIN)):
+        last, gained, made = -math.inf, math.inf, 0
+        while made < least or gained >= gain * sum(map(len, train)):
             counts, log = run(model, train)
             model = hmm_lm.Model.from_counts(*counts)
-            done, last = log - last < gain * sum(map(len, train)), log
-            if done:
-                break
+            gained, last, made = log - last, log, made + 1
+    assert gained < hmm_lm.GAIN * sum(map(len, train)) and {r["train_passes"] for r in out} == {made}
     want = []
     for i, t in rows:
         w = tokens(t)
