@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,22 @@ from plumbline.settings import Settings
 
 @dataclass
 class Analysis:
+    """The results of a batch; evidence and assignment are worked out when they
+    are first asked for."""
+
     cases: DataFrame
     edges: DataFrame
-    evidence: DataFrame
-    assigned: DataFrame
     stats: DataFrame
+    find_evidence: Callable[[], DataFrame]
+    assign: Callable[[], DataFrame]
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        return self.find_evidence()
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return self.assign()
 
 
 def score_pairs(pairs: DataFrame, subs: DataFrame, refs: DataFrame, settings: Settings) -> DataFrame:
@@ -66,8 +79,10 @@ def analyse(subs: DataFrame, refs: DataFrame, reviewers: DataFrame, settings: Se
     scored = materialise(score_pairs(pairs, subs, refs, settings), "scored")
     enriched, edges = enrich(scored, n_subs + n_refs, settings)
     cases = scoring.cases(enriched, n_refs)
-    rows = materialise(evidence.evidence(cases, subs, refs, settings), "evidence")
-    assigned = ranking.assign(cases, reviewers, settings.review_threshold)
+
+    def found() -> DataFrame:
+        return evidence.compact(materialise(evidence.evidence(cases, subs, refs, settings), "evidence"), settings.max_evidence)
+
     total = n_subs * n_refs
     stats = pairs.agg(F.count("*").alias("candidates")).select(F.lit(total).alias("pairs"), "candidates", ((F.lit(total) - F.col("candidates")) / float(max(1, total))).alias("reduction"))
-    return Analysis(cases, edges, evidence.compact(rows, settings.max_evidence), assigned, stats)
+    return Analysis(cases, edges, stats, found, lambda: ranking.assign(cases, reviewers, settings.review_threshold))

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from plumbline.functions import kernels as K
 from plumbline.functions import text as X
 from plumbline.functions import udfs as U
-from plumbline.operators import candidates, corpus, evidence, network, ranking, scoring
+from plumbline.operators import candidates, corpus, cover, evidence, network, ranking, scoring
 from plumbline.operators.ordering import along
 from plumbline.plans import analysis
 from plumbline.report import case_reports, status, summary_lines
@@ -719,11 +719,26 @@ def max_flow(spark, d):
 
 @query(f"{COVER} SELECT chosen, array_to_string(uncovered, ',') AS uncovered, n::DOUBLE AS cost FROM step ORDER BY n DESC LIMIT 1")
 def set_cover(spark, d):
-    # Suppliers that together serve every nation of their region.
-    rows = table(spark, d, "supplier").groupBy(F.pmod("s_suppkey", F.lit(7)).alias("k")).agg(F.collect_set("s_nationkey").alias("s")).orderBy("k").collect()  # at most 7
-    universe = {r[0] for r in table(spark, d, "nation").select("n_nationkey").collect()}
-    chosen, left, cost = K.set_cover(universe, [(set(r["s"]), 1.0) for r in rows])
-    return spark.createDataFrame([(",".join(str(rows[i]["k"]) for i in chosen), ",".join(map(str, sorted(left))), cost)], "chosen string, uncovered string, cost double")
+    # Groups of suppliers that together serve every nation.
+    members = table(spark, d, "supplier").select(F.pmod("s_suppkey", F.lit(7)).alias("set"), F.col("s_nationkey").alias("element"))
+    universe = table(spark, d, "nation").select(F.col("n_nationkey").alias("element"))
+    sets = members.select("set", F.lit(1.0).alias("relevance"), F.lit(1.0).alias("cost")).distinct()
+    chosen, _ = cover.greedy_cover(members.join(universe, "element", "left_semi"), sets)
+    left = universe.join(members.join(chosen.select("set"), "set", "left_semi"), "element", "left_anti")
+    listed = lambda df, by, c: df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("k"), F.col(c).cast("string").alias("v")))), lambda x: x["v"]), ",").alias(c), F.count("*").cast("double").alias("n"))
+    return listed(chosen, "place", "set").join(listed(left, "element", "element").drop("n")).select(F.col("set").alias("chosen"), F.col("element").alias("uncovered"), F.col("n").alias("cost"))
+
+
+@query(
+    "WITH RECURSIVE m AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS e FROM lineitem WHERE l_quantity >= 49), step(n, chosen, last, gain, open) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, (SELECT list(DISTINCT e) FROM m) UNION ALL "
+    "SELECT n + 1, s, s, k, list_filter(open, lambda x: NOT list_contains(es, x)) FROM (SELECT n, open, s, es, k, row_number() OVER (ORDER BY k DESC, s) AS r FROM (SELECT n, open, s, es, len(list_intersect(es, open)) AS k FROM step CROSS JOIN (SELECT s, list(e) AS es FROM m GROUP BY s)) WHERE k > 0) WHERE r = 1) "
+    "SELECT chosen AS supplier, n AS place, gain AS new_parts FROM step WHERE n > 0"
+)
+def supplier_cover(spark, d):
+    """Suppliers that by the greedy rule cover all parts of large line items."""
+    members = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_suppkey").alias("set"), F.col("l_partkey").alias("element"))
+    chosen, _ = cover.greedy_cover(members, members.select("set", F.lit(1.0).alias("relevance"), F.lit(1.0).alias("cost")).distinct())
+    return chosen.select(F.col("set").alias("supplier"), F.col("place").cast("long").alias("place"), F.col("new").alias("new_parts"))
 
 
 # ------------------------------------------------------------------ sets, sorts, catalogue
