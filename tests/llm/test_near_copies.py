@@ -6,8 +6,6 @@ from plumbline.llm import near_copies
 
 
 def test_near_copies_against_all_pairs(spark):
-    import corpus_pipeline as P
-
     rng = random.Random(8)
     words = [f"w{i}" for i in range(4000)]
     texts = [None, "", " ", "one two", "One  two", "one two three"]
@@ -47,7 +45,7 @@ def test_near_copies_against_all_pairs(spark):
     assert sorted(((r[0], r[1]) for r in got), key=str) == sorted(((i, least[p]) for (i, _), p in zip(rows, part, strict=True)), key=str)
 
     gone = {i for (i, _), p in zip(rows, part, strict=True) if i is not None and i > least[p]}
-    kept = P.near_duplicates(spark, docs, "")
+    kept = near_copies.drop_near_copies(docs, complete=True)
     assert kept.columns == docs.columns
     assert sorted(r["cls"] for r in kept.collect()) == [k for k, (i, _) in enumerate(rows) if i not in gone]
     assert near_copies.near_copy_groups(docs.limit(0)).count() == 0
@@ -83,6 +81,8 @@ def test_the_stage_goes_by_fingerprints_and_loses_nothing(spark, monkeypatch):
     assert dict(near_copies.near_copy_groups(docs).collect()) == whole and asked
 
     # The stage takes the anchors' candidates alone: without them nothing is dropped.
+    import corpus_pipeline as P
+
     assert P.near_duplicates(spark, docs, "").count() == 240
     monkeypatch.undo()
     assert P.near_duplicates(spark, docs, "").count() == 240 - found
