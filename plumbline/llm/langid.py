@@ -12,28 +12,35 @@ so the second level parts those held-back texts from the same texts answered
 without their own language.
 
 As the softmax is linear, a bucket's embedding times the weights gives fixed
-logits, and a text's logits are the mean of its n-grams' logits.
+logits, and a text's logits are the mean of its n-grams' logits.  These are used
+where there are fewer languages than dimensions, the embeddings elsewhere, so the
+model stays small for any number of languages; it reaches the tasks as a Spark
+broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import bytewords as bw
 from plumbline.llm.rows import type_of
+from plumbline.scratch import discard, materialise
 
 BUCKET_BITS = 16
 DIMENSIONS = 16
 NGRAMS = (2, 3, 4)
-#: Bounds of the sample: texts of a language, and bytes of a text that may be
-#: drawn; languages that the model can hold.
-SAMPLE_TEXTS, SAMPLE_BYTES, MAX_LANGUAGES = 400, 20_000, 1_000
+#: Bounds of the sample: texts of a language, bytes of a text that may be drawn,
+#: bytes of all texts, shared evenly among the languages; languages that the
+#: model can hold.
+SAMPLE_TEXTS, SAMPLE_BYTES, SAMPLE_TOTAL, MAX_LANGUAGES = 400, 20_000, 16 << 20, 1_000
 EPOCHS, RATE = 12, 0.5
 #: Share of right answers asked for among the texts that are not rejected.
 PRECISION = 0.995
@@ -73,9 +80,10 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, bits: int = BUCKET_BITS) -> It
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray  # buckets x languages
+    embed: np.ndarray  # buckets x dimensions
+    weight: np.ndarray  # dimensions x languages
     bias: np.ndarray
-    known: np.ndarray  # buckets x languages: whether training texts hold it
+    known: np.ndarray  # buckets x languages, a bit each: whether training texts hold it
     temperature: float = 1.0
     reject_below: float = 0.0
     unfamiliar_below: float = 0.0
@@ -84,18 +92,29 @@ class Model:
         """Each text's probabilities of the languages, and its familiarity with
         the likeliest."""
         n = len(offsets) - 1
-        found = list(ngrams(data, offsets, int(np.log2(len(self.logits)))))
-        total, count = np.zeros((n, len(self.languages))), np.zeros(n)
+        found = list(ngrams(data, offsets, int(np.log2(len(self.embed)))))
+        few = len(self.languages) < self.embed.shape[1]
+        table = self.logits if few else self.embed
+        total, count = np.zeros((n, table.shape[1])), np.zeros(n)
         for buckets, bounds in found:
             count += np.diff(bounds)
-            for j in range(len(self.languages)):
-                total[:, j] += bw.sums(self.logits[buckets, j], bounds)
-        p = softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
+            for j in range(table.shape[1]):
+                total[:, j] += bw.sums(table[buckets, j], bounds)
+        mean = total / np.maximum(count, 1)[:, None]
+        p = softmax(((mean if few else mean @ self.weight) + self.bias) / self.temperature)
         best, held = p.argmax(axis=1), np.zeros(n)
         for buckets, bounds in found:
-            held += bw.sums(self.known[buckets, np.repeat(best, np.diff(bounds))].astype(np.int8), bounds)
+            held += bw.sums(self.holds(buckets, np.repeat(best, np.diff(bounds))).astype(np.int8), bounds)
         return p, held / np.maximum(count, 1)
 
+    @cached_property
+    def logits(self) -> np.ndarray:
+        return self.embed @ self.weight
+
+    def holds(self, buckets: np.ndarray, language: np.ndarray | int) -> np.ndarray:
+        """Whether the language's training texts hold the buckets."""
+        return (self.known[buckets, language >> 3] >> (7 - (language & 7)) & 1).astype(bool)
+
 
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=1, keepdims=True))
@@ -116,15 +135,12 @@ def train(texts: list[str], answers: list[str], seed: int = 5) -> Model:
     index = {name: i for i, name in enumerate(languages)}
     y = np.array([index[a] for a in answers])
     data, offsets = bw.string_buffers(pa.array(texts, pa.large_string()))
-    parts: list[list[np.ndarray]] = [[] for _ in texts]
-    for i, j in bw.groups(offsets):
-        for buckets, bounds in ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-            for t in range(i, j):
-                parts[t].append(buckets[bounds[t - i] : bounds[t - i + 1]])
     bags = []
-    for p in parts:
-        b, n = np.unique(np.concatenate(p) if p else np.zeros(0, np.int64), return_counts=True)
-        bags.append((b, (n / max(1, n.sum())).astype(np.float32)))
+    for i, j in bw.groups(offsets):
+        found = list(ngrams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+        for t in range(j - i):
+            b, n = np.unique(np.concatenate([buckets[bounds[t] : bounds[t + 1]] for buckets, bounds in found]), return_counts=True)
+            bags.append((b.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     rng = np.random.default_rng(seed)
     embed = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     weight = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
@@ -144,13 +160,13 @@ def train(texts: list[str], answers: list[str], seed: int = 5) -> Model:
             embed[b] -= np.float32(rate * 50) * share[:, None] * (weight @ p)[None, :]
             weight -= np.float32(rate) * np.outer(h, p)
             bias -= np.float32(rate * 0.1) * p
-    known = np.zeros((1 << BUCKET_BITS, len(languages)), bool)
+    known = np.zeros((1 << BUCKET_BITS, (len(languages) + 7) // 8), np.uint8)
     for i in np.flatnonzero(~held):
-        known[bags[i][0], y[i]] = True
-    model = Model(languages, embed @ weight, bias, known)
+        known[bags[i][0], y[i] >> 3] |= np.uint8(128 >> (y[i] & 7))
+    model = Model(languages, embed, weight, bias, known)
     if held.any():
         check = [bags[i] for i in np.flatnonzero(held)]
-        raw = np.array([share @ model.logits[b] + bias for b, share in check])
+        raw = np.array([share @ embed[b] @ weight + bias for b, share in check])
         calibrate(model, raw, y[held])
         model.unfamiliar_below = familiarity_level(model, check, raw, y[held])
     return model
@@ -165,10 +181,10 @@ def familiarity_level(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], r
     own, other = [], []
     for (b, share), score, answer in zip(bags, raw, y, strict=True):
         if len(b):
-            own.append(share[model.known[b, answer]].sum())
+            own.append(share[model.holds(b, answer)].sum())
             rest = score.copy()
             rest[answer] = -np.inf
-            other.append(share[model.known[b, rest.argmax()]].sum())
+            other.append(share[model.holds(b, rest.argmax())].sum())
     own, other = np.sort(own), np.sort(other)
     levels = np.concatenate([own, other])
     errors = np.searchsorted(own, levels, "left") + len(other) - np.searchsorted(other, levels, "left")
@@ -190,23 +206,40 @@ def calibrate(model: Model, raw: np.ndarray, y: np.ndarray) -> None:
     model.reject_below = 0.99
 
 
-def sample_texts(docs: DataFrame, may_learn: Column, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[str]]:
-    """About ``texts`` texts of each of the ``MAX_LANGUAGES`` most frequent
-    languages by hash of the id (all, if there are fewer), collected to the
-    driver; bounded by the limits above."""
+def sample_texts(docs: DataFrame, may_learn: Column, texts: int = SAMPLE_TEXTS, max_bytes: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL) -> tuple[list[str], list[str]]:
+    """About ``texts`` different texts of each of the ``MAX_LANGUAGES`` most
+    frequent languages (all, if there are fewer), drawn by the texts' hashes and
+    collected to the driver.
+
+    A language takes fewer where its texts would exceed its even share of
+    ``total`` bytes.  Copies of a text are drawn once, so a large group of them
+    neither fills the sample nor exceeds it.  Sizes are estimates, so what was
+    drawn is counted before it is collected: above twice ``total`` the draw is
+    thinned out, in the same order, until it fits."""
     labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes) & F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    h = F.xxhash64("text", F.lit("sample"))
+    per_lang = labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.approx_count_distinct(h).alias("n"), F.avg(F.octet_length("text")).alias("bytes"))
+    counts = per_lang.orderBy(F.desc("rows"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return [], []
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, texts / r["n"])))])
-    h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
-    # Binomial in size; the limit only guards the driver against a broken hash.
-    rows = labelled.filter(h < share[F.col("lang")]).select("doc_id", "lang", "text").limit(4 * texts * len(counts)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
-    return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
+    rates = [(r["lang"], min(1.0, min(texts, total / len(counts) / r["bytes"]) / r["n"])) for r in counts]
+    share = F.broadcast(docs.sparkSession.createDataFrame(rates, "lang string, share double"))
+    place = F.pmod(h, F.lit(1_000_003)) / 1_000_003.0
+    drawn = labelled.withColumn("place", place).join(share, "lang").filter("place < share").groupBy("lang", "text").agg(F.min(F.col("place") / F.col("share")).alias("place"))
+    drawn = materialise(drawn, "lang-sample")
+    keep, size = 1.0, drawn.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    while size > 2 * total:
+        keep *= total / size
+        size = drawn.filter(F.col("place") < keep).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = drawn.filter(F.col("place") < keep).select("lang", "text").toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+    discard(drawn)
+    order = np.random.default_rng(7).permutation(rows.num_rows)  # every fifth calibrates, of whatever language and beginning
+    return rows.column("text").take(order).to_pylist(), rows.column("lang").take(order).to_pylist()
 
 
-def _predict(model: Model | None) -> Callable:
+def _predict(sent: Broadcast[Model | None]) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
         for part, data, offsets in bw.text_groups(batches):
             n = part.num_rows
             letters = has_letter(part.column(2), data, offsets)
@@ -233,7 +266,8 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     A null ``held_out`` counts as false; a null id is kept, ids keep their type.  Without
     labelled rows every answer is ``und``.  An empty table gives an empty
     result; repeated rows are answered each; columns of other names are not
-    looked at.
+    looked at.  A very long text is answered whole, in one task, but never
+    learned from.  Of languages of equal probability the first by name is answered.
     """
     given = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -242,5 +276,5 @@ def identify(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         F.col(lang_col).cast("string").alias("lang"),
     )
     texts, answers = sample_texts(given, ~F.col("held_out"))
-    model = train(texts, answers) if texts else None
+    model = docs.sparkSession.sparkContext.broadcast(train(texts, answers) if texts else None)
     return given.select("doc_id", "held_out", "text").mapInArrow(_predict(model), f"doc_id {type_of(docs, id_col)}, held_out boolean, lang_pred string, score double, rejected boolean")

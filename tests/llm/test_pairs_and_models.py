@@ -255,7 +255,7 @@ def test_topk_against_brute_force(spark):
     rows += [(1000, None, 0), (1050, [1.0, None], 0), (1100, [float("nan")] * 8, 0), (1150, [float("inf")] * 8, 0), (1200, [0.0] * 8, 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").repartition(3)
     got = {}
-    for r in impact_topk.exact_topk(df, F.col("vec_id") % 50 == 0, batch=3).collect():
+    for r in impact_topk.exact_topk(df, F.col("vec_id") % 50 == 0, batch_bytes=200).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     usable = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
     want = {}
@@ -269,7 +269,7 @@ def test_topk_against_brute_force(spark):
 
 def test_topk_of_unequal_lengths_and_repeated_ids(spark):
     rows = [(0, [0.5, 0.25]), (50, [0.5, 0.25, 1.0]), (1, [1.0]), (2, [0.0, 2.0, 3.0]), (2, [1.0, 1.0]), (3, []), (0, [0.5, 0.25])]
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in impact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, batch=1).collect()]
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in impact_topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0, batch_bytes=1).collect()]
     want = []
     for q, v in {i: tuple(v) for i, v in rows if i % 50 == 0}.items():
         dot = lambda x, v=v: sum(int(256 * a) * int(256 * b) for a, b in zip(v, x, strict=False))
@@ -323,6 +323,50 @@ def test_foreign_texts_are_rejected(spark):
     assert langid.identify(ids.limit(0), F.lit(False)).count() == 0
 
 
+def plain_probabilities(model, text):
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    low = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low)
+    found = []
+    for n in langid.NGRAMS:
+        for i in range(len(low) - n + 1):
+            gram = low[i : i + n]
+            if b"  " not in gram:
+                h = 0
+                for b in gram:
+                    h = (h * 0xD1342543DE82EF95 + int(bw.BYTE_VALUE[b])) % 2**64
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ h >> shift) * factor % 2**64
+                found.append((h ^ h >> 31) >> 64 - langid.BUCKET_BITS)
+    mean = [sum(float(model.embed[b, d]) for b in found) / max(1, len(found)) for d in range(model.embed.shape[1])]
+    z = [(sum(m * float(w) for m, w in zip(mean, model.weight[:, j], strict=True)) + float(model.bias[j])) / model.temperature for j in range(len(model.languages))]
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+@pytest.mark.parametrize("languages", [3, 20])
+def test_language_model_against_a_plain_forward_pass(languages):
+    rng = random.Random(languages)
+    words = [["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéß", k=5)) for _ in range(8)] for _ in range(languages)]
+    texts = [(" ".join(rng.choices(words[j], k=12)), f"l{j:02}") for _ in range(15) for j in range(languages)]
+    rng.shuffle(texts)
+    model = langid.train([t for t, _ in texts], [lang for _, lang in texts])
+    asked = ["", " ", "A", "über", "  One, two--three  ", *(t for t, _ in texts[:20])]
+    p, _ = model.probabilities(*bw.string_buffers(pa.array(asked)))
+    for got, text in zip(p.tolist(), asked, strict=True):
+        assert got == pytest.approx(plain_probabilities(model, text), rel=1e-4, abs=1e-7)
+    assert np.mean([model.languages[i] == lang for i, (_, lang) in zip(p[5:].argmax(axis=1), texts, strict=False)]) > 0.9
+
+
+def test_language_sample_is_bounded_by_bytes_and_takes_copies_once(spark):
+    rows = [(i, text, lang) for i, text, lang in samples(600, seed=8)] + [(7, "der und nicht schön", "de")] * 400 + [(9, "le la " * 5000, "fr")]
+    texts, answers = langid.sample_texts(frame(spark, rows), F.lit(True), total=6000)
+    assert len(set(zip(texts, answers, strict=True))) == len(texts) and set(answers) == set(WORDS)
+    assert 1500 < sum(len(t.encode()) for t in texts) <= 12000
+    whole, _ = langid.sample_texts(frame(spark, rows), F.lit(True))
+    assert len(whole) == len({(t, lang) for _, t, lang in rows}) - 1  # but for the text above 20,000 bytes
+    assert texts == langid.sample_texts(frame(spark, rows).repartition(5), F.lit(True), total=6000)[0]
+
+
 def documents_of_lines(n, seed=0):
     rng = random.Random(seed)
     out = []
