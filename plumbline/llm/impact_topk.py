@@ -10,8 +10,9 @@ level.  Vectors whose upper bound is below the k-th best lower bound are out.
 Processing stops when that proof leaves few enough possible members, or when
 all segments are done; the possible members are then scored exactly.
 
-Queries go to the blocks in batches of bounded size (``BATCH`` queries of a
-broadcast matrix), one pass over the vectors for each batch.
+Queries go to the blocks in batches of bounded size, a Spark broadcast of
+``BATCH_BYTES``; there is one pass over the vectors for each batch, and a block's
+index serves all queries of the batch.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,8 +32,9 @@ from plumbline.scratch import materialise
 
 SCALE = 256.0
 LEVELS = 8
-#: Vectors of an index block; queries of a broadcast batch.
-BLOCK, BATCH = 16_384, 4_096
+#: Vectors of an index block; bytes of a broadcast batch of queries, which at 64
+#: components are 65,536 of them.
+BLOCK, BATCH_BYTES = 16_384, 32 << 20
 #: Posting segments between two attempts at a proof.
 SEGMENTS_BETWEEN_PROOFS = 48
 #: A proof that leaves at most so many possible members ends the processing.
@@ -97,11 +100,12 @@ class Block:
         return self.ids[members[best]], exact[best]
 
 
-def _search(query_ids: np.ndarray, queries: np.ndarray, k: int) -> Callable:
+def _search(asked: Broadcast[tuple[np.ndarray, np.ndarray]], k: int) -> Callable:
     """The k best of a partition's vectors for every query.  What the blocks so
     far have found is the mark that members of the next one must reach."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, queries = asked.value
         width = queries.shape[1]
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(query_ids)
 
@@ -160,7 +164,7 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~F.coalesce(odd, F.lit(True))
 
 
-def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", batch: int = BATCH) -> DataFrame:
+def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best of all other
     rows by integer inner product, ties to the smaller id.
 
@@ -174,6 +178,8 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
     given = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     index = materialise(given.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))).select("vec_id", integers(F.col("v")).alias("v"), "q"), "topk-vectors")
     spark = index.sparkSession
+    widest = index.filter("q").agg(F.max(F.size("v"))).first()[0] or 1
+    batch = max(1, batch_bytes // (8 * max(1, widest)))
     parts, after = [], None
     while True:
         # The next batch of queries by id: bounded, whatever their number.  Its
@@ -183,8 +189,9 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "
         if not rows.num_rows:
             break
         ids = rows.column("vec_id").to_numpy()
-        wanted = matrix(rows.column("v"), int(pc.max(pc.list_value_length(rows.column("v"))).as_py()))
-        parts.append(materialise(index.select("vec_id", "v").mapInArrow(_search(ids, wanted, k), "query_id long, vec_id long, score long"), "topk-answers"))
+        asked = spark.sparkContext.broadcast((ids, matrix(rows.column("v"), int(pc.max(pc.list_value_length(rows.column("v"))).as_py()))))
+        parts.append(materialise(index.select("vec_id", "v").mapInArrow(_search(asked, k), "query_id long, vec_id long, score long"), "topk-answers"))
+        asked.destroy()
         after = int(ids[-1])
         if rows.num_rows < batch:
             break
