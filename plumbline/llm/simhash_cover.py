@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.llm import bytewords as bw
-from plumbline.llm.rows import one_of_each, text_key, text_of, type_of
+from plumbline.llm.rows import one_of_each, text_key, text_of, type_of, with_class
 from plumbline.llm.xx64 import hash_ranges
 from plumbline.operators.components import connected_components
 from plumbline.scratch import materialise, scope
@@ -289,12 +289,12 @@ def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(doc_id, text_key, fp, component, component_id)``, one row per row of
     ``docs``; ``component`` is the component's smallest fingerprint."""
     prints = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-classes")
     parts = materialise(connected_components(links(classes, threshold), "a", "b"), "simhash-parts")
-    named = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_class = named.select("fp", "component").join(ids, "component").select("fp", "component", "component_id")
-    return prints.join(per_class, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
+    named = materialise(classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "simhash-named")
+    ids = materialise(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "simhash-components")
+    per_class = materialise(with_class(named, ids, "component").select("fp", "component", "component_id", F.col("rows").alias("members")), "simhash-ids")
+    return with_class(prints, per_class, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
