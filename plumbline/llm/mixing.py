@@ -33,10 +33,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def seeded_hash(key: Column, seed: int) -> Column:
-    """48 bits of md5 over the seed and the id as text."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+def seeded_hash(key: Column, text: Column, seed: int) -> Column:
+    """48 bits of md5 over the seed, the id as text and the text's md5, so rows
+    without an id, or of one id, do not share a bucket unless their texts agree."""
+    content = F.md5(F.coalesce(text.cast("string"), F.lit("")))
+    whole = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")), content)
+    return F.conv(F.substring(F.md5(whole), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -61,7 +63,7 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epoch
 
 def _marked(docs: DataFrame, seed: int) -> DataFrame:
     """``docs`` (row, id, text, source) as (row, id, source, size, h, bucket)."""
-    h = seeded_hash(F.col("id"), seed)
+    h = seeded_hash(F.col("id"), F.col("text"), seed)
     return docs.select("row", F.col("id").cast("string").alias("id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), h.alias("h")).withColumn("bucket", F.shiftright("h", HASH_BITS - BUCKET_BITS))
 
 
@@ -114,7 +116,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A null text has size 0; null is a source of its own; sources without words
     have target 0.  Repeated rows are documents of their own.  Equal hashes are
     ordered by id.  An empty table gives an empty result; columns of other
-    names are not looked at.  The same input gives the same mix.  The sources
+    names are not looked at.  A very long text is counted whole.  The same input
+    gives the same mix.  The sources
     are ordered in one task: meant for up to some millions of them, a row each.
     """
     given = docs.select(F.col(id_col).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
@@ -139,7 +142,7 @@ def mix_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS h
+         ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT AS h
   FROM documents),
 per_source AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
