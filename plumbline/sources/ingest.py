@@ -181,6 +181,50 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return records
 
 
+def recover_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records ``(doc_id, doc_type, path)``, faults ``(line, reason)``) of a
+    snapshot that need not be whole.
+
+    A line that is no record, or a record without four fields, an id or a type,
+    is a fault alone and the rest stays.  Of records of one id that of the
+    smallest type and path stays, the others are faults.  So is a count that is
+    not that of the lines that look like records.  Only a file without the first
+    line and the version of a snapshot is refused."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    marks = lines.agg(F.count_if(F.col("line") == "APDS_DOCUMENT_INDEX").alias("magic"), F.count_if(F.col("line") == "VERSION\t1").alias("version"), F.count_if(F.col("line").startswith("RECORD\t")).alias("n")).first()
+    if not marks["magic"] or not marks["version"]:
+        raise ValueError("this is no catalogue snapshot")
+    body = lines.filter(~F.col("line").isin("APDS_DOCUMENT_INDEX", "VERSION\t1") & (F.col("line") != f"COUNT\t{marks['n']}"))
+    parts = F.split("line", "\t", -1)
+    at = lambda i: _unescape(F.get(parts, F.lit(i)))
+    reason = (
+        F.when(F.col("line").startswith("COUNT\t"), "another count")
+        .when(~F.col("line").startswith("RECORD\t"), "not a record")
+        .when(F.size(parts) != 4, "wrong number of fields")
+        .when(F.trim(at(1)) == "", "no id")
+        .when(F.trim(at(2)) == "", "no type")
+    )
+    read = body.select("line", reason.alias("reason"), at(1).alias("doc_id"), at(2).alias("doc_type"), at(3).alias("path"))
+    of_id = Window.partitionBy("doc_id").orderBy("doc_type", "path")
+    placed = read.filter("reason is null").withColumn("place", F.row_number().over(of_id))
+    again = placed.filter("place > 1").select("line", F.lit("repeated id").alias("reason"))
+    return placed.filter("place = 1").select("doc_id", "doc_type", "path"), read.filter("reason is not null").select("line", "reason").unionByName(again)
+
+
+def recover_catalogue(spark: SparkSession, path: str, quarantine_path: str) -> DataFrame:
+    """Puts the stored snapshot in order: its faults are appended to the
+    quarantine table first, then what could be read replaces it.  Gives the
+    catalogue; one that is whole is left as it is."""
+    files.recover(spark, path)
+    try:
+        return open_catalogue(spark, path)
+    except ValueError:
+        records, faults = recover_snapshot(spark, path)
+    quarantine(faults.withColumn("file", F.lit(path)), quarantine_path)
+    save_catalogue(spark, path, records)
+    return read_snapshot(spark, path)
+
+
 def catalogue_differences(stored: DataFrame, loaded: DataFrame) -> DataFrame:
     """Ids that stand in one of two catalogues only, or with another type."""
     a, b = stored.select("doc_id", F.col("doc_type").alias("stored_type")), loaded.select("doc_id", F.col("doc_type").alias("loaded_type"))

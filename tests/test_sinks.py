@@ -111,3 +111,25 @@ def test_reload(spark, tmp_path):
     gone = spark.createDataFrame([("b",)], "doc_id string")
     docs, errors = ingest.reload_corpus(spark, [(str(tmp_path / "in"), "SUBMISSION"), (str(tmp_path / "ref"), "REFERENCE")], gone)
     assert sorted((r["doc_id"], r["doc_type"]) for r in docs.collect()) == [("a", "SUBMISSION"), ("c", "REFERENCE")] and errors.count() == 0
+
+
+def test_malformed_records_are_isolated(spark, tmp_path):
+    path, aside = str(tmp_path / "catalogue"), str(tmp_path / "aside")
+    rows = spark.createDataFrame([(f"d{i}", "REFERENCE", f"/a\t{i}.txt") for i in range(1000)], "doc_id string, doc_type string, path string")
+    ingest.save_catalogue(spark, path, rows)
+    assert ingest.recover_catalogue(spark, path, aside).count() == 1000 and not (tmp_path / "aside").exists()
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    bad = ["RECORD\td7", "RECORD\t\tREFERENCE\t/x", "RECORD\tx\t\t/x", "noise", "", "RECORD\td5\tSUBMISSION\t/y"]
+    lines = [x for x in lines if not x.startswith("RECORD\td7\t")] + bad
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+    with pytest.raises(ValueError):
+        ingest.open_catalogue(spark, path)
+    got = ingest.recover_catalogue(spark, path, aside)
+    assert {r["doc_id"] for r in got.collect()} == {f"d{i}" for i in range(1000) if i != 7}
+    assert {tuple(r) for r in got.filter("doc_id in ('d5', 'd6')").collect()} == {("d5", "REFERENCE", "/a\t5.txt"), ("d6", "REFERENCE", "/a\t6.txt")}
+    faults = {(r["line"], r["reason"]) for r in spark.read.parquet(aside).collect()}
+    assert faults == set(zip(bad, ["wrong number of fields", "no id", "no type", "not a record", "not a record", "repeated id"], strict=True)) | {("COUNT\t1000", "another count")}
+    assert ingest.open_catalogue(spark, path).count() == 999
+    spark.createDataFrame([("RECORD\ta\tb\tc",)], "value string").write.text(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        ingest.recover_snapshot(spark, str(tmp_path / "other"))
