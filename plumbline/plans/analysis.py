@@ -72,11 +72,18 @@ def enrich(scored: DataFrame, n_vertices: int, settings: Settings) -> tuple[Data
     return out, network.edges_of(out, "sub_id", "ref_id", "total", settings.graph_edge_threshold)
 
 
-def analyse(subs: DataFrame, refs: DataFrame, reviewers: DataFrame, settings: Settings, n_subs: int, n_refs: int, gated: bool = True) -> Analysis:
-    """The whole batch over prepared submissions and references."""
+def analyse(subs: DataFrame, refs: DataFrame, reviewers: DataFrame, settings: Settings, n_subs: int, n_refs: int, gated: bool = True, progress: Callable[[str, int, int], None] = lambda phase, done, of: None) -> Analysis:
+    """The whole batch over prepared submissions and references.  ``progress``
+    is told of each phase as it begins, and of the end."""
+    progress("validation", 0, 4)
+    if n_subs < 0 or n_refs < 0:
+        raise ValueError("counts are not negative")
+    progress("preparation", 1, 4)
     gate = settings.candidate_threshold if gated and settings.enable_shingle else 0.0
     pairs = materialise(candidates.minhash_candidates(subs, refs, gate, settings.word_shingle_size), "candidates")
+    progress("analysis", 2, 4)
     scored = materialise(score_pairs(pairs, subs, refs, settings), "scored")
+    progress("indexing", 3, 4)
     enriched, edges = enrich(scored, n_subs + n_refs, settings)
     cases = scoring.cases(enriched, n_refs)
 
@@ -85,4 +92,5 @@ def analyse(subs: DataFrame, refs: DataFrame, reviewers: DataFrame, settings: Se
 
     total = n_subs * n_refs
     stats = pairs.agg(F.count("*").alias("candidates")).select(F.lit(total).alias("pairs"), "candidates", ((F.lit(total) - F.col("candidates")) / float(max(1, total))).alias("reduction"))
+    progress("complete", 4, 4)
     return Analysis(cases, edges, stats, found, lambda: ranking.assign(cases, reviewers, settings.review_threshold))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_root: str | None = None
 _written: list[str] = []
+_open = threading.local()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,8 +41,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the stored table."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in (_written, *_scopes()):  # before the write: a cancelled one leaves files too
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
     return stored
@@ -52,11 +55,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     _written.remove(path)
 
 
+def _scopes() -> list[list[str]]:
+    """The scopes that this thread is in, each with its tables."""
+    return _open.__dict__.setdefault("scopes", [])
+
+
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes the tables written within it when it ends, but for those that
-    were handed to the function it gives: ``keep(materialise(...))``."""
-    before, kept = set(_written), set()
+    """Deletes the tables that its thread wrote within it when it ends, but for
+    those that were handed to the function it gives: ``keep(materialise(...))``."""
+    own: list[str] = []
+    kept: set[str] = set()
+    _scopes().append(own)
 
     def keep(df: DataFrame) -> DataFrame:
         kept.add(df._scratch_path)
@@ -65,8 +75,27 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        for path in [p for p in _written if p not in before and p not in kept]:
-            _delete(spark, path)
+        _scopes().pop()
+        for path in own:
+            if path in _written and path not in kept:
+                _delete(spark, path)
+
+
+@contextmanager
+def undone_on_error(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that its thread wrote within it if it ends by an
+    exception, cancellation included."""
+    own: list[str] = []
+    _scopes().append(own)
+    try:
+        yield
+    except BaseException:
+        for path in own:
+            if path in _written:
+                _delete(spark, path)
+        raise
+    finally:
+        _scopes().pop()
 
 
 def discard(df: DataFrame) -> None:
