@@ -7,6 +7,7 @@ network is ``documents`` against itself.  Reviewers and settings are fixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 from plumbline.functions import kernels as K
 from plumbline.functions import text as X
 from plumbline.functions import udfs as U
-from plumbline.operators import candidates, corpus, cover, evidence, network, ranking, scoring
+from plumbline.operators import candidates, corpus, cover, evidence, matching, network, ranking, scoring
 from plumbline.operators.ordering import along
 from plumbline.plans import analysis
 from plumbline.report import case_reports, status, summary_lines
@@ -741,6 +742,35 @@ def supplier_cover(spark, d):
     return chosen.select(F.col("set").alias("supplier"), F.col("place").cast("long").alias("place"), F.col("new").alias("new_parts"))
 
 
+@query(
+    "WITH suits AS (SELECT DISTINCT l_orderkey AS c, n_regionkey AS r FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' AND l_quantity >= 47), "
+    "seats AS (SELECT n_regionkey AS r, count(*) AS capacity FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), "
+    "masks AS (SELECT mask, count(*) AS n FROM (SELECT c, bit_or(1 << r) AS mask FROM suits JOIN seats USING (r) GROUP BY c) GROUP BY mask), "
+    # A greatest matching is as large as the least cut: some regions' seats, and the orders that another region suits.
+    "cuts AS (SELECT s, (SELECT coalesce(sum(capacity), 0) FROM seats WHERE (s >> r) & 1 = 1) + (SELECT coalesce(sum(n), 0) FROM masks WHERE mask & (31 - s) <> 0) AS cut FROM (SELECT unnest(range(32)) AS s)) "
+    "SELECT 'orders' AS measure, (SELECT coalesce(sum(n), 0) FROM masks)::BIGINT AS value UNION ALL SELECT 'seats', (SELECT coalesce(sum(capacity), 0) FROM seats)::BIGINT UNION ALL SELECT 'assigned', (SELECT min(cut) FROM cuts)::BIGINT UNION ALL SELECT 'beyond capacity', 0 UNION ALL SELECT 'unsuited', 0"
+)
+def assign_regions(spark, d):
+    """Orders with large returns to regions: each suits the regions of the
+    suppliers of these lines, and a region takes one for each customer of its
+    own.  Some regions fill up, others do not."""
+    nations = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("reviewer_id"))
+    of = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "reviewer_id")
+    returns = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 47")
+    suits = returns.join(of, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("case_id"), "reviewer_id").distinct()
+    seats = table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("reviewer_id").alias("id")).agg(F.count("*").alias("capacity"))
+    found = matching.matching(suits, seats)
+    used = found.groupBy(F.col("reviewer_id").alias("id")).agg(F.count("*").alias("used"))
+    measures = {
+        "orders": suits.join(seats, F.col("reviewer_id") == F.col("id"), "left_semi").agg(F.count_distinct("case_id").alias("value")),
+        "seats": seats.agg(F.coalesce(F.sum("capacity"), F.lit(0)).alias("value")),
+        "assigned": found.agg(F.count_distinct("case_id").alias("value")),
+        "beyond capacity": used.join(seats, "id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("value")),
+        "unsuited": found.join(suits, ["case_id", "reviewer_id"], "left_anti").agg(F.count("*").alias("value")),
+    }
+    return reduce(DataFrame.union, [m.select(F.lit(name).alias("measure"), F.col("value").cast("long").alias("value")) for name, m in measures.items()])
+
+
 # ------------------------------------------------------------------ sets, sorts, catalogue
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def topk(spark, d):
