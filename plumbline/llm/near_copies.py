@@ -6,7 +6,8 @@ connected components of all links.  Candidates come first from the sets'
 fingerprints that meet at an anchor (``simhash_cover.meetings``), and are verified
 on the whole sets.  No covering of fingerprints reaches every pair of that
 similarity, for their distances have no bound.  ``drop_near_copies`` takes the
-anchors' candidates alone; ``near_copy_groups`` adds an exact search for the
+anchors' candidates alone, the nearest first and then all that meet at an anchor
+and are not joined yet; ``near_copy_groups`` adds an exact search for the
 pairs across what the fingerprints joined, unless told not to.
 
 That search is a prefix filter, which misses no pair: under any one order of the shingles,
@@ -38,7 +39,8 @@ from pyspark.sql.window import Window
 
 from plumbline.llm import bytewords as bw
 from plumbline.llm.rows import one_of_each, text_key, text_of, type_of, with_class
-from plumbline.llm.simhash_cover import meetings, sketches
+from plumbline.llm.simhash_cover import at_anchors as meetings
+from plumbline.llm.simhash_cover import left_out, nearest, sketches
 from plumbline.operators.components import connected_components
 from plumbline.scratch import materialise, scope
 
@@ -172,12 +174,24 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _links(rows: DataFrame, given: DataFrame, similarity: float, complete: bool) -> DataFrame:
-    """Pairs ``(a, b)`` of classes that join all near copies; unless
-    ``complete``, those that the fingerprints find."""
-    met = materialise(meetings(rows.select("cls", "own", "sketch").distinct()), "near-met")
-    if not complete:
-        return _verified(met, rows, given, similarity)
+def _anchored(rows: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
+    """``(node, component)`` of the classes that the anchors join: first over the
+    nearest that meet, then over all others that meet and are not joined yet."""
+    met = meetings(rows.select("cls", "own", "sketch").distinct())
+    tried = materialise(nearest(met), "near-met")
+    parts = materialise(connected_components(_verified(tried, rows, given, similarity), "a", "b"), "near-joined")
+    rest = materialise(left_out(met, parts).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    if rest.isEmpty():
+        return parts
+    more = _verified(rest, rows, given, similarity)
+    if more.isEmpty():
+        return parts
+    return materialise(connected_components(more.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), "a", "b"), "near-parts")
+
+
+def _links(rows: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of classes that join all near copies."""
+    met = materialise(nearest(meetings(rows.select("cls", "own", "sketch").distinct())), "near-met")
     tokens = rows.select("cls", "n", "own", F.posexplode("prefix").alias("i", "h"))
     of = Window.partitionBy("h")
     least = tokens.withColumns({"lo": F.min("cls").over(of), "hi": F.max("cls").over(of)}).filter("lo <> hi")
@@ -217,7 +231,8 @@ def _groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     prefixes = _prefixes(found[order], often.column("k").to_numpy()[order], similarity)
     rows = materialise(given.mapInArrow(prefixes, f"doc_id {type_of(docs, id_col)}, text_key long, cls long, n int, own double, sketch array<long>, prefix array<long>"), "near-prefixes")
 
-    parts = materialise(connected_components(_links(rows, given, similarity, complete), "a", "b"), "near-parts").withColumnRenamed("node", "cls")
+    parts = materialise(connected_components(_links(rows, given, similarity), "a", "b"), "near-parts") if complete else _anchored(rows, given, similarity)
+    parts = parts.withColumnRenamed("node", "cls")
     classes = rows.groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(parts, "cls", "left")
     named = materialise(classes.select("cls", "least", "rows", F.coalesce("component", "cls").alias("component")), "near-classes")
     ids = materialise(named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "near-components")

@@ -48,7 +48,8 @@ WEAK = 8
 FLIPS = [(), *((i,) for i in range(WEAK)), *((i, j) for j in range(5) for i in range(j))]
 #: Most bits of 64 in which a pair of ``meetings`` differs (a Jaccard similarity
 #: of 0.8 makes 9.7 on average, sd 2.9), how many of an anchor, besides its
-#: first, a fingerprint meets, and with how many of all it is paired.
+#: first, a fingerprint meets at first, and with how many of all it is then
+#: paired; ``left_out`` gives the rest.
 FAR, CROWD, NEAREST = 19, 16, 8
 #: Lowest bits of an anchor's number that hold the place within it.
 PLACE = 12
@@ -259,31 +260,68 @@ def _table_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cls[which]), pa.array(other)], ["at", "cls", "fp"])
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of classes (long cls, double own of 0 to 1,
-    sketch: array of the longs of ``sketches``) that meet at an anchor and differ
-    in at most ``FAR`` bits of a word from which the anchor was not taken.
-
-    There a class meets the first, by ``own``, and the ``CROWD`` before it, and
-    takes the nearest of them; where so many stand, the first if that is near
-    enough.  It is paired with the ``NEAREST`` and with the foremost by ``own``
-    of those taken, so that pairs grow with the number of classes alone."""
-    sent = classes.select("cls", "own", "sketch").mapInArrow(_table_batches, "at long, cls long, fp long")
-    order = Window.partitionBy(F.shiftright("at", PLACE)).orderBy("at", "cls")
+def at_anchors(classes: DataFrame) -> DataFrame:
+    """``(anchor, cls, fp, to, bits, place, crowded)``, stored: how classes (long
+    cls, double own of 0 to 1, sketch: array of the longs of ``sketches``) meet
+    at anchors.  ``bits`` are those in which two differ in a word from which the
+    anchor was not taken; two that differ in more than ``FAR`` do not meet.
+
+    At an anchor a class looks at the first, by ``own``, and the ``CROWD`` before
+    it, and takes the nearest of them (``to``); where so many stand, the first if
+    that is near enough.  Whoever else it meets there is left for ``left_out``:
+    such an anchor is ``crowded``, and all of its classes are kept."""
+    sent = classes.select("cls", "own", "sketch").mapInArrow(_table_batches, "at long, cls long, fp long").withColumn("anchor", F.shiftright("at", PLACE))
+    order = Window.partitionBy("anchor").orderBy("at", "cls")
     it = F.struct(F.col("at").bitwiseAND((1 << PLACE) - 1).alias("place"), "cls", "fp")
     first, before = F.first(it).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.collect_list(it).over(order.rowsBetween(-CROWD, -1))
-    met = sent.withColumns({"first": first, "before": before}).filter(F.size("before") > 0)
+    shared = sent.withColumns({"first": first, "before": before, "classes": F.count("*").over(Window.partitionBy("anchor"))}).filter("classes > 1")
     apart = lambda x: F.struct(F.bit_count(x["fp"].bitwiseXOR(F.col("fp"))).alias("bits"), x["place"].alias("place"), x["cls"].alias("to"))
-    nearest, one = F.array_min(F.transform(F.concat("before", F.array("first")), apart)), apart(F.col("first"))
-    taken = F.when((F.size("before") == CROWD) & (one["bits"] <= FAR), one).otherwise(nearest)
-    near = met.select("cls", taken.alias("x")).select("cls", "x.*").filter(F.col("bits") <= FAR)
-    each = near.groupBy("cls", "to").agg(F.min("bits").alias("bits"), F.min("place").alias("place"))
+    near = F.filter(F.transform(F.concat("before", F.array("first")), apart), lambda x: (x["bits"] <= FAR) & (x["to"] != F.col("cls")))
+    seen = shared.select("anchor", "cls", "fp", near.alias("near"), apart(F.col("first")).alias("one"), (F.size("before") == CROWD).alias("full"))
+    taken = F.when(F.col("full") & (F.col("one.bits") <= FAR), F.col("one")).otherwise(F.array_min("near"))
+    seen = seen.withColumn("x", taken)
+    missed = F.col("full") | F.exists("near", lambda x: x["to"] != F.col("x.to"))
+    crowded = F.max(missed).over(Window.partitionBy("anchor"))
+    kept = seen.withColumn("crowded", crowded).filter(F.col("crowded") | F.col("x").isNotNull())
+    return materialise(kept.select("anchor", "cls", "fp", "x.to", "x.bits", "x.place", "crowded"), "simhash-meetings")
+
+
+def nearest(met: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ``met`` (``at_anchors``): each class with the
+    ``NEAREST`` and with the foremost by ``own`` of those that it took, so that
+    pairs grow with the number of classes alone."""
+    each = met.filter("to is not null").groupBy("cls", "to").agg(F.min("bits").alias("bits"), F.min("place").alias("place"))
     by = Window.partitionBy("cls")
     ranked = each.withColumns({"rank": F.row_number().over(by.orderBy("bits", "place", "to")), "foremost": F.min(F.struct("place", "to")).over(by)})
     pairs = ranked.filter((F.col("rank") <= NEAREST) | (F.col("to") == F.col("foremost.to")))
     return pairs.select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct()
 
 
+def meetings(classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of ``classes`` (as of ``at_anchors``): the nearest."""
+    return nearest(at_anchors(classes))
+
+
+def left_out(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of all classes of ``met`` (``at_anchors``) that meet
+    and lie in different parts, ``parts`` (node, component) being those that are
+    joined by now.  Parts are paired at an anchor before their classes are, so
+    that a large group costs no more than its size."""
+    part = lambda c, name: parts.select(F.col("node").alias(c), F.col("component").alias(name))
+    took = met.filter("to is not null").select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct()
+    took = took.join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").filter(F.coalesce("p", "a") != F.coalesce("q", "b"))
+    placed = met.filter("crowded").select("anchor", "cls", "fp").join(part("cls", "part"), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    of = Window.partitionBy("anchor")
+    several = placed.withColumns({"lo": F.min("part").over(of), "hi": F.max("part").over(of)}).filter("lo <> hi")
+    several = materialise(several.select("anchor", "part", "cls", "fp"), "simhash-crowded")
+    heads = several.select("anchor", "part").distinct()
+    across = heads.withColumnRenamed("part", "p").join(heads.withColumnRenamed("part", "q"), "anchor").filter("p < q")
+    side = lambda p, c, f: several.select("anchor", F.col("part").alias(p), F.col("cls").alias(c), F.col("fp").alias(f))
+    full = across.join(side("p", "x", "f"), ["anchor", "p"]).join(side("q", "y", "g"), ["anchor", "q"])
+    near = full.filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= FAR)
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(took.select("a", "b")).distinct()
+
+
 # ---------------------------------------------------------------- groups
 def fingerprint_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """``(doc_id, text_key, fp, component, component_id)``, one row per row of

@@ -108,3 +108,33 @@ def test_a_large_group_is_joined_without_all_its_pairs(spark):
         part = [new if p == old else p for p in part]
     assert len(set(part[:n])) == 1 and len(set(part)) == 51
     assert len(pairs) <= 9 * n
+
+
+def test_no_cap_at_an_anchor_loses_a_pair(spark):
+    """60 classes at one anchor: whatever meets there and is not joined by the
+    nearest is handed out, against all pairs."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from plumbline.llm import simhash_cover
+    from plumbline.operators.components import connected_components
+
+    rng = np.random.default_rng(5)
+    n = 60
+    one = rng.integers(0, 2**64, 9, dtype=np.uint64)
+    sketch = np.tile(one, (n, 1))
+    for i in range(n):  # the words beside the anchor's: up to 12 bits from the common one
+        for b in rng.choice(64, 12, replace=False):
+            sketch[i, 1] ^= np.uint64(1) << np.uint64(b)
+    rows = [(i, i / n, s.tolist()) for i, s in enumerate(sketch.view(np.int64))]
+    met = simhash_cover.at_anchors(spark.createDataFrame(rows, "cls long, own double, sketch array<long>"))
+    ints = [int(x) for x in sketch[:, 1]]
+    want = {(a, b) for b in range(n) for a in range(b) if bin(ints[a] ^ ints[b]).count("1") <= simhash_cover.FAR}
+    first = {tuple(r) for r in simhash_cover.nearest(met).collect()}
+    alone = spark.createDataFrame([], "node long, component long")
+    rest = {tuple(r) for r in simhash_cover.left_out(met, alone).collect()}
+    assert want <= first | rest and want - first
+    # What is joined by now is not handed out again.
+    some = connected_components(spark.createDataFrame([(i, i + 1) for i in range(n // 2 - 1)], "src long, dst long"))
+    later = {tuple(r) for r in simhash_cover.left_out(met, some).collect()}
+    assert later == {(a, b) for a, b in rest if b >= n // 2} and met.filter(F.col("crowded")).count() > 0
