@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.plans import catalogue
 
 
 def test_character_shingles_of_any_length(spark):
@@ -25,3 +26,12 @@ def test_character_shingles_in_proportion_to_the_text(spark):
     began = time.perf_counter()
     assert text.select(F.size(X.char_shingles(F.col("t"), 9)).alias("n")).first()["n"] == 600_000 - 8
     assert time.perf_counter() - began < 30
+
+
+def test_pattern_hits_take_apart_the_paired_texts_alone(spark, sf, monkeypatch):
+    seen = []
+    rows_of = catalogue.evidence.token_rows
+    monkeypatch.setattr(catalogue.evidence, "token_rows", lambda docs: seen.append(docs.count()) or rows_of(docs))
+    hits = catalogue.QUERIES["multi_pattern_hits"](spark, sf)
+    paired = catalogue.overlapping(spark, sf)[2].select("sub_pos").distinct().count()
+    assert hits.count() > 0 and seen[0] == paired < catalogue.table(spark, sf, "documents").count()
