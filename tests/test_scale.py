@@ -35,3 +35,8 @@ def test_pattern_hits_take_apart_the_paired_texts_alone(spark, sf, monkeypatch):
     hits = catalogue.QUERIES["multi_pattern_hits"](spark, sf)
     paired = catalogue.overlapping(spark, sf)[2].select("sub_pos").distinct().count()
     assert hits.count() > 0 and seen[0] == paired < catalogue.table(spark, sf, "documents").count()
+
+
+def test_members_ask_for_no_edges(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalogue.candidates, "similar_pairs", None)
+    assert catalogue.QUERIES["graph_members"](spark, sf).count() > 0
