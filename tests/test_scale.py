@@ -40,3 +40,10 @@ def test_pattern_hits_take_apart_the_paired_texts_alone(spark, sf, monkeypatch):
 def test_members_ask_for_no_edges(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue.candidates, "similar_pairs", None)
     assert catalogue.QUERIES["graph_members"](spark, sf).count() > 0
+
+
+def test_the_snapshot_finds_its_edges_once(spark, sf, monkeypatch):
+    asked = []
+    pairs = catalogue.candidates.similar_pairs
+    monkeypatch.setattr(catalogue.candidates, "similar_pairs", lambda *a: asked.append(1) or pairs(*a))
+    assert catalogue.QUERIES["graph_snapshot"](spark, sf).count() > 0 and len(asked) == 1
