@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.operators import network
 from plumbline.plans import catalogue
 
 
@@ -47,3 +48,13 @@ def test_the_snapshot_finds_its_edges_once(spark, sf, monkeypatch):
     pairs = catalogue.candidates.similar_pairs
     monkeypatch.setattr(catalogue.candidates, "similar_pairs", lambda *a: asked.append(1) or pairs(*a))
     assert catalogue.QUERIES["graph_snapshot"](spark, sf).count() > 0 and len(asked) == 1
+
+
+def test_strong_components_send_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    store = network.materialise
+    monkeypatch.setattr(network, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, label))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (6, 1)], "src long, dst long")
+    got = dict(network.strong_components(edges).collect())
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6} and plans
+    assert not any("Broadcast" in p for p in plans)
