@@ -133,3 +133,15 @@ def test_settings_file():
         with pytest.raises(SettingsError):
             parse_settings(bad)
     assert s.for_request(edge=0.9).graph_edge_threshold == 0.9 and s.for_request().review_threshold == 0.5
+
+
+@given(st.lists(st.lists(st.text(st.characters(exclude_categories=["Cs", "Z"], exclude_characters=" "), min_size=1, max_size=9), max_size=9), max_size=6), st.integers(1, 4))
+@settings(max_examples=150, deadline=None)
+def test_shingles_hashed_where_they_stand(rows, width):
+    words = [w.encode() for r in rows for w in r]
+    data, offsets = np.frombuffer(b"".join(words), np.uint8), np.cumsum([0, *map(len, words)])
+    base, upto = K.window_hashes(data, offsets, np.cumsum([0, *map(len, rows)]), width)
+    made = [[" ".join(r[i : i + width]) for i in range(len(r) - width + 1)] for r in rows]
+    assert base.tolist() == K.shingle_hashes([s for m in made for s in m]).tolist() and np.diff(upto).tolist() == [len(m) for m in made]
+    salts = K.minhash_salts()
+    assert (K.minhash_lists(base, upto, salts) == np.array([K.minhash(m, salts) for m in made]).reshape(-1, len(salts))).all()

@@ -5,8 +5,8 @@ import time
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import network
-from plumbline.plans import catalogue
+from plumbline.operators import candidates, corpus, network
+from plumbline.plans import analysis, catalogue
 
 
 def test_character_shingles_of_any_length(spark):
@@ -38,6 +38,35 @@ def test_pattern_hits_take_apart_the_paired_texts_alone(spark, sf, monkeypatch):
     assert hits.count() > 0 and seen[0] == paired < catalogue.table(spark, sf, "documents").count()
 
 
+def test_scores_take_the_paired_texts_alone(spark, sf):
+    subs, refs, pairs = catalogue.overlapping(spark, sf)
+    for docs, key, table in ((subs, "sub_pos", "documents"), (refs, "ref_pos", "benchmark")):
+        assert docs.count() == pairs.select(key).distinct().count() > 0
+        assert docs.count() <= catalogue.table(spark, sf, table).count()
+    assert subs.count() < catalogue.table(spark, sf, "documents").count()
+
+
+def test_texts_without_a_common_shingle_are_not_taken_apart(spark):
+    """Odd ones stay: repeated and null ids, texts without shingles, other letters."""
+    texts = [(1, "a b c d e"), (1, "x y z w"), (2, ""), (2, ""), (None, "a b c d"), (None, "q"), (3, "ß 𝒳 语 é ü"), (4, "nothing in common here at all")]
+    subs = corpus.prepare(spark.createDataFrame(texts, "k long, t string"), "k", "t", "D", None)
+    refs = corpus.prepare(spark.createDataFrame([(7, "z a b c d"), (8, "𝒳 语 é ü"), (9, "b")], "k long, t string"), "k", "t", "B", None)
+    met = candidates.sharing(subs, refs, 4)
+    assert sorted(((r["pos"], r["short"]) for r in met.collect()), key=str) == sorted([(1, False), (None, False), (3, False), (2, True), (2, True), (None, True)], key=str)
+    assert {(r["sub_pos"], r["ref_pos"], r["both"]) for r in candidates.jaccard_pairs(subs, refs, 4).collect()} == {(1, 7, 1), (None, 7, 1), (3, 8, 1)}
+    pairs = [(r["sub_pos"], r["ref_pos"], r["estimate"]) for r in candidates.minhash_candidates(subs, refs, 0.12, 4).collect()]
+    assert sorted((p[:2] for p in pairs if p[2] is None), key=str) == sorted([(p, r) for p in (2, 2, None) for r in (7, 8, 9)] + [(p, 9) for p in (1, 1, None, 3, 4)], key=str)
+    assert {p[:2] for p in pairs if p[2]} == {(1, 7), (None, 7), (3, 8)}
+
+
+def test_the_analysis_scores_the_candidates_texts_alone(spark, sf, monkeypatch):
+    seen = []
+    score = analysis.score_pairs
+    monkeypatch.setattr(analysis, "score_pairs", lambda pairs, subs, refs, settings: seen.append((subs.count(), pairs.select("sub_pos").distinct().count())) or score(pairs, subs, refs, settings))
+    assert catalogue.QUERIES["full_pipeline"](spark, sf).count() > 0
+    assert seen[0][0] == seen[0][1] < catalogue.table(spark, sf, "documents").count()
+
+
 def test_members_ask_for_no_edges(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue.candidates, "similar_pairs", None)
     assert catalogue.QUERIES["graph_members"](spark, sf).count() > 0
