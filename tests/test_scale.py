@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import candidates, corpus, network
+from plumbline.operators import candidates, components, corpus, network
 from plumbline.plans import analysis, catalogue
 
 
@@ -87,3 +87,17 @@ def test_strong_components_send_no_table_to_the_driver(spark, monkeypatch):
     got = dict(network.strong_components(edges).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6} and plans
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_a_large_forest_sends_no_table_to_the_driver(spark, monkeypatch):
+    plans = []
+    store = network.materialise
+    seen = lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or store(df, label)
+    edges = spark.createDataFrame([(i, i + 1 + i % 3, float(i % 7)) for i in range(40)] + [(100, 101, 1.0)], "src long, dst long, cost double")
+    want = sorted(map(tuple, network.minimum_forest(edges).collect()))
+    monkeypatch.setattr(network, "materialise", seen)
+    monkeypatch.setattr(components, "materialise", seen)
+    monkeypatch.setattr(network, "DRIVER_EDGES", 10)
+    monkeypatch.setattr(network.K, "kruskal", None)
+    assert sorted(map(tuple, network.minimum_forest(edges).collect())) == want and plans
+    assert not any("Broadcast" in p for p in plans)
