@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as X
+from plumbline.functions import udfs
 from plumbline.operators import candidates, components, corpus, network
 from plumbline.plans import analysis, catalogue
 
@@ -101,3 +102,27 @@ def test_a_large_forest_sends_no_table_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(network.K, "kruskal", None)
     assert sorted(map(tuple, network.minimum_forest(edges).collect())) == want and plans
     assert not any("Broadcast" in p for p in plans)
+
+
+def test_pairs_share_the_sets_that_move(spark):
+    """A set goes to each cell once: in a group of 60 documents a set a pair was moved."""
+    sets = spark.createDataFrame([(i, 9, [0, 1, 2, i + 10]) for i in range(60)] + [(100, 3, [5, 6]), (101, 3, [6, 7])], "pos long, n int, c array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(60) for j in range(i + 1, 60)] + [(100, 101)], "a long, b long")
+    for block, most in ((256, 62), (8, 2000)):
+        rows = candidates.in_cells(pairs, sets, block)
+        assert rows.filter("b is not null").count() == pairs.count()
+        assert rows.filter("b is null").count() <= most < pairs.count() + 300
+        got = {(r["a"], r["b"]): (r["both"], r["na"], r["nb"]) for r in udfs.overlaps(rows).collect()}
+        assert got == {(i, j): (3, 9, 9) for i in range(60) for j in range(i + 1, 60)} | {(100, 101): (1, 3, 3)}
+
+
+def test_pairs_of_repeated_ids_meet_all_their_sets(spark):
+    rows = [(7, 1, None, 4, [1, 2, 2]), (7, 1, None, 5, [3]), (7, 2, None, 6, [2, 3]), (7, 1, 2, None, None), (8, 1, None, 2, []), (8, 3, None, 2, [1]), (8, 1, 3, None, None)]
+    rows = spark.createDataFrame(rows, "cell long, a long, b long, n int, c array<long>").coalesce(1)
+    want = [(1, 2, 1, 4, 6), (1, 2, 1, 5, 6), (1, 3, 0, 2, 2)]
+    assert sorted(map(tuple, udfs.overlaps(rows).collect())) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # cells go on over batches
+    try:
+        assert sorted(map(tuple, udfs.overlaps(rows).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
