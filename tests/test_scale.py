@@ -126,3 +126,31 @@ def test_pairs_of_repeated_ids_meet_all_their_sets(spark):
         assert sorted(map(tuple, udfs.overlaps(rows).collect())) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_shingles_of_the_normal_form_are_those_of_the_words(spark):
+    """Hashed without a list of words, whether the references' hashes are sent or joined."""
+    texts = ["The cat and the dog, of a house: a long-established incomprehensibility", "", None, "the of and", "ß 𝒳 语 é ü the İ Σ", " x  the y z w v ", "w" * 8 + " " + "w" * 9 + " " + "w" * 17 + " q r"]
+    docs = corpus.prepare(spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1), "k", "t", "D")
+    plain = docs.select("pos", "id", "words")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = rows(udfs.shingle_rows(plain, 3))
+    assert rows(udfs.shingle_rows(docs, 3)) == want and len({r[2] for r in want if r[2]}) == sum(r[2] is not None for r in want)
+    some = [r[2] for r in want if r[2] is not None][::2]
+    assert {r[0] for r in rows(udfs.shingle_rows(docs, 3, some)) if r[2] is not None} == {r[0] for r in want if r[2] in some}
+    assert "words" not in udfs.shingle_rows(docs, 3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashes_beyond_the_bound_are_joined(spark, sf, monkeypatch):
+    subs, refs = catalogue.submissions(spark, sf), catalogue.references(spark, sf)
+    sent = sorted(map(tuple, candidates.sharing(subs, refs, 4).collect()), key=str)
+    monkeypatch.setattr(candidates, "SENT", 3)
+    assert sorted(map(tuple, candidates.sharing(subs, refs, 4).collect()), key=str) == sent
+
+
+def test_paired_texts_are_taken_apart_once(spark, sf, monkeypatch):
+    asked = []
+    prepared = catalogue._prepared
+    monkeypatch.setattr(catalogue, "_prepared", lambda *a: asked.append((a[2], a[5] is None)) or prepared(*a))
+    assert catalogue.overlapping(spark, sf)[2].count() > 0
+    assert asked.count(("documents", False)) == 1
