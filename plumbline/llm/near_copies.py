@@ -6,9 +6,10 @@ connected components of all links.  Candidates come first from the sets'
 fingerprints that meet at an anchor (``simhash_cover.meetings``), and are verified
 on the whole sets.  No covering of fingerprints reaches every pair of that
 similarity, for their distances have no bound.  ``drop_near_copies`` takes the
-anchors' candidates alone, the nearest first and then all that meet at an anchor
-and are not joined yet; ``near_copy_groups`` adds an exact search for the
-pairs across what the fingerprints joined, unless told not to.
+anchors' candidates alone, the nearest first and then all that meet at an anchor,
+are not joined yet and can reach the similarity (``_likely``, which misses no pair
+that does); ``near_copy_groups`` adds an exact search for the pairs across what the
+fingerprints joined, unless told not to.
 
 That search is a prefix filter, which misses no pair: under any one order of the shingles,
 two sets that reach the threshold share ``SHARED`` (or all that they must share,
@@ -55,6 +56,8 @@ SAMPLE, OFTEN, FREQUENT = 32, 3, 100_000
 HOT = 8
 #: The classes whose sets are wanted are broadcast up to this many.
 BROADCAST_ROWS = 100_000
+#: Longs of a set's parity.
+PARITY = 8
 _U = np.uint64
 _BASE = _U(0x9FB21C651E98DF25)
 
@@ -85,6 +88,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return h, bounds, key
 
 
+def parities(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """``PARITY`` uint64 of each set: a bit is 1 if an odd number of its shingles
+    fall on it.  Two sets differ in as many shingles as their parities in bits,
+    or in more."""
+    out = np.zeros((len(bounds) - 1, PARITY), _U)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        bit, word = _U(1) << (h & _U(63)), h >> _U(6) & _U(PARITY - 1)
+        for k in range(PARITY):
+            out[full, k] = np.bitwise_xor.reduceat(np.where(word == _U(k), bit, _U(0)), bounds[full])
+    return out
+
+
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
@@ -123,7 +139,8 @@ def _prefixes(frequent: np.ndarray, counts: np.ndarray, similarity: float) -> Ca
 def _asked_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in bw.text_groups(batches):
         h, bounds, key = shingle_sets(data, offsets)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _lists(h, bounds)], ["cls", "s"])
+        odd = parities(h, bounds)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), _lists(h, bounds), _lists(odd.ravel(), np.arange(len(odd) + 1) * PARITY)], ["cls", "s", "odd"])
 
 
 def _alike(a: Column, b: Column, similarity: float) -> Column:
@@ -131,11 +148,16 @@ def _alike(a: Column, b: Column, similarity: float) -> Column:
     return (a >= similarity * b - 1e-9) & (b >= similarity * a - 1e-9)
 
 
-def _reaches(na: Column, ia: Column, nb: Column, ib: Column, similarity: float) -> Column:
+def _overlap(na: Column, nb: Column, similarity: float) -> Column:
+    """How many shingles two sets of these sizes share at least if they reach
+    the similarity."""
+    return F.ceil((na + nb) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _reaches(na: Column, ia: Column, nb: Column, ib: Column, similarity: float, shared: int = SHARED) -> Column:
     """Whether two sets of these sizes can reach the similarity if a shingle at
-    places ``ia`` and ``ib`` is among the first ``SHARED`` that they share."""
-    overlap = F.ceil((na + nb) * (similarity / (1 + similarity)) - 1e-9)
-    return _alike(na, nb, similarity) & (F.least(na - ia, nb - ib) >= overlap - (SHARED - 1))
+    places ``ia`` and ``ib`` is among the first ``shared`` that they share."""
+    return _alike(na, nb, similarity) & (F.least(na - ia, nb - ib) >= _overlap(na, nb, similarity) - (shared - 1))
 
 
 def _enough(joined: DataFrame, similarity: float) -> DataFrame:
@@ -145,21 +167,56 @@ def _enough(joined: DataFrame, similarity: float) -> DataFrame:
     return joined.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).filter(F.col("k") >= need).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets reach the similarity."""
-    pairs = materialise(pairs, "near-candidates")
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+def _sets(asked: DataFrame, rows: DataFrame, given: DataFrame) -> DataFrame:
+    """``(cls, s, odd)``, set and parity of each class in ``asked`` (cls)."""
     holders = materialise(rows.groupBy("cls").agg(F.min("text_key").alias("text_key")).join(asked, "cls", "left_semi").select("text_key"), "near-holders")
     if holders.count() <= BROADCAST_ROWS:
         holders = F.broadcast(holders)
     texts = given.join(holders, "text_key", "left_semi").select("text")
-    sets = materialise(texts.mapInArrow(_asked_sets, "cls long, s array<long>").dropDuplicates(["cls"]), "near-sets")
+    return materialise(texts.mapInArrow(_asked_sets, "cls long, s array<long>, odd array<long>").dropDuplicates(["cls"]), "near-sets")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose whole sets reach the similarity."""
+    pairs = materialise(pairs, "near-candidates")
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+    sets = _sets(asked, rows, given)
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}"))
     both, sizes = F.size(F.array_intersect("sa", "sb")), F.size("sa") + F.size("sb")
     full = pairs.join(side("a"), "a").join(side("b"), "b")
     return materialise(full.filter(both >= similarity * (sizes - both) - 1e-9).select("a", "b"), "near-links")
 
 
+def _likely(crowd: DataFrame, rows: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of classes of ``crowd`` (cls, part) in different
+    parts, among them all whose sets reach the similarity.
+
+    A prefix filter under an exact order: first the shingles that no second part
+    holds, then those of the fewest classes.  Two sets that reach the threshold t
+    have the first shingle that they share among the first n - ceil(t n) + 1 of
+    either, with enough of both behind it; a text with too many shingles of its
+    own has no other there and meets nobody.  What comes near a large group
+    without being like it is told by the parities, within the join."""
+    sets = _sets(crowd, rows, given)
+    tokens = sets.join(crowd, "cls").select("cls", "part", F.size("s").alias("n"), F.explode("s").alias("h"))
+    counts = tokens.groupBy("h").agg(F.count("*").alias("k"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
+    of = Window.partitionBy("cls")
+    shared = tokens.join(counts.select("h", "k"), "h").withColumns({"place": F.row_number().over(of.orderBy("k", "h")), "held": F.count("*").over(of)})
+    shared = shared.withColumn("i", F.col("n") - F.col("held") + F.col("place") - 1).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
+    first = materialise(shared.select("cls", "part", "n", "i", "h").join(sets.select("cls", "odd"), "cls"), "near-crowd")
+
+    # The part of most classes at a shingle is not paired with itself.
+    large = first.groupBy("h", "part").agg(F.count("*").alias("classes")).groupBy("h").agg(F.max(F.struct("classes", "part"))["part"].alias("large"))
+    x, y = (first.select("h", *(F.col(c).alias(f"{c}{side}") for c in ("cls", "part", "n", "i", "odd"))) for side in "xy")
+    small = x.join(large, "h").filter("partx <> large")
+    nx, ny = F.col("nx"), F.col("ny")
+    apart = sum((F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(PARITY)), F.lit(0))
+    can = _reaches(nx, F.col("ix"), ny, F.col("iy"), similarity, 1) & (apart <= nx + ny - 2 * _overlap(nx, ny, similarity))
+    once = (F.col("partx") != F.col("party")) & ((F.col("party") == F.col("large")) | (F.col("clsx") < F.col("clsy")))
+    found = small.join(y.hint("merge"), "h").filter(once & can)
+    return found.select(F.least("clsx", "clsy").alias("a"), F.greatest("clsx", "clsy").alias("b")).distinct()
+
+
 def _with_one(shared: DataFrame, similarity: float) -> DataFrame:
     """Pairs ``(a, b)``: of each shingle of many classes, every class ``b`` with
     the one ``a`` of which the least share is its own."""
@@ -180,7 +237,7 @@ def _anchored(rows: DataFrame, given: DataFrame, similarity: float) -> DataFrame
     met = meetings(rows.select("cls", "own", "sketch").distinct())
     tried = materialise(nearest(met), "near-met")
     parts = materialise(connected_components(_verified(tried, rows, given, similarity), "a", "b"), "near-joined")
-    rest = materialise(left_out(met, parts).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    rest = materialise(left_out(met, parts, lambda crowd: _likely(crowd, rows, given, similarity)).join(tried, ["a", "b"], "left_anti"), "near-rest")
     if rest.isEmpty():
         return parts
     more = _verified(rest, rows, given, similarity)

@@ -22,7 +22,7 @@ pairs, not all.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -302,11 +302,16 @@ def meetings(classes: DataFrame) -> DataFrame:
     return nearest(at_anchors(classes))
 
 
-def left_out(met: DataFrame, parts: DataFrame) -> DataFrame:
+def left_out(met: DataFrame, parts: DataFrame, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of all classes of ``met`` (``at_anchors``) that meet
     and lie in different parts, ``parts`` (node, component) being those that are
     joined by now.  Parts are paired at an anchor before their classes are, so
-    that a large group costs no more than its size."""
+    that a large group costs no more than its size.
+
+    Where a large part meets many small ones, those pairs are the product of both.
+    ``likely`` spares them: from ``(cls, part)`` of the classes at crowded anchors
+    it makes the pairs ``(a, b)``, a < b, that are wanted, and of these the ones
+    that meet are given."""
     part = lambda c, name: parts.select(F.col("node").alias(c), F.col("component").alias(name))
     took = met.filter("to is not null").select(F.least("cls", "to").alias("a"), F.greatest("cls", "to").alias("b")).distinct()
     took = took.join(part("a", "p"), "a", "left").join(part("b", "q"), "b", "left").filter(F.coalesce("p", "a") != F.coalesce("q", "b"))
@@ -314,10 +319,15 @@ def left_out(met: DataFrame, parts: DataFrame) -> DataFrame:
     of = Window.partitionBy("anchor")
     several = placed.withColumns({"lo": F.min("part").over(of), "hi": F.max("part").over(of)}).filter("lo <> hi")
     several = materialise(several.select("anchor", "part", "cls", "fp"), "simhash-crowded")
-    heads = several.select("anchor", "part").distinct()
-    across = heads.withColumnRenamed("part", "p").join(heads.withColumnRenamed("part", "q"), "anchor").filter("p < q")
-    side = lambda p, c, f: several.select("anchor", F.col("part").alias(p), F.col("cls").alias(c), F.col("fp").alias(f))
-    full = across.join(side("p", "x", "f"), ["anchor", "p"]).join(side("q", "y", "g"), ["anchor", "q"])
+    if likely is None:
+        heads = several.select("anchor", "part").distinct()
+        across = heads.withColumnRenamed("part", "p").join(heads.withColumnRenamed("part", "q"), "anchor").filter("p < q")
+        side = lambda p, c, f: several.select("anchor", F.col("part").alias(p), F.col("cls").alias(c), F.col("fp").alias(f))
+        full = across.join(side("p", "x", "f"), ["anchor", "p"]).join(side("q", "y", "g"), ["anchor", "q"])
+    else:
+        side = lambda c, f: several.select("anchor", F.col("cls").alias(c), F.col("fp").alias(f))
+        wanted = likely(several.select("cls", "part").distinct()).withColumnsRenamed({"a": "x", "b": "y"})
+        full = wanted.join(side("x", "f"), "x").join(side("y", "g"), ["anchor", "y"])
     near = full.filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= FAR)
     return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(took.select("a", "b")).distinct()
 

@@ -5,6 +5,14 @@ import random
 from plumbline.llm import near_copies
 
 
+def _bytes(texts):
+    """Data and offsets as of ``bytewords.text_groups``."""
+    import numpy as np
+
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 def test_near_copies_against_all_pairs(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(4000)]
@@ -138,3 +146,79 @@ def test_no_cap_at_an_anchor_loses_a_pair(spark):
     some = connected_components(spark.createDataFrame([(i, i + 1) for i in range(n // 2 - 1)], "src long, dst long"))
     later = {tuple(r) for r in simhash_cover.left_out(met, some).collect()}
     assert later == {(a, b) for a, b in rest if b >= n // 2} and met.filter(F.col("crowded")).count() > 0
+
+
+def test_texts_near_a_large_group_are_not_paired_with_all_of_it(spark, monkeypatch):
+    """At a crowded anchor the pairs that cannot reach the similarity are not
+    made, and no link is lost against all pairs that meet there."""
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.components import connected_components
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=140)
+
+    def edited(edits):
+        w = list(base)
+        for k in rng.sample(range(140), edits):
+            w[k] = rng.choice(words)
+        return " ".join(w)
+
+    # A group of one text, texts that miss it by little or by more, and pairs of
+    # which the second text is only like the first.
+    texts = [" ".join(base), *(edited(1 + i % 2) for i in range(300)), *(edited(4 + i % 6) for i in range(120))]
+    for text in texts[301:341]:
+        w = text.split()
+        w[rng.randrange(140)] = "new"
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, left_out = {}, near_copies.left_out
+
+    def compared(met, parts, likely):
+        def counted(crowd):
+            found = likely(crowd)
+            seen.update(classes=crowd.count(), likely=found.count())
+            return found
+
+        few = left_out(met, parts, counted)
+        seen.update(met=met, parts=parts, few=few.count())
+        return few
+
+    # The last texts are nobody's nearest, so that their links are left out at first.
+    keys = near_copies.shingle_sets(*_bytes(texts))[2].view("int64").tolist()
+    meetings, late = near_copies.meetings, keys[421:]
+    taken = lambda met: met.withColumn("to", F.when(~F.col("cls").isin(late) & ~F.col("to").isin(late), F.col("to")))
+    monkeypatch.setattr(near_copies, "meetings", lambda classes: taken(meetings(classes)))
+    monkeypatch.setattr(near_copies, "left_out", compared)
+    got = {}
+    for i, c in near_copies.near_copy_groups(docs, complete=False).collect():
+        got.setdefault(c, set()).add(i)
+
+    every = left_out(seen["met"], seen["parts"])
+    assert seen["classes"] > 300 and every.count() > 5 * seen["classes"] and seen["likely"] < seen["classes"]
+    given = docs.select("doc_id", near_copies.text_key("text").alias("text_key"), "text")
+    key = spark.createDataFrame(list(enumerate(keys)), "doc_id long, cls long")
+    rows = given.join(key, "doc_id").select("text_key", "cls")
+    links = near_copies._verified(every, rows, given, near_copies.SIMILARITY)
+    old = connected_components(links.unionByName(seen["parts"].toDF("a", "b")), "a", "b")
+    want = {}
+    for i, c in key.join(old, key["cls"] == old["node"], "left").select("doc_id", "component", key["cls"]).rdd.map(lambda r: (r[0], r[2] if r[1] is None else r[1])).collect():
+        want.setdefault(c, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and links.count() >= 20
+
+
+def test_parities_never_tell_more_than_the_sets_differ():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**64, k, dtype=np.uint64)) for k in (0, 1, 5, 200, 0, 3000)]
+    sets += [np.unique(np.concatenate([sets[3][10:], rng.integers(0, 2**64, 12, dtype=np.uint64)])), sets[5][:-7]]
+    bounds = np.cumsum([0, *map(len, sets)])
+    odd = near_copies.parities(np.concatenate(sets), bounds)
+    assert not odd[0].any() and not odd[4].any()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = sum(int(x).bit_count() for x in odd[i] ^ odd[j])
+            differ = len(np.setxor1d(a, b))
+            assert bits <= differ and (differ - bits) % 2 == 0
