@@ -205,10 +205,11 @@ def _likely(crowd: DataFrame, rows: DataFrame, given: DataFrame, similarity: flo
     shared = shared.withColumn("i", F.col("n") - F.col("held") + F.col("place") - 1).filter(F.col("i") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
     first = materialise(shared.select("cls", "part", "n", "i", "h").join(sets.select("cls", "odd"), "cls"), "near-crowd")
 
-    # The part of most classes at a shingle is not paired with itself.
-    large = first.groupBy("h", "part").agg(F.count("*").alias("classes")).groupBy("h").agg(F.max(F.struct("classes", "part"))["part"].alias("large"))
+    # The part of most classes at a shingle is not paired with itself.  Both
+    # joins are of stored tables, so that a frequent shingle's rows can be split.
+    large = materialise(first.groupBy("h", "part").agg(F.count("*").alias("classes")).groupBy("h").agg(F.max(F.struct("classes", "part"))["part"].alias("large")), "near-large")
     x, y = (first.select("h", *(F.col(c).alias(f"{c}{side}") for c in ("cls", "part", "n", "i", "odd"))) for side in "xy")
-    small = x.join(large, "h").filter("partx <> large")
+    small = materialise(x.join(large, "h").filter("partx <> large"), "near-small")
     nx, ny = F.col("nx"), F.col("ny")
     apart = sum((F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(PARITY)), F.lit(0))
     can = _reaches(nx, F.col("ix"), ny, F.col("iy"), similarity, 1) & (apart <= nx + ny - 2 * _overlap(nx, ny, similarity))
