@@ -212,9 +212,12 @@ def _likely(crowd: DataFrame, rows: DataFrame, given: DataFrame, similarity: flo
     small = materialise(x.join(large, "h").filter("partx <> large"), "near-small")
     nx, ny = F.col("nx"), F.col("ny")
     apart = sum((F.bit_count(F.col("oddx")[k].bitwiseXOR(F.col("oddy")[k])) for k in range(PARITY)), F.lit(0))
-    can = _reaches(nx, F.col("ix"), ny, F.col("iy"), similarity, 1) & (apart <= nx + ny - 2 * _overlap(nx, ny, similarity))
+    # Sizes and places are compared first, for all classes that have them at once.
+    places = small.select("h", "nx", "ix").distinct().join(first.select("h", F.col("n").alias("ny"), F.col("i").alias("iy")).distinct(), "h")
+    places = materialise(places.filter(_reaches(nx, F.col("ix"), ny, F.col("iy"), similarity, 1)), "near-places")
+    can = apart <= nx + ny - 2 * _overlap(nx, ny, similarity)
     once = (F.col("partx") != F.col("party")) & ((F.col("party") == F.col("large")) | (F.col("clsx") < F.col("clsy")))
-    found = small.join(y.hint("merge"), "h").filter(once & can)
+    found = small.join(places, ["h", "nx", "ix"]).join(y.hint("merge"), ["h", "ny", "iy"]).filter(once & can)
     return found.select(F.least("clsx", "clsy").alias("a"), F.greatest("clsx", "clsy").alias("b")).distinct()
 
 
