@@ -277,3 +277,18 @@ def test_query_against_sql(spark, sf, name):
     assert sorted(got.columns) == sorted(want.columns)
     columns = sorted(got.columns)
     assert sorted(map(tuple, got[columns].astype(str).values)) == sorted(map(tuple, want[columns].astype(str).values))
+
+
+def test_range_add_beyond_one_as_in_sql(spark, sf, tmp_path):
+    """Submissions that are references stand at 1 already, at all changed places."""
+    import duckdb
+
+    db = duckdb.connect()
+    texts = [t for (t,) in db.execute(f"select text from '{sf}/benchmark.parquet' order by item_id limit 8").fetchall()]
+    texts += [f"{t} and some more words behind" for t in texts[:3]]
+    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
+        spark.createDataFrame(list(enumerate(texts[:8] if key == "item_id" else texts)), f"{key} long, text string").write.parquet(f"{tmp_path}/{name}.parquet")
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(db.execute(catalogue.ORACLE["range_add"]).fetchall())
+    got = sorted(map(tuple, catalogue.QUERIES["range_add"](spark, str(tmp_path)).select("pos", "case_id", "score", "flag").collect()))
+    assert got == want and [r[2] for r in got[:8]] == [1_000_000] * 2 + [1_010_000] * 5 + [1_000_000]
