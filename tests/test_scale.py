@@ -154,3 +154,60 @@ def test_paired_texts_are_taken_apart_once(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue, "_prepared", lambda *a: asked.append((a[2], a[5] is None)) or prepared(*a))
     assert catalogue.overlapping(spark, sf)[2].count() > 0
     assert asked.count(("documents", False)) == 1
+
+
+def counted(monkeypatch, module):
+    """Labels and rows of the tables that a module stores."""
+    seen, stored = [], module.materialise
+
+    def store(df, label):
+        out = stored(df, label)
+        seen.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "materialise", store)
+    return seen
+
+
+def ways(spark, pairs):
+    return spark.createDataFrame([(min(p), max(p), 0.5, 0.5) for p in pairs], "src long, dst long, similarity double, cost double")
+
+
+def test_a_walk_stores_what_it_reaches(spark, monkeypatch):
+    """Not the graph: all its edges were written, and shuffled, more than once."""
+    crowd = [(a, b) for a in range(100, 150) for b in range(100, a)]
+    edges = ways(spark, [(0, 1), (1, 2), (2, 3), (1, 3), *crowd])
+    seen = counted(monkeypatch, network)
+    path = network.path_between(edges, 0, 3)
+    assert [(r["src"], r["dst"]) for r in path.orderBy("step").collect()] == [(0, 1), (1, 3)]
+    assert network.on_path(edges, path).filter("selected").count() == 2
+    assert seen and max(n for _, n in seen) <= 4
+
+
+def test_only_chains_are_drawn_together(spark, monkeypatch):
+    crowd = [(a, b) for a in range(100, 130) for b in range(100, a)]
+    chain = [(v, v + 1) for v in range(40)] + [(40, 100)]
+    edges = ways(spark, crowd + chain)
+    seen = counted(monkeypatch, network)
+    far = {r["v"]: r["distance"] for r in network.distances(edges, 0).collect()}
+    assert far == {v: v / 2 for v in range(41)} | {100: 20.5} | {v: 21.0 for v in range(101, 130)}
+    half = [n for label, n in seen if label == "path-half"]
+    assert half[0] == 2 * (len(crowd) + len(chain)) and max(half[1:]) <= 4 * len(chain)
+
+
+def test_path_edges_walks_once(spark, sf, monkeypatch):
+    walked, far = [], network.distances
+    monkeypatch.setattr(network, "distances", lambda *a, **k: walked.append(1) or far(*a, **k))
+    assert catalogue.QUERIES["path_edges"](spark, sf).count() >= 0 and len(walked) <= 1
+
+
+def test_sets_of_the_normal_form(spark):
+    """Of one member for each different shingle, with one key for equal sets alone."""
+    texts = ["The cat and the dog, of a house: a long-established one", "", None, "the of and", "cat dog house long", "cat dog house long cat dog house", "house long cat dog house cat dog", "CAT, dog; house, long the"]
+    docs = corpus.prepare(spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1), "k", "t", "D")
+    want = {r["pos"]: frozenset(zip(r["words"], r["words"][1:], r["words"][2:], strict=False)) for r in docs.select("pos", "words").collect()}
+    for frame in (docs, docs.select("pos", "words")):
+        got = {r["pos"]: (r["s"], r["key"]) for r in udfs.shingle_sets(frame, 3).collect()}
+        assert {p: len(s) for p, (s, _) in got.items()} == {p: len(s) for p, s in want.items()} and all(s == sorted(set(s)) for s, _ in got.values())
+        assert all((got[p] == got[q]) == (got[p][1] == got[q][1]) == (want[p] == want[q]) for p in want for q in want)
+    assert "words" not in udfs.shingle_sets(docs, 3)._jdf.queryExecution().optimizedPlan().toString()
